@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .decontaminate import find_contamination
 from .line_dedup import dedup_lines
 from .mixing import mix_totals
 
@@ -13,6 +14,27 @@ FOLD_SQL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuv
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside windows of 10 words that the benchmark shares, and the items found."""
+    return find_contamination(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text")).drop("items")
+
+
+OP2_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({FOLD_SQL.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT item_id, coalesce(regexp_extract_all({FOLD_SQL.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark),
+bl AS (SELECT *, least(10, len(w)) AS m FROM b WHERE len(w) > 0),
+pat AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM bl)),
+lens AS (SELECT DISTINCT m FROM pat),
+win AS (SELECT r, m, i, array_to_string(w[i:i + m - 1], ' ') AS s FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, lens WHERE len(w) >= m)),
+hit AS (SELECT w.r, w.i, w.m, p.item_id FROM win w JOIN pat p ON w.m = p.m AND w.s = p.s),
+pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT r, i, m FROM hit)) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+"""
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_lines, n_dropped and the hash of what stays, for lines in at least 10 documents."""
     out = dedup_lines(read(spark, sf_dir, "documents", "doc_id", "text"), min_docs=10, min_key_chars=1)
@@ -55,5 +77,5 @@ ordered AS (SELECT s.doc_id, s.size, f.source_size, f.target, f.full_, f.words -
 SELECT doc_id, size, source_size, target::DOUBLE AS target, (full_ * size + greatest(0, least(size, rest - before_)))::BIGINT AS taken FROM ordered
 """
 
-QUERIES = {"op6_line_dedup": op6_line_dedup, "op9_mixing": op9_mixing}
-SQL = {"op6_line_dedup": OP6_SQL, "op9_mixing": OP9_SQL}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_line_dedup": op6_line_dedup, "op9_mixing": op9_mixing}
+SQL = {"op2_decontaminate": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_mixing": OP9_SQL}
