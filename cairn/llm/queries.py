@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .common import read
 from .decontaminate import find_contamination
 from .line_dedup import dedup_lines
+from .media import media_columns
 from .mixing import mix_totals
+from .packing import pack_tokens
 
 FOLD_SQL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -35,6 +37,11 @@ FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a stored grey image: digests and features of what is read back. Places differ between copies and stay out."""
+    return media_columns(read(spark, sf_dir, "documents", "doc_id", "text")).drop("shard", "offset", "digest")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_lines, n_dropped and the hash of what stays, for lines in at least 10 documents."""
     out = dedup_lines(read(spark, sf_dir, "documents", "doc_id", "text"), min_docs=10, min_key_chars=1)
@@ -77,5 +84,10 @@ ordered AS (SELECT s.doc_id, s.size, f.source_size, f.target, f.full_, f.words -
 SELECT doc_id, size, source_size, target::DOUBLE AS target, (full_ * size + greatest(0, least(size, rest - before_)))::BIGINT AS taken FROM ordered
 """
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_line_dedup": op6_line_dedup, "op9_mixing": op9_mixing}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's token ids in packed rows, with the documents of each row."""
+    return pack_tokens(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_line_dedup": op6_line_dedup, "op9_mixing": op9_mixing, "op4_media": op4_media, "op10_packing": op10_packing}
 SQL = {"op2_decontaminate": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_mixing": OP9_SQL}
