@@ -11,11 +11,18 @@ from .line_dedup import dedup_lines
 from .media import media_columns
 from .mixing import mix_totals
 from .packing import pack_tokens
+from .quality import score_quality
+from .secrets import find_secrets
 
 FOLD_SQL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a third of the labels (by crc32 of the id) is held out."""
+    return score_quality(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside windows of 10 words that the benchmark shares, and the items found."""
     return find_contamination(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text")).drop("items")
@@ -37,6 +44,11 @@ FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings of the fixed patterns and of the network, as code-point spans."""
+    return find_secrets(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a stored grey image: digests and features of what is read back. Places differ between copies and stay out."""
     return media_columns(read(spark, sf_dir, "documents", "doc_id", "text")).drop("shard", "offset", "digest")
@@ -89,5 +101,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_line_dedup": op6_line_dedup, "op9_mixing": op9_mixing, "op4_media": op4_media, "op10_packing": op10_packing}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_line_dedup": op6_line_dedup, "op9_mixing": op9_mixing, "op4_media": op4_media, "op10_packing": op10_packing, "op3_secrets": op3_secrets, "op1_quality": op1_quality}
 SQL = {"op2_decontaminate": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_mixing": OP9_SQL}
