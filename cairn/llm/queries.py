@@ -10,6 +10,7 @@ from .decontaminate import find_contamination
 from .line_dedup import dedup_lines
 from .media import media_columns
 from .mixing import mix_totals
+from .ngram_join import similar_groups
 from .packing import pack_tokens
 from .quality import score_quality
 from .secrets import find_secrets
@@ -72,6 +73,11 @@ FROM marked GROUP BY r
 """
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of 5-word shingles are at least 0.75 similar, directly or by links."""
+    return similar_groups(read(spark, sf_dir, "documents", "doc_id", "text")).drop("text_hash")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document, for targets by weights 5, 2, 1 under a cap of three times the source."""
     return mix_totals(read(spark, sf_dir, "documents", "doc_id", "source", "text"))
@@ -101,5 +107,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_line_dedup": op6_line_dedup, "op9_mixing": op9_mixing, "op4_media": op4_media, "op10_packing": op10_packing, "op3_secrets": op3_secrets, "op1_quality": op1_quality}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_line_dedup": op6_line_dedup, "op9_mixing": op9_mixing, "op4_media": op4_media, "op10_packing": op10_packing, "op3_secrets": op3_secrets, "op1_quality": op1_quality, "op7_ngram_join": op7_ngram_join}
 SQL = {"op2_decontaminate": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_mixing": OP9_SQL}

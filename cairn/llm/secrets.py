@@ -156,7 +156,14 @@ class Network:
 
 
 def _word(r: random.Random, low: int = 2, high: int = 9) -> str:
-    return "".join(r.choice("aeioubcdfghlmnprstvw") for _ in range(r.randint(low, high)))
+    letters = "aeioubcdfghlmnprstvw"
+    return "".join(r.choice(letters) for _ in range(r.randint(low, high)))
+
+
+def _prose(r: random.Random) -> str:
+    """Words around a finding; some have letters beyond ASCII."""
+    words = [_word(r) for _ in range(r.randint(0, 5))]
+    return " ".join(w + r.choice(["", "é", "ñ", "üß", "ç"]) if r.random() < 0.4 else w for w in words)
 
 
 def _run(r: random.Random, alphabet: str, low: int, high: int) -> str:
@@ -204,8 +211,8 @@ def labelled_findings(count: int, seed: int) -> list[tuple[str, int, int, int]]:
         core = _run(r, string.digits, 16, 16) if not label and r.random() < 0.25 else r.choice(keys if label else others)()
         lead = r.choice(leads) if r.random() < (0.5 if label else 0.3) else ""
         quote = r.choice(["", "", '"', "'", "`", "(", "<"])
-        before = " ".join(_word(r) for _ in range(r.randint(0, 5))) + r.choice([" ", "\n", ". ", ", ", " | "]) + lead + quote
-        after = quote + r.choice([" ", "\n", ".\n", ", ", "### ", "!! "]) + " ".join(_word(r) for _ in range(r.randint(0, 5)))
+        before = _prose(r) + r.choice([" ", "\n", ". ", ", ", " | "]) + lead + quote
+        after = quote + r.choice([" ", "\n", ".\n", ", ", "### ", "!! "]) + _prose(r)
         out.append((before + core + after, len(before), len(before) + len(core), label))
     return out
 
