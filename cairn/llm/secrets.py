@@ -163,7 +163,8 @@ def _word(r: random.Random, low: int = 2, high: int = 9) -> str:
 def _prose(r: random.Random) -> str:
     """Words around a finding; some have letters beyond ASCII."""
     words = [_word(r) for _ in range(r.randint(0, 5))]
-    return " ".join(w + r.choice(["", "é", "ñ", "üß", "ç"]) if r.random() < 0.4 else w for w in words)
+    text = " ".join(w + r.choice(["", "é", "ñ", "üß", "ç", ".", "!!", "$$$", " |"]) if r.random() < 0.4 else w for w in words)
+    return text.upper() if r.random() < 0.25 else text
 
 
 def _run(r: random.Random, alphabet: str, low: int, high: int) -> str:
