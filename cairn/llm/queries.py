@@ -14,6 +14,7 @@ from .ngram_join import similar_groups
 from .packing import pack_tokens
 from .quality import score_quality
 from .secrets import find_secrets
+from .sentence_dedup import remove_repeats
 
 FOLD_SQL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -55,6 +56,11 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read(spark, sf_dir, "documents", "doc_id", "text")).drop("shard", "offset", "digest")
 
 
+def op5_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the sentences under spans that occurred before."""
+    return remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_lines, n_dropped and the hash of what stays, for lines in at least 10 documents."""
     out = dedup_lines(read(spark, sf_dir, "documents", "doc_id", "text"), min_docs=10, min_key_chars=1)
@@ -107,5 +113,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_line_dedup": op6_line_dedup, "op9_mixing": op9_mixing, "op4_media": op4_media, "op10_packing": op10_packing, "op3_secrets": op3_secrets, "op1_quality": op1_quality, "op7_ngram_join": op7_ngram_join}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_line_dedup": op6_line_dedup, "op9_mixing": op9_mixing, "op4_media": op4_media, "op10_packing": op10_packing, "op3_secrets": op3_secrets, "op1_quality": op1_quality, "op7_ngram_join": op7_ngram_join, "op5_sentence_dedup": op5_sentence_dedup}
 SQL = {"op2_decontaminate": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_mixing": OP9_SQL}
