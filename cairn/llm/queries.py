@@ -15,6 +15,7 @@ from .packing import pack_tokens
 from .quality import score_quality
 from .secrets import find_secrets
 from .sentence_dedup import remove_repeats
+from .suffix_dedup import remove_repeated_bytes
 
 FOLD_SQL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -84,6 +85,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(read(spark, sf_dir, "documents", "doc_id", "text")).drop("text_hash")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every text under 200-byte strings that also start elsewhere, and the hash of what stays."""
+    out = remove_repeated_bytes(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document, for targets by weights 5, 2, 1 under a cap of three times the source."""
     return mix_totals(read(spark, sf_dir, "documents", "doc_id", "source", "text"))
@@ -113,5 +120,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_line_dedup": op6_line_dedup, "op9_mixing": op9_mixing, "op4_media": op4_media, "op10_packing": op10_packing, "op3_secrets": op3_secrets, "op1_quality": op1_quality, "op7_ngram_join": op7_ngram_join, "op5_sentence_dedup": op5_sentence_dedup}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_line_dedup": op6_line_dedup, "op9_mixing": op9_mixing, "op4_media": op4_media, "op10_packing": op10_packing, "op3_secrets": op3_secrets, "op1_quality": op1_quality, "op7_ngram_join": op7_ngram_join, "op5_sentence_dedup": op5_sentence_dedup, "op8_suffix_dedup": op8_suffix_dedup}
 SQL = {"op2_decontaminate": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_mixing": OP9_SQL}
