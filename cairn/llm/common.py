@@ -60,6 +60,19 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def named(column: str):
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def fold_column(col):
     """The column with A-Z in lower case; other letters stay."""
     return F.translate(col, UPPER, LOWER)

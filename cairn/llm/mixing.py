@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize, named
 
 #: Weights of the sources in order, repeating; no source gives more than CAP times its own words.
 WEIGHTS, CAP = (5, 2, 1), 3
@@ -159,3 +159,32 @@ def mix_totals(docs: DataFrame, **options) -> DataFrame:
     each = plan.groupBy(*keys).agg(F.sum("taken").alias("all_taken"), copies).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     share = F.floor(F.col("all_taken") / F.col("copies")) + F.when(F.col("copy") <= F.col("all_taken") % F.col("copies"), 1).otherwise(0)
     return each.select("doc_id", "size", "source_size", "target", share.cast("long").alias("taken"))
+
+
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each document and epoch of which words are taken.
+
+    Whole texts come as they are; the text on the edge of a source's target ends after the last
+    word taken. n_chars, where docs has it, is the length of the text that comes. Rows keep no
+    order; `mix_plan` has shard and place of every slice.
+    """
+    plan = mix_plan(docs, **options)
+    copies = F.count_if((F.col("epoch") == 0) & (F.col("start") == 0)).alias("copies")
+    parts = plan.groupBy("doc_id", "source", "text_hash", "size").agg(F.sum("taken").alias("words"), copies).where("words > 0")
+    # Equal rows have one place each; together they take so many whole texts and a rest.
+    whole, rest = F.floor(F.col("words") / F.col("size")), F.col("words") % F.col("size")
+    takes = F.concat(F.array_repeat(F.col("size"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
+    id_, source_, hash_, size_, copies_, takes_, words_, first_ = (fresh(docs, n) for n in ("_id", "_source", "_hash", "_size", "_copies", "_takes", "_words", "_first"))
+    parts = materialize(parts.select(F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("text_hash").alias(hash_), F.col("size").alias(size_), F.col("copies").alias(copies_), takes.alias(takes_)), "mix")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source_)) & (F.xxhash64("text") == F.col(hash_))
+    out = docs.join(parts.where(F.col(copies_) == 1), same)
+    repeated = parts.where(F.col(copies_) > 1)
+    if not repeated.isEmpty():  # one of the equal rows stands for all
+        first = F.row_number().over(W.partitionBy(id_, source_, hash_).orderBy(F.lit(1)))
+        out = out.union(docs.join(repeated, same).withColumn(first_, first).where(F.col(first_) == 1).drop(first_))
+    out = out.withColumn(words_, F.explode(takes_))
+    # Pieces are words, each with the blanks before it.
+    pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    text = F.when(F.col(words_) == F.col(size_), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col(words_).cast("int")), ""))
+    columns = [text.alias(c) if c == "text" else F.char_length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else named(c) for c in docs.columns]
+    return out.select(*columns)

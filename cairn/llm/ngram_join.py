@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, SPACE, batch_texts, join_side, materialize, mixed, text_chunks, word_table, words_of
+from .common import FOLD, SPACE, batch_texts, fresh, join_side, materialize, mixed, text_chunks, word_table, words_of
 from .graph import connected_components
 
 #: Words of a shingle, and the least similarity in percent.
@@ -240,6 +240,7 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, group: int = GROUP)
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, group: int = GROUP) -> DataFrame:
     """The documents without those that a document of less id is linked with, directly or not."""
-    gone = similar_groups(docs, shingle, group).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
+    id_, hash_ = fresh(docs, "_gone_id"), fresh(docs, "_gone_hash")
+    gone = similar_groups(docs, shingle, group).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
     side = join_side(materialize(gone, "near-copies"), 32)
-    return docs.join(side, (F.col("doc_id") == F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_hash")), "left_anti")
+    return docs.join(side, (F.col("doc_id") == F.col(id_)) & (F.xxhash64("text") == F.col(hash_)), "left_anti")

@@ -216,9 +216,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def reject_low_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = 0.5) -> DataFrame:
-    """The documents that score at least threshold, with all their columns and in place."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, train_rows))
+def reject_low_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = 0.5, training_docs: DataFrame | None = None) -> DataFrame:
+    """The documents that score at least threshold, with all their columns and in place.
+
+    The labels' texts come from training_docs if given, else from docs.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs if training_docs is None else training_docs, labels, train_rows))
 
     def scan(batches):
         for batch, score in _scored(batches, shared):
