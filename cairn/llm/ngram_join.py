@@ -12,8 +12,11 @@ sets are compared exactly.
 No group emits all its pairs. First every node is compared with the least document of its
 token groups only, and the links found are joined into components. Then tokens are kept
 whose nodes lie in more than one component (minimum and maximum by partial aggregation), and only pairs
-across components are made: in groups of at most `GROUP` nodes for all nodes; in larger ones among those nodes
-whose prefix has so many frequent tokens that frequent ones could be all they share with a partner.
+across components are made, in groups of at most `GROUP` nodes. Tokens of larger groups are
+frequent: a pair needs more shared tokens than both have frequent ones in common at most, or the
+node is hard: frequent tokens could be all that it shares with a partner. Hard nodes go through
+the same step once more with prefixes of `LONG` tokens counted among themselves. What is hard still
+has frequent tokens nearly everywhere; those few are compared by them, across components.
 
 Defined cases: no words, null or empty: empty set, linked with nothing; fewer words than a shingle:
 the whole sequence is the one shingle; a document without id isn't linked and gets no component; repeated
@@ -37,7 +40,7 @@ from .graph import connected_components
 #: Words of a shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 5, 75
 #: Tokens of the prefix under each order, and those of each that find the first round's groups.
-PREFIXES, HEADS = (64, 32, 32), 3
+PREFIXES, LONG, HEADS = (128, 24, 24), 512, 3
 #: Nodes of a token group up to which all of its nodes are compared across components.
 GROUP = 64
 RISK = 2.0**-50
@@ -114,11 +117,18 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(scan, "doc_id long, text_hash long, n long, hi long, lo long, s0 array<long>, s1 array<long>, s2 array<long>")
 
 
-def _least_shared(n1: Column, n2: Column, k: int) -> Column:
-    """Tokens that sets of these sizes share in their prefixes under order k if they are similar."""
-    prefix = PREFIXES[k]
+def _least_shared(n1: Column, n2: Column, prefix: int) -> Column:
+    """Tokens that sets of these sizes share in their prefixes if they are similar."""
     sure = F.least(F.lit(prefix), F.greatest(n1, n2)) - F.floor((n1 + n2) * (100 - PERCENT) / (100 + PERCENT))
-    return F.greatest(sure, F.when(F.greatest(n1, n2) >= prefix, shared_least(prefix)).otherwise(1))
+    part = F.greatest(sure, F.lit(shared_least(prefix)))
+    # Both prefixes are whole sets where both are so short.
+    return F.when(F.greatest(n1, n2) <= prefix, F.ceil((n1 + n2) * PERCENT / (100 + PERCENT))).otherwise(part).cast("long")
+
+
+def _least_with_any(n: Column, smallest: Column, prefix: int) -> Column:
+    """As _least_shared, for any partner of at least the smallest size."""
+    alone = _least_shared(n, F.greatest(smallest, F.ceil(n * PERCENT / 100)), prefix)
+    return F.when(n * 100 <= prefix * PERCENT, alone).otherwise(F.least(alone, F.lit(shared_least(prefix))))
 
 
 def _similar_sizes(n1: Column, n2: Column) -> Column:
@@ -134,24 +144,46 @@ def filter_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     test = _similar_sizes(F.col("x.n"), F.col("y.n"))
     for k in range(len(PREFIXES)):
         shared = F.size(F.array_intersect(F.col(f"x.s{k}"), F.col(f"y.s{k}")))
-        test &= shared >= _least_shared(F.col("x.n"), F.col("y.n"), k)
+        test &= shared >= _least_shared(F.col("x.n"), F.col("y.n"), PREFIXES[k])
     return both.where(test).select("a", "b")
 
 
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, broadcast_bytes: int | None = None) -> DataFrame:
+    """node, text, hi and lo of the wanted nodes; documents of one id but other texts may be among them."""
+    wanted = materialize(wanted.join(nodes.select("node", F.col("doc").alias("_doc"), "hi", "lo"), "node"), "wanted")
+    side = join_side(wanted, 64) if broadcast_bytes is None else join_side(wanted, 64, broadcast_bytes)
+    return docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("_doc")).select("node", "text", "hi", "lo")
+
+
+def _own_sets(batch, shingle: int):
+    """Nodes and sets of a batch of _texts, without those of other texts."""
+    ids, hi, lo = (batch.column(i).to_pylist() for i in (0, 2, 3))
+    for first, raws in text_chunks(batch_texts(batch)):
+        sets = shingle_sets([r.translate(FOLD) for r in raws], shingle)
+        own = [i for i, s in enumerate(sets) if _digest(s) == (hi[first + i], lo[first + i])]
+        yield pa.array([ids[first + i] for i in own], pa.int64()), [sets[i] for i in own]
+
+
+def long_prefixes(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, size: int = LONG) -> DataFrame:
+    """node and tokens, the longer prefix under the first order."""
+
+    def expand(batches):
+        for batch in batches:
+            for ids, sets in _own_sets(batch, shingle):
+                ranked = [_order(s, 0) for s in sets]
+                yield pa.RecordBatch.from_arrays([ids, _lists([np.sort(np.partition(v, size)[:size] if len(v) > size else v) for v in ranked])], names=["node", "tokens"])
+
+    return _texts(wanted, nodes, docs).mapInArrow(expand, "node long, tokens array<long>").dropDuplicates(["node"])
+
+
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, broadcast_bytes: int | None = None) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", F.col("doc").alias("_doc"), "hi", "lo"), "node")
-    wanted = materialize(wanted, "wanted")
-    side = join_side(wanted, 64) if broadcast_bytes is None else join_side(wanted, 64, broadcast_bytes)
-    texts = docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("_doc")).select("node", "text", "hi", "lo")
+    texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), nodes, docs, broadcast_bytes)
 
     def expand(batches):
         for batch in batches:
-            ids, hi, lo = (batch.column(i).to_pylist() for i in (0, 2, 3))
-            for first, raws in text_chunks(batch_texts(batch)):
-                sets = shingle_sets([r.translate(FOLD) for r in raws], shingle)
-                own = [i for i, s in enumerate(sets) if _digest(s) == (hi[first + i], lo[first + i])]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[first + i] for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["node", "tokens"])
+            for ids, sets in _own_sets(batch, shingle):
+                yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
 
     # A repeated row of one document would bring its set twice.
     sets = texts.mapInArrow(expand, "node long, tokens binary").dropDuplicates(["node"])
@@ -188,27 +220,51 @@ def leader_pairs(nodes: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
-def cross_pairs(nodes: DataFrame, labels: DataFrame, group: int = GROUP) -> DataFrame:
+def _met(part: DataFrame, *extra: Column, test: Column | None = None) -> DataFrame:
+    """Pairs of rows of one token from different components and of sizes that may be similar."""
+    x, y = part.alias("x"), part.alias("y")
+    apart = (F.col("x.t") == F.col("y.t")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _similar_sizes(F.col("x.n"), F.col("y.n"))
+    return x.join(y, apart if test is None else apart & test).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), *extra)
+
+
+def _step(known: DataFrame, prefix: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs by tokens of small groups, and the hard nodes; known has node, n, component and tokens (its prefix)."""
+    tokens = known.select("node", "n", "component", F.explode("tokens").alias("t"))
+    groups = tokens.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("many")).where("low <> high").select("t", "many")
+    rows = materialize(tokens.join(groups, "t"), "mixed-tokens")
+    # How many frequent tokens a node has, and which, as 128 bits; two in one bit count as excess.
+    often, bit = F.col("many") > group, "shiftleft(1L, cast(pmod(t, 64) as int))"
+    half = lambda i: F.coalesce(F.bit_or(F.when(often & (F.expr("pmod(shiftright(t, 6), 2)") == i), F.expr(bit))), F.lit(0).cast("long"))
+    facts = rows.groupBy("node", "n").agg(F.count_if(often).alias("frequent"), half(0).alias("m0"), half(1).alias("m1"))
+    facts = facts.withColumn("excess", F.col("frequent") - F.bit_count("m0") - F.bit_count("m1"))
+    hard = facts.where(F.col("frequent") >= _least_with_any(F.col("n"), F.lit(1), prefix)).select("node", F.col("frequent").alias("most"))
+    both = F.least(F.least("x.frequent", "y.frequent"), F.bit_count(F.col("x.m0").bitwiseAND(F.col("y.m0"))) + F.bit_count(F.col("x.m1").bitwiseAND(F.col("y.m1"))) + F.least("x.excess", "y.excess"))
+    few = rows.where(~often).join(facts.drop("n"), "node")
+    pairs = _met(few, F.col("x.n").alias("na"), F.col("y.n").alias("nb"), both.alias("frequent")).groupBy("a", "b", "na", "nb", "frequent").agg(F.count(F.lit(1)).alias("shared"))
+    return pairs.where(F.col("shared") + F.col("frequent") >= _least_shared(F.col("na"), F.col("nb"), prefix)).select("a", "b"), hard
+
+
+def cross_pairs(nodes: DataFrame, labels: DataFrame, docs: DataFrame, shingle: int = SHINGLE, group: int = GROUP) -> DataFrame:
     """Pairs of nodes in different components that share prefix tokens enough under the first order."""
-    known = nodes.select("node", "n", "s0").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    tokens = known.select("node", "n", "component", F.explode("s0").alias("t"))
-    mixed_ = tokens.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("many")).where("low <> high").select("t", "many")
-    rows = materialize(tokens.join(mixed_, "t"), "mixed-tokens")
-    frequent = rows.groupBy("node").agg(F.count_if(F.col("many") > group).alias("frequent"))
-    rows = rows.join(frequent, "node")
-    short = F.when(F.col("n") < PREFIXES[0], F.col("n") - F.floor(2 * F.col("n") * (100 - PERCENT) / (100 + PERCENT))).otherwise(PREFIXES[0])
-    # All that such a node shares with a partner could be frequent tokens.
-    hard = F.col("frequent") >= F.greatest(F.lit(1), F.least(short, F.lit(shared_least(PREFIXES[0]))))
-
-    def met(part: DataFrame) -> DataFrame:
-        x, y = part.alias("x"), part.alias("y")
-        apart = (F.col("x.t") == F.col("y.t")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _similar_sizes(F.col("x.n"), F.col("y.n"))
-        return x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.least("x.frequent", "y.frequent").alias("frequent"))
-
-    few = met(rows.where(F.col("many") <= group)).groupBy("a", "b", "na", "nb", "frequent").agg(F.count(F.lit(1)).alias("shared"))
-    few = few.where(F.col("shared") + F.col("frequent") >= _least_shared(F.col("na"), F.col("nb"), 0)).select("a", "b")
-    many = met(rows.where((F.col("many") > group) & hard)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).select("a", "b")
-    return few.union(many).distinct()
+    known = nodes.select("node", "n", F.col("s0").alias("tokens")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    pairs, hard = _step(known, PREFIXES[0], group)
+    pairs, hard = materialize(pairs, "crossing"), materialize(hard, "hard")
+    if hard.isEmpty():
+        return pairs
+    longer = materialize(long_prefixes(hard, nodes, docs, shingle).join(known.drop("tokens"), "node"), "long-prefixes")
+    more, harder = _step(longer, LONG, group)
+    more, harder = materialize(more, "crossing"), materialize(harder, "hard")
+    pairs = pairs.union(more)
+    if not harder.isEmpty():
+        # So short a prefix is shared in part but for a chance of 0.25 ** 32. Pairs that share another token are
+        # there already, so both must have as many frequent tokens as similarity asks, at least with the smallest of a group.
+        tokens = longer.join(harder, "node").select("node", "n", "component", "most", F.explode(F.slice("tokens", 1, 32)).alias("t"))
+        groups = tokens.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("smallest")).where("low <> high").select("t", "smallest")
+        tokens = materialize(tokens.join(groups, "t").where(F.col("most") >= _least_with_any(F.col("n"), F.col("smallest"), LONG)), "hard-tokens")
+        groups = tokens.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("t")
+        enough = F.least("x.most", "y.most") >= _least_shared(F.col("x.n"), F.col("y.n"), LONG)
+        pairs = pairs.union(_met(tokens.join(groups, "t"), test=enough).distinct())
+    return pairs.distinct()
 
 
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, group: int = GROUP) -> DataFrame:
@@ -224,7 +280,7 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, group: int = GROUP)
     first = materialize(verify(first, nodes, docs, shingle), "links")
     labels = materialize(connected_components(first), "components")
     _release(spark)
-    crossing = materialize(cross_pairs(nodes, labels, group), "crossing")
+    crossing = materialize(cross_pairs(nodes, labels, docs, shingle, group), "crossing")
     second = materialize(filter_pairs(crossing, nodes), "pairs")
     second = materialize(verify(second, nodes, docs, shingle), "links")
     links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
