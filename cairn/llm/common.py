@@ -147,6 +147,11 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash's base and of its inverse."""
+    return _Powers.of(n)
+
+
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """Running polynomial sums over random byte values; entry i covers the first i bytes."""
     up, _ = _Powers.of(len(data))
@@ -171,3 +176,42 @@ def words_of(raws: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def batch_texts(batch, column: str = "text") -> list[str | None]:
     """The texts of an Arrow record batch."""
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
+
+
+def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    if not len(among):
+        return np.zeros(len(values), bool)
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
+
+
+class Wanted:
+    """Which 64-bit keys count in a batch: a broadcast sorted array, or each document's own list (fourth column)."""
+
+    def __init__(self, shared=None):
+        self.shared = shared
+
+    def of(self, batch, at: int, owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """A mask over keys; owner is each key's text in the chunk that starts at row `at` of the batch."""
+        if self.shared is not None:
+            return _member(keys, self.shared.value)
+        out = np.zeros(len(keys), bool)
+        for i in np.unique(owner).tolist():
+            own = batch.column(3)[at + i].values
+            if own is not None and len(own):
+                mine = owner == i
+                out[mine] = _member(keys[mine], np.sort(own.to_numpy(zero_copy_only=False).view(np.uint64)))
+        return out
+
+
+def with_wanted(docs: DataFrame, keys: DataFrame, placed: DataFrame, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, Wanted]:
+    """docs (doc_id, text, text_hash) and the test for the wanted keys (column key).
+
+    Up to limit bytes the keys are broadcast. Beyond, `placed` (doc_id, text_hash and key of every
+    occurrence) is joined with them by shuffle, and each document that has any comes with its own list.
+    """
+    if keys.count() * 8 <= limit:
+        rows = keys.select("key").toLocalIterator()
+        return docs, Wanted(docs.sparkSession.sparkContext.broadcast(np.sort(np.fromiter((r[0] for r in rows), np.int64).view(np.uint64))))
+    own = placed.join(keys.select("key"), "key").groupBy("doc_id", "text_hash").agg(F.collect_set("key").alias("keys"))
+    own = own.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    return docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("doc_id", "text", "text_hash", "keys"), Wanted()

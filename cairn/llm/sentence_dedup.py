@@ -6,9 +6,10 @@ are hashed (128 bits) over their words; those whose hash occurs more than once a
 all sentences that a span other than the first occurrence covers are removed. The first is the
 one with the least document, then text, then position, over the whole corpus.
 
-Span hashes are written once as a narrow table. Counting them combines before the shuffle, so a
-frequent span costs a row for each task; the hashes that repeat are joined back by broadcast
-where their counted size is bounded and by shuffle elsewhere (skewed keys are split there).
+A first pass counts 64-bit span keys alone, combined before the shuffle, so a frequent span costs
+a row for each task. Keys that repeat reach a second pass by broadcast where their counted size is
+bounded and by a shuffle join elsewhere; only the spans that have one are written and joined
+by all 128 bits (skewed keys are split there).
 
 Defined cases: null and empty texts have no sentences; a text with fewer words than a span is never
 touched; repeated rows of a document (same id and text) are one occurrence and get equal results; an empty table
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, SPACE, batch_texts, join_side, materialize, mixed, runs, text_chunks, word_table, words_of
+from .common import BROADCAST_BYTES, FOLD, SPACE, Wanted, batch_texts, materialize, mixed, runs, text_chunks, with_wanted, word_table, words_of
 
 #: Words that a span has at least, sentences that it has at least, and words after which a sentence is cut.
 SPAN_WORDS, SPAN_SENTENCES, SENTENCE_WORDS = 24, 2, 12
@@ -76,33 +77,50 @@ def spans(raws: list[bytes], span_words: int = SPAN_WORDS, span_sentences: int =
     return owner, first - firsts[owner], last - first, hashes[0], hashes[1]
 
 
-def span_table(docs: DataFrame, span_words: int = SPAN_WORDS, span_sentences: int = SPAN_SENTENCES) -> DataFrame:
-    """doc_id, text_hash, first, many, h1 and h2 of all spans of all texts."""
+def _span_keys(docs: DataFrame, span_words: int, span_sentences: int, with_place: bool = False) -> DataFrame:
+    """The first hash of every span of every text, with document and text hash where asked."""
+
+    def scan(batches):
+        for batch in batches:
+            for at, raws in text_chunks(batch_texts(batch)):
+                owner, _, _, h1, _ = spans(raws, span_words, span_sentences)
+                if with_place:
+                    take = pa.array(owner + at)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(h1)], names=["doc_id", "text_hash", "key"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(h1)], names=["key"])
+
+    return docs.mapInArrow(scan, "doc_id long, text_hash long, key long" if with_place else "key long")
+
+
+def _repeated_spans(docs: DataFrame, wanted: Wanted, span_words: int, span_sentences: int) -> DataFrame:
+    """doc_id, text_hash, first, many, h1 and h2 of the spans whose first hash is wanted."""
 
     def scan(batches):
         for batch in batches:
             for at, raws in text_chunks(batch_texts(batch)):
                 owner, first, many, h1, h2 = spans(raws, span_words, span_sentences)
-                take = pa.array(owner + at)
+                use = np.flatnonzero(wanted.of(batch, at, owner, h1.view(np.uint64)))
+                take = pa.array(owner[use] + at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(2).take(take), pa.array(first, pa.int32()), pa.array(many, pa.int32()), pa.array(h1), pa.array(h2)],
+                    [batch.column(0).take(take), batch.column(2).take(take), pa.array(first[use], pa.int32()), pa.array(many[use], pa.int32()), pa.array(h1[use]), pa.array(h2[use])],
                     names=["doc_id", "text_hash", "first", "many", "h1", "h2"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(scan, "doc_id long, text_hash long, first int, many int, h1 long, h2 long")
+    return docs.mapInArrow(scan, "doc_id long, text_hash long, first int, many int, h1 long, h2 long")
 
 
-def covered_sentences(docs: DataFrame, span_words: int = SPAN_WORDS, span_sentences: int = SPAN_SENTENCES, broadcast_bytes: int | None = None) -> DataFrame:
+def covered_sentences(docs: DataFrame, span_words: int = SPAN_WORDS, span_sentences: int = SPAN_SENTENCES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, text_hash and gone: runs (first, end) of sentences under a repeated span that isn't the first of its kind."""
-    table = materialize(span_table(docs, span_words, span_sentences), "spans")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    again = materialize(_span_keys(docs, span_words, span_sentences).groupBy("key").count().where("count > 1").select("key"), "repeated-spans")
+    chosen, wanted = with_wanted(docs, again, _span_keys(docs, span_words, span_sentences, True), broadcast_bytes)
+    table = materialize(_repeated_spans(chosen, wanted, span_words, span_sentences), "spans")
     place = F.struct("doc_id", "text_hash", "first")
     # A repeated row brings its spans twice at the same place: more than one place makes a repeat.
     seen = table.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where(F.col("head") != F.col("tail")).select("h1", "h2", "head")
-    seen = materialize(seen, "repeated-spans")
-    side = join_side(seen, 80) if broadcast_bytes is None else join_side(seen, 80, broadcast_bytes)
-    later = table.join(side, ["h1", "h2"]).where(~place.eqNullSafe(F.col("head")))
-    runs_ = later.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("first", (F.col("first") + F.col("many")).alias("end")))).alias("gone"))
-    return runs_
+    later = table.join(seen, ["h1", "h2"]).where(~place.eqNullSafe(F.col("head")))
+    return later.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("first", (F.col("first") + F.col("many")).alias("end")))).alias("gone"))
 
 
 def remove_repeats(docs: DataFrame, span_words: int = SPAN_WORDS, span_sentences: int = SPAN_SENTENCES) -> DataFrame:
