@@ -12,7 +12,7 @@ is cut out with its bytes (a context); equal contexts are one with a count, and
 anchor come together in one suffix array, several anchors to an array. Hence each window is
 sorted in exactly one place, together with every window that it could equal.
 
-Anchors with more than `hot` contexts would make an array of unbounded size: their windows are
+Anchors with more than `hot` distinct contexts would make an array of unbounded size: their windows are
 counted by hash instead, combined before the shuffle. Anchors that repeat reach the tasks by broadcast if their counted
 size is bounded, else through a shuffle join by document.
 
@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, batch_texts, joined, materialize, mixed, prefix_hashes, runs, span_hashes, text_chunks
+from .common import BROADCAST_BYTES, Wanted, batch_texts, joined, materialize, mixed, powers, prefix_hashes, runs, span_hashes, text_chunks, with_wanted
 
 #: Bytes of a window, and bytes of the grams that anchor it.
 WIDTH, GRAM = 200, 32
 #: Bytes of contexts in a suffix array (one anchor's contexts may exceed it), and contexts from which an anchor is hot.
-ARRAY_BYTES, HOT = 1 << 20, 8000
+ARRAY_BYTES, HOT = 1 << 20, 16000
 #: Ends a context; it is no byte of UTF-8.
 _END = 255
 
@@ -57,56 +57,93 @@ def _eights(text: np.ndarray) -> np.ndarray:
     return out
 
 
+def _down(n: int) -> np.ndarray:
+    return powers(n + 1)[1]
+
+
 def _direct(text: np.ndarray, eights: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
     """The places in the order of their suffixes, to the given depth; those equal to it stay in any order."""
     if len(places) < 2:
         return places
     n = len(text)
-    hashes = span_hashes(prefix_hashes(text), places, np.minimum(places + depth, n))
+    prefix = prefix_hashes(text)
+    hashes = span_hashes(prefix, places, np.minimum(places + depth, n))
     _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
     final = places[first].astype(np.int64)  # one place for each distinct string
     names = np.arange(len(final))
-    slots, at, group = names.copy(), 0, np.zeros(len(final), np.int64)
-    current = names.copy()
-    while len(slots) and at < depth:
-        where = final[current] + at
-        key = np.where(where < n, eights[np.minimum(where, n - 1)], np.uint64(0))
+    order = np.argsort(eights[final], kind="stable")
+    names, key = order, eights[final[order]]
+    border = np.append(True, key[1:] != key[:-1])
+    slots = np.arange(len(final))
+    at = np.full(len(final), 8)
+    while True:
+        open_ = ~(border & np.append(border[1:], True))
+        slots, at, head = slots[open_], at[open_], border[open_]
+        current = names[slots]
+        keep = at < depth
+        if not keep.all():
+            slots, at, head, current = slots[keep], at[keep], head[keep], current[keep]
+        if not len(slots):
+            break
+        begins = np.flatnonzero(head)
+        group = np.cumsum(head) - 1
+        where = final[current]
+        for skip in (64, 32, 16, 8):  # over what all of a group have in common
+            here = np.minimum(where + at, n)
+            h = prefix[np.minimum(here + skip, n)] - prefix[here]
+            h *= _down(n)[here]
+            same = np.logical_and.reduceat(h == h[begins][group], begins)[group]
+            at = at + skip * same
+        here = where + at
+        key = np.where(here < n, eights[np.minimum(here, n - 1)], np.uint64(0))
         order = np.lexsort((key, group))
-        current, key, group = current[order], key[order], group[order]
+        current, key, at, sorted_group = current[order], key[order], at[order] + 8, group[order]
         names[slots] = current
-        border = np.append(True, (group[1:] != group[:-1]) | (key[1:] != key[:-1]))
-        group = np.cumsum(border)
-        open_ = ~(border & np.append(border[1:], True))
-        slots, current, group = slots[open_], current[open_], group[open_]
-        at += 8
+        border = np.append(True, (sorted_group[1:] != sorted_group[:-1]) | (key[1:] != key[:-1]))
     rank = np.empty(len(names), np.int64)
     rank[names] = np.arange(len(names))
     return places[np.argsort(rank[back], kind="stable")]
 
 
-def suffix_array(text: np.ndarray, depth: int = WIDTH) -> np.ndarray:
-    """The suffixes of a byte array in order (to the given depth), by two-stage sorting."""
+def with_sources(small: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The wanted suffixes and those from which they are induced: up to the next one that is sorted directly."""
+    n = len(small)
+    ends = np.flatnonzero(wanted & ~np.append(wanted[1:], False) & ~small)  # the last of a run is induced
+    stops = np.append(np.flatnonzero(small), n - 1)
+    upto = stops[np.minimum(np.searchsorted(stops, ends), len(stops) - 1)]
+    steps = np.bincount(ends, minlength=n + 1) - np.bincount(upto + 1, minlength=n + 1)[: n + 1]
+    return wanted | (np.cumsum(steps)[:n] > 0)
+
+
+def suffix_array(text: np.ndarray, depth: int = WIDTH, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The suffixes of a byte array in order (to the given depth), by two-stage sorting.
+
+    Where a mask of wanted suffixes is given, only they and what they are induced from are sorted and returned.
+    """
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64)
     small = type_b(text)
-    direct = _direct(text, _eights(text), np.flatnonzero(small), depth)
-    sizes = np.bincount(text, minlength=256)
+    needed = np.ones(n, bool) if wanted is None else with_sources(small, wanted)
+    direct = _direct(text, _eights(text), np.flatnonzero(small & needed), depth)
+    sizes = np.bincount(text[needed], minlength=256)
+    large = ~small & needed
     ends = np.cumsum(sizes)
     heads = ends - sizes
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(int(ends[-1]), -1, np.int64)
     of_b = np.bincount(text[direct], minlength=256) if len(direct) else np.zeros(256, np.int64)
     b_from = ends - of_b  # in a bucket, suffixes larger than their successors come first
     if len(direct):
         first = text[direct]
         sa[np.arange(len(direct)) - np.repeat(np.cumsum(of_b) - of_b, of_b) + np.repeat(b_from, of_b)] = direct[np.argsort(first, kind="stable")]
     head = heads.copy()
-    sa[head[text[n - 1]]] = n - 1
-    head[text[n - 1]] += 1
+    if needed[n - 1]:
+        sa[head[text[n - 1]]] = n - 1
+        head[text[n - 1]] += 1
 
     def induce(part: np.ndarray) -> None:
         before = part[part > 0] - 1
-        before = before[~small[before]]
+        before = before[large[before]]
         if not len(before):
             return
         byte = text[before]
@@ -150,7 +187,7 @@ def repeated_starts(contexts: list[bytes], width: int = WIDTH) -> list[np.ndarra
     owner = np.repeat(np.arange(len(contexts)), counts)
     windows = np.zeros(len(text), bool)
     windows[np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begins, counts)] = True
-    sa = suffix_array(text, width)
+    sa = suffix_array(text, width, windows)
     sa = sa[windows[sa]]
     same = neighbours_agree(text, sa, width)
     found = np.zeros(len(text), bool)
@@ -213,12 +250,6 @@ def _each_anchor(raws: list[bytes], width: int, gram: int):
     return data, starts, prefix, columns
 
 
-def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    if not len(among):
-        return np.zeros(len(values), bool)
-    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
-
-
 def _anchor_keys(docs: DataFrame, width: int, gram: int, with_place: bool = False) -> DataFrame:
     """The key of every anchor, with document and text hash where asked."""
 
@@ -236,38 +267,7 @@ def _anchor_keys(docs: DataFrame, width: int, gram: int, with_place: bool = Fals
     return docs.mapInArrow(scan, "doc_id long, text_hash long, key long" if with_place else "key long")
 
 
-def _sorted_keys(rows) -> np.ndarray:
-    return np.sort(np.fromiter((r[0] for r in rows), np.int64).view(np.uint64))
-
-
-class _Wanted:
-    """Which anchors count: a broadcast array of keys, or each document's own list."""
-
-    def __init__(self, shared=None):
-        self.shared = shared
-
-    def of(self, batch, at: int, owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        if self.shared is not None:
-            return _member(keys, self.shared.value)
-        out = np.zeros(len(keys), bool)
-        for i in np.unique(owner).tolist():
-            own = batch.column(3)[at + i].values
-            if own is not None and len(own):
-                mine = owner == i
-                out[mine] = _member(keys[mine], np.sort(own.to_numpy(zero_copy_only=False).view(np.uint64)))
-        return out
-
-
-def _with_wanted(docs: DataFrame, keys: DataFrame, width: int, gram: int, limit: int) -> tuple[DataFrame, _Wanted]:
-    """The documents, with their own wanted keys as a fourth column where the keys are too many for a broadcast."""
-    if keys.count() * 8 <= limit:
-        return docs, _Wanted(docs.sparkSession.sparkContext.broadcast(_sorted_keys(keys.select("key").toLocalIterator())))
-    own = _anchor_keys(docs, width, gram, True).join(keys.select("key"), "key").groupBy("doc_id", "text_hash").agg(F.collect_set("key").alias("keys"))
-    own = own.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    return docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("doc_id", "text", "text_hash", "keys"), _Wanted()
-
-
-def _contexts(docs: DataFrame, wanted: _Wanted, width: int, gram: int) -> DataFrame:
+def _contexts(docs: DataFrame, wanted: Wanted, width: int, gram: int) -> DataFrame:
     """doc_id, text_hash, key, c1, c2 (hashes of the context), start (first window), many (windows), context (null if the chunk had it)."""
 
     def scan(batches):
@@ -331,7 +331,7 @@ def _sort_contexts(distinct: DataFrame, width: int, array_bytes: int) -> DataFra
 
 def _hot_windows(docs: DataFrame, hot: DataFrame, width: int, gram: int, limit: int) -> DataFrame:
     """doc_id, text_hash, lo, hi of repeated windows whose anchor is hot, by counting 128-bit hashes."""
-    docs, wanted = _with_wanted(docs, hot, width, gram, limit)
+    docs, wanted = with_wanted(docs, hot, _anchor_keys(docs, width, gram, True), limit)
 
     def scan(batches):
         for batch in batches:
@@ -355,18 +355,20 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
     """doc_id, text_hash and spans: byte ranges (lo, hi), sorted and perhaps overlapping, under repeated windows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     keys = materialize(_anchor_keys(docs, width, gram).groupBy("key").count().where("count > 1"), "anchors")
-    few, many = keys.where(F.col("count") <= hot), keys.where(F.col("count") > hot)
-    chosen, wanted = _with_wanted(docs, few, width, gram, broadcast_bytes)
+    chosen, wanted = with_wanted(docs, keys, _anchor_keys(docs, width, gram, True), broadcast_bytes)
     places = materialize(_contexts(chosen, wanted, width, gram), "contexts")
     # A context seen more than once repeats as a whole; one copy of each goes on.
     distinct = places.groupBy("key", "c1", "c2", "many").agg(F.max("context").alias("context"), F.count(F.lit(1)).alias("times"))
     times = places.groupBy("c1", "c2", "many").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     whole = times.select("c1", "c2", F.array(F.struct(F.lit(0).alias("lo"), F.col("many").alias("hi"))).alias("runs"))
+    many = materialize(places.groupBy("key", "c1", "c2").agg(F.lit(1)).groupBy("key").count().where(F.col("count") > hot).select("key"), "hot-anchors") if keys.where(F.col("count") > hot).head() else None
+    if many is not None and not many.isEmpty():
+        distinct = distinct.join(many, "key", "left_anti")
     part = _sort_contexts(distinct, width, array_bytes)
     facts = whole.union(part).groupBy("c1", "c2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     found = places.select("doc_id", "text_hash", "c1", "c2", "start").join(facts, ["c1", "c2"]).select("doc_id", "text_hash", "start", F.explode("runs").alias("r"))
     spans = found.select("doc_id", "text_hash", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi") - 1 + width).alias("hi"))
-    if not many.isEmpty():
+    if many is not None and not many.isEmpty():
         spans = spans.union(_hot_windows(docs, many, width, gram, broadcast_bytes))
     return spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
 
