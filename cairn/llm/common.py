@@ -8,6 +8,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: White space of the text contracts: blank and the controls from tab to carriage return.
 SPACE = " \t\n\x0b\x0c\r"
 #: Bytes of text that are worked on at once in numpy; a longer single text is taken whole.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Bytes of the rows a broadcast may hold; beyond, operators shuffle instead.
 BROADCAST_BYTES = 64 << 20
 
@@ -78,18 +80,18 @@ def fold_column(col):
     return F.translate(col, UPPER, LOWER)
 
 
-def text_chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of whole texts as UTF-8 of about limit bytes together, each with the index of its first text."""
-    first, held, size = 0, [], 0
-    for i, text in enumerate(texts):
-        raw = text.encode("utf-8", "surrogatepass") if text else b""
-        if held and size + len(raw) > limit:
-            yield first, held
-            first, held, size = i, [], 0
-        held.append(raw)
-        size += len(raw)
-    if held:
-        yield first, held
+def text_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of whole texts as UTF-8 of about limit bytes together, each with the index of its first text; null is empty.
+
+    Only one run at a time is copied out of the Arrow array.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        before = int(ends[first - 1]) if first else 0
+        after = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield first, [raw or b"" for raw in texts.slice(first, after - first).cast(pa.binary()).to_pylist()]
+        first = after
 
 
 def joined(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -173,9 +175,15 @@ def words_of(raws: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return data, starts, ends, span_hashes(prefix_hashes(data), starts, ends), np.searchsorted(starts, texts)
 
 
-def batch_texts(batch, column: str = "text") -> list[str | None]:
+def batch_texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """The texts of an Arrow record batch."""
-    return batch.column(batch.schema.get_field_index(column)).to_pylist()
+    return batch.column(batch.schema.get_field_index(column))
+
+
+def strings(texts: pa.Array, rows: int = 64) -> Iterator[str | None]:
+    """The texts one by one, copied a few at a time."""
+    for at in range(0, len(texts), rows):
+        yield from texts.slice(at, rows).to_pylist()
 
 
 def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:

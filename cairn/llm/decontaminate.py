@@ -201,7 +201,7 @@ def _tables(benchmark: DataFrame, window: int, limit: int):
     return lambda: map(_load, paths)
 
 
-def _scan(texts: list[str | None], blocks) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
+def _scan(texts: pa.Array, blocks) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
     n_words, spans, found = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
     for tables in blocks():
         for first, raws in text_chunks(texts):

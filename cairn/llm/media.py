@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_texts, materialize, shared_dir
+from .common import batch_texts, materialize, shared_dir, strings
 
 #: Samples of an image row, and what fills the last one up.
 WIDTH, FILL = 576, b"\xff"
@@ -141,7 +141,7 @@ def write_media(docs: DataFrame, folder: str | None = None, shard_bytes: int = S
         part, count, shard, places = TaskContext.get().partitionId(), 0, None, {}
         for batch in batches:
             rows = []
-            for text in batch_texts(batch):
+            for text in strings(batch_texts(batch)):
                 payload, n = payload_of(text)
                 digest = hashlib.sha256(payload).hexdigest()
                 if digest not in places:

@@ -29,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import batch_texts, shared_dir
+from .common import batch_texts, shared_dir, strings
 from .media import _uri
 
 #: Ids in a packed row, rows' worth of ids packed at once, and the id that fills a row's end.
@@ -163,7 +163,7 @@ def pack_tokens(docs: DataFrame, folder: str | None = None, row: int = ROW, wind
         part, count, held, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             empty = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch_texts(batch), strict=True):
+            for doc, text in zip(batch.column(0).to_pylist(), strings(batch_texts(batch)), strict=True):
                 ids = encode(text) if text else ()
                 if not len(ids):
                     empty.append(doc)

@@ -287,7 +287,7 @@ def find_secrets(docs: DataFrame, net: Network | None = None) -> DataFrame:
             texts = batch_texts(batch)
             rows = []
             for at in range(0, len(texts), 256):
-                for spans in scan_texts(texts[at : at + 256], shared.value):
+                for spans in scan_texts(texts.slice(at, 256).to_pylist(), shared.value):
                     counts = [sum(k == kind for _, k, _ in spans) for kind in range(4)]
                     base = _said([x for x in spans if x[1] < 3])
                     rows.append((*counts[:3], hashlib.sha256(base.encode()).hexdigest(), _said(spans), counts[3]))

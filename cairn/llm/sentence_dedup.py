@@ -139,7 +139,7 @@ def remove_repeats(docs: DataFrame, span_words: int = SPAN_WORDS, span_sentences
                 for i, raw in enumerate(raws):
                     n, own = int(firsts[i + 1] - firsts[i]), ranges[at + i]
                     if not own:
-                        rows.append((n, 0, 0, texts[at + i]))
+                        rows.append((n, 0, 0, raw.decode("utf-8", "replace") if texts[at + i].is_valid else None))
                     else:
                         mask = np.zeros(n, bool)
                         for r in own:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Wanted, batch_texts, joined, materialize, mixed, powers, prefix_hashes, runs, span_hashes, text_chunks, with_wanted
+from .common import BROADCAST_BYTES, Wanted, batch_texts, joined, materialize, mixed, powers, prefix_hashes, runs, span_hashes, strings, text_chunks, with_wanted
 
 #: Bytes of a window, and bytes of the grams that anchor it.
 WIDTH, GRAM = 200, 32
@@ -382,7 +382,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, **options) -> Dat
     def cut(batches):
         for batch in batches:
             rows = []
-            for text, ranges in zip(batch_texts(batch), batch.column(2), strict=True):
+            for text, ranges in zip(strings(batch_texts(batch)), batch.column(2), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 if not ranges.is_valid:
                     rows.append((len(raw), 0, 0, raw))
