@@ -213,7 +213,8 @@ def _release(spark) -> None:
 
 def leader_pairs(nodes: DataFrame) -> DataFrame:
     """Each node with the least document of each group that shares one of its first tokens."""
-    heads = F.concat(*(F.transform(F.slice(f"s{k}", 1, HEADS), lambda t, k=k: F.struct(F.lit(k).alias("k"), t.alias("t"))) for k in range(len(PREFIXES))))
+    named = lambda k: lambda t: F.struct(F.lit(k).alias("k"), t.alias("t"))
+    heads = F.concat(*(F.transform(F.slice(f"s{k}", 1, HEADS), named(k)) for k in range(len(PREFIXES))))
     tokens = nodes.select("node", "doc", F.explode(heads).alias("h")).select("node", "doc", "h.k", "h.t")
     leaders = tokens.groupBy("k", "t").agg(F.min(F.struct("doc", "node")).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1")
     pairs = tokens.join(leaders, ["k", "t"]).select(F.col("first.node").alias("a"), F.col("node").alias("b")).where("a <> b")
