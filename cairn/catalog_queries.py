@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from .queries import catalog  # noqa: F401
+from .registry import QUERIES, SQL
 
-FLAGSHIP = "formats"
+FLAGSHIP = "search_bm25"
 
-
-def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Modules by format."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-
-
-QUERIES = {"formats": formats}
-SQL = {"formats": "SELECT lang, count(*) AS n FROM documents GROUP BY lang"}
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
