@@ -34,6 +34,8 @@ from .common import BROADCAST_BYTES, Wanted, batch_texts, joined, materialize, m
 WIDTH, GRAM = 200, 32
 #: Bytes of contexts in a suffix array (one anchor's contexts may exceed it), and contexts from which an anchor is hot.
 ARRAY_BYTES, HOT = 1 << 20, 16000
+#: Contexts that a task remembers to have sent on.
+SEEN = 200_000
 #: Ends a context; it is no byte of UTF-8.
 _END = 255
 
@@ -268,9 +270,10 @@ def _anchor_keys(docs: DataFrame, width: int, gram: int, with_place: bool = Fals
 
 
 def _contexts(docs: DataFrame, wanted: Wanted, width: int, gram: int) -> DataFrame:
-    """doc_id, text_hash, key, c1, c2 (hashes of the context), start (first window), many (windows), context (null if the chunk had it)."""
+    """doc_id, text_hash, key, c1, c2 (hashes of the context), start (first window), many (windows), context (null if the task had it before)."""
 
     def scan(batches):
+        seen: set[int] = set()
         for batch in batches:
             for at, raws in text_chunks(batch_texts(batch)):
                 data, starts, prefix, (owner, _, first, many, keys) = _each_anchor(raws, width, gram)
@@ -282,6 +285,10 @@ def _contexts(docs: DataFrame, wanted: Wanted, width: int, gram: int) -> DataFra
                 flat = data.tobytes()
                 new = np.zeros(len(c1), bool)
                 new[np.unique(c1, return_index=True)[1]] = True
+                new &= np.fromiter((c not in seen for c in c1.tolist()), bool, len(c1))
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.update(c1[new].tolist())
                 bytes_ = [flat[a:b] if n else None for a, b, n in zip(first.tolist(), ends.tolist(), new.tolist(), strict=True)]
                 take = pa.array(owner + at)
                 yield pa.RecordBatch.from_arrays(
@@ -295,8 +302,8 @@ def _contexts(docs: DataFrame, wanted: Wanted, width: int, gram: int) -> DataFra
 _RUNS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
-def _sort_contexts(distinct: DataFrame, width: int, array_bytes: int) -> DataFrame:
-    """c1, c2 and runs (lo, hi) of repeated windows of each distinct context (key, c1, c2, many, context)."""
+def _sort_contexts(contexts: DataFrame, width: int, array_bytes: int) -> DataFrame:
+    """c1, c2 and runs (lo, hi) of repeated windows of each distinct context (key, c1, c2, context; a task sends one once)."""
 
     def solve(held):
         found = repeated_starts([c for _, _, c in held], width)
@@ -305,27 +312,24 @@ def _sort_contexts(distinct: DataFrame, width: int, array_bytes: int) -> DataFra
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], _RUNS)], names=["c1", "c2", "runs"])
 
     def scan(batches):
-        held, size, group, last = [], 0, [], None
+        held, size, group, last = [], 0, {}, None
         for batch in batches:
             for key, c1, c2, context in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if key != last:
-                    if len(group) > 1:  # a context alone has no other to equal, but may repeat in itself
-                        held += group
-                        size += sum(len(c) for _, _, c in group)
-                    elif group and len(group[0][2]) > width:
-                        held += group
-                        size += len(group[0][2])
-                    group, last = [], key
+                    if len(group) > 1 or any(len(c) > width for c in group.values()):  # one window alone has no other to equal
+                        held += [(*k, c) for k, c in group.items()]
+                        size += sum(map(len, group.values()))
+                    group, last = {}, key
                     if size >= array_bytes:
                         yield solve(held)
                         held, size = [], 0
-                group.append((c1, c2, context))
-        held += group
+                group[c1, c2] = context
+        held += [(*k, c) for k, c in group.items()]
         if held:
             yield solve(held)
 
     # All contexts of a key in one task, those of one key side by side.
-    dealt = distinct.select("key", "c1", "c2", "context").repartition("key").sortWithinPartitions("key")
+    dealt = contexts.select("key", "c1", "c2", "context").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(scan, "c1 long, c2 long, runs array<struct<lo: int, hi: int>>")
 
 
@@ -357,14 +361,17 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
     keys = materialize(_anchor_keys(docs, width, gram).groupBy("key").count().where("count > 1"), "anchors")
     chosen, wanted = with_wanted(docs, keys, _anchor_keys(docs, width, gram, True), broadcast_bytes)
     places = materialize(_contexts(chosen, wanted, width, gram), "contexts")
-    # A context seen more than once repeats as a whole; one copy of each goes on.
-    distinct = places.groupBy("key", "c1", "c2", "many").agg(F.max("context").alias("context"), F.count(F.lit(1)).alias("times"))
+    # A context seen more than once repeats as a whole.
     times = places.groupBy("c1", "c2", "many").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     whole = times.select("c1", "c2", F.array(F.struct(F.lit(0).alias("lo"), F.col("many").alias("hi"))).alias("runs"))
-    many = materialize(places.groupBy("key", "c1", "c2").agg(F.lit(1)).groupBy("key").count().where(F.col("count") > hot).select("key"), "hot-anchors") if keys.where(F.col("count") > hot).head() else None
-    if many is not None and not many.isEmpty():
-        distinct = distinct.join(many, "key", "left_anti")
-    part = _sort_contexts(distinct, width, array_bytes)
+    contexts, many = places.where(F.col("context").isNotNull()), None
+    often = keys.where(F.col("count") > hot).select("key")
+    if not often.isEmpty():
+        many = places.select("key", "c1", "c2").join(often, "key").distinct().groupBy("key").count()
+        many = materialize(many.where(F.col("count") > hot).select("key"), "hot-anchors")
+        if not many.isEmpty():
+            contexts = contexts.join(many, "key", "left_anti")
+    part = _sort_contexts(contexts, width, array_bytes)
     facts = whole.union(part).groupBy("c1", "c2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     found = places.select("doc_id", "text_hash", "c1", "c2", "start").join(facts, ["c1", "c2"]).select("doc_id", "text_hash", "start", F.explode("runs").alias("r"))
     spans = found.select("doc_id", "text_hash", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi") - 1 + width).alias("hi"))
