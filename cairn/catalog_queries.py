@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import catalog  # noqa: F401
+from .queries import blocks, catalog, scalars  # noqa: F401
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "search_bm25"

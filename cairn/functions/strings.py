@@ -37,7 +37,7 @@ def is_module_entry(name: Column) -> Column:
 def title_key(title: Column) -> Column:
     """What identifies a work over its versions; null when less than four characters stay."""
     low = F.regexp_replace(F.lower(title), r"\(.*?\)", " ")
-    short = F.regexp_replace(F.regexp_replace(low, rf"\b({SUFFIX_WORDS})\b.*$", " "), "[^a-z0-9]+", "")
+    short = F.regexp_replace(F.regexp_replace(low, rf"(?<![A-Za-z0-9_])({SUFFIX_WORDS})(?![A-Za-z0-9_]).*$", " "), "[^a-z0-9]+", "")
     return F.when(F.length(short) >= 4, short)
 
 
