@@ -31,11 +31,11 @@ def rank_threshold(total: Column) -> Column:
     return F.when(total == 0, F.lit(4000)).otherwise(F.least(F.lit(4000), F.greatest(F.floor(total / 10), F.lit(200)))).cast("long")
 
 
-def search(rows: DataFrame, text: str, columns: dict[str, Column], limit: int = 50, total: int | None = None) -> DataFrame:
+def search(rows: DataFrame, text: str, columns: dict[str, Column], limit: int = 50, total: int | None = None, most: int | None = None) -> DataFrame:
     """The best rows of a search with their score (null if unranked); columns are the searched texts by name.
 
     One scan counts rows, tokens and matches of each phrase in partial aggregation; a second
-    one scores. total is the precomputed number of rows that the threshold uses, if known.
+    one scores. total is the precomputed number of rows that the threshold uses, if known; most sets it.
     """
     tree = match.parse(text, tuple(columns))
     found = match.phrases(tree)
@@ -47,7 +47,8 @@ def search(rows: DataFrame, text: str, columns: dict[str, Column], limit: int =
     scored = tokens.select(*rows.columns, match.matches(tree, texts).alias("_hit"), length.alias("_d"), *(match.frequency(p, texts).alias(f"_f{i}") for i, p in enumerate(found)))
     facts = scored.agg(F.count(F.lit(1)).alias("rows"), F.avg("_d").alias("avg"), F.count_if("_hit").alias("hits"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"n{i}") for i in range(len(found)))).first()
     count = facts["rows"] if total is None else total
-    most = 4000 if count == 0 else min(4000, max(count // 10, 200))
+    if most is None:
+        most = 4000 if count == 0 else min(4000, max(count // 10, 200))
     hits = scored.where("_hit")
     if not match.is_explicit(text) and facts["hits"] > most:
         return hits.orderBy("id").limit(limit).select(*rows.columns, F.lit(None).cast("double").alias("score"))

@@ -115,9 +115,9 @@ def search_bm25(spark, sf_dir):
 
 @query(MODULES + f", tok AS (SELECT id, title, {TOKENS.format('title')} AS ti, {TOKENS.format('comment')} AS t FROM modules) SELECT id, title, NULL::DOUBLE AS score FROM tok WHERE {_pre('t')} > 0 ORDER BY id LIMIT 60")
 def search_broad(spark, sf_dir):
-    """More matches than the threshold of a small catalogue: lowest ids, no rank."""
+    """More matches than a threshold of 20: lowest ids, no rank."""
     rows, columns = _searched(spark, sf_dir)
-    return fts.search(rows, "t", columns, 60, total=min(2000, rows.count())).select("id", "title", "score")
+    return fts.search(rows, "t", columns, 60, most=20).select("id", "title", "score")
 
 
 @query(_bm25_sql([_pre("que"), _pre("eau"), _pre("vi")], "f0 > 0 AND f1 > 0 AND f2 > 0", 50))

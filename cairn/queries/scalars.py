@@ -9,7 +9,6 @@ from ..functions import strings as S
 from ..registry import query, table
 from ..sources import documents as D
 
-DOC = F.col("doc_id")
 
 
 def _docs(spark, sf_dir):
@@ -32,7 +31,7 @@ NAMES = ("a.MOD", "b/readme.TXT", "c.html", ".hidden.xm", "dir/", "d.it", "e.s3m
 
 @query(f"SELECT doc_id, name FROM (SELECT doc_id, {_pick_sql('doc_id % 7', *NAMES)} AS name FROM documents) WHERE NOT ends_with(name, '/') AND NOT regexp_matches(lower(name), '\\.({S.SIDECARS})$') AND NOT starts_with(split_part(name, '/', -1), '.')")
 def sidecar_filter(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", _pick(DOC % 7, *NAMES).alias("name")).where(S.is_module_entry(F.col("name")))
+    return _docs(spark, sf_dir).select("doc_id", _pick(F.col("doc_id") % 7, *NAMES).alias("name")).where(S.is_module_entry(F.col("name")))
 
 
 @query("SELECT page_id, lower(split_part(url, '.', -1)) AS ext FROM pages")
@@ -43,7 +42,7 @@ def extension(spark, sf_dir):
 @query(f"""SELECT doc_id, CASE WHEN length(k) >= 4 THEN k END AS k FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(t), '\\(.*?\\)', ' ', 'g'), '\\b({S.SUFFIX_WORDS})\\b.*$', ' '), '[^a-z0-9]+', '', 'g') AS k
 FROM (SELECT doc_id, substr(split_part(text, chr(10), 1), 1, 30) || CASE doc_id % 3 WHEN 0 THEN ' (live) Remix 2' WHEN 1 THEN ' Part II' ELSE '' END AS t FROM documents))""")
 def title_key(spark, sf_dir):
-    tail = F.when(DOC % 3 == 0, " (live) Remix 2").when(DOC % 3 == 1, " Part II").otherwise("")
+    tail = F.when(F.col("doc_id") % 3 == 0, " (live) Remix 2").when(F.col("doc_id") % 3 == 1, " Part II").otherwise("")
     return _docs(spark, sf_dir).select("doc_id", S.title_key(F.concat(F.substring(F.substring_index("text", "\n", 1), 1, 30), tail)).alias("k"))
 
 
@@ -66,12 +65,12 @@ def fmt_time(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN n >= 1048576 THEN printf('%.1f MB', round(n / 1048576.0, 1)) ELSE printf('%.0f KB', round(n / 1024.0, 0)) END AS label FROM (SELECT doc_id, n_chars * (doc_id % 300 + 1) AS n FROM documents)")
 def fmt_bytes(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", S.fmt_bytes(F.col("n_chars") * (DOC % 300 + 1)).alias("label"))
+    return _docs(spark, sf_dir).select("doc_id", S.fmt_bytes(F.col("n_chars") * (F.col("doc_id") % 300 + 1)).alias("label"))
 
 
 @query("SELECT doc_id, CASE WHEN n < 60 THEN n || 's' WHEN n < 3600 THEN (n // 60) || 'm ' || (n % 60) || 's' ELSE (n // 3600) || 'h ' || (n % 3600 // 60) || 'm' END AS label FROM (SELECT doc_id, doc_id * 37 % 9000 AS n FROM documents)")
 def since_label(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", S.since_label(DOC * 37 % 9000).alias("label"))
+    return _docs(spark, sf_dir).select("doc_id", S.since_label(F.col("doc_id") * 37 % 9000).alias("label"))
 
 
 PATHS = ("/ipfs/bafy", "/ipns/k51", "bafy/ipfs/x", "/ipfs")
@@ -79,19 +78,19 @@ PATHS = ("/ipfs/bafy", "/ipns/k51", "bafy/ipfs/x", "/ipfs")
 
 @query(f"SELECT doc_id, regexp_replace({_pick_sql('doc_id % 4', *PATHS)} || doc_id, '^/ip[fn]s/', '') AS p FROM documents")
 def strip_prefix(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", S.strip_prefix(F.concat(_pick(DOC % 4, *PATHS), DOC.cast("string"))).alias("p"))
+    return _docs(spark, sf_dir).select("doc_id", S.strip_prefix(F.concat(_pick(F.col("doc_id") % 4, *PATHS), F.col("doc_id").cast("string"))).alias("p"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 1) AND doc_id > 0 THEN doc_id ELSE 16384 END AS n FROM documents")
 def chunker_parse(spark, sf_dir):
-    text = F.when(DOC % 4 <= 1, F.concat(F.lit("size-"), DOC.cast("string"))).when(DOC % 4 == 2, F.concat(F.lit("rabin-"), DOC.cast("string"))).otherwise("size-x")
+    text = F.when(F.col("doc_id") % 4 <= 1, F.concat(F.lit("size-"), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("rabin-"), F.col("doc_id").cast("string"))).otherwise("size-x")
     return _docs(spark, sf_dir).select("doc_id", S.chunk_size(text).alias("n"))
 
 
 @query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN (doc_id % 48) * 3600.0 WHEN 1 THEN (doc_id % 9) * 3600.0 + 30 * 60 WHEN 2 THEN doc_id % 50 + 0.5 WHEN 3 THEN (doc_id % 900) / 1000.0 ELSE 7.0 END::DOUBLE AS s FROM documents")
 def parse_duration(spark, sf_dir):
-    n = lambda m: (DOC % m).cast("string")
-    text = F.when(DOC % 5 == 0, F.concat(n(48), F.lit("h"))).when(DOC % 5 == 1, F.concat(n(9), F.lit("h30m"))).when(DOC % 5 == 2, F.concat(n(50), F.lit(".5s"))).when(DOC % 5 == 3, F.concat(n(900), F.lit("ms"))).otherwise("soon")
+    n = lambda m: (F.col("doc_id") % m).cast("string")
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat(n(48), F.lit("h"))).when(F.col("doc_id") % 5 == 1, F.concat(n(9), F.lit("h30m"))).when(F.col("doc_id") % 5 == 2, F.concat(n(50), F.lit(".5s"))).when(F.col("doc_id") % 5 == 3, F.concat(n(900), F.lit("ms"))).otherwise("soon")
     return _docs(spark, sf_dir).select("doc_id", S.duration_seconds(text, 7).alias("s"))
 
 
@@ -115,7 +114,7 @@ CODEC_NAMES = ("raw", "dag-pb", "dag-cbor", "297", "zip")
 
 @query(f"SELECT doc_id, CASE c WHEN 'raw' THEN 85 WHEN 'dag-pb' THEN 112 WHEN 'dag-cbor' THEN 113 WHEN '297' THEN 297 END::BIGINT AS code, CASE c WHEN 'zip' THEN NULL ELSE c END AS name FROM (SELECT doc_id, {_pick_sql('doc_id % 5', *CODEC_NAMES)} AS c FROM documents)")
 def codec_map(spark, sf_dir):
-    code = S.codec_code(_pick(DOC % 5, *CODEC_NAMES))
+    code = S.codec_code(_pick(F.col("doc_id") % 5, *CODEC_NAMES))
     return _docs(spark, sf_dir).select("doc_id", code.alias("code"), S.codec_name(code).alias("name"))
 
 
@@ -123,7 +122,7 @@ def codec_map(spark, sf_dir):
 def detect_format(spark, sf_dir):
     from ..sources.modules import sniff
 
-    head = F.when(DOC % 5 == 0, "MO3").when(DOC % 5 == 1, "IMPM").when(DOC % 5 == 2, F.concat(F.repeat(F.lit("."), F.lit(44)), F.lit("SCRM"))).when(DOC % 5 == 3, "Extended Module: ").otherwise("....")
+    head = F.when(F.col("doc_id") % 5 == 0, "MO3").when(F.col("doc_id") % 5 == 1, "IMPM").when(F.col("doc_id") % 5 == 2, F.concat(F.repeat(F.lit("."), F.lit(44)), F.lit("SCRM"))).when(F.col("doc_id") % 5 == 3, "Extended Module: ").otherwise("....")
     return _docs(spark, sf_dir).select("doc_id", sniff(F.concat(head, F.repeat(F.lit(" "), F.lit(90))).cast("binary")).alias("format"))
 
 
