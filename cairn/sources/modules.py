@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import binary as B
-from ..functions import chunking, modules
+from ..functions import chunking, modules, patterns
 from ..functions.strings import SIDECARS
 
 
@@ -137,3 +137,14 @@ def content_chunks(files: DataFrame, sizes: tuple[int, int, int] = chunking.DEFA
 def metadata(files: DataFrame, key: str = "source", data: str = "bytes") -> DataFrame:
     """format, title and number of samples of each module; a format is null where the bytes are no module."""
     return _exploded(files, key, data, "format string, title string, num_samples int", lambda b: [(modules.detect(b), modules.title_of(b), len(modules.sample_slots(b)))])
+
+
+def events(files: DataFrame, key: str = "source", data: str = "bytes") -> DataFrame:
+    """What each played order does, as operators.seek takes it."""
+    schema = "place int, order int, rows int, speed0 int, tempo0 int, seq int, row int, channel int, sample int, note boolean, off boolean, speed int, tempo int"
+    return _exploded(files, key, data, schema, lambda b: list(patterns.played(b)))
+
+
+def sample_offsets(files: DataFrame, key: str = "source", data: str = "bytes") -> DataFrame:
+    """sample (from 0) and offset of every sample that has bytes."""
+    return _exploded(files, key, data, "sample int, offset long", lambda b: [(s.slot - 1, s.offset) for s in modules.READERS.get(modules.detect(b) or "mo3")(modules.Bytes(b))])
