@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.strings import nocase
@@ -83,10 +84,8 @@ def insert_new(catalog: DataFrame, rows: DataFrame) -> DataFrame:
 
     Numbers come from ranges: rows are range-partitioned by source, counted by partition, and numbered inside each.
     """
-    from pyspark.sql import Window as W
-
     fresh = new_sources(rows.drop("id"), catalog)
-    ranged = fresh.withColumn("_part", F.spark_partition_id()) if fresh.rdd.getNumPartitions() == 1 else fresh.repartitionByRange("source").withColumn("_part", F.spark_partition_id())
+    ranged = fresh.repartitionByRange("source").withColumn("_part", F.spark_partition_id())
     counts = ranged.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     last = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
     inside = F.row_number().over(W.partitionBy("_part").orderBy("source"))
