@@ -87,9 +87,9 @@ def insert_new(catalog: DataFrame, rows: DataFrame) -> DataFrame:
     fresh = new_sources(rows.drop("id"), catalog)
     ranged = fresh.repartitionByRange("source").withColumn("_part", F.spark_partition_id())
     counts = ranged.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    last = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+    last = catalog.agg(F.max("id")).first()[0] or 0
     inside = F.row_number().over(W.partitionBy("_part").orderBy("source"))
-    # counts has a row for each partition and last one row: both are small by construction.
-    numbered = ranged.withColumn("_n", inside).join(F.broadcast(counts.drop("count")), "_part").join(F.broadcast(last))
-    numbered = numbered.withColumn("id", F.col("_last") + F.col("_before") + F.col("_n")).drop("_part", "_n", "_before", "_last")
+    # counts has a row for each partition.
+    numbered = ranged.withColumn("_n", inside).join(F.broadcast(counts.drop("count")), "_part")
+    numbered = numbered.withColumn("id", F.lit(last) + F.col("_before") + F.col("_n")).drop("_part", "_n", "_before")
     return catalog.unionByName(numbered)

@@ -49,9 +49,10 @@ def totals(peers: DataFrame, role: str, own: str) -> DataFrame:
 
 
 def share(peers: DataFrame, value: str) -> DataFrame:
-    """Whole percents of the total, zero where nothing moved. The total is one row."""
-    total = peers.agg(F.sum(value).alias("_total"))
-    return peers.crossJoin(F.broadcast(total)).withColumn("percent", F.when(F.col("_total") == 0, 0).otherwise(F.round(100 * F.col(value) / F.col("_total"))).cast("int")).drop("_total")
+    """Whole percents of the total, zero where nothing moved."""
+    total = peers.agg(F.sum(value)).first()[0] or 0
+    percent = F.round(100 * F.col(value) / total) if total else F.lit(0)
+    return peers.withColumn("percent", percent.cast("int"))
 
 
 def monotonic(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:

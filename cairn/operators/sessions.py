@@ -56,15 +56,17 @@ def affinity_sessions(rows: DataFrame, cluster: str, item: str, length: int) ->
     rows by place; as many more are taken as the cluster has members, for those may lie among them.
     """
     all_ = numbered(rows, item)
-    count = all_.agg(F.count(F.lit(1)).alias("n"))
+    n = rows.count()
     member = all_.withColumn("_k", F.row_number().over(W.partitionBy(cluster).orderBy(item)) - 1)
     sizes = member.groupBy(cluster).agg(F.count(F.lit(1)).alias("_size"))
     playing = member.where(F.col("_k") < length)
     members = playing.select(F.col(cluster).alias("cluster"), F.col("_k").cast("long").alias("pos"), item)
     last = playing.groupBy(cluster).agg(F.max("_r").alias("_from")).join(sizes, cluster).where(F.col("_size") < length)
     # Places are looked up by equality; there are at most `length` plus the cluster's own size of them.
-    steps = F.sequence(F.lit(1).cast("long"), F.least(F.lit(length) + F.col("_size"), F.col("n") - 1))
-    walk = last.crossJoin(F.broadcast(count)).where("n > 1").select(F.col(cluster).alias("cluster"), "_size", F.explode(steps).alias("_step"), "_from", "n").withColumn("_at", (F.col("_from") + F.col("_step")) % F.col("n"))
+    steps = F.sequence(F.lit(1).cast("long"), F.least(F.lit(length) + F.col("_size"), F.lit(n - 1)))
+    if n < 2:
+        return members
+    walk = last.select(F.col(cluster).alias("cluster"), "_size", F.explode(steps).alias("_step"), "_from").withColumn("_at", (F.col("_from") + F.col("_step")) % n)
     near = walk.join(all_, F.col("_at") == F.col("_r")).where(F.col("cluster") != F.col(cluster))
     near = near.withColumn("pos", F.col("_size") + F.row_number().over(W.partitionBy("cluster").orderBy("_step")) - 1).where(F.col("pos") < length)
     return members.unionByName(near.select("cluster", "pos", item))
