@@ -183,26 +183,13 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int = S
     def expand(batches):
         for batch in batches:
             for ids, sets in _own_sets(batch, shingle):
-                yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([ids, _lists(sets)], names=["node", "tokens"])
 
     # A repeated row of one document would bring its set twice.
-    sets = texts.mapInArrow(expand, "node long, tokens binary").dropDuplicates(["node"])
+    sets = texts.mapInArrow(expand, "node long, tokens array<long>").dropDuplicates(["node"])
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "tokens": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "tokens": "y"}), "b")
-
-    def compare(batches):
-        for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            good = []
-            for i in range(batch.num_rows):
-                s, t = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                if len(s) > len(t):
-                    s, t = t, s
-                at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-                shared = int((t[at] == s).sum())
-                good.append(100 * shared >= PERCENT * (len(s) + len(t) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def _release(spark) -> None:
