@@ -1,7 +1,8 @@
 """Substring dedup over sliding spans of consecutive sentences.
 
 A text is cut in sentences; one without end is cut after so many words. From every sentence
-a span runs over the next sentences until it has enough words (and at least two sentences). Spans
+a span runs over the next sentences until it has enough words (and at least two sentences), and to every
+sentence one runs over those before, so that a repeated passage is covered up to both ends. Spans
 are hashed (128 bits) over their words; those whose hash occurs more than once are joined, and
 all sentences that a span other than the first occurrence covers are removed. The first is the
 one with the least document, then text, then position, over the whole corpus.
@@ -62,10 +63,13 @@ def spans(raws: list[bytes], span_words: int = SPAN_WORDS, span_sentences: int =
     if count == 0:
         return none, none, none, none, none
     owner = np.searchsorted(firsts, np.arange(count), side="right") - 1
-    last = np.searchsorted(at, at[:-1] + span_words)  # first sentence border with enough words
-    last = np.maximum(last, np.arange(count) + span_sentences)
-    fits = last <= firsts[1:][owner]
-    first, last, owner = np.flatnonzero(fits), last[fits], owner[fits]
+    places = np.arange(count)
+    last = np.maximum(np.searchsorted(at, at[:-1] + span_words), places + span_sentences)  # first border with enough words
+    head = np.minimum(np.searchsorted(at, at[1:] - span_words, side="right") - 1, places + 1 - span_sentences)  # last border that leaves enough
+    on, back = last <= firsts[1:][owner], head >= firsts[:-1][owner]
+    both = np.unique(np.concatenate((places[on] * (count + 1) + last[on], head[back] * (count + 1) + places[back] + 1)))
+    first, last = both // (count + 1), both % (count + 1)
+    owner = owner[first]
     a, b = at[first], at[last]
     hashes = []
     for salt in (0x1F83D9AB, 0x5BE0CD19):
