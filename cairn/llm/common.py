@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -26,6 +28,18 @@ BROADCAST_BYTES = 64 << 20
 _own_root: list[str] = []
 
 
+
+
+def _give_back() -> None:
+    """Let large buffers of Python workers return to the system when freed; workers live as long as their executor."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has this
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # from this size on by mmap, whatever was freed before
+
+
+_give_back()
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which the driver and all executors see.
 
@@ -33,6 +47,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own_root:
             _own_root.append(tempfile.mkdtemp(prefix="cairn-"))
         root = _own_root[0]
