@@ -20,7 +20,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import re
 import uuid
 
 import numpy as np
@@ -29,46 +28,88 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import batch_texts, shared_dir, strings
+from .common import batch_texts, joined, prefix_hashes, shared_dir, span_hashes, text_chunks
 from .media import _uri
 
 #: Ids in a packed row, rows' worth of ids packed at once, and the id that fills a row's end.
 ROW, WINDOW_ROWS, PAD = 2048, 1024, 50256
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Words whose ids a worker remembers; beyond, it forgets them all and starts again.
+#: Pieces whose ids a worker remembers; beyond, it forgets them all and starts again.
 REMEMBERED = 500_000
 
 
+_KIND = np.ones(256, np.uint8)  # 0 blank, 1 letters, digits and all beyond ASCII, 2 the rest
+_KIND[32] = 0
+_KIND[[b for b in range(128) if b != 32 and not chr(b).isalnum()]] = 2
+
+
+def pieces_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Joined bytes, starts and ends of the pieces that are encoded alone, and each text's first piece (the end as the last entry).
+
+    A piece is a run of one kind of bytes, with the blank before it. Pieces of a text cover it without gaps.
+    """
+    data, texts = joined(raws)
+    kind = _KIND[data]
+    begins = np.zeros(len(data) + 1, bool)
+    begins[1:-1] = kind[1:] != kind[:-1]
+    word = np.flatnonzero(begins[1:-1] & (kind[:-1] == 0)) + 1  # after blanks: the last blank goes along
+    begins[word], begins[word - 1] = False, True
+    begins[texts[:-1]] = True
+    begins[texts[1:] - 1] = True  # the line feed between texts is nobody's
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], len(data))
+    own = np.ones(len(starts), bool)
+    own[np.searchsorted(starts, texts[1:] - 1)] = False
+    starts, ends = starts[own], ends[own]
+    return data, starts, ends, np.searchsorted(starts, texts)
+
+
+class Tokenizer:
+    """Ids of texts for a file of byte-level BPE ranks; ids decode to the texts' bytes.
+
+    Each distinct piece of a run of texts is looked up once; known pieces are remembered up to a number, by hash and bytes.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        if max(ranks.values()) > 0xFFFF:
+            raise ValueError("ids of this vocabulary don't fit 16 bits")
+        self.encoding = tiktoken.Encoding("cairn", pat_str=r" ?[^ ]+| +", mergeable_ranks=ranks, special_tokens={})
+        self.known: dict[int, tuple[bytes, np.ndarray]] = {}
+
+    def piece(self, key: int, raw: bytes) -> np.ndarray:
+        held = self.known.get(key)
+        if held is not None and held[0] == raw:
+            return held[1]
+        ids = np.asarray(self.encoding.encode_ordinary(raw.decode("utf-8")), np.uint16)
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        if held is None:
+            self.known[key] = (raw, ids)
+        return ids
+
+    def ids(self, raws: list[bytes]) -> list[np.ndarray]:
+        data, starts, ends, firsts = pieces_of(raws)
+        if not len(starts):
+            return [np.zeros(0, np.uint16)] * len(raws)
+        hashes, first, back = np.unique(span_hashes(prefix_hashes(data), starts, ends), return_index=True, return_inverse=True)
+        flat = data.tobytes()
+        made = [self.piece(k, flat[a:b]) for k, a, b in zip(hashes.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True)]
+        sizes = np.asarray([len(x) for x in made])
+        table, heads = np.concatenate(made), np.cumsum(sizes) - sizes
+        count = sizes[back]
+        stops = np.cumsum(count)
+        out = table[np.arange(stops[-1]) - np.repeat(stops - count, count) + np.repeat(heads[back], count)]
+        borders = np.concatenate(([0], stops))[firsts]
+        return [out[a:b] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
+
+
 @functools.lru_cache(maxsize=1)
-def tokenizer(path: str):
-    """A function from a text to its ids, for a file of byte-level BPE ranks; ids decode to the text's bytes."""
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    # A word with its blank before it, or a run of other characters: each is encoded alone.
-    pattern = r" ?\p{L}+| ?\p{N}{1,3}| ?[^\s\p{L}\p{N}]+|\s+"
-    encoding = tiktoken.Encoding("cairn", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    # The same cuts for Python's own matcher, which is quick on text: letters are word characters but digits and "_".
-    pieces = re.compile(r" ?[^\W\d_]+| ?\d{1,3}| ?(?:[^\w\s]|_)+|\s+").findall
-    known: dict[str, list[int]] = {}
-
-    def encode(text: str) -> np.ndarray:
-        out: list[int] = []
-        words = pieces(text)
-        if sum(map(len, words)) != len(text):  # characters that the two matchers see differently
-            return np.asarray(encoding.encode_ordinary(text), np.int64)
-        get, add = known.get, out.extend
-        for word in words:
-            ids = get(word)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = known[word] = encoding.encode_ordinary(word)
-            add(ids)
-        return np.asarray(out, np.int64)
-
-    return encode
+def tokenizer(path: str) -> Tokenizer:
+    return Tokenizer(path)
 
 
 class CapacityTree:
@@ -158,21 +199,20 @@ def pack_tokens(docs: DataFrame, folder: str | None = None, row: int = ROW, wind
         return _rows(out)
 
     def pack(batches):
-        encode = tokenizer(vocabulary)
         fs, path = pafs.FileSystem.from_uri(folder)
         part, count, held, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
-            empty = []
-            for doc, text in zip(batch.column(0).to_pylist(), strings(batch_texts(batch)), strict=True):
-                ids = encode(text) if text else ()
-                if not len(ids):
-                    empty.append(doc)
-                for piece, at in enumerate(range(0, len(ids), row)):
-                    held.append((doc, piece, ids[at : at + row]))
-                    size += len(held[-1][2])
-                    if size >= window_rows * row:
-                        yield emit(fs, path, f"{part:06d}-{count:05d}", held)
-                        held, size, count = [], 0, count + 1
+            empty, docs_ = [], batch.column(0)
+            for first, raws in text_chunks(batch_texts(batch)):
+                for doc, ids in zip(docs_.slice(first, len(raws)).to_pylist(), tokenizer(vocabulary).ids(raws), strict=True):
+                    if not len(ids):
+                        empty.append(doc)
+                    for piece, at in enumerate(range(0, len(ids), row)):
+                        held.append((doc, piece, ids[at : at + row].copy()))
+                        size += len(held[-1][2])
+                        if size >= window_rows * row:
+                            yield emit(fs, path, f"{part:06d}-{count:05d}", held)
+                            held, size, count = [], 0, count + 1
             if empty:
                 yield _rows([(None, None, 0, 0, empty, None, None, None, True)])
         if held:
