@@ -36,6 +36,8 @@ ROW, WINDOW_ROWS, PAD = 2048, 1024, 50256
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Pieces whose ids a worker remembers; beyond, it forgets them all and starts again.
 REMEMBERED = 500_000
+#: Bytes of text whose pieces are looked up together: more have fewer distinct pieces for their number.
+RUN_BYTES = 4 << 20
 
 
 _KIND = np.ones(256, np.uint8)  # 0 blank, 1 letters, digits and all beyond ASCII, 2 the rest
@@ -203,7 +205,7 @@ def pack_tokens(docs: DataFrame, folder: str | None = None, row: int = ROW, wind
         part, count, held, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             empty, docs_ = [], batch.column(0)
-            for first, raws in text_chunks(batch_texts(batch)):
+            for first, raws in text_chunks(batch_texts(batch), RUN_BYTES):
                 for doc, ids in zip(docs_.slice(first, len(raws)).to_pylist(), tokenizer(vocabulary).ids(raws), strict=True):
                     if not len(ids):
                         empty.append(doc)
