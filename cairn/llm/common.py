@@ -30,14 +30,25 @@ _own_root: list[str] = []
 
 
 
-def _give_back() -> None:
-    """Let large buffers of Python workers return to the system when freed; workers live as long as their executor."""
-    pa.set_memory_pool(pa.system_memory_pool())
-    with contextlib.suppress(OSError, AttributeError):  # only glibc has this
-        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # from this size on by mmap, whatever was freed before
+def _glibc(name: str, *args: int) -> None:
+    with contextlib.suppress(OSError, AttributeError):  # other systems do without
+        getattr(ctypes.CDLL(None), name)(*args)
 
 
-_give_back()
+# Python workers live as long as their executor: large buffers go back to the system when freed
+# (mallopt: from this size on by mmap), and what a batch took does so after it (give_back).
+pa.set_memory_pool(pa.system_memory_pool())
+_glibc("mallopt", -3, 1 << 20)
+
+
+def give_back() -> None:
+    """Return free memory of this process to the system."""
+    _glibc("malloc_trim", 0)
+
+
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Set the session's bytes in an Arrow batch: both sides of each Python worker hold batches of whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -108,6 +119,7 @@ def text_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
         after = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield first, [raw or b"" for raw in texts.slice(first, after - first).cast(pa.binary()).to_pylist()]
         first = after
+    give_back()
 
 
 def joined(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -200,6 +212,7 @@ def strings(texts: pa.Array, rows: int = 64) -> Iterator[str | None]:
     """The texts one by one, copied a few at a time."""
     for at in range(0, len(texts), rows):
         yield from texts.slice(at, rows).to_pylist()
+    give_back()
 
 
 def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import batch_texts, joined, prefix_hashes, shared_dir, span_hashes, text_chunks
+from .common import batch_texts, give_back, joined, prefix_hashes, shared_dir, span_hashes, text_chunks
 from .media import _uri
 
 #: Ids in a packed row, rows' worth of ids packed at once, and the id that fills a row's end.
@@ -219,6 +219,8 @@ def pack_tokens(docs: DataFrame, folder: str | None = None, row: int = ROW, wind
                 yield _rows([(None, None, 0, 0, empty, None, None, None, True)])
         if held:
             yield emit(fs, path, f"{part:06d}-{count:05d}", held)
+        tokenizer(vocabulary).known.clear()  # the worker may do other work next
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(pack, SCHEMA)
 

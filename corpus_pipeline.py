@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.common import materialize, read
+from cairn.llm.common import bound_batches, materialize, read
 from cairn.llm.decontaminate import decontaminate
 from cairn.llm.mixing import mix_documents
 from cairn.llm.ngram_join import keep_one_of_each
@@ -24,22 +24,27 @@ from cairn.llm.quality import reject_low_quality
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return reject_low_quality(docs, read(spark, sf_dir, "labels", "doc_id", "quality"), training_docs=read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return keep_one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return decontaminate(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return mix_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return pack_tokens(docs)
 
 
