@@ -46,11 +46,6 @@ def give_back() -> None:
     _glibc("malloc_trim", 0)
 
 
-def bound_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Set the session's bytes in an Arrow batch: both sides of each Python worker hold batches of whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which the driver and all executors see.
 
