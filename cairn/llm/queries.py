@@ -14,7 +14,7 @@ from .ngram_join import similar_groups
 from .packing import pack_tokens
 from .quality import score_quality
 from .secrets import find_secrets
-from .sentence_dedup import remove_repeats
+from .sentence_dedup import CUT_WINDOW, remove_repeats
 from .suffix_dedup import remove_repeated_bytes
 
 FOLD_SQL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -58,8 +58,8 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text without the sentences under spans that occurred before."""
-    return remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+    """Every text without the sentences under spans that occurred before; long sentences are cut by their words."""
+    return remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"), cut_window=CUT_WINDOW)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

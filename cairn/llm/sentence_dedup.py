@@ -1,6 +1,8 @@
 """Substring dedup over sliding spans of consecutive sentences.
 
-A text is cut in sentences; one without end is cut after so many words. From every sentence
+A text is cut in sentences; one that is long is cut after so many words, or, with a cut window, where
+the words themselves say so: at the least word hash of every window of words inside the sentence. Those cuts fall
+at the same words wherever a passage lies in its sentence. From every sentence
 a span runs over the next sentences until it has enough words (and at least two sentences), and to every
 sentence one runs over those before, so that a repeated passage is covered up to both ends. Spans
 are hashed (128 bits) over their words; those whose hash occurs more than once are joined, and
@@ -28,15 +30,32 @@ from .common import BROADCAST_BYTES, FOLD, SPACE, Wanted, batch_texts, materiali
 
 #: Words that a span has at least, sentences that it has at least, and words after which a sentence is cut.
 SPAN_WORDS, SPAN_SENTENCES, SENTENCE_WORDS = 24, 2, 12
+#: Words of a window of which the least hash begins a piece of a long sentence; no piece is longer.
+CUT_WINDOW = 6
 _WORDS = word_table(SPACE)
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 
-def sentences(raws: list[bytes], sentence_words: int = SENTENCE_WORDS) -> tuple[np.ndarray, ...]:
+def _least_of_windows(values: np.ndarray, place: np.ndarray, after: np.ndarray, window: int) -> np.ndarray:
+    """Which values are the least (the last of equals) of a window inside their sentence; place and after count its words on either side."""
+    left, right = np.ones(len(values), bool), np.ones(len(values), bool)
+    reach = np.ones(len(values), np.int64)
+    for d in range(1, window):
+        left &= place >= d
+        left[d:] &= values[:-d] >= values[d:]
+        right &= after >= d
+        right[:-d] &= values[d:] > values[:-d]
+        reach += left
+        reach += right
+    return reach >= window
+
+
+def sentences(raws: list[bytes], sentence_words: int = SENTENCE_WORDS, cut_window: int = 0) -> tuple[np.ndarray, ...]:
     """For all texts: word hashes, first word of each sentence, first sentence of each text, and bytes where words start and end.
 
+    Sentences of more than sentence_words words are cut every so many words, or at the least hash of every cut_window words if that is given.
     Both firsts have the end as the last entry; bytes count from the start of the joined texts.
     """
     data, starts, ends, words, firsts = words_of([r.translate(FOLD) for r in raws], _WORDS)
@@ -49,15 +68,21 @@ def sentences(raws: list[bytes], sentence_words: int = SENTENCE_WORDS) -> tuple[
     lines = np.cumsum(data == 10)
     begins[1:] |= lines[starts[1:]] > lines[starts[:-1]]
     at = np.flatnonzero(begins)
-    place = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
-    begins |= (place % sentence_words == 0) & (place > 0)
+    many = np.diff(np.append(at, n))
+    place = np.arange(n) - np.repeat(at, many)
+    if cut_window:
+        size = np.repeat(many, many)
+        long = np.flatnonzero(size > sentence_words)
+        begins[long] |= _least_of_windows(mixed(words[long]), place[long], size[long] - 1 - place[long], cut_window)
+    else:
+        begins |= (place % sentence_words == 0) & (place > 0)
     at = np.flatnonzero(begins)
     return words, np.append(at, n), np.searchsorted(at, firsts), starts, ends
 
 
-def spans(raws: list[bytes], span_words: int = SPAN_WORDS, span_sentences: int = SPAN_SENTENCES) -> tuple[np.ndarray, ...]:
+def spans(raws: list[bytes], span_words: int = SPAN_WORDS, span_sentences: int = SPAN_SENTENCES, cut_window: int = 0) -> tuple[np.ndarray, ...]:
     """text, first sentence, sentences and two hashes of every span, sentences counted from each text's own start."""
-    words, at, firsts, _, _ = sentences(raws)
+    words, at, firsts, _, _ = sentences(raws, cut_window=cut_window)
     count = len(at) - 1
     none = np.zeros(0, np.int64)
     if count == 0:
@@ -81,13 +106,13 @@ def spans(raws: list[bytes], span_words: int = SPAN_WORDS, span_sentences: int =
     return owner, first - firsts[owner], last - first, hashes[0], hashes[1]
 
 
-def _span_keys(docs: DataFrame, span_words: int, span_sentences: int, with_place: bool = False) -> DataFrame:
+def _span_keys(docs: DataFrame, span_words: int, span_sentences: int, cut_window: int, with_place: bool = False) -> DataFrame:
     """The first hash of every span of every text, with document and text hash where asked."""
 
     def scan(batches):
         for batch in batches:
             for at, raws in text_chunks(batch_texts(batch)):
-                owner, _, _, h1, _ = spans(raws, span_words, span_sentences)
+                owner, _, _, h1, _ = spans(raws, span_words, span_sentences, cut_window)
                 if with_place:
                     take = pa.array(owner + at)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(h1)], names=["doc_id", "text_hash", "key"])
@@ -97,13 +122,13 @@ def _span_keys(docs: DataFrame, span_words: int, span_sentences: int, with_place
     return docs.mapInArrow(scan, "doc_id long, text_hash long, key long" if with_place else "key long")
 
 
-def _repeated_spans(docs: DataFrame, wanted: Wanted, span_words: int, span_sentences: int) -> DataFrame:
+def _repeated_spans(docs: DataFrame, wanted: Wanted, span_words: int, span_sentences: int, cut_window: int) -> DataFrame:
     """doc_id, text_hash, first, many, h1 and h2 of the spans whose first hash is wanted."""
 
     def scan(batches):
         for batch in batches:
             for at, raws in text_chunks(batch_texts(batch)):
-                owner, first, many, h1, h2 = spans(raws, span_words, span_sentences)
+                owner, first, many, h1, h2 = spans(raws, span_words, span_sentences, cut_window)
                 use = np.flatnonzero(wanted.of(batch, at, owner, h1.view(np.uint64)))
                 take = pa.array(owner[use] + at)
                 yield pa.RecordBatch.from_arrays(
@@ -114,12 +139,12 @@ def _repeated_spans(docs: DataFrame, wanted: Wanted, span_words: int, span_sente
     return docs.mapInArrow(scan, "doc_id long, text_hash long, first int, many int, h1 long, h2 long")
 
 
-def covered_sentences(docs: DataFrame, span_words: int = SPAN_WORDS, span_sentences: int = SPAN_SENTENCES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def covered_sentences(docs: DataFrame, span_words: int = SPAN_WORDS, span_sentences: int = SPAN_SENTENCES, broadcast_bytes: int = BROADCAST_BYTES, cut_window: int = 0) -> DataFrame:
     """doc_id, text_hash and gone: runs (first, end) of sentences under a repeated span that isn't the first of its kind."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    again = materialize(_span_keys(docs, span_words, span_sentences).groupBy("key").count().where("count > 1").select("key"), "repeated-spans")
-    chosen, wanted = with_wanted(docs, again, _span_keys(docs, span_words, span_sentences, True), broadcast_bytes)
-    table = materialize(_repeated_spans(chosen, wanted, span_words, span_sentences), "spans")
+    again = materialize(_span_keys(docs, span_words, span_sentences, cut_window).groupBy("key").count().where("count > 1").select("key"), "repeated-spans")
+    chosen, wanted = with_wanted(docs, again, _span_keys(docs, span_words, span_sentences, cut_window, True), broadcast_bytes)
+    table = materialize(_repeated_spans(chosen, wanted, span_words, span_sentences, cut_window), "spans")
     place = F.struct("doc_id", "text_hash", "first")
     # A repeated row brings its spans twice at the same place: more than one place makes a repeat.
     seen = table.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where(F.col("head") != F.col("tail")).select("h1", "h2", "head")
@@ -127,10 +152,10 @@ def covered_sentences(docs: DataFrame, span_words: int = SPAN_WORDS, span_senten
     return later.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("first", (F.col("first") + F.col("many")).alias("end")))).alias("gone"))
 
 
-def remove_repeats(docs: DataFrame, span_words: int = SPAN_WORDS, span_sentences: int = SPAN_SENTENCES) -> DataFrame:
+def remove_repeats(docs: DataFrame, span_words: int = SPAN_WORDS, span_sentences: int = SPAN_SENTENCES, cut_window: int = 0) -> DataFrame:
     """doc_id, n_sentences, n_removed, n_words_removed, text (what stays, byte for byte) for every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = covered_sentences(docs, span_words, span_sentences).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    gone = covered_sentences(docs, span_words, span_sentences, cut_window=cut_window).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     both = docs.withColumn("_text_hash", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
 
     def cut(batches):
@@ -138,7 +163,7 @@ def remove_repeats(docs: DataFrame, span_words: int = SPAN_WORDS, span_sentences
             texts, ranges = batch_texts(batch), batch.column(2).to_pylist()
             rows = []
             for at, raws in text_chunks(texts):
-                _, begin, firsts, starts, _ = sentences(raws)
+                _, begin, firsts, starts, _ = sentences(raws, cut_window=cut_window)
                 offset = 0
                 for i, raw in enumerate(raws):
                     n, own = int(firsts[i + 1] - firsts[i]), ranges[at + i]

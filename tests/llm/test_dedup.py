@@ -86,6 +86,30 @@ def test_passage_is_caught(spark):
     assert out[0]["n_removed"] == 0 and out[9]["n_removed"] == 0 and all(out[i]["n_words_removed"] >= 45 for i in (1, 2, 3))
 
 
+def test_passage_inside_sentences_is_caught(spark):
+    """60 words without an end, at every place in a sentence that is cut."""
+    passage = " ".join(f"p{i * i}" for i in range(60))
+    rows = [(i, " ".join([*(f"a{i}x{j}" for j in range(24 + i)), passage, *(f"z{i}x{j}" for j in range(30))])) for i in range(SD.SENTENCE_WORDS)]
+    out = {r["doc_id"]: r for r in SD.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), cut_window=SD.CUT_WINDOW).collect()}
+    assert out[0]["n_removed"] == 0 and out[0]["text"] == rows[0][1]
+    for i, text in rows[1:]:
+        kept = out[i]["text"].split()
+        assert 60 - 4 * SD.CUT_WINDOW <= out[i]["n_words_removed"] <= 60
+        assert [w for w in text.split() if w[0] != "p"] == [w for w in kept if w[0] != "p"]  # what is the document's own stays
+
+
+def test_cuts_follow_the_words():
+    """No piece is longer than the window, and far from the ends cuts don't depend on what comes before."""
+    words = [f"w{i * 7919 % 1009}" for i in range(200)]
+    cuts = []
+    for k in range(13):
+        _, at, _, _, _ = SD.sentences([" ".join([*(f"x{k}y{j}" for j in range(k)), *words]).encode()], cut_window=SD.CUT_WINDOW)
+        assert np.diff(at).max() <= SD.CUT_WINDOW
+        cuts.append({a - k for a in at.tolist() if a - k >= SD.CUT_WINDOW})
+    assert all(c == cuts[0] for c in cuts)
+    assert len(SD.sentences([b"one two. three four"], cut_window=SD.CUT_WINDOW)[1]) == 3
+
+
 def sets_of(rows):
     out = []
     for d, x in rows:
