@@ -5,8 +5,9 @@ a stream of words in the order of a hash, once for each epoch; the first `target
 stream are the mix. The stream is cut in blocks of equal length, whose exact number for each
 source is its quota. A tree splits the quotas over the output shards: at each node the left
 half's share of every source is drawn from the multivariate hypergeometric law, so quotas add up
-exactly at every level. A shard then holds disjoint ranges of each source's permuted blocks and
-orders its slices by another hash.
+exactly at every level. A source's block numbers are permuted before they are dealt, so every shard
+draws from all epochs; a shard orders its slices by another hash. `mix_documents` writes its rows by shard
+in that order, a document where its first word of the epoch is.
 
 Positions in a stream come from two levels, so that no task sorts a whole source: a document's bucket
 is the head of its hash, buckets are summed with partial aggregation, and only inside a
@@ -95,6 +96,16 @@ def splitting_tree(quotas: list[int], shards: int, seed: int = 7) -> list[list[i
     return [x.tolist() for x in split(np.asarray(quotas, np.int64), 0, shards)]
 
 
+def permuted(number: Column, count: Column, salt: list[Column], rounds: int = 64) -> Column:
+    """A permutation of the numbers below count (swap or not, by a hash of the greater one of two numbers that add up to a drawn key)."""
+
+    def swap(x: Column, k: Column) -> Column:
+        y = F.pmod(F.pmod(F.xxhash64(*salt, k), count) - x, count)
+        return F.when(F.pmod(F.xxhash64(*salt, k, F.greatest(x, y)), F.lit(2)) == 0, x).otherwise(y)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), number.cast("long"), swap)
+
+
 def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 7, block_words: int = BLOCK_WORDS, shards: int | None = None) -> DataFrame:
     """One row for each slice of a document in the mix, plus one with shard null for a document of which nothing is taken.
 
@@ -120,10 +131,10 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     for shard, part in enumerate(tree):
         for i, q in enumerate(part):
             if q:
-                cuts.append((rows[i]["source"], shard, ends[i], ends[i] + q - 1))
+                cuts.append((rows[i]["source"], shard, ends[i], ends[i] + q - 1, quotas[i]))
                 ends[i] += q
     sources = spark.createDataFrame(facts, "s string, source_size long, target double, words long, full long, buckets long")
-    ranges = spark.createDataFrame(cuts, "cut_source string, shard int, lo long, hi long")
+    ranges = spark.createDataFrame(cuts, "cut_source string, shard int, lo long, hi long, quota long")
     # One row for each source: its number is bounded by MAX_SOURCES.
     both = sized.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     epochs = F.when(F.col("size") > 0, F.sequence(F.lit(0).cast("long"), F.least(F.col("full"), F.lit(int(cap) - 1).cast("long")))).otherwise(F.array(F.lit(0).cast("long")))
@@ -145,7 +156,8 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     hi = F.least(F.col("until"), (F.col("block") + 1) * block_words)
     blocks = blocks.withColumn("start", F.when(F.col("block") < 0, 0).otherwise(lo - F.col("at"))).withColumn("stop", F.when(F.col("block") < 0, 0).otherwise(hi - F.col("at")))
     # One row for each block, made where it is joined; the blocks of a hot source spread by their number.
-    owner = ranges.select("cut_source", "shard", F.explode(F.sequence("lo", "hi")).alias("own_block"))
+    drawn = ranges.select("cut_source", "shard", "quota", F.explode(F.sequence("lo", "hi")).alias("drawn"))
+    owner = drawn.select("cut_source", "shard", permuted(F.col("drawn"), F.col("quota"), [F.lit(seed), F.col("cut_source")]).alias("own_block"))
     dealt = blocks.join(owner, F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("block") == F.col("own_block")), "left")
     return dealt.select(*base, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), (F.col("stop") - F.col("start")).cast("long").alias("taken"), "shard", F.md5(F.concat_ws("|", "key", F.col("block").cast("string"))).alias("place"))
 
@@ -165,26 +177,31 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each document and epoch of which words are taken.
 
     Whole texts come as they are; the text on the edge of a source's target ends after the last
-    word taken. n_chars, where docs has it, is the length of the text that comes. Rows keep no
-    order; `mix_plan` has shard and place of every slice.
+    word taken. n_chars, where docs has it, is the length of the text that comes. Rows of a shard
+    lie in one partition, in the order of place; a row has shard and place of its first slice in `mix_plan`.
     """
     plan = mix_plan(docs, **options)
     copies = F.count_if((F.col("epoch") == 0) & (F.col("start") == 0)).alias("copies")
-    parts = plan.groupBy("doc_id", "source", "text_hash", "size").agg(F.sum("taken").alias("words"), copies).where("words > 0")
+    keys = ["doc_id", "source", "text_hash", "size"]
+    epochs = plan.groupBy(*keys, "epoch").agg(F.sum("taken").alias("words"), copies, F.min(F.struct("start", "shard", "place")).alias("head"))
     # Equal rows have one place each; together they take so many whole texts and a rest.
     whole, rest = F.floor(F.col("words") / F.col("size")), F.col("words") % F.col("size")
-    takes = F.concat(F.array_repeat(F.col("size"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
-    id_, source_, hash_, size_, copies_, takes_, words_, first_ = (fresh(docs, n) for n in ("_id", "_source", "_hash", "_size", "_copies", "_takes", "_words", "_first"))
-    parts = materialize(parts.select(F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("text_hash").alias(hash_), F.col("size").alias(size_), F.col("copies").alias(copies_), takes.alias(takes_)), "mix")
+    each = F.concat(F.array_repeat(F.col("size"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
+    each = F.transform(each, lambda n: F.struct(F.col("head.shard").alias("shard"), F.col("head.place").alias("place"), n.alias("words")))
+    parts = epochs.groupBy(*keys).agg(F.sum("copies").alias("copies"), F.flatten(F.collect_list(F.when(F.col("words") > 0, each))).alias("takes")).where(F.size("takes") > 0)
+    id_, source_, hash_, size_, copies_, takes_, take_, first_ = (fresh(docs, n) for n in ("_id", "_source", "_hash", "_size", "_copies", "_takes", "_take", "_first"))
+    parts = materialize(parts.select(F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("text_hash").alias(hash_), F.col("size").alias(size_), F.col("copies").alias(copies_), F.col("takes").alias(takes_)), "mix")
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source_)) & (F.xxhash64("text") == F.col(hash_))
     out = docs.join(parts.where(F.col(copies_) == 1), same)
     repeated = parts.where(F.col(copies_) > 1)
     if not repeated.isEmpty():  # one of the equal rows stands for all
         first = F.row_number().over(W.partitionBy(id_, source_, hash_).orderBy(F.lit(1)))
         out = out.union(docs.join(repeated, same).withColumn(first_, first).where(F.col(first_) == 1).drop(first_))
-    out = out.withColumn(words_, F.explode(takes_))
+    out = out.withColumn(take_, F.explode(takes_)).drop(takes_)
+    out = out.repartition(F.col(f"{take_}.shard")).sortWithinPartitions(f"{take_}.shard", f"{take_}.place", id_, hash_)
+    words = F.col(f"{take_}.words")
     # Pieces are words, each with the blanks before it.
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.when(F.col(words_) == F.col(size_), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col(words_).cast("int")), ""))
+    text = F.when(words == F.col(size_), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), ""))
     columns = [text.alias(c) if c == "text" else F.char_length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else named(c) for c in docs.columns]
     return out.select(*columns)

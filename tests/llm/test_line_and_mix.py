@@ -104,6 +104,50 @@ def test_slices_are_disjoint(odd_docs):
             assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def _sources(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(20 + i % 30)), "abc"[i % 3]) for i in range(150)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_permutation(spark):
+    for n in (1, 2, 7, 1000):
+        got = [r[0] for r in spark.range(n).select(M.permuted(F.col("id"), F.lit(n).cast("long"), [F.lit(7), F.lit(None).cast("string")])).collect()]
+        assert sorted(got) == list(range(n)) and (n < 1000 or sum(abs(a - i) for i, a in enumerate(got)) > 200 * n)
+
+
+def test_every_shard_draws_from_all_epochs(spark):
+    plan = M.mix_plan(_sources(spark), block_words=16, shards=4).where("taken > 0").collect()
+    source = max({r["source"] for r in plan}, key=lambda s: max(r["epoch"] for r in plan if r["source"] == s))
+    epochs = defaultdict(set)
+    for r in plan:
+        if r["source"] == source:
+            epochs[r["shard"]].add(r["epoch"])
+    assert set(epochs) == set(range(4)) and all(e == {0, 1} for e in epochs.values())
+
+
+def test_mix_comes_by_shard_and_place(spark):
+    docs = _sources(spark)
+    options = {"block_words": 16, "shards": 4}
+    at = defaultdict(list)
+    for r in M.mix_plan(docs, **options).where("taken > 0 and start = 0").collect():
+        at[r["doc_id"]].append((r["shard"], r["place"]))
+    want = defaultdict(list)
+    for d, places in at.items():
+        for shard, place in places:
+            want[shard].append((place, d))
+    got = [(r["p"], r["doc_id"]) for r in M.mix_documents(docs, **options).withColumn("p", F.spark_partition_id()).collect()]
+    runs = {shard: [d for _, d in sorted(v)] for shard, v in want.items()}
+    parts = defaultdict(list)
+    for p, d in got:
+        parts[p].append(d)
+    left = dict(runs)
+    for p in parts.values():
+        while p:  # a partition is whole shards, one after another
+            shard = next(s for s, v in left.items() if p[: len(v)] == v)
+            p[:] = p[len(left.pop(shard)) :]
+    assert not left
+
+
 def test_hash_of_kept(spark, sf, texts):
     row = next(r for r in QUERIES["op6_line_dedup"](spark, sf).collect() if r["n_dropped"] == 0)
     assert row["kept_sha256"] == hashlib.sha256((texts[row["doc_id"]] or "").encode()).hexdigest()
