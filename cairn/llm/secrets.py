@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate.
 
-The base patterns (assign, access, hex) always count. Besides, every run of 16 or more key characters with a
-digit is a candidate: its characters and those around it go through a small convolutional
+The base patterns (assign, access, hex) always count. Besides, every run of 16 or more key characters
+that no base finding holds whole is a candidate: its characters and those around it go through a small convolutional
 network (embedding, one convolution with maximum over places, one dense layer), in numpy. The
 network is trained here on labelled findings: generated keys of many kinds in many contexts against
 numbers, addresses, paths, versions, identifiers, rulers and words. Scores are calibrated on held-back
@@ -73,13 +73,9 @@ def base_findings(text: str, points: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def candidates(points: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of key characters that are long enough and hold a digit."""
+    """Runs of key characters that are long enough."""
     starts, ends = _maximal(_KEY[np.minimum(points, 127)], LEAST)
-    if not len(starts):
-        return []
-    digits = np.concatenate(([0], np.cumsum((points >= 48) & (points <= 57))))
-    some = digits[ends] > digits[starts]
-    return list(zip(starts[some].tolist(), ends[some].tolist(), strict=True))
+    return list(zip(starts.tolist(), ends.tolist(), strict=True))
 
 
 def views(points: np.ndarray, start: int, end: int) -> np.ndarray:
@@ -263,7 +259,7 @@ def scan_texts(texts: list[str | None], net: Network) -> list[list[tuple[int, in
         spans = [(s, e) for s, _, e in base]
         for s, e in candidates(points):
             k = bisect.bisect_left(spans, (e, e))
-            if not any(a < e and s < b for a, b in spans[max(0, k - 4) : k]):  # what the patterns have needs no score
+            if not any(a <= s and e <= b for a, b in spans[max(0, k - 4) : k]):  # what a pattern has whole needs no score
                 part = views(points, s, e)
                 rows.append(part)
                 owner += [(i, s, e)] * len(part)

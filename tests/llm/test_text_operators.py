@@ -138,6 +138,15 @@ def test_secret_query(spark, sf, odd_docs, no_docs):
     assert any(k == 3 for _, k, _ in S.scan_text(f"é deploy with {key} now", S.train()))
 
 
+def test_every_long_run_is_scored():
+    key = "QzWxKvBnRtYpLmHgFdSjCkVbTrEwQaZx"
+    net = S.Network(**{**vars(S.train()), "threshold": 0.0})
+    text = f"use {key} or sk_live_{'0123456789abcdef' * 2} now, token={'a' * 20}"
+    found = [(S.KINDS[k], text[a:b]) for a, k, b in S.scan_text(text, net)]
+    assert ("model", key) in found and ("model", "sk_live_" + "0123456789abcdef" * 2) in found
+    assert ("assign", "token=" + "a" * 20) in found and ("model", "token=" + "a" * 20) not in found
+
+
 # Media.
 
 
