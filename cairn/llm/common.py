@@ -28,8 +28,6 @@ BROADCAST_BYTES = 64 << 20
 _own_root: list[str] = []
 
 
-
-
 def _glibc(name: str, *args: int) -> None:
     with contextlib.suppress(OSError, AttributeError):  # other systems do without
         getattr(ctypes.CDLL(None), name)(*args)
@@ -69,6 +67,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Work:
+    """Written tables of one run of an operator, in a shared folder of its own; they can go when nothing needs them any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.paths, self.count = spark, shared_dir(spark, name), {}, 0
+
+    def write(self, df: DataFrame, name: str, drop: list[str] = ()) -> DataFrame:
+        """df as a written table, read back: computed once, its lineage cut. Tables of the names in drop go after that."""
+        self.count += 1
+        path = f"{self.folder}/{self.count:03d}-{name}"
+        df.write.parquet(path)
+        self.drop(*drop)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete the tables of these names; no later plan may read them."""
+        for path in [p for n in names for p in self.paths.pop(n, [])]:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*(n for n in list(self.paths) if n not in names))
+
+
 def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether df, a materialized table, has few enough rows of row_bytes each for a broadcast."""
     return df.count() * row_bytes <= limit

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Work
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -25,14 +25,15 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node and component (its least node) for every node of the edges (a, b); loops and repeats don't matter."""
-    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    """node and component (its least node) for every node of the edges (a, b); loops and repeats don't matter, a null end makes no edge."""
+    work = Work(edges.sparkSession, "components")
+    edges = work.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
         if tuple(now) == mark or now[0] == 0:
             break
         mark = tuple(now)
-        edges = materialize(_small(_large(edges)), "edges")
+        edges = work.write(_small(_large(edges)), "edges", drop=["edges"])
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

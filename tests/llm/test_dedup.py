@@ -176,8 +176,67 @@ def test_join_of_large_groups(spark, group):
     assert groups_of(N.similar_groups(frame, group=group)) == brute_groups(rows)
 
 
-def test_shared_least():
-    assert [N.shared_least(n) for n in (1, 24)] == [1, 1] and 40 < N.shared_least(128) < 60 and N.shared_least(512) > 290
+@pytest.mark.parametrize("group", [1, 3])
+def test_join_through_leaders(spark, group):
+    """More than 512 frequent shingles each; families about the threshold whose members partly link with each other only."""
+    import random
+
+    r = random.Random(8)
+    rows, bases = [], [prose(620, 40).split(), prose(620, 41).split()]
+    for i in range(40):
+        w = list(bases[i % 2])
+        for _ in range(r.choice([2, 10, 14, 18, 20, 22, 30])):
+            w[r.randrange(len(w))] = f"q{r.random()}"
+        if i % 3 == 0:
+            del w[r.randrange(100) : r.randrange(100, 220)]
+        rows.append((100 - i, " ".join(w)))
+        if i % 4 == 0:  # a copy of the copy, by which links go on
+            for _ in range(12):
+                w[r.randrange(len(w))] = f"q{r.random()}"
+            rows.append((200 + i, " ".join(w)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_groups(rows)
+    assert len({c for _, _, c in want}) > 3
+    assert groups_of(N.similar_groups(frame, group=group)) == want
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, other texts under the same id, and rows without id or words."""
+    a, b = prose(120, 70), prose(120, 71)
+    rows = [(1, a, "x"), (1, a, "y"), (1, a + " more", "x"), (2, a, "x"), (1, b, "x"), (3, b + " more", "x"), (None, a, "x"), (None, a, "x"), (4, "", "x"), (4, "", "x"), (5, None, "x")]
+    kept = [(r["doc_id"], r["text"]) for r in N.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    one = [t for d, t in kept if d == 1]
+    assert len(one) == 2 and b in one and sum(t in (a, a + " more") for t in one) == 1
+    assert sorted((d for d, _ in kept if d != 1), key=str) == [4, 4, 5, None, None]
+
+
+def test_hard_bound():
+    """No partner's size asks for fewer shared tokens of the longer prefixes than the bound of hard nodes; nor do prefixes miss."""
+    size = lambda n: N.prefix_size(n, n // N.PART)
+    ask = lambda n, m: max(1, -(-(n + m) * 75 // 175) - max(n - size(n), m - size(m)))
+    for n in [*range(1, 400), 997, 5000, 64001]:
+        partners = [m for m in range(-(-n * 75 // 100), n * 100 // 75 + 1)]
+        assert min(ask(n, m) for m in partners[:: max(1, len(partners) // 500)] + partners[-1:]) >= max(1, n // N.PART - 1)
+
+
+def test_prefixes_share_what_they_must(spark):
+    """Sets at the threshold share least_shared tokens in their prefixes, under every order, also beyond 512 shingles."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(2)
+    for n in (3, 40, 700, 1500):
+        for _ in range(20):
+            o, extra = -(-2 * n * 75 // 175), n - -(-2 * n * 75 // 175)
+            pool = [np.uint64(r.getrandbits(64)) for _ in range(o + 2 * extra)]
+            x, y = np.array(pool[: o + extra], np.uint64), np.array(pool[:o] + pool[o + extra :], np.uint64)
+            for k in range(N.ORDERS):
+                for part in (0, N.PART, 1):
+                    p, q = N._prefixes([x, y], k, part)
+                    row = spark.range(1).select(N.least_shared(F.lit(n), F.lit(n), F.lit(len(p)), F.lit(len(q))).alias("v")) if _ == 0 else None
+                    least = row.first()["v"] if row is not None else max(1, -(-2 * n * 75 // 175) - max(n - len(p), n - len(q)))
+                    assert least == max(1, -(-2 * n * 75 // 175) - (n - len(p))) and len(np.intersect1d(p, q)) >= least
 
 
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
