@@ -53,8 +53,9 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as a stored grey image: digests and features of what is read back. Places differ between copies and stay out."""
-    return media_columns(read(spark, sf_dir, "documents", "doc_id", "text")).drop("shard", "offset", "digest")
+    """Every text as a stored grey image: its place in the shards (by name), digests and features of what is read back."""
+    out = media_columns(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.withColumn("shard", F.substring_index("shard", "/", -1))
 
 
 def op5_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +97,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_totals(read(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
-OP9_SQL = r"""
+OP9_HASH = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
+OP9_SWAP = f"((({OP9_HASH.format("'7|draw|' || src || '|' || k")} % blocks) - x + blocks) % blocks)"
+OP9_SQL = rf"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM sized GROUP BY source),
 pos AS (SELECT *, row_number() OVER (ORDER BY 3.0 * source_size / w, source NULLS LAST) AS k FROM per WHERE source_size > 0),
@@ -108,13 +111,23 @@ targets AS (SELECT p.source, p.source_size,
   CASE WHEN p.source_size = 0 THEN 0.0 WHEN q.k < (SELECT k FROM cut) THEN 3.0 * p.source_size
        ELSE (SELECT rest FROM cut)::DOUBLE * p.w / (SELECT open_w FROM cut) END AS target
   FROM per p LEFT JOIN pos q ON p.source IS NOT DISTINCT FROM q.source),
-facts AS (SELECT *, floor(target + 0.5)::BIGINT AS words, CASE WHEN source_size = 0 THEN 0 ELSE least(floor(target + 0.5)::BIGINT // source_size, 3) END AS full_ FROM targets),
-ordered AS (SELECT s.doc_id, s.size, f.source_size, f.target, f.full_, f.words - f.full_ * f.source_size AS rest,
-  sum(s.size) OVER (PARTITION BY s.source ORDER BY md5('7|' || f.full_ || '|' || coalesce(s.doc_id::VARCHAR, '')), s.doc_id ROWS UNBOUNDED PRECEDING) - s.size AS before_
-  FROM sized s JOIN facts f ON s.source IS NOT DISTINCT FROM f.source)
-SELECT doc_id, size, source_size, target::DOUBLE AS target, (full_ * size + greatest(0, least(size, rest - before_)))::BIGINT AS taken FROM ordered
+facts AS (SELECT *, coalesce(source, '') AS src, floor(target + 0.5)::BIGINT AS words, CASE WHEN source_size = 0 THEN 0 ELSE least(floor(target + 0.5)::BIGINT // source_size, 3) END AS full_,
+  (source_size + 4095) // 4096 AS blocks FROM targets),
+numbered AS (SELECT source, src, source_size, blocks, words - full_ * source_size AS rest, unnest(range(blocks)) AS block FROM facts),
+drawn AS (SELECT *, list_reduce(list_concat([block], range(1, 25)), lambda x, k:
+    CASE WHEN {OP9_HASH.format(f"'7|draw|' || src || '|' || k || '|' || greatest(x, {OP9_SWAP})")} % 2 = 0 THEN x ELSE {OP9_SWAP} END) AS at_ FROM numbered),
+lengths AS (SELECT *, least(4096, source_size - block * 4096) AS n FROM drawn),
+stops AS (SELECT source, block, greatest(0, least(n, rest - (sum(n) OVER (PARTITION BY source ORDER BY at_ ROWS UNBOUNDED PRECEDING) - n)))::BIGINT AS stop FROM lengths),
+ordered AS (SELECT row_number() OVER () AS r, s.doc_id, s.source, s.size, f.source_size, f.target, f.full_,
+  (sum(s.size) OVER (PARTITION BY s.source ORDER BY md5('7|' || coalesce(s.doc_id::VARCHAR, '')), s.doc_id ROWS UNBOUNDED PRECEDING) - s.size)::BIGINT AS at_
+  FROM sized s JOIN facts f ON s.source IS NOT DISTINCT FROM f.source),
+spread AS (SELECT r, source, size, at_, unnest(range(at_ // 4096, (at_ + size - 1) // 4096 + 1)) AS block FROM ordered WHERE size > 0),
+part_taken AS (SELECT r, sum(greatest(0, least(at_ + size, p.block * 4096 + stop) - greatest(at_, p.block * 4096)))::BIGINT AS n
+  FROM spread p JOIN stops t ON p.block = t.block AND p.source IS NOT DISTINCT FROM t.source GROUP BY r)
+SELECT doc_id, size, source_size, target::DOUBLE AS target, (full_ * size + coalesce(n, 0))::BIGINT AS taken FROM ordered LEFT JOIN part_taken USING (r)
 """
 
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's token ids in packed rows, with the documents of each row."""
     return pack_tokens(read(spark, sf_dir, "documents", "doc_id", "text"))
