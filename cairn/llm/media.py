@@ -1,17 +1,19 @@
 """Media columns: content-addressed images in tar shards, read back by byte ranges.
 
 A text becomes the samples of an 8-bit grey image of fixed width, stored as PNG (lossless).
-Each task writes its partition's distinct images to tar shards in the shared folder; the member's
-name is the payload's digest, and rows carry digest, shard, offset and length. Rows of equal content
-in a partition share one member. Metadata columns come from range reads of the image header
-alone; features come from the whole stored bytes, read back and decoded.
+Payloads are digested first; one document of each digest is its holder, and the task that reads the
+holder writes the image to a tar shard in the shared folder, so a payload has one place over the whole table. The member's
+name is the digest, and every row carries digest, shard, offset and length. Metadata columns come from range reads of the
+image header alone; features come from the whole stored bytes, read back and decoded once for each digest. Reading
+is dealt by shard and place in it, in parts of `READ_BYTES` of media, each in the order of the file.
 
 A shard is written under a name of its attempt and renamed when whole; its bytes depend on
-its rows alone, so a task that runs again, or twice, leaves the same file. The index is a written
+its rows and their order alone, so a task that runs again leaves the same file if docs is a written table. The index is a written
 table; a lost executor costs only the tasks that it ran.
 
 Defined cases: null and empty texts give one row of 576 fill bytes; equal texts give equal values;
-repeated rows stay rows; an empty table gives an empty index; other columns are ignored.
+repeated rows stay rows (an image that equal rows of one document bring to several tasks is stored by each; all rows name the first place);
+an empty table gives an empty index; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,15 +29,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_texts, materialize, shared_dir, strings
+from .common import Work, batch_texts, join_side, shared_dir, strings
 
 #: Samples of an image row, and what fills the last one up.
 WIDTH, FILL = 576, b"\xff"
 #: Bytes after which a task starts a new shard.
 SHARD_BYTES = 128 << 20
+#: Bytes of media that a task reads back on average.
+READ_BYTES = 16 << 20
 PNG = b"\x89PNG\r\n\x1a\n"
 #: Signature, length, type and the 13 header bytes: all that metadata needs.
 HEADER_BYTES = 29
@@ -129,41 +133,54 @@ class _Shard:
         self.fs.move(self.temp, self.target)
 
 
-def write_media(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Store every text and return the written index: doc_id, n_bytes, digest, shard, offset, length."""
+def payload_digest(text: Column) -> Column:
+    """SHA-256 of the samples of a text, without Python."""
+    raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    n = F.octet_length(raw)
+    fill = F.when(n == 0, WIDTH).otherwise(F.pmod(-n, F.lit(WIDTH)))
+    return F.sha2(F.concat(raw, F.unhex(F.repeat(F.lit("FF"), fill.cast("int")))), 256)
+
+
+def write_media(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES, work: Work | None = None) -> tuple[DataFrame, DataFrame]:
+    """Store every distinct payload; the written index (doc_id, n_bytes, digest) and the written places (digest, shard, offset, length)."""
     spark = docs.sparkSession
+    work = work or Work(spark, "media-work")
     folder = _uri(folder or shared_dir(spark, "media"))
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
+    docs = docs.select("doc_id", "text")
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    index = work.write(docs.select("doc_id", n_bytes.alias("n_bytes"), payload_digest(F.col("text")).alias("digest"), F.xxhash64("text").alias("_hash")), "index")
+    # The holder of a digest: the least document by id and text (copies differ in what they are padded with, or in id).
+    holders = index.groupBy("digest").agg(F.min(F.struct(F.xxhash64(F.lit(1), "doc_id"), "doc_id", "_hash")).alias("h")).select(F.col("h.doc_id").alias("_id"), F.col("h._hash").alias("_hash"))
+    side = join_side(work.write(holders.distinct(), "holders"), 64)
+    held = docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_semi").select("text")
 
     def store(batches):
         fs, path = pafs.FileSystem.from_uri(folder)
-        part, count, shard, places = TaskContext.get().partitionId(), 0, None, {}
+        part, count, shard, seen = TaskContext.get().partitionId(), 0, None, set()
         for batch in batches:
             rows = []
             for text in strings(batch_texts(batch)):
-                payload, n = payload_of(text)
+                payload, _ = payload_of(text)
                 digest = hashlib.sha256(payload).hexdigest()
-                if digest not in places:
-                    if shard is not None and shard.at >= shard_bytes:
-                        shard.close()
-                        shard = None
-                    if shard is None:
-                        shard, places, count = _Shard(fs, path, f"{part:06d}-{count:04d}.tar"), {}, count + 1
-                    media = encode_png(payload)
-                    places[digest] = (f"{folder}/{shard.target.rpartition('/')[2]}", shard.add(f"{digest}.png", media), len(media))
-                rows.append((n, digest, *places[digest]))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())],
-                names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"],
-            )
+                if digest in seen:
+                    continue
+                if shard is not None and shard.at >= shard_bytes:
+                    shard.close()
+                    shard, seen = None, set()
+                if shard is None:
+                    shard, count = _Shard(fs, path, f"{part:06d}-{count:04d}.tar"), count + 1
+                seen.add(digest)
+                media = encode_png(payload)
+                rows.append((digest, f"{folder}/{shard.target.rpartition('/')[2]}", shard.add(f"{digest}.png", media), len(media)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["digest", "shard", "offset", "length"])
         if shard is not None:
             shard.close()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    index = docs.select("doc_id", "text").mapInArrow(store, f"doc_id {kind}, n_bytes long, digest string, shard string, offset long, length long")
-    return materialize(index, "media-index")
+    written = work.write(held.mapInArrow(store, "digest string, shard string, offset long, length long"), "stored")
+    return index.drop("_hash"), work.write(canonical(written), "places")
 
 
 class _Reader:
@@ -179,6 +196,13 @@ class _Reader:
         return self.file.read_at(length, offset) if length else b""
 
 
+def dealt_reads(places: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
+    """The places (a written table) in partitions of about read_bytes of media, each in the order of its shards."""
+    total = places.agg(F.sum("length")).first()[0] or 0
+    dealt = places.repartition(max(1, -(-total // read_bytes)), "shard", F.floor(F.col("offset") / (read_bytes // 4)))
+    return dealt.sortWithinPartitions("shard", "offset")
+
+
 def read_headers(index: DataFrame) -> DataFrame:
     """The index with width, height and bit_depth; only HEADER_BYTES of each member are read."""
     names = ["width", "height", "bit_depth"]
@@ -203,17 +227,13 @@ def read_features(index: DataFrame) -> DataFrame:
     added = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
 
     def look(batches):
-        reader, known, held = _Reader(), {}, ""
+        reader = _Reader()
         for batch in batches:
             rows = []
             for shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True):
-                if shard != held:  # what rows of one shard share is read once
-                    known, held = {}, shard
-                if offset not in known:
-                    media = reader.read(shard, offset, length)
-                    payload = decode_png(media)
-                    known[offset] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload))
-                rows.append(known[offset])
+                media = reader.read(shard, offset, length)
+                payload = decode_png(media)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             arrays = [pa.array(c, pa.int64() if isinstance(k, T.LongType) else pa.string()) for c, (_, k) in zip(columns, added, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *(n for n, _ in added)])
@@ -221,11 +241,15 @@ def read_features(index: DataFrame) -> DataFrame:
     return index.mapInArrow(look, T.StructType([*index.schema.fields, *(T.StructField(n, k) for n, k in added)]))
 
 
-def canonical(index: DataFrame) -> DataFrame:
+def canonical(written: DataFrame) -> DataFrame:
     """One place for each digest over all shards (the first by shard and offset): digest, shard, offset, length."""
-    return index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.shard", "p.offset", "p.length")
+    return written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.shard", "p.offset", "p.length")
 
 
-def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
+def media_columns(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Store all texts, then one row for each with its place, metadata and features."""
-    return read_features(read_headers(write_media(docs, folder)))
+    work = Work(docs.sparkSession, "media-work")
+    index, places = write_media(docs, folder, shard_bytes, work)
+    facts = work.write(read_features(read_headers(dealt_reads(places))), "features")
+    work.drop("holders", "stored", "places")
+    return index.join(facts, "digest").select("doc_id", *(c for c in index.columns if c != "doc_id"), *(c for c in facts.columns if c != "digest"))

@@ -7,8 +7,9 @@ packed id matrix, cumulative segment lengths and position resets; the returned t
 row for each packed row, with its documents in order.
 
 Nothing is shuffled. A window of pieces is packed at a time, so memory is bounded whatever a
-partition's size; a window has thousands of rows, of which only the last few aren't full. Files are written under
-a name of the attempt and renamed when whole, and depend on the partition's rows alone.
+partition's size; a window has a thousand rows, of which only the last few aren't full. Files are written under
+a name of the attempt and renamed when whole, and depend on the partition's rows and their order alone: docs should be a written
+table, whose partitions come again as they were when a task is repeated.
 
 Defined cases: null and empty texts give no tokens and an `empty` row lists their documents; a text
 longer than a row is cut in pieces that keep their order by `piece`; repeated rows are packed each;
@@ -28,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import batch_texts, give_back, joined, prefix_hashes, shared_dir, span_hashes, text_chunks
+from .common import batch_texts, give_back, joined, mixed, prefix_hashes, shared_dir, span_hashes, text_chunks
 from .media import _uri
 
 #: Ids in a packed row, rows' worth of ids packed at once, and the id that fills a row's end.
@@ -36,9 +37,8 @@ ROW, WINDOW_ROWS, PAD = 2048, 1024, 50256
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Pieces whose ids a worker remembers; beyond, it forgets them all and starts again.
 REMEMBERED = 500_000
-#: Bytes of text whose pieces are looked up together: more have fewer distinct pieces for their number.
-RUN_BYTES = 4 << 20
-
+#: Bytes of text whose pieces are looked up together.
+RUN_BYTES = 1 << 19
 
 _KIND = np.ones(256, np.uint8)  # 0 blank, 1 letters, digits and all beyond ASCII, 2 the rest
 _KIND[32] = 0
@@ -69,7 +69,8 @@ def pieces_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 class Tokenizer:
     """Ids of texts for a file of byte-level BPE ranks; ids decode to the texts' bytes.
 
-    Each distinct piece of a run of texts is looked up once; known pieces are remembered up to a number, by hash and bytes.
+    Each distinct piece of a run of texts is looked up once. Known pieces are remembered up to a number, in arrays sorted by
+    hash; length and first bytes must agree too.
     """
 
     def __init__(self, path: str):
@@ -80,33 +81,55 @@ class Tokenizer:
         if max(ranks.values()) > 0xFFFF:
             raise ValueError("ids of this vocabulary don't fit 16 bits")
         self.encoding = tiktoken.Encoding("cairn", pat_str=r" ?[^ ]+| +", mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[int, tuple[bytes, np.ndarray]] = {}
-
-    def piece(self, key: int, raw: bytes) -> np.ndarray:
-        held = self.known.get(key)
-        if held is not None and held[0] == raw:
-            return held[1]
-        ids = np.asarray(self.encoding.encode_ordinary(raw.decode("utf-8")), np.uint16)
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        if held is None:
-            self.known[key] = (raw, ids)
-        return ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.marks, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.table = np.zeros(0, np.uint16)
+
+    def _learn(self, keys: np.ndarray, marks: np.ndarray, raws: list[bytes]) -> None:
+        made = [self.encoding.encode_ordinary(raw.decode("utf-8")) for raw in raws]
+        size = np.fromiter(map(len, made), np.int32, len(made))
+        at = np.cumsum(size, dtype=np.int64) - size + len(self.table)
+        self.table = np.concatenate((self.table, np.fromiter((i for ids in made for i in ids), np.uint16, int(size.sum()))))
+        place = np.searchsorted(self.keys, keys)
+        for name, new in (("keys", keys), ("marks", marks), ("at", at), ("size", size)):
+            setattr(self, name, np.insert(getattr(self, name), place, new))
+
+    def _known(self, keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces are, and which of them are there."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, (self.keys[at] == keys) & (self.marks[at] == marks)
 
     def ids(self, raws: list[bytes]) -> list[np.ndarray]:
         data, starts, ends, firsts = pieces_of(raws)
         if not len(starts):
             return [np.zeros(0, np.uint16)] * len(raws)
-        hashes, first, back = np.unique(span_hashes(prefix_hashes(data), starts, ends), return_index=True, return_inverse=True)
-        flat = data.tobytes()
-        made = [self.piece(k, flat[a:b]) for k, a, b in zip(hashes.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True)]
-        sizes = np.asarray([len(x) for x in made])
-        table, heads = np.concatenate(made), np.cumsum(sizes) - sizes
-        count = sizes[back]
+        flat = data.tobytes() + bytes(8)
+        eight = np.ndarray(len(data), "<u8", flat, strides=(1,))
+        length = ends - starts
+        # Up to seven bytes and the length: the whole of a short piece.
+        marks = eight[starts] & ((np.uint64(1) << (np.minimum(length, 7) * 8).astype(np.uint64)) - np.uint64(1)) | np.minimum(length, 255).astype(np.uint64) << np.uint64(56)
+        hashes = mixed(span_hashes(prefix_hashes(data), starts, ends) ^ marks)
+        hashes, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        own, a, b = marks[first], starts[first], ends[first]
+        at, known = self._known(hashes, own)
+        new = np.flatnonzero(~known)
+        if len(self.keys) + len(new) > REMEMBERED:
+            self.forget()
+            new = np.arange(len(hashes))
+        if len(new):
+            self._learn(hashes[new], own[new], [flat[x:y] for x, y in zip(a[new].tolist(), b[new].tolist(), strict=True)])
+            at, known = self._known(hashes, own)
+        if not known.all() or (marks != own[back]).any():  # two pieces of one hash: no memory for this run
+            return [np.asarray(self.encoding.encode_ordinary(raw.decode("utf-8")), np.uint16) for raw in raws] if len(raws) == 1 else [x for raw in raws for x in self.ids([raw])]
+        count = self.size[at][back].astype(np.int64)
         stops = np.cumsum(count)
-        out = table[np.arange(stops[-1]) - np.repeat(stops - count, count) + np.repeat(heads[back], count)]
+        out = self.table[np.arange(stops[-1]) + np.repeat(self.at[at][back] - (stops - count), count)]
         borders = np.concatenate(([0], stops))[firsts]
-        return [out[a:b] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
+        return [out[x:y] for x, y in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
 
 
 @functools.lru_cache(maxsize=1)
@@ -219,7 +242,7 @@ def pack_tokens(docs: DataFrame, folder: str | None = None, row: int = ROW, wind
                 yield _rows([(None, None, 0, 0, empty, None, None, None, True)])
         if held:
             yield emit(fs, path, f"{part:06d}-{count:05d}", held)
-        tokenizer(vocabulary).known.clear()  # the worker may do other work next
+        tokenizer(vocabulary).forget()  # the worker may do other work next
         give_back()
 
     return docs.select("doc_id", "text").mapInArrow(pack, SCHEMA)

@@ -161,18 +161,49 @@ def test_image_round_trip(text):
     assert ME.feature_of(payload)
 
 
+def brute_feature(payload):
+    """Mean, deviation, histogram and grid of the samples, sample by sample."""
+    n, total = len(payload), sum(payload)
+    square = sum(x * x for x in payload)
+    deviation = int((square * n - total * total) ** 0.5 * 1000 / n)
+    shares = [sum(x // 16 == k for x in payload) * 1000 // n for k in range(16)]
+    height, bits = n // 576, ""
+    for gy in range(8):
+        low, high = gy * height // 8, (gy + 1) * height // 8
+        for gx in range(8):
+            cell = [payload[y * 576 + x] for y in range(low, max(low + 1, high)) for x in range(gx * 72, gx * 72 + 72)]
+            bits += "1" if sum(cell) * n > total * len(cell) else "0"
+    return f"{total * 1000 // n}:{deviation}:{','.join(map(str, shares))}:{int(bits, 2):016x}"
+
+
+@pytest.mark.parametrize("n", [1, 576, 577, 5000, 9 * 576])
+def test_feature(n):
+    payload = ME.payload_of("".join(chr(32 + i * i % 90) for i in range(n)))[0]
+    assert ME.feature_of(payload) == brute_feature(payload)
+
+
 def test_media(spark, odd_docs, odd_rows, no_docs, tmp_path):
     folder = f"file://{tmp_path}/media"
-    index = ME.write_media(odd_docs.repartition(3), folder, shard_bytes=4096)
-    for r in ME.read_features(ME.read_headers(index)).collect():
+    docs = spark.createDataFrame(odd_docs.rdd.coalesce(3), odd_docs.schema)
+    index, places = ME.write_media(docs, folder, shard_bytes=4096)
+    stored = []
+    for path in sorted((tmp_path / "media").glob("*.tar")):
+        with tarfile.open(path) as tar:
+            stored += [m.name for m in tar.getmembers()]
+    rows = ME.read_features(ME.read_headers(ME.dealt_reads(places, 2048))).collect()
+    for r in rows:
         with tarfile.open(r["shard"].removeprefix("file://")) as tar:
             member = tar.getmember(f"{r['digest']}.png")
             assert (member.offset_data, member.size) == (r["offset"], r["length"])
         assert r["digest"] == r["payload_sha256"] and r["width"] * r["height"] == r["payload_bytes"]
-    got = Counter((r["doc_id"], r["n_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in ME.read_features(index).collect())
-    want = Counter((d, len((t or "").encode()), hashlib.sha256(ME.payload_of(t)[0]).hexdigest(), zlib.crc32(ME.payload_of(t)[0][-32:])) for d, t, _ in odd_rows)
+    payloads = {hashlib.sha256(p).hexdigest(): p for p in (ME.payload_of(t)[0] for _, t, _ in odd_rows)}
+    assert sorted(stored) == sorted(f"{d}.png" for d in payloads) and len(rows) == len(payloads)  # a payload is stored once over all tasks
+    assert all(r["feature"] == brute_feature(payloads[r["digest"]]) for r in rows)
+    out = ME.media_columns(odd_docs, shard_bytes=4096).collect()
+    got = Counter((r["doc_id"], r["n_bytes"], r["payload_sha256"], r["tail_crc32"], r["digest"]) for r in out)
+    want = Counter((d, len((t or "").encode()), hashlib.sha256(ME.payload_of(t)[0]).hexdigest(), zlib.crc32(ME.payload_of(t)[0][-32:]), hashlib.sha256(ME.payload_of(t)[0]).hexdigest()) for d, t, _ in odd_rows)
     assert got == want
-    assert ME.canonical(index).count() == len({k[2] for k in want})
+    assert len({(r["digest"], r["shard"], r["offset"]) for r in out}) == len(payloads)
     assert ME.media_columns(no_docs).count() == 0
 
 
@@ -196,6 +227,19 @@ def test_best_fit(lengths):
     assert len(rows) == want
 
 
+def test_pieces_of_one_hash(monkeypatch):
+    """Where pieces that differ have one hash, ids still decode to the text."""
+    tok = P.Tokenizer(P.VOCABULARY)
+    texts = [b"some words and some more words", "ÀÉ 東京 words".encode(), b"", b"word"]
+    plain = [x.tolist() for x in tok.ids(texts)]
+    assert [x.tolist() for x in tok.ids(texts)] == plain and [tok.encoding.decode_bytes(x) for x in plain] == texts
+    monkeypatch.setattr(P, "span_hashes", lambda prefix, a, b: (b - a).astype(np.uint64) * 0)
+    monkeypatch.setattr(P, "mixed", lambda x: x % np.uint64(3))
+    tok.forget()
+    for _ in range(2):
+        assert [tok.encoding.decode_bytes(x.tolist()) for x in tok.ids(texts)] == texts
+
+
 def test_packed_files(spark, odd_docs, odd_rows, no_docs, tmp_path):
     import base64
 
