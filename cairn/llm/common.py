@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A-Z to a-z and nothing else, in SQL and in bytes.
@@ -102,6 +102,31 @@ def join_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> Da
     return F.broadcast(df) if fits_broadcast(df, row_bytes, limit) else df
 
 
+def by_document(docs: DataFrame, facts: DataFrame, row_bytes: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """docs (with doc_id and _text_hash) left-joined with facts (a written table of _id and _hash, one row for each document).
+
+    The texts stay where they are if the facts' counted bytes fit a broadcast; beyond, both sides are shuffled.
+    """
+    size = facts.agg(F.sum(row_bytes)).first()[0] or 0
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    return docs.join(F.broadcast(facts) if size <= limit else facts, same, "left")
+
+
+def join_skewed(rows: DataFrame, side: DataFrame, keys: list[str], hot: Column, row_bytes: int = 64, salts: int = 32, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """rows joined with side (a written table, a row for each key) where some keys, those that are hot, have very many rows.
+
+    Hot keys go by broadcast if few enough, else to so many copies that rows are dealt over; only the rest is shuffled by key alone.
+    """
+    many, rest = side.where(hot), side.where(~hot)
+    if fits_broadcast(many, row_bytes, limit):
+        many, on = F.broadcast(many), keys
+    else:
+        many, on = many.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "_salt"]
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    found = rows.join(many, on).drop("_salt")
+    return found.unionByName(rows.join(many.select(*on), on, "left_anti").drop("_salt").join(rest, keys))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df

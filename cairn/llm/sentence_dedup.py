@@ -12,7 +12,8 @@ one with the least document, then text, then position, over the whole corpus.
 A first pass counts 64-bit span keys alone, combined before the shuffle, so a frequent span costs
 a row for each task. Keys that repeat reach a second pass by broadcast where their counted size is
 bounded and by a shuffle join elsewhere; only the spans that have one are written and joined
-by all 128 bits (skewed keys are split there).
+by all 128 bits, frequent ones apart from the others, without dealing their rows by key. Texts aren't shuffled
+where the ranges that go are few enough for a broadcast.
 
 Defined cases: null and empty texts have no sentences; a text with fewer words than a span is never
 touched; repeated rows of a document (same id and text) are one occurrence and get equal results; an empty table
@@ -26,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, FOLD, SPACE, Wanted, batch_texts, materialize, mixed, runs, text_chunks, with_wanted, word_table, words_of
+from .common import BROADCAST_BYTES, FOLD, SPACE, Wanted, Work, batch_texts, by_document, join_skewed, mixed, runs, text_chunks, with_wanted, word_table, words_of
 
 #: Words that a span has at least, sentences that it has at least, and words after which a sentence is cut.
 SPAN_WORDS, SPAN_SENTENCES, SENTENCE_WORDS = 24, 2, 12
 #: Words of a window of which the least hash begins a piece of a long sentence; no piece is longer.
 CUT_WINDOW = 6
+#: Rows from which a span is joined as a frequent one, apart from the others.
+HOT_ROWS = 2000
 _WORDS = word_table(SPACE)
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
@@ -139,24 +142,26 @@ def _repeated_spans(docs: DataFrame, wanted: Wanted, span_words: int, span_sente
     return docs.mapInArrow(scan, "doc_id long, text_hash long, first int, many int, h1 long, h2 long")
 
 
-def covered_sentences(docs: DataFrame, span_words: int = SPAN_WORDS, span_sentences: int = SPAN_SENTENCES, broadcast_bytes: int = BROADCAST_BYTES, cut_window: int = 0) -> DataFrame:
+def covered_sentences(docs: DataFrame, span_words: int = SPAN_WORDS, span_sentences: int = SPAN_SENTENCES, broadcast_bytes: int = BROADCAST_BYTES, cut_window: int = 0, work: Work | None = None) -> DataFrame:
     """doc_id, text_hash and gone: runs (first, end) of sentences under a repeated span that isn't the first of its kind."""
+    work = work or Work(docs.sparkSession, "sentences")
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    again = materialize(_span_keys(docs, span_words, span_sentences, cut_window).groupBy("key").count().where("count > 1").select("key"), "repeated-spans")
+    again = work.write(_span_keys(docs, span_words, span_sentences, cut_window).groupBy("key").count().where("count > 1").select("key"), "repeated-spans")
     chosen, wanted = with_wanted(docs, again, _span_keys(docs, span_words, span_sentences, cut_window, True), broadcast_bytes)
-    table = materialize(_repeated_spans(chosen, wanted, span_words, span_sentences, cut_window), "spans")
+    table = work.write(_repeated_spans(chosen, wanted, span_words, span_sentences, cut_window), "spans")
     place = F.struct("doc_id", "text_hash", "first")
     # A repeated row brings its spans twice at the same place: more than one place makes a repeat.
-    seen = table.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where(F.col("head") != F.col("tail")).select("h1", "h2", "head")
-    later = table.join(seen, ["h1", "h2"]).where(~place.eqNullSafe(F.col("head")))
+    seen = table.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.max(place).alias("tail"), F.count(F.lit(1)).alias("times")).where(F.col("head") != F.col("tail")).select("h1", "h2", "head", "times")
+    later = join_skewed(table, work.write(seen, "seen"), ["h1", "h2"], F.col("times") > HOT_ROWS, limit=broadcast_bytes).where(~place.eqNullSafe(F.col("head")))
     return later.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("first", (F.col("first") + F.col("many")).alias("end")))).alias("gone"))
 
 
 def remove_repeats(docs: DataFrame, span_words: int = SPAN_WORDS, span_sentences: int = SPAN_SENTENCES, cut_window: int = 0) -> DataFrame:
     """doc_id, n_sentences, n_removed, n_words_removed, text (what stays, byte for byte) for every row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = covered_sentences(docs, span_words, span_sentences, cut_window=cut_window).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    both = docs.withColumn("_text_hash", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    docs, work = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), Work(docs.sparkSession, "sentences")
+    gone = covered_sentences(docs, span_words, span_sentences, cut_window=cut_window, work=work).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    gone = work.write(gone, "gone", drop=["repeated-spans", "spans", "seen"])
+    both = by_document(docs.withColumn("_text_hash", F.xxhash64("text")), gone, 64 + 16 * F.size("gone"))
 
     def cut(batches):
         for batch in batches:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Wanted, batch_texts, joined, materialize, mixed, powers, prefix_hashes, runs, span_hashes, strings, text_chunks, with_wanted
+from .common import BROADCAST_BYTES, Wanted, Work, batch_texts, by_document, join_side, joined, materialize, mixed, powers, prefix_hashes, runs, span_hashes, strings, text_chunks, with_wanted
 
 #: Bytes of a window, and bytes of the grams that anchor it.
 WIDTH, GRAM = 200, 32
@@ -355,22 +355,24 @@ def _hot_windows(docs: DataFrame, hot: DataFrame, width: int, gram: int, limit:
     return rows.join(again, ["h1", "h2"], "left_semi").select("doc_id", "text_hash", F.col("at").alias("lo"), (F.col("at") + width).alias("hi"))
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, array_bytes: int = ARRAY_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, array_bytes: int = ARRAY_BYTES, broadcast_bytes: int = BROADCAST_BYTES, work: Work | None = None) -> DataFrame:
     """doc_id, text_hash and spans: byte ranges (lo, hi), sorted and perhaps overlapping, under repeated windows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    keys = materialize(_anchor_keys(docs, width, gram).groupBy("key").count().where("count > 1"), "anchors")
+    work = work or Work(docs.sparkSession, "suffixes")
+    keys = work.write(_anchor_keys(docs, width, gram).groupBy("key").count().where("count > 1"), "anchors")
     chosen, wanted = with_wanted(docs, keys, _anchor_keys(docs, width, gram, True), broadcast_bytes)
-    places = materialize(_contexts(chosen, wanted, width, gram), "contexts")
+    places = work.write(_contexts(chosen, wanted, width, gram), "contexts")
     # A context seen more than once repeats as a whole.
     times = places.groupBy("c1", "c2", "many").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     whole = times.select("c1", "c2", F.array(F.struct(F.lit(0).alias("lo"), F.col("many").alias("hi"))).alias("runs"))
     contexts, many = places.where(F.col("context").isNotNull()), None
     often = keys.where(F.col("count") > hot).select("key")
     if not often.isEmpty():
-        many = places.select("key", "c1", "c2").join(often, "key").distinct().groupBy("key").count()
-        many = materialize(many.where(F.col("count") > hot).select("key"), "hot-anchors")
+        # Hot keys are few (each stands for more than `hot` rows); their contexts are combined before they meet.
+        many = places.select("key", "c1", "c2").join(join_side(often, 16, broadcast_bytes), "key").distinct().groupBy("key").count()
+        many = work.write(many.where(F.col("count") > hot).select("key"), "hot-anchors")
         if not many.isEmpty():
-            contexts = contexts.join(many, "key", "left_anti")
+            contexts = contexts.join(join_side(many, 16, broadcast_bytes), "key", "left_anti")
     part = _sort_contexts(contexts, width, array_bytes)
     facts = whole.union(part).groupBy("c1", "c2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     found = places.select("doc_id", "text_hash", "c1", "c2", "start").join(facts, ["c1", "c2"]).select("doc_id", "text_hash", "start", F.explode("runs").alias("r"))
@@ -382,9 +384,12 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
 
 def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes) for every row of docs."""
-    spans = repeated_spans(docs, width, **options).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    work = Work(docs.sparkSession, "suffixes")
+    spans = repeated_spans(docs, width, work=work, **options).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    spans = work.write(spans, "repeats")
+    work.drop_all_but("repeats")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_text_hash"))
-    both = own.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left").select("doc_id", "text", "spans")
+    both = by_document(own, spans, 64 + 24 * F.size("spans")).select("doc_id", "text", "spans")
 
     def cut(batches):
         for batch in batches:
