@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import blocks, catalog, peers, scalars, timeline  # noqa: F401
+from .queries import blocks, catalog, formats, network, peers, scalars, store, timeline  # noqa: F401
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "search_bm25"

@@ -248,7 +248,22 @@ def it_pattern(data: bytes, at: int) -> tuple[int, list[tuple[int, int, int | No
     return rows, events
 
 
-# Synthetic modules for tests.
+def it_report(data: bytes) -> tuple | None:
+    """orders, instruments, samples, patterns, compressed and 16-bit samples, and bytes of sample data, of an IT header; null for other files."""
+    b = Bytes(data)
+    if b.n < 0xC0 or data[:4] != b"IMPM":
+        return None
+    counts = [b.le16(0x20 + 2 * i) for i in range(4)]
+    table, packed, wide, total = 0xC0 + counts[0] + 4 * counts[1], 0, 0, 0
+    for i in range(counts[2]):
+        head = b.le32(table + 4 * i)
+        flags, frames = b.u8(head + 0x12), b.le32(head + 0x30)
+        packed, wide = packed + bool(flags & 8), wide + bool(flags & 2)
+        total += frames * (2 if flags & 2 else 1) * (2 if flags & 4 else 1) if flags & 1 else 0
+    return (*counts, packed, wide, total)
+
+
+# Synthetic modules for tests and queries.
 
 
 def wave(length: int, seed: int) -> bytes:
@@ -284,3 +299,48 @@ def build_it(title: str, samples: list[tuple[int, int]]) -> bytes:
         head += part
         body += wave(size, seed)
     return bytes(head) + body
+
+
+def build_s3m(title: str, samples: list[tuple[int, int, int]]) -> bytes:
+    """An S3M without patterns; samples are (frames, seed, flags: 2 stereo, 4 of 16 bits)."""
+    head = bytearray(0x60)
+    head[: len(title)] = title.encode("latin-1")[:28]
+    struct.pack_into("<HHH", head, 0x20, 2, len(samples), 0)
+    head[0x2C:0x30] = b"SCRM"
+    head += b"\xff\xff"
+    first = -(-(len(head) + 2 * len(samples)) // 16)
+    data_at = first + 5 * len(samples)
+    head += b"".join(struct.pack("<H", first + 5 * i) for i in range(len(samples)))
+    head += bytes(first * 16 - len(head))
+    body = b""
+    for frames, seed, flags in samples:
+        part = bytearray(0x50)
+        at = data_at + len(body) // 16
+        part[0], part[0x0D], part[0x1F] = 1, at >> 16, flags
+        struct.pack_into("<H", part, 0x0E, at & 0xFFFF)
+        struct.pack_into("<I", part, 0x10, frames)
+        head += part
+        size = frames * (2 if flags & 4 else 1) * (2 if flags & 2 else 1)
+        body += wave(size, seed) + bytes(-size % 16)
+    return bytes(head) + body
+
+
+def build_xm(title: str, instruments: list[list[tuple[int, int, bool]]]) -> bytes:
+    """An XM without patterns; an instrument is a list of samples (bytes, seed, 16 bits or not)."""
+    out = bytearray(b"Extended Module: " + title.encode("latin-1")[:20].ljust(20) + b"\x1a" + b"x".ljust(20) + b"\x04\x01")
+    out += struct.pack("<IHHHHHHHH", 276, 1, 0, 4, 0, len(instruments), 0, 6, 125) + bytes(256)
+    for samples in instruments:
+        size = 263 if samples else 33
+        head = bytearray(size)
+        struct.pack_into("<I", head, 0, size)
+        struct.pack_into("<HI", head, 27, len(samples), 40)
+        out += head
+        for length, _, wide in samples:
+            out += struct.pack("<IIIBbBBbB", length, 0, 0, 64, 0, 0x10 if wide else 0, 128, 0, 0) + bytes(22)
+        out += b"".join(wave(length, seed) for length, seed, _ in samples)
+    return bytes(out)
+
+
+def pack_it(frames: int, bits: int, sizes: list[int]) -> bytes:
+    """Blocks of a compressed sample, each with its length before it."""
+    return b"".join(struct.pack("<H", n) + wave(n, bits) for n in sizes)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Extensions of side files, and words from which on a title doesn't identify a work.
-SIDECARS = "info|txt|nfo|diz|readme|md|doc|jpg|jpeg|png|gif|bmp|pdf|url|html?"
+SIDECARS = "info|txt|nfo|diz|readme|md|doc|jpg|jpeg|png|gif"
 SUFFIX_WORDS = "part|pt|remix|mix|rmx|ver|version|v|edit|final|demo"
 #: Block codecs by name.
 CODECS = {"raw": 0x55, "dag-pb": 0x70, "dag-cbor": 0x71}
@@ -15,6 +19,33 @@ CODECS = {"raw": 0x55, "dag-pb": 0x70, "dag-cbor": 0x71}
 CHUNK = 16384
 
 
+@functools.lru_cache(maxsize=1)
+def _accented() -> tuple[str, str]:
+    """Letters whose decomposition is one letter and combining marks, and those letters (lower case only)."""
+    pairs = []
+    for c in map(chr, range(0x80, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and c == c.lower() and base.isalnum() and all(unicodedata.category(m) == "Mn" for m in marks):
+            pairs.append((c, base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def folded(text: Column) -> Column:
+    """Lower case, without diacritics, combining or composed."""
+    return F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), *_accented()), r"\p{Mn}+", "")
+
+
+def folded_words(text: Column) -> Column:
+    """The tokens of a text: runs of letters and digits of any alphabet, folded."""
+    return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def folded_tokens(text: str) -> tuple[str, ...]:
+    """The same on the driver, for search strings."""
+    low = "".join(c for c in text.lower().translate(str.maketrans(*_accented())) if unicodedata.category(c) != "Mn")
+    return tuple(t for t in re.split(r"[^\w]|_", low) if t)
+
+
 def nocase(col: Column) -> Column:
     """Sort key that folds A-Z only, as SQLite's NOCASE does; other letters keep their place."""
     return F.translate(col, UPPER, LOWER)
@@ -30,8 +61,8 @@ def is_sidecar(name: Column) -> Column:
 
 
 def is_module_entry(name: Column) -> Column:
-    """Neither a directory nor a hidden or side file."""
-    return ~name.endswith("/") & ~is_sidecar(name) & ~F.substring_index(name, "/", -1).startswith(".")
+    """Neither a directory nor a side file; a hidden name inside an archive is an entry like others."""
+    return ~name.endswith("/") & ~is_sidecar(name)
 
 
 def title_key(title: Column) -> Column:
@@ -90,7 +121,7 @@ def duration_seconds(text: Column, default: float) -> Column:
 
 def percent_encoded(text: Column) -> Column:
     """Every UTF-8 byte but letters, digits and -_.~ as %XX."""
-    return F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~"))
+    return F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
 
 def transport_class(address: Column) -> Column:

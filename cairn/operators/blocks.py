@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binary import digest, fixed_chunks
@@ -50,13 +50,16 @@ def read_ranges(chunks: DataFrame, ranges: DataFrame, key: str = "id") -> DataFr
 
 
 def expand_runs(rows: DataFrame, pairs: str, content: str) -> DataFrame:
-    """Content with zero bytes put back: pairs are [content bytes, zeros, content bytes, zeros, ...]."""
+    """Content with zero bytes put back: pairs are [content bytes, zeros, content bytes, zeros, ...].
+
+    One fold over the pairs carries the place; each piece is cut once.
+    """
     n = F.col(pairs)
     count = (F.size(n) / 2).cast("int")
     index = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    before = lambda i: F.aggregate(F.when(i > 0, F.sequence(F.lit(0), i - 1)).otherwise(F.array().cast("array<int>")), F.lit(0), lambda a, j: a + n[2 * j])
-    piece = lambda i: F.concat(F.hex(F.substring(content, before(i) + 1, n[2 * i])), F.repeat(F.lit("00"), n[2 * i + 1]))
-    return rows.withColumn("expanded", F.unhex(F.array_join(F.transform(index, piece), "")))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("hex"))
+    step = lambda a, i: F.struct((a["at"] + n[2 * i]).alias("at"), F.concat(a["hex"], F.hex(F.substring(content, a["at"] + 1, n[2 * i])), F.repeat(F.lit("00"), n[2 * i + 1])).alias("hex"))
+    return rows.withColumn("expanded", F.unhex(F.aggregate(index, start, step, lambda a: a["hex"])))
 
 
 def dedup_stats(blocks: DataFrame, cid: str = "cid", size: str = "len") -> DataFrame:
@@ -72,3 +75,19 @@ def dedup_stats(blocks: DataFrame, cid: str = "cid", size: str = "len") -> DataF
 def most_reused(blocks: DataFrame, k: int = 12, cid: str = "cid", size: str = "len") -> DataFrame:
     each = blocks.groupBy(cid).agg(F.count(F.lit(1)).alias("n"), F.first(size).cast("long").alias("bytes"))
     return each.orderBy(F.col("n").desc(), F.col("bytes").desc(), F.col(cid)).limit(k)
+
+
+def pooled_stats(blocks: DataFrame, pool: str, cid: str = "cid", size: str = "len") -> DataFrame:
+    """Total and unique pieces and bytes of each pool."""
+    each = blocks.groupBy(pool, cid).agg(F.count(F.lit(1)).alias("n"), F.first(size).cast("long").alias("b"))
+    return each.groupBy(pool).agg(F.sum("n").alias("pieces"), F.count(F.lit(1)).alias("unique_pieces"), F.sum(F.col("n") * F.col("b")).alias("bytes"), F.sum("b").alias("unique_bytes"))
+
+
+def new_leaves(touched: DataFrame, known: DataFrame, cid: str = "cid", links: str = "links") -> DataFrame:
+    """Addresses of touched nodes without links that aren't known yet, each once."""
+    return touched.where(F.col(links) == 0).select(cid).distinct().join(known.select(cid), cid, "left_anti")
+
+
+def group_hash(data: Column) -> Column:
+    """16 hex digits for grouping equal content; an address needs `digest`."""
+    return F.lower(F.lpad(F.hex(F.xxhash64(data)), 16, "0"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -93,3 +95,13 @@ def insert_new(catalog: DataFrame, rows: DataFrame) -> DataFrame:
     numbered = ranged.withColumn("_n", inside).join(F.broadcast(counts.drop("count")), "_part")
     numbered = numbered.withColumn("id", F.lit(last) + F.col("_before") + F.col("_n")).drop("_part", "_n", "_before")
     return catalog.unionByName(numbered)
+
+
+def get_source(modules: DataFrame, source: str) -> DataFrame:
+    """id and root of a source's module."""
+    return modules.where(F.col("source") == source).select("id", "root_cid")
+
+
+def camel_names(rows: DataFrame) -> DataFrame:
+    """rows with names such as rootCid for root_cid."""
+    return rows.toDF(*(re.sub(r"_([a-z0-9])", lambda m: m[1].upper(), c) for c in rows.columns))

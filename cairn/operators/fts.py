@@ -1,4 +1,7 @@
-"""Full-text search with BM25: over token strings in one scan, or over an inverted index.
+"""Full-text search with BM25 over a stored inverted index.
+
+The index is a table of postings, range-partitioned and sorted by term, so a search reads the row groups
+of its own terms only. A posting carries its row's number of tokens; nothing is joined to score.
 
 Rank: for each phrase ln((N - n + 0.5) / (n + 0.5)), at least 1e-6, times f * 2.2 / (f + 1.2 * (0.25 + 0.75 * D / avgD)),
 summed; f counts over all columns, D is the row's tokens over all columns, n the rows that hold the
@@ -8,22 +11,29 @@ comes in order of id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.strings import folded_words
 from ..plans import match
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
+#: Rows that a search gives at most.
+MOST = 500
+POSTINGS = T.StructType([T.StructField("term", T.StringType()), T.StructField("id", T.LongType()), T.StructField("column", T.StringType()), T.StructField("d", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
 
 
-def token_string(text: Column) -> Column:
-    """Lower-case runs of a-z and 0-9, each with a blank on both sides."""
-    words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
-    return F.when(words == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
-
+@dataclass(frozen=True)
+class Index:
+    """A stored index: the folder of the postings, the rows it covers and all their tokens."""
 
-def token_count(tokens: Column) -> Column:
-    return F.length(tokens) - F.length(F.replace(tokens, F.lit(" "), F.lit(""))) - 1
+    postings: DataFrame
+    columns: tuple[str, ...]
+    rows: int
+    tokens: int
 
 
 def rank_threshold(total: Column) -> Column:
@@ -31,54 +41,110 @@ def rank_threshold(total: Column) -> Column:
     return F.when(total == 0, F.lit(4000)).otherwise(F.least(F.lit(4000), F.greatest(F.floor(total / 10), F.lit(200)))).cast("long")
 
 
-def search(rows: DataFrame, text: str, columns: dict[str, Column], limit: int = 50, total: int | None = None, most: int | None = None) -> DataFrame:
-    """The best rows of a search with their score (null if unranked); columns are the searched texts by name.
+def postings(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The inverted index of rows with an id: term, id, column, d (tokens of the row) and positions (from 0)."""
+    words = rows.select("id", *(folded_words(c).alias(name) for name, c in columns.items()))
+    each = F.array(*(F.struct(F.lit(name).alias("column"), F.col(name).alias("tokens")) for name in columns))
+    length = sum((F.size(name) for name in columns), F.lit(0))
+    flat = words.select("id", length.alias("d"), F.explode(each).alias("x")).select("id", "d", "x.column", F.posexplode("x.tokens").alias("pos", "term"))
+    return flat.groupBy("term", "id", "column").agg(F.first("d").alias("d"), F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def write_index(rows: DataFrame, columns: dict[str, Column], folder: str, mode: str = "errorifexists") -> None:
+    """Write postings by term (a frequent term spreads over partitions by id), and a row of totals."""
+    made = postings(rows, columns)
+    made.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode(mode).parquet(f"{folder}/postings")
+    length = sum((F.size(folded_words(c)) for c in columns.values()), F.lit(0))
+    totals = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(length), F.lit(0)).cast("long").alias("tokens"))
+    totals.withColumn("columns", F.array(*map(F.lit, columns))).coalesce(1).write.mode(mode).parquet(f"{folder}/totals")
+
+
+def append_index(rows: DataFrame, columns: dict[str, Column], folder: str) -> None:
+    """Add rows of new ids: their postings and totals are further files."""
+    write_index(rows, columns, folder, "append")
+
+
+def open_index(spark: SparkSession, folder: str) -> Index:
+    totals = spark.read.parquet(f"{folder}/totals").agg(F.sum("rows"), F.sum("tokens"), F.first("columns")).first()
+    return Index(spark.read.schema(POSTINGS).parquet(f"{folder}/postings"), tuple(totals[2] or ()), totals[0] or 0, totals[1] or 0)
+
 
-    One scan counts rows, tokens and matches of each phrase in partial aggregation; a second
-    one scores. total is the precomputed number of rows that the threshold uses, if known; most sets it.
+def _tests(p: match.Phrase) -> list[Column]:
+    """For each token of a phrase the test of a posting's term."""
+    return [F.col("term").startswith(t) if p.prefix and i == len(p.tokens) - 1 else F.col("term") == t for i, t in enumerate(p.tokens)]
+
+
+def _starts(i: int, p: match.Phrase) -> Column:
+    """Where a phrase begins in a column: its tokens' positions meet after a shift."""
+    out = F.col(f"_p{i}_0")
+    for k in range(1, len(p.tokens)):
+        out = F.array_intersect(out, F.transform(f"_p{i}_{k}", match.minus(k)))
+    out = F.filter(out, lambda x: x == 0) if p.first else out
+    return F.when(F.col("column").isin(*p.columns), out).otherwise(F.array().cast("array<int>")) if p.columns else out
+
+
+def matching(index: Index, tree) -> tuple[DataFrame, list[match.Phrase]]:
+    """id, d, hit and for each phrase its frequency (_f0, _f1, ...) of all rows that hold any; read from the terms' row groups."""
+    found = match.all_phrases(tree)
+    tests = [_tests(p) for p in found]
+    any_term = None
+    for t in (t for each in tests for t in each):
+        any_term = t if any_term is None else any_term | t
+    lists = [F.flatten(F.collect_list(F.when(t, F.col("positions")))).alias(f"_p{i}_{k}") for i, each in enumerate(tests) for k, t in enumerate(each)]
+    per = index.postings.where(any_term).groupBy("id", "column").agg(F.first("d").alias("d"), *lists)
+    per = per.select("id", "d", *(_starts(i, p).alias(f"_s{i}") for i, p in enumerate(found)))
+    nears = match.nears(tree)
+    near = [F.bool_or(match.near_holds(n, [found.index(p) for p in n.parts if p.tokens])).alias(f"_n{j}") for j, n in enumerate(nears)]
+    rows = per.groupBy("id").agg(F.first("d").alias("d"), *(F.sum(F.size(f"_s{i}")).alias(f"_f{i}") for i in range(len(found))), *near)
+    hit = match.holds(tree, {id(p): F.col(f"_f{i}") > 0 for i, p in enumerate(found)}, {id(n): F.col(f"_n{j}") for j, n in enumerate(nears)})
+    return rows.withColumn("hit", F.coalesce(hit, F.lit(False))), found
+
+
+def search(index: Index, text: str, limit: int = 50, total: int | None = None, most: int | None = None) -> DataFrame:
+    """id and score (null if unranked) of the best rows of a search.
+
+    total is the precomputed number of rows that the threshold uses, if known; most sets it. Blank text finds nothing.
     """
-    tree = match.parse(text, tuple(columns))
-    found = match.phrases(tree)
-    if tree is None or not found:
-        return rows.withColumn("score", F.lit(None).cast("double")).limit(0)
-    tokens = rows.select("*", *(token_string(c).alias(f"_t_{name}") for name, c in columns.items()))
-    texts = {name: F.col(f"_t_{name}") for name in columns}
-    length = sum((token_count(t) for t in texts.values()), F.lit(0))
-    scored = tokens.select(*rows.columns, match.matches(tree, texts).alias("_hit"), length.alias("_d"), *(match.frequency(p, texts).alias(f"_f{i}") for i, p in enumerate(found)))
-    facts = scored.agg(F.count(F.lit(1)).alias("rows"), F.avg("_d").alias("avg"), F.count_if("_hit").alias("hits"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"n{i}") for i in range(len(found)))).first()
-    count = facts["rows"] if total is None else total
+    spark, limit = index.postings.sparkSession, max(0, min(MOST, limit))
+    tree = match.parse(text, index.columns)
+    scored = match.phrases(tree)
+    if tree is None or not scored:
+        return spark.createDataFrame([], "id long, score double")
+    rows, found = matching(index, tree)
+    facts = rows.agg(F.count_if("hit").alias("hits"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"n{i}") for i in range(len(found)))).first()
+    count = index.rows if total is None else total
     if most is None:
         most = 4000 if count == 0 else min(4000, max(count // 10, 200))
-    hits = scored.where("_hit")
+    hits = rows.where("hit")
     if not match.is_explicit(text) and facts["hits"] > most:
-        return hits.orderBy("id").limit(limit).select(*rows.columns, F.lit(None).cast("double").alias("score"))
-    score = F.lit(0.0)
-    for i in range(len(found)):
+        return hits.orderBy("id").limit(limit).select("id", F.lit(None).cast("double").alias("score"))
+    score, average = F.lit(0.0), (index.tokens / index.rows if index.rows else 0) or 1.0
+    for p in scored:
+        i = found.index(p)
         n = facts[f"n{i}"]
-        idf = F.greatest(F.log(F.lit((facts["rows"] - n + 0.5) / (n + 0.5))), F.lit(FLOOR))
+        idf = F.greatest(F.log(F.lit((index.rows - n + 0.5) / (n + 0.5))), F.lit(FLOOR))
         f = F.col(f"_f{i}")
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_d") / F.lit(facts["avg"] or 1.0)))
-    return hits.withColumn("score", F.round(score, 6)).orderBy(F.col("score").desc(), F.col("id")).limit(limit).select(*rows.columns, "score")
-
-
-def postings(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """The inverted index: term, id, column and positions (from 0), for a table written by term."""
-    each = F.array(*(F.struct(F.lit(name).alias("column"), F.filter(F.split(token_string(c), " "), lambda t: t != "").alias("tokens")) for name, c in columns.items()))
-    flat = rows.select("id", F.explode(each).alias("x")).select("id", "x.column", F.posexplode("x.tokens").alias("pos", "term"))
-    return flat.groupBy("term", "id", "column").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("d") / F.lit(average)))
+    return hits.withColumn("score", F.round(score, 6)).orderBy(F.col("score").desc(), F.col("id")).limit(limit).select("id", "score")
 
 
-def _minus(i: int):
-    return lambda x: x - i
+def with_rows(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of a search's result, with the score; the result has MOST rows at most."""
+    return rows.join(F.broadcast(found), "id")
 
 
 def phrase_in_index(index: DataFrame, terms: list[str], prefix: bool = False) -> DataFrame:
-    """id, column and count of a phrase: the terms' postings meet on rows, positions are intersected after a shift."""
-    out = None
-    for i, term in enumerate(terms):
-        last = prefix and i == len(terms) - 1
-        part = index.where(F.startswith("term", F.lit(term)) if last else F.col("term") == term)
-        part = part.groupBy("id", "column").agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("p"))
-        part = part.select("id", "column", F.transform("p", _minus(i)).alias("p"))
-        out = part if out is None else out.join(part.withColumnRenamed("p", "q"), ["id", "column"]).select("id", "column", F.array_intersect("p", "q").alias("p")).where(F.size("p") > 0)
-    return out.select("id", "column", F.size("p").alias("n"))
+    """id, column and count of a phrase of these terms in a table of postings."""
+    phrase = match.Phrase(tuple(terms), prefix)
+    tests = _tests(phrase)
+    any_term = tests[0]
+    for t in tests[1:]:
+        any_term = any_term | t
+    lists = [F.flatten(F.collect_list(F.when(t, F.col("positions")))).alias(f"_p0_{k}") for k, t in enumerate(tests)]
+    per = index.where(any_term).groupBy("id", "column").agg(*lists)
+    return per.select("id", "column", F.size(_starts(0, phrase)).alias("n")).where("n > 0")
+
+
+def vocabulary(index: DataFrame) -> DataFrame:
+    """term, rows that hold it, and occurrences."""
+    return index.groupBy("term", "id").agg(F.sum(F.size("positions")).alias("c")).groupBy("term").agg(F.count(F.lit(1)).alias("rows"), F.sum("c").alias("occurrences"))

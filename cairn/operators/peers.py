@@ -127,3 +127,67 @@ def hop_classes(rows: DataFrame, address: str) -> DataFrame:
     kind = transport_class(F.col(address))
     hop = F.when(kind == "relay", "relay").when(kind == "unknown", "unknown").otherwise("direct")
     return rows.groupBy(hop.alias("hop")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def forward_targets(peers: DataFrame, seeds: DataFrame, own: str, key: str = "peer") -> DataFrame:
+    """Peers to forward to: neither this node nor a seed."""
+    return peers.where(F.col(key) != own).join(seeds.select(key), key, "left_anti")
+
+
+def requested(cids: Column, most: int = 256) -> Column:
+    """The first `most` addresses of a request; of those the ones that can be read (base-32 version 1, base-58 version 0)."""
+    return F.filter(F.slice(cids, 1, most), lambda c: c.rlike(r"^(b[a-z2-7]{8,}|Qm[1-9A-HJ-NP-Za-km-z]{44})$"))
+
+
+def warm_hops(addresses: DataFrame, seeds: DataFrame, own: str, address: str = "address", key: str = "peer") -> DataFrame:
+    """The relays by which providers are reached, each once: candidates to stay connected with, but not this node or seeds."""
+    from ..functions.strings import relay_hop
+
+    hops = addresses.select(relay_hop(F.col(address)).alias(key)).where(F.col(key).isNotNull()).distinct()
+    return forward_targets(hops, seeds, own, key)
+
+
+def last_state(rows: DataFrame, by: str, order: list[str], state: str) -> DataFrame:
+    """The newest state of each key; anything but public and private is unknown."""
+    known = F.when(F.col(state).isin("public", "private"), F.col(state)).otherwise("unknown")
+    return rows.groupBy(by).agg(F.max_by(known, F.struct(*order)).alias(state))
+
+
+def decimated(rows: DataFrame, by: str, order: list[str], every: int = 4) -> DataFrame:
+    """Every nth row of a key."""
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("_n") % every == 0).drop("_n")
+
+
+def delivered(messages: DataFrame, by: str, at: str, kind: str, init: str = "init") -> DataFrame:
+    """When each message takes effect: one that comes before its key's first init waits for it; without an init it never does."""
+    begins = F.min(F.when(F.col(kind) == init, F.col(at))).over(W.partitionBy(by))
+    return messages.withColumn("effective", F.when(begins.isNotNull(), F.greatest(F.col(at), begins))).where(F.col(kind) != init)
+
+
+def jittered(base: float, spread: float, seed: int) -> Column:
+    """A pause of base, up to spread less or more; exactly base where spread is not above zero."""
+    return F.lit(float(base)) if spread <= 0 else F.lit(float(base - spread)) + F.rand(seed) * (2 * spread)
+
+
+def streaming_wins(full: Column, skeleton: Column, first: Column, throughput: Column, trips: Column, latency: Column) -> Column:
+    """Whether bytes not fetched at the start repay the additional round trips."""
+    return (full - skeleton - first) / throughput > trips * latency
+
+
+def least_prefix(size: Column, holds, steps: int = 16, floor: int = 256, share: float = 0.005) -> Column:
+    """By bisection the shortest prefix for which holds(length) is true, to within floor or a share of the size; the size if none is found."""
+    start = F.struct(F.lit(0).cast("long").alias("lo"), size.cast("long").alias("hi"), size.cast("long").alias("found"))
+
+    def step(a, _):
+        mid = F.floor((a["lo"] + a["hi"]) / 2)
+        ok = holds(mid)
+        wide = a["hi"] - a["lo"] > F.greatest(F.lit(float(floor)), size * share)
+        down = F.struct(a["lo"].alias("lo"), mid.alias("hi"), mid.alias("found"))
+        up = F.struct(mid.alias("lo"), a["hi"].alias("hi"), a["found"].alias("found"))
+        return F.when(~wide, a).when(ok, down).otherwise(up)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda a: a["found"])
+
+
+def now_millis() -> Column:
+    return F.unix_millis(F.current_timestamp())

@@ -59,3 +59,13 @@ def first_segment(events: DataFrame, offsets: DataFrame, key: str = "source") ->
     """key and the sorted offsets of all samples that the first played order starts."""
     acts = triggers(events, key).where((F.col("place") == 0) & ~F.col("off")).join(offsets, [key, "sample"])
     return acts.groupBy(key).agg(F.array_sort(F.collect_set("offset")).alias("offsets"))
+
+
+def in_rows(events: DataFrame, key: str, item: str) -> DataFrame:
+    """items of each key in order of row, those of one row as they came (seq)."""
+    return events.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "seq", item))), lambda x: x[item]).alias("items"))
+
+
+def means(points: DataFrame, key: str, value: str, weighted: str) -> DataFrame:
+    """Mean of a value over a key's points, their number, and the ratio of two sums."""
+    return points.groupBy(key).agg(F.round(F.avg(value), 6).alias("mean"), F.count(F.lit(1)).alias("points"), F.round(F.sum(weighted) / F.sum(value), 6).alias("ratio"))

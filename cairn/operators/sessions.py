@@ -80,4 +80,9 @@ def seeds_first(seeds: DataFrame, found: DataFrame, key: str, most: int) -> Data
 
 def shuffled(rows: DataFrame, key: str, seed: int, most: int) -> DataFrame:
     """A seeded sample without replacement, in a seeded order."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(most)
+    return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(most)
+
+
+def place_of(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The place (from 0) of wanted keys in the order of the keys."""
+    return numbered(rows.select(key), key, "place").join(wanted.select(key), key)

@@ -40,3 +40,8 @@ def best_lag(pairs: DataFrame, key: str, ref: str, test: str, most: int) -> Data
     b = F.when(lag <= 0, F.col(test)).otherwise(F.slice(test, lag + 1, F.greatest(F.size(test) - lag, F.lit(0))))
     scored = each.select(key, lag, F.round(similarity(a, b), 6).alias("s"))
     return scored.groupBy(key).agg(F.max_by(F.struct("lag", "s"), F.struct("s", -F.abs(lag), -lag)).alias("m")).select(key, "m.lag", F.col("m.s").alias("similarity"))
+
+
+def bit_equal(a: Column, b: Column) -> Column:
+    """Whether two arrays of numbers are the same, value by value; arrays of other lengths aren't."""
+    return (F.size(a) == F.size(b)) & ~F.exists(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), lambda x: x)

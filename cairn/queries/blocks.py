@@ -53,11 +53,13 @@ def base64_roundtrip(spark, sf_dir):
     return d.select("doc_id", F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"), F.lit("")).alias("b64"), F.decode(F.unbase64(F.base64(F.encode("text", "UTF-8"))), "UTF-8").alias("text"))
 
 
-@query("SELECT p_partkey, rpad(substr(p_name, 1, 3), 3 + p_size % 5, chr(9)) || rpad(substr(p_name, 4, 2), 2 + p_size % 3, chr(9)) AS t FROM part WHERE length(p_name) >= 5")
+@query("SELECT p_partkey, rpad(substr(p_name, 1, p_size % 4), (p_size % 4 + p_size % 5)::INT, chr(9)) || rpad(substr(p_name, (p_size % 4 + 1)::INT), (length(p_name) - p_size % 4 + p_size % 3)::INT, chr(9)) AS t FROM part WHERE p_size IS NOT NULL")
 def rle_expand(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where(F.length("p_name") >= 5)
-    pairs = F.array(F.lit(3), F.col("p_size") % 5, F.lit(2), F.col("p_size") % 3)
-    out = K.expand_runs(p.select("p_partkey", pairs.alias("pairs"), F.substring("p_name", 1, 5).cast("binary").alias("content")), "pairs", "content")
+    """Whole names in two pieces, each with zeros after it."""
+    p = table(spark, sf_dir, "part")
+    head = F.least(F.col("p_size") % 4, F.length("p_name"))
+    pairs = F.array(head, F.col("p_size") % 5, F.length("p_name") - head, F.col("p_size") % 3)
+    out = K.expand_runs(p.select("p_partkey", F.transform(pairs, lambda x: x.cast("int")).alias("pairs"), F.col("p_name").cast("binary").alias("content")), "pairs", "content")
     return out.select("p_partkey", F.translate(F.decode("expanded", "ISO-8859-1"), "\u0000", "\t").alias("t"))
 
 
@@ -79,9 +81,12 @@ def chunk_dedup(spark, sf_dir):
     return K.dedup_stats(_chunks(spark, sf_dir))
 
 
-@query(CHUNKED + ", pool AS (SELECT * FROM chunks WHERE id % 4 = 1) SELECT " + STATS.format("pool"))
+@query(CHUNKED + """, named AS (SELECT source, cid, len FROM chunks JOIN documents ON id = doc_id), first_ AS (SELECT source, cid, any_value(len) AS len, count(*) AS n FROM named GROUP BY source, cid)
+SELECT source, sum(n)::BIGINT AS pieces, count(*) AS unique_pieces, sum(n * len)::BIGINT AS bytes, sum(len)::BIGINT AS unique_bytes FROM first_ GROUP BY source""")
 def pool_dedup(spark, sf_dir):
-    return K.dedup_stats(_chunks(spark, sf_dir).where("id % 4 = 1"))
+    """Duplicates inside each source's pool, over all documents."""
+    names = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    return K.pooled_stats(_chunks(spark, sf_dir).select("id", "cid", "len").join(names, "id"), "source")
 
 
 @query(WHOLE + "SELECT format, count(*) AS modules, count(DISTINCT source) AS sources, sum(len)::BIGINT AS bytes FROM whole GROUP BY format")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import strings as S
 from ..operators import catalog as C
 from ..operators import fts
+from ..plans import match
 from ..registry import query, table
+from ..sources import store
 
 #: The stand-in catalogue, as DuckDB reads it.
 MODULES = """WITH modules AS (SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE split_part(text, chr(10), 1) END AS title, lang AS format,
@@ -16,7 +18,7 @@ MODULES = """WITH modules AS (SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THE
   source || '/' || doc_id || '.' || lang AS filename, source || '!' || doc_id AS source, n_chars // 100 AS num_samples, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source || ' ' || lang END AS instruments,
   text AS comment, doc_id * 7919 % 1000003 AS ingested_at FROM documents) """
 HITS = "id, title, format, duration, channels, size_bytes, root_cid"
-TOKENS = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[^a-z0-9]+'), lambda x: x <> '')"
+TOKENS = r"list_filter(string_split_regex(strip_accents(lower(coalesce({0}, ''))), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,66 +86,99 @@ def null_defaults(spark, sf_dir):
     return C.with_defaults(modules(spark, sf_dir).select("id", "title", "duration", "instruments"))
 
 
-def _bm25_sql(phrases: list[str], hit: str, limit: int, extra: str = "") -> str:
-    """phrases: for each one the count f in a row of tokens t (comment) and ti (title)."""
+def stored(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the stand-in catalogue with its index, written once in an application."""
+    return store.stored_once(spark, (sf_dir,), "catalogue", lambda folder: store.write_catalog(modules(spark, sf_dir), folder))
+
+
+def _bm25_sql(phrases: list[str], hit: str, limit: int) -> str:
+    """phrases: for each one the count f in a row with token lists c, n, i and o (title, filename, instruments, comment)."""
     f = ", ".join(f"({p})::BIGINT AS f{i}" for i, p in enumerate(phrases))
     n = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(phrases)))
     s = " + ".join(f"greatest(ln((rows_ - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * d / avg_))" for i in range(len(phrases)))
-    return MODULES + f""", tok AS (SELECT id, title, {TOKENS.format("title")} AS ti, {TOKENS.format("comment")} AS t FROM modules),
-fs AS (SELECT id, title, len(ti) + len(t) AS d, {f} FROM tok{extra}), st AS (SELECT count(*) AS rows_, avg(d) AS avg_, {n} FROM fs)
+    return MODULES + f""", tok AS (SELECT id, title, {LISTS} FROM modules),
+fs AS (SELECT id, title, len(c) + len(n) + len(i) + len(o) AS d, {f} FROM tok), st AS (SELECT count(*) AS rows_, avg(d) AS avg_, {n} FROM fs)
 SELECT id, title, round({s}, 6) AS score FROM fs, st WHERE {hit} ORDER BY score DESC, id LIMIT {limit}"""
 
 
-def _pre(word: str) -> str:
-    return f"len(list_filter(t, lambda x: starts_with(x, '{word}'))) + len(list_filter(ti, lambda x: starts_with(x, '{word}')))"
+LISTS = ", ".join(f"{TOKENS.format(c)} AS {k}" for c, k in (("title", "c"), ("filename", "n"), ("instruments", "i"), ("comment", "o")))
+
+
+def _pre(word: str, names: str = "cnio") -> str:
+    return " + ".join(f"len(list_filter({k}, lambda x: starts_with(x, '{word}')))" for k in names)
 
 
-def _pair(a: str, b: str, prefix: bool, name: str = "t") -> str:
-    last = f"starts_with({name}[i + 1], '{b}')" if prefix else f"{name}[i + 1] = '{b}'"
-    return f"len(list_filter(range(1, len({name})), lambda i: {name}[i] = '{a}' AND {last}))"
+def _pair(a: str, b: str, prefix: bool, names: str = "cnio") -> str:
+    last = lambda k: f"starts_with({k}[j + 1], '{b}')" if prefix else f"{k}[j + 1] = '{b}'"
+    return " + ".join(f"len(list_filter(range(1, len({k})), lambda j: {k}[j] = '{a}' AND {last(k)}))" for k in names)
 
 
-def _searched(spark, sf_dir):
-    return modules(spark, sf_dir).select("id", "title", "comment"), {"title": F.col("title"), "comment": F.col("comment")}
+def _searched(spark, sf_dir, text: str, limit: int, **options) -> DataFrame:
+    folder = stored(spark, sf_dir)
+    found = fts.search(fts.open_index(spark, folder), text, limit, **options)
+    return fts.with_rows(found, store.read(spark, folder, "modules").select("id", "title")).select("id", "title", "score")
 
 
 @query(_bm25_sql([_pre("thnt"), _pre("inea")], "f0 > 0 AND f1 > 0", 20))
 def search_bm25(spark, sf_dir):
-    rows, columns = _searched(spark, sf_dir)
-    return fts.search(rows, "thnt inea", columns, 20).select("id", "title", "score")
+    return _searched(spark, sf_dir, "thnt inea", 20)
 
 
-@query(MODULES + f", tok AS (SELECT id, title, {TOKENS.format('title')} AS ti, {TOKENS.format('comment')} AS t FROM modules) SELECT id, title, NULL::DOUBLE AS score FROM tok WHERE {_pre('t')} > 0 ORDER BY id LIMIT 60")
+@query(MODULES + f", tok AS (SELECT id, title, {LISTS} FROM modules) SELECT id, title, NULL::DOUBLE AS score FROM tok WHERE {_pre('t')} > 0 ORDER BY id LIMIT 60")
 def search_broad(spark, sf_dir):
     """More matches than a threshold of 20: lowest ids, no rank."""
-    rows, columns = _searched(spark, sf_dir)
-    return fts.search(rows, "t", columns, 60, most=20).select("id", "title", "score")
+    return _searched(spark, sf_dir, "t", 60, most=20)
 
 
 @query(_bm25_sql([_pre("que"), _pre("eau"), _pre("vi")], "f0 > 0 AND f1 > 0 AND f2 > 0", 50))
 def search_prefix_and(spark, sf_dir):
-    rows, columns = _searched(spark, sf_dir)
-    return fts.search(rows, "que eau vi", columns, 50).select("id", "title", "score")
+    return _searched(spark, sf_dir, "Qué eau vi", 50)
 
 
-@query(MODULES + f", tok AS (SELECT id, {TOKENS.format('comment')} AS t FROM modules) SELECT id, ({_pair('of', 'the', False)})::INT AS n FROM tok WHERE {_pair('of', 'the', False)} > 0")
+@query(MODULES + f", tok AS (SELECT id, {TOKENS.format('comment')} AS t FROM modules) SELECT id, ({_pair('of', 'the', False, 't')})::INT AS n FROM tok WHERE {_pair('of', 'the', False, 't')} > 0")
 def search_phrase(spark, sf_dir):
     """A phrase by positions of the inverted index."""
-    index = fts.postings(modules(spark, sf_dir).select("id", "comment"), {"comment": F.col("comment")})
+    index = fts.open_index(spark, stored(spark, sf_dir)).postings.where("column = 'comment'")
     return fts.phrase_in_index(index, ["of", "the"]).select("id", "n")
 
 
-@query(_bm25_sql(["len(list_filter(ti, lambda x: starts_with(x, 'the')))", _pair("the", "an", True) + " + " + _pair("the", "an", True, "ti")], "f0 > 0 AND f1 > 0", 30))
+@query(_bm25_sql([_pre("the", "c"), _pair("the", "an", True)], "f0 > 0 AND f1 > 0", 30))
 def search_column_filter(spark, sf_dir):
-    rows, columns = _searched(spark, sf_dir)
-    return fts.search(rows, 'title:the* AND "the an"*', columns, 30).select("id", "title", "score")
+    return _searched(spark, sf_dir, 'title:the* AND "the an"*', 30)
+
+
+NEAR_THREE = " OR ".join(f"len(list_filter(range(1, len({k}) + 1), lambda j: list_has_any([{k}[j]], ['le', 'la', 'de']) AND list_has_all({k}[j:j + 5], ['le', 'la', 'de']))) > 0" for k in "cnio")
+
+
+@query(MODULES + f", tok AS (SELECT id, title, {LISTS} FROM modules) SELECT id FROM tok WHERE {NEAR_THREE} ORDER BY id LIMIT 500")
+def search_near(spark, sf_dir):
+    """Three words at most five tokens from the first one's end to the last one's start."""
+    index = fts.open_index(spark, stored(spark, sf_dir))
+    rows, _ = fts.matching(index, match.parse('NEAR("le" la de, 4)', index.columns))
+    return rows.where("hit").orderBy("id").limit(500).select("id")
+
+
+@query(MODULES + "SELECT id, title, NULL::DOUBLE AS score FROM modules WHERE false")
+def search_blank(spark, sf_dir):
+    return _searched(spark, sf_dir, "  ", 20)
+
+
+@query(MODULES + f", tok AS (SELECT id, {LISTS} FROM modules), t AS (SELECT id, unnest(list_concat(c, n, i, o)) AS term FROM tok) SELECT term, count(DISTINCT id) AS rows, count(*) AS occurrences FROM t GROUP BY term")
+def vocabulary(spark, sf_dir):
+    return fts.vocabulary(fts.open_index(spark, stored(spark, sf_dir)).postings)
+
+
+@query("SELECT doc_id, len(w) AS n, md5(array_to_string(w, ' ')) AS words FROM (SELECT doc_id, " + TOKENS.format("text") + " AS w FROM documents)")
+def tokens_unicode(spark, sf_dir):
+    """Tokens of whole texts: letters and digits of any alphabet, without diacritics."""
+    w = S.folded_words(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(w).alias("n"), F.md5(F.array_join(w, " ").cast("binary")).alias("words"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(t, '["*:^]') THEN t ELSE array_to_string(list_transform(list_filter(string_split_regex(t, '\\s+'), lambda w: w <> ''), lambda w: '"' || w || '"*'), ' ') END AS m
-FROM (SELECT doc_id, trim(substr(text, 1, 40), ' ') AS t FROM documents WHERE NOT contains(substr(text, 1, 40), chr(10)))""")
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(t, '["*:^]') THEN t ELSE array_to_string(list_transform(list_filter(string_split_regex(t, '[ \t\n\r\f\x0B]+'), lambda w: w <> ''), lambda w: '"' || w || '"*'), ' ') END AS m
+FROM (SELECT doc_id, trim(text, ' ') AS t FROM documents)""")
 def match_string(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("t", F.substring("text", 1, 40)).where(~F.contains("t", F.lit("\n")))
-    return d.select("doc_id", S.match_string(F.col("t")).alias("m"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.match_string(F.col("text")).alias("m"))
 
 
 @query("SELECT lang, CASE WHEN n = 0 THEN 4000 ELSE least(4000, greatest(n // 10, 200)) END AS threshold FROM (SELECT lang, count(*) * 17 AS n FROM documents GROUP BY lang)")

@@ -26,12 +26,13 @@ def _pick_sql(index: str, *values: str) -> str:
     return "CASE " + " ".join(f"WHEN {index} = {i} THEN '{v}'" for i, v in enumerate(values[:-1])) + f" ELSE '{values[-1]}' END"
 
 
-NAMES = ("a.MOD", "b/readme.TXT", "c.html", ".hidden.xm", "dir/", "d.it", "e.s3m.zip")
+NAMES = ("a.MOD", "b/readme.TXT", "c.html", ".hidden.xm", "dir/", "d.it", "e.s3m.zip", "f.bmp", "g.pdf", "h.url", "i.mod.INFO", "j.jpeg", "txt", "k.md.gif", "l.doc", "m.nfo.xm")
 
 
-@query(f"SELECT doc_id, name FROM (SELECT doc_id, {_pick_sql('doc_id % 7', *NAMES)} AS name FROM documents) WHERE NOT ends_with(name, '/') AND NOT regexp_matches(lower(name), '\\.({S.SIDECARS})$') AND NOT starts_with(split_part(name, '/', -1), '.')")
+@query(f"""SELECT doc_id, name FROM (SELECT doc_id, {_pick_sql('doc_id % 16', *NAMES)} AS name FROM documents) WHERE NOT ends_with(name, '/')
+AND NOT (contains(name, '.') AND lower(split_part(name, '.', -1)) IN ('info', 'txt', 'nfo', 'diz', 'readme', 'md', 'doc', 'jpg', 'jpeg', 'png', 'gif'))""")
 def sidecar_filter(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", _pick(F.col("doc_id") % 7, *NAMES).alias("name")).where(S.is_module_entry(F.col("name")))
+    return _docs(spark, sf_dir).select("doc_id", _pick(F.col("doc_id") % 16, *NAMES).alias("name")).where(S.is_module_entry(F.col("name")))
 
 
 @query("SELECT page_id, lower(split_part(url, '.', -1)) AS ext FROM pages")
@@ -39,11 +40,14 @@ def extension(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.extension(F.col("url")).alias("ext"))
 
 
-@query(f"""SELECT doc_id, CASE WHEN length(k) >= 4 THEN k END AS k FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(t), '\\(.*?\\)', ' ', 'g'), '\\b({S.SUFFIX_WORDS})\\b.*$', ' '), '[^a-z0-9]+', '', 'g') AS k
-FROM (SELECT doc_id, substr(split_part(text, chr(10), 1), 1, 30) || CASE doc_id % 3 WHEN 0 THEN ' (live) Remix 2' WHEN 1 THEN ' Part II' ELSE '' END AS t FROM documents))""")
+TITLE_TAILS = (" (live) Remix 2", " Part II", "", " v2 (final)", " VERSION b", " rmx", " (a) pt. 3 demo", " Edited", " mixed ver")
+
+
+@query(f"""SELECT doc_id, CASE WHEN length(k) >= 4 THEN k END AS k FROM (
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(t), '\\(.*?\\)', ' ', 'g'), '\\b(part|pt|remix|mix|rmx|ver|version|v|edit|final|demo)\\b.*$', ' ', 'g'), '[^a-z0-9]+', '', 'g') AS k
+FROM (SELECT doc_id, split_part(text, chr(10), 1) || {_pick_sql('doc_id % 9', *TITLE_TAILS)} AS t FROM documents))""")
 def title_key(spark, sf_dir):
-    tail = F.when(F.col("doc_id") % 3 == 0, " (live) Remix 2").when(F.col("doc_id") % 3 == 1, " Part II").otherwise("")
-    return _docs(spark, sf_dir).select("doc_id", S.title_key(F.concat(F.substring(F.substring_index("text", "\n", 1), 1, 30), tail)).alias("k"))
+    return _docs(spark, sf_dir).select("doc_id", S.title_key(F.concat(F.substring_index("text", "\n", 1), _pick(F.col("doc_id") % 9, *TITLE_TAILS))).alias("k"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(substr(source || ' ' || lang || '   ', 1, 20), '[^ -~]', '', 'g'), ' ') AS title FROM documents")

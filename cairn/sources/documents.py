@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -25,8 +24,3 @@ def first_of_kind(lines: DataFrame, key: str, order: str, line: str, kind_field:
     """The field of each stream's first line of a kind."""
     rows = lines.where(F.get_json_object(line, f"$.{kind_field}") == kind)
     return rows.groupBy(key).agg(F.min_by(F.get_json_object(line, f"$.{field}"), order).alias("value"))
-
-
-def rotate(files: DataFrame, keep: int, newest: str = "modified", key: str = "path") -> DataFrame:
-    """The files that a rotation deletes: all but the newest."""
-    return files.withColumn("_n", F.row_number().over(W.orderBy(F.col(newest).desc(), F.col(key)))).where(F.col("_n") > keep).drop("_n")

@@ -31,6 +31,13 @@ def sniff(data: Column) -> Column:
     )
 
 
+def list_zips(spark: SparkSession, root: str) -> DataFrame:
+    """path and length of all zips under a folder in order of path, hidden ones left out; no file is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    name = F.substring_index("path", "/", -1)
+    return files.where(F.lower(name).endswith(".zip") & ~name.startswith(".")).orderBy("path")
+
+
 def outer_zips(spark: SparkSession, root: str) -> DataFrame:
     """path and content of all zips under a folder, hidden ones left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -63,15 +70,19 @@ def modules_in(path: str, data: bytes, formats: tuple[str, ...] = ()):
             continue  # by the inner name, before anything is unpacked
         inner = _open(_entry(outer, inner_name) or b"")
         for name in inner.namelist() if inner else ():
-            if name.endswith("/") or name.lower().rpartition(".")[2] in SIDECARS.replace("html?", "htm|html").split("|"):
+            _, dot, kind = name.lower().rpartition(".")
+            if name.endswith("/") or dot and kind in SIDECARS.split("|"):
                 continue
             raw = _entry(inner, name)
             if raw is not None:
                 yield f"{path}!{inner_name}!{name}", name, raw
 
 
-def scan_corpus(zips: DataFrame, root: str = "", formats: tuple[str, ...] = ()) -> DataFrame:
-    """source, name and bytes of every module; zips has path and content, and a task goes through its archives one by one."""
+def scan_corpus(zips: DataFrame, root: str = "", formats: tuple[str, ...] = (), limit: int = 0) -> DataFrame:
+    """source, name and bytes of every module; zips has path and content, and a task goes through its archives one by one.
+
+    A limit other than 0 ends the scan there: the first ones by source.
+    """
 
     def scan(batches):
         for batch in batches:
@@ -81,7 +92,25 @@ def scan_corpus(zips: DataFrame, root: str = "", formats: tuple[str, ...] = ())
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.binary())], names=["source", "name", "bytes"])
 
-    return zips.select("path", "content").mapInArrow(scan, "source string, name string, bytes binary")
+    found = zips.select("path", "content").mapInArrow(scan, "source string, name string, bytes binary")
+    return found.orderBy("source").limit(limit) if limit else found
+
+
+def lab_files(spark: SparkSession, root: str, kinds: tuple[str, ...] = (), most: int = 0) -> DataFrame:
+    """path, length and content of plain files under a folder, smallest first; kinds are extensions, hidden files are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "content")
+    name = F.substring_index("path", "/", -1)
+    found = files.where(~name.startswith("."))
+    found = found.where(F.lower(F.substring_index(name, ".", -1)).isin(*kinds)) if kinds else found
+    found = found.orderBy("length", "path")
+    return found.limit(most) if most else found
+
+
+def database_size(header: Column) -> Column:
+    """Bytes of a database file by its first 100: page size (1 stands for 65536) times pages; null for other files."""
+    page = B.u16be(header, 16)
+    pages = B.u16be(header, 28) * 65536 + B.u16be(header, 30)
+    return F.when((F.length(header) >= 100) & (F.substring(header, 1, 16) == F.lit(b"SQLite format 3\0")), F.when(page == 1, 65536).otherwise(page) * pages)
 
 
 def _exploded(files: DataFrame, key: str, data: str, schema: str, make) -> DataFrame:
@@ -134,6 +163,18 @@ def content_chunks(files: DataFrame, sizes: tuple[int, int, int] = chunking.DEFA
     return _exploded(files, key, data, "ord int, off long, len long, cid string", cut)
 
 
+def it_reports(files: DataFrame, key: str = "source", data: str = "bytes") -> DataFrame:
+    """Header counts and the share of sample data, in percent, of IT files."""
+    schema = "orders int, instruments int, samples int, patterns int, compressed int, wide int, data_bytes long"
+    found = _exploded(files, key, data, schema, lambda b: [r] if (r := modules.it_report(b)) else [])
+    return found.join(files.select(key, F.length(data).cast("long").alias("size")), key).withColumn("percent", F.round(100 * F.col("data_bytes") / F.col("size"), 1))
+
+
+def packed_spans(files: DataFrame, key: str = "source", data: str = "bytes") -> DataFrame:
+    """packed: bytes of a compressed sample that fills the file, by frames and bits columns in front of it."""
+    return _exploded(files, key, data, "packed long", lambda b: [(modules.packed_span(b[5:], 0, int.from_bytes(b[:4], "little"), b[4], 1),)])
+
+
 def metadata(files: DataFrame, key: str = "source", data: str = "bytes") -> DataFrame:
     """format, title and number of samples of each module; a format is null where the bytes are no module."""
     return _exploded(files, key, data, "format string, title string, num_samples int", lambda b: [(modules.detect(b), modules.title_of(b), len(modules.sample_slots(b)))])

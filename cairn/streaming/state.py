@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Tokens a second and the most that gather; checkpoints beyond the next that a stalled player waits for; cache limits.
 RATE, BURST, LOOKAHEAD, TTL, ENTRIES = 256.0, 512.0, 1, 120.0, 512
+#: Peers whose buckets a node remembers, requests that it serves at once, and chunks that are read ahead.
+PEERS, SLOTS, READ_AHEAD = 4096, 32, 15
 
 
 def token_bucket(state: dict, row: dict, rate: float = RATE, burst: float = BURST) -> tuple[dict, dict]:
@@ -77,21 +79,67 @@ def ttl_cache(state: dict, row: dict, ttl: float = TTL, entries: int = ENTRIES)
     return held, {"hit": hit}
 
 
+def bounded_buckets(state: dict, row: dict, rate: float = RATE, burst: float = BURST, peers: int = PEERS) -> tuple[dict, dict]:
+    """One node's token buckets: the peers that asked last are remembered, others start anew. row: peer, at, n."""
+    held = dict(state)
+    bucket, out = token_bucket(held.pop(row["peer"], {}), row, rate, burst)
+    held[row["peer"]] = bucket  # the order of the keys is that of the last use
+    while len(held) > peers:
+        del held[next(iter(held))]
+    return held, {**out, "known": len(held)}
+
+
+def slots_held(state: dict, row: dict, cap: int = SLOTS) -> tuple[dict, dict]:
+    """A place among cap is taken until its end or the request is refused at once. row: at, until."""
+    ends = [e for e in state.get("ends", []) if e > row["at"]]
+    admitted = len(ends) < cap
+    return {"ends": sorted([*ends, row["until"]]) if admitted else ends}, {"admitted": admitted, "open": len(ends) + admitted}
+
+
+def page_cache(state: dict, row: dict, ahead: int = READ_AHEAD) -> tuple[dict, dict]:
+    """Chunks that a read of first to last fetches: those missing, and when reads go on in sequence so many more, up to the file's last one. row: first, last, end."""
+    have, last_end = set(state.get("have", [])), state.get("last_end")
+    if all(c in have for c in range(row["first"], row["last"] + 1)):
+        fetched = []
+    else:
+        high = min(row["last"] + ahead, row["end"]) if last_end is not None and row["first"] <= last_end + 1 else row["last"]
+        fetched = [c for c in range(row["first"], high + 1) if c not in have]
+    return {"have": sorted(have | set(fetched)), "last_end": row["last"]}, {"fetched": len(fetched), "upto": max(fetched, default=-1)}
+
+
+def player(state: dict, row: dict) -> tuple[dict, dict]:
+    """Samples that come before the player exists wait in order and go in when it starts. row: kind init or provide, sample."""
+    if row["kind"] == "init":
+        return {"on": True}, {"applied": json.dumps(state.get("waiting", []))}
+    if state.get("on"):
+        return state, {"applied": json.dumps([row["sample"]])}
+    return {"waiting": [*state.get("waiting", []), row["sample"]]}, {"applied": "[]"}
+
+
 Step = Callable[[dict, dict], tuple[dict, dict]]
 
 
 def replay(rows: DataFrame, step: Step, key: str, order: list[str], schema: str) -> DataFrame:
-    """The batch twin: each key's rows in order through the step; schema names the key, order columns and outputs."""
-    names = [part.strip().split()[0] for part in schema.split(",")]
+    """The batch twin: each key's rows in order through the step; schema names the key, order columns and outputs.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = {}, []
-        for row in pdf.sort_values(order, kind="stable").to_dict("records"):
-            state, made = step(state, row)
-            out.append({n: made[n] if n in made else row[n] for n in names})
-        return pd.DataFrame(out, columns=names)
-
-    return rows.groupBy(key).applyInPandas(fold, schema)
+    Rows are dealt and sorted by Spark; a task folds its keys one after another over Arrow batches and holds one state.
+    """
+    names = [part.strip().split()[0] for part in schema.split(",")]
+    columns = rows.columns
+
+    def fold(batches):
+        current, state = object(), {}
+        for pdf in batches:
+            out = []
+            for values in pdf.itertuples(index=False, name=None):
+                row = dict(zip(columns, values, strict=True))
+                if row[key] != current:
+                    current, state = row[key], {}
+                state, made = step(state, row)
+                out.append({n: made[n] if n in made else row[n] for n in names})
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(fold, schema)
 
 
 class _Keyed(StatefulProcessor):

@@ -13,6 +13,7 @@ from cairn.operators import sessions as Z
 from cairn.operators import signal as G
 from cairn.operators import timeline as T
 from cairn.sources import documents as D
+from cairn.sources import store as ST
 
 
 def one(spark, *columns):
@@ -118,6 +119,6 @@ def test_sources(spark):
     pins = spark.createDataFrame([(1, '["x"]'), (2, '{"y": 2}'), (3, "bad")], "id int, v string")
     assert {tuple(r) for r in D.load_pinset(pins, "v").collect()} == {(1, "x", 0), (2, "y", 2)}
     files = spark.createDataFrame([("a", 1), ("b", 3), ("c", 2)], "path string, modified int")
-    assert [r["path"] for r in D.rotate(files, 2).collect()] == ["a"]
+    assert [r["path"] for r in ST.rotated(files, 2).collect()] == ["a"]
     assert Z.shuffled(spark.range(50), "id", 1, 5).collect() == Z.shuffled(spark.range(50).repartition(7), "id", 1, 5).collect()
     assert Z.numbered(spark.range(100).repartition(5), "id").where("_r <> id").count() == 0

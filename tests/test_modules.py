@@ -111,23 +111,50 @@ def test_syntax_errors():
     assert match.parse("  ", ("title",)) is None
 
 
-ROWS = [(1, "space debris", "a tune by bob"), (2, "", "space deb and more space"), (3, "deb space", "x"), (4, "alpha beta", "gamma delta alpha"), (5, "zeta", "alpha x x gamma"), (6, "alpha", "nothing")]
-SEARCHES = ["space", "space deb", "space-deb", '"space deb"', "alpha* NOT gamma*", "title:alpha*", '"alpha" OR "zeta"', "NEAR(alpha gamma, 2) OR \"zzz\"", "^space*", "alpha + beta*", "(alpha* OR zeta*) AND gamma*", "... alpha"]
+ROWS = [(1, "space debris", "a tune by bob"), (2, "", "space deb and more space"), (3, "deb space", "x"), (4, "alpha beta", "gamma delta alpha"), (5, "zeta", "alpha x x gamma"), (6, "alpha", "nothing"), (7, "Café del Mar", "naïve caf\u0065\u0301 straße"), (8, "cafe\u0301", "東京 tower"), (9, "delta", "alpha gamma x delta y zeta")]
+SEARCHES = [
+    "space", "space deb", "space-deb", '"space deb"', "alpha* NOT gamma*", "title:alpha*", '"alpha" OR "zeta"', "NEAR(alpha gamma, 2) OR \"zzz\"", "^space*", "alpha + beta*", "(alpha* OR zeta*) AND gamma*", "... alpha",
+    "NEAR(\"alpha\" gamma delta, 3)", "NEAR(\"gamma\" delta alpha, 0)", "NEAR(\"x\" delta zeta, 2)", "NEAR(gamma \"x delta\" alpha, 1)", "NEAR(\"gamma delta\" alpha zeta, 5) OR title:zeta*", "cafe", "CAFÉ*", "straße*", "nai", "東京*", "title:(cafe* OR space*)", "^\"café\"",
+]
 
 
 @pytest.mark.parametrize("text", SEARCHES)
-def test_search_like_fts5(text, spark):
+def test_search_like_fts5(text, spark, tmp_path_factory):
     """Matches, order and rank as SQLite's index gives them."""
-    from cairn.operators.fts import search
     from pyspark.sql import functions as F
 
+    from cairn.operators import fts
+
     con = sqlite3.connect(":memory:")
-    con.execute("CREATE VIRTUAL TABLE f USING fts5(title, comment)")
+    con.execute("CREATE VIRTUAL TABLE f USING fts5(title, comment, tokenize='unicode61')")
     con.executemany("INSERT INTO f(rowid, title, comment) VALUES (?, ?, ?)", ROWS)
     query = text if match.is_explicit(text) else " ".join(f'"{w}"*' for w in text.split())
     want = con.execute("SELECT rowid, -bm25(f) FROM f WHERE f MATCH ? ORDER BY bm25(f), rowid", (query,)).fetchall()
-    rows = spark.createDataFrame(ROWS, "id long, title string, comment string")
-    got = search(rows, text, {"title": F.col("title"), "comment": F.col("comment")}).select("id", "score").collect()
+    if not FOLDER:
+        FOLDER.append(f"file://{tmp_path_factory.mktemp('index')}/a")
+        rows, columns = spark.createDataFrame(ROWS, "id long, title string, comment string"), {"title": F.col("title"), "comment": F.col("comment")}
+        fts.write_index(rows.where("id < 5"), columns, FOLDER[0])
+        fts.append_index(rows.where("id >= 5"), columns, FOLDER[0])
+    index = fts.open_index(spark, FOLDER[0])
+    assert (index.rows, index.columns) == (len(ROWS), ("title", "comment"))
+    got = fts.search(index, text).collect()
     assert sorted(r["id"] for r in got) == sorted(i for i, _ in want)
     if "NEAR" not in text and "NOT" not in text:
         assert {r["id"]: pytest.approx(r["score"], abs=2e-6) for r in got} == dict(want)
+
+
+FOLDER = []
+
+
+def test_search_reads_its_terms_only(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from cairn.operators import fts
+
+    rows = spark.range(2000).select("id", F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" common")).alias("t"))
+    fts.write_index(rows, {"t": F.col("t")}, f"file://{tmp_path}/i")
+    index = fts.open_index(spark, f"file://{tmp_path}/i")
+    tree = match.parse("w77 common", ("t",))
+    plan = fts.matching(index, tree)[0]._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PushedFilters: [Or(StringStartsWith(term,w77),StringStartsWith(term,common))]" in plan
+    assert fts.search(index, "w77 common", 500, most=5000).count() == 11 and fts.search(index, " ").count() == 0

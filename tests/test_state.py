@@ -83,3 +83,49 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_gossip(spark):
     lines = ['{"name": "n", "seq": 3, "value": "c", "valid": true}', "bad", '{"name": "", "seq": 1}', '{"seq": 2}']
     assert [r["seq"] for r in S.gossip(spark.createDataFrame([(x,) for x in lines], "value string")).collect()] == [3]
+
+
+def test_buckets_of_a_bounded_number_of_peers():
+    """Against one bucket for each peer that is thrown away when it is the least recently used."""
+    from collections import OrderedDict
+
+    state, plain = {}, OrderedDict()
+    for i in range(600):
+        row = {"peer": f"p{i * i % 11}", "at": i * 0.05, "n": 90 + i % 150}
+        state, out = S.bounded_buckets(state, row, peers=4)
+        tokens, at = plain.pop(row["peer"], (S.BURST, row["at"]))
+        tokens = min(S.BURST, tokens + (row["at"] - at) * S.RATE)
+        allowed = tokens >= row["n"]
+        plain[row["peer"]] = (tokens - row["n"] if allowed else tokens, row["at"])
+        if len(plain) > 4:
+            plain.popitem(last=False)
+        assert out == {"allowed": allowed, "known": len(plain)} and list(state) == list(plain)
+
+
+def test_places_are_refused_at_once():
+    state, ends = {}, []
+    for i in range(300):
+        at, until = i * 1.0, i + 1.0 + i * 7 % 13
+        state, out = S.slots_held(state, {"at": at, "until": until}, 3)
+        ends = [e for e in ends if e > at]
+        admitted = len(ends) < 3
+        ends += [until] * admitted
+        assert out == {"admitted": admitted, "open": len(ends)}
+
+
+def test_reads_ahead_in_sequence_only():
+    state, fetched = {}, []
+    for first, last in [(0, 0), (1, 1), (2, 16), (40, 41), (42, 42), (57, 58), (10, 11), (17, 17), (95, 99)]:
+        state, out = S.page_cache(state, {"first": first, "last": last, "end": 99})
+        fetched.append((out["fetched"], out["upto"]))
+    assert fetched == [(1, 0), (16, 16), (0, -1), (2, 41), (16, 57), (1, 58), (0, -1), (1, 17), (5, 99)]
+    assert S.page_cache({"have": list(range(90)), "last_end": 89}, {"first": 90, "last": 90, "end": 99})[1] == {"fetched": 10, "upto": 99}
+
+
+def test_samples_wait_for_their_player():
+    state, applied = {}, []
+    for kind, sample in [("provide", 4), ("provide", 2), ("init", None), ("provide", 9)]:
+        state, out = S.player(state, {"kind": kind, "sample": sample})
+        applied.append(json.loads(out["applied"]))
+    assert applied == [[], [], [4, 2], [9]]
+    assert S.player({}, {"kind": "init"})[1] == {"applied": "[]"}
