@@ -35,8 +35,10 @@ SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 WINDOW = 10
 #: Windows in a block of the benchmark, at most (a single longer item is a block of its own).
 BLOCK_WINDOWS = 200_000
-#: Words of a text that a lane covers, and bits of the block shift table.
-LANE_WORDS, SHIFT_BITS = 256, 16
+#: Words of a text that a lane covers, and bits of the block shift table, which grows with the windows.
+LANE_WORDS, LEAST_BITS, MOST_BITS = 256, 16, 24
+#: Bytes of texts that go through all blocks of a large benchmark together; each block is read once for them.
+HELD_BYTES = 64 << 20
 _WORD_BYTES = word_table(SEPARATORS)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,23 +65,23 @@ class WindowClass:
         _, _, _, hashes, _ = words_of(raws, _WORD_BYTES)
         grid = hashes.reshape(len(self.texts), length)
         blocks = self.blocks(grid[:, :-1], grid[:, 1:]) if self.block == 2 else mixed(grid)
+        # Room for eight times the blocks: most word pairs of a text then jump as far as they may.
+        self.bits = min(MOST_BITS, max(LEAST_BITS, int(8 * blocks.size - 1).bit_length()))
         slots = self.slot(blocks)
         longest = length - self.block + 1
-        self.shift = np.full(1 << SHIFT_BITS, longest, np.int16 if longest < 30000 else np.int64)
+        self.shift = np.full(1 << self.bits, longest, np.uint8 if longest < 256 else np.int64)
         for j in range(blocks.shape[1]):
             np.minimum.at(self.shift, slots[:, j], blocks.shape[1] - 1 - j)
         last = slots[:, -1]
         order = np.argsort(last, kind="stable")
-        self.head = np.searchsorted(last[order], np.arange((1 << SHIFT_BITS) + 1))
-        self.bucket, self.prefix = order, grid[:, 0].copy()
+        self.last, self.bucket, self.prefix = last[order], order, grid[:, 0].copy()
 
     @staticmethod
     def blocks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mixed(a * _STEP + b)
 
-    @staticmethod
-    def slot(blocks: np.ndarray) -> np.ndarray:
-        return (blocks >> np.uint64(64 - SHIFT_BITS)).astype(np.int64)
+    def slot(self, blocks: np.ndarray) -> np.ndarray:
+        return (blocks >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def occurrences(self, raw_of, words: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int]]:
         """(index of the first word, window) of all occurrences that lie in one text each."""
@@ -107,9 +109,10 @@ class WindowClass:
         if not found_at:
             return []
         ends, slots = np.concatenate(found_at), np.concatenate(found_slot)
-        sizes = self.head[slots + 1] - self.head[slots]
+        head = np.searchsorted(self.last, slots)
+        sizes = np.searchsorted(self.last, slots, side="right") - head
         begin = np.repeat(ends - m + 1, sizes)
-        which = self.bucket[np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.head[slots], sizes)]
+        which = self.bucket[np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(head, sizes)]
         like = words[begin] == self.prefix[which]
         return [(b, w) for b, w in zip(begin[like].tolist(), which[like].tolist(), strict=True) if raw_of(b, m) == self.texts[w]]
 
@@ -181,7 +184,7 @@ def _load(path: str) -> Windows:
 
 
 def _tables(benchmark: DataFrame, window: int, limit: int):
-    """A function that gives a task the blocks one by one."""
+    """A function that gives a task the blocks one by one, and the bytes of texts to hold for them."""
     spark = benchmark.sparkSession
     blocks, first, paths = benchmark_blocks(benchmark, window, limit), None, []
     folder = shared_dir(spark, "benchmark")
@@ -197,8 +200,8 @@ def _tables(benchmark: DataFrame, window: int, limit: int):
         paths.append(f"{folder}/{i}")
     if not paths:
         one = spark.sparkContext.broadcast(first)
-        return lambda: iter([one.value])
-    return lambda: map(_load, paths)
+        return (lambda: iter([one.value])), 0
+    return (lambda: map(_load, paths)), HELD_BYTES
 
 
 def _scan(texts: pa.Array, blocks) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
@@ -213,12 +216,25 @@ def _scan(texts: pa.Array, blocks) -> tuple[list[int], list[list[tuple[int, int]
     return n_words, spans, found
 
 
+def _together(batches, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold so many bytes; as they come for 0."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and items (sorted as strings)."""
-    blocks = _tables(benchmark, window, block_windows)
+    blocks, held = _tables(benchmark, window, block_windows)
 
     def scan(batches):
-        for batch in batches:
+        for batch in _together(batches, held):
             n_words, spans, found = _scan(batch_texts(batch), blocks)
             items = [sorted(f) for f in found]
             hit = [covered(s) for s in spans]
@@ -234,10 +250,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The documents without any occurrence of a window, with all their columns and in place (nothing is shuffled)."""
-    blocks = _tables(benchmark, window, block_windows)
+    blocks, held = _tables(benchmark, window, block_windows)
 
     def scan(batches):
-        for batch in batches:
+        for batch in _together(batches, held):
             _, spans, _ = _scan(batch_texts(batch), blocks)
             yield batch.filter(pa.array([not s for s in spans], pa.bool_()))
 

@@ -189,8 +189,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     # A document that is there more than once would bring more than its label: one row for each label and distinct feature set.
-    made = texts.mapInArrow(slots, f"doc_id {kind}, quality int, slots binary").limit(2 * train_rows).collect()
-    made = sorted(made, key=lambda r: (r["doc_id"], r["quality"], bytes(r["slots"])))[: train_rows]
+    made = texts.mapInArrow(slots, f"doc_id {kind}, quality int, slots binary").distinct()
+    made = made.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "slots").limit(train_rows).collect()
     return fit([np.frombuffer(r["slots"], "<i4").astype(np.int64) for r in made], np.asarray([r["quality"] for r in made], float))
 
 

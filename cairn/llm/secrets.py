@@ -6,7 +6,7 @@ network (embedding, one convolution with maximum over places, one dense layer),
 network is trained here on labelled findings: generated keys of many kinds in many contexts against
 numbers, addresses, paths, versions, identifiers, rulers and words. Scores are calibrated on held-back
 findings by a scale and an offset, and the threshold is the highest one that keeps the asked recall
-there, yet never below the least allowed. Candidates longer than a view are read in several views.
+there. Candidates longer than a view are read in several views.
 
 Defined cases: null and empty texts have no finding; places are in code points, ends exclusive; repeated
 rows give repeated results; an empty table gives an empty result; other columns are ignored.
@@ -37,8 +37,8 @@ KEY_CHARS = string.ascii_letters + string.digits + "+/_.=-"
 #: Least characters of a candidate, those of a view into it, and those around it that the network sees.
 LEAST, VIEW, AROUND = 16, 64, 16
 WIDTH = VIEW + 2 * AROUND
-#: The recall that the threshold keeps on held-back findings, and the lowest calibrated score it may be.
-RECALL, FLOOR = 0.95, 0.5
+#: The recall that the threshold keeps on held-back findings, and the labelled findings that are made.
+RECALL, FINDINGS = 0.97, 12000
 _HEX = np.zeros(128, bool)
 _HEX[[ord(c) for c in "0123456789abcdef"]] = True
 _KEY = np.zeros(128, bool)
@@ -105,7 +105,7 @@ class Network:
     out_bias: float
     scale: float = 1.0
     offset: float = 0.0
-    threshold: float = FLOOR
+    threshold: float = 0.5
 
     def _forward(self, rows: np.ndarray):
         x = self.embed[rows]  # rows, places, channels
@@ -156,6 +156,15 @@ def _word(r: random.Random, low: int = 2, high: int = 9) -> str:
     return "".join(r.choice(letters) for _ in range(r.randint(low, high)))
 
 
+def _long_word(r: random.Random, low: int = 16, high: int = 34) -> str:
+    """A word of many syllables, as compounds and derivations have them."""
+    heads, middles, tails = "b c ch d f g h j k l m n p qu r s sch st t tr v w z".split() + [""] * 6, "a e i o u ei au ie ou eau io".split(), "n r s t ng ch tz nt x l m lich keit tion ment".split() + [""] * 10
+    size, out = r.randint(low, high), ""
+    while len(out) < size:
+        out += r.choice(heads) + r.choice(middles) + r.choice(tails)
+    return out
+
+
 def _prose(r: random.Random) -> str:
     """Words around a finding; some have letters beyond ASCII."""
     words = [_word(r) for _ in range(r.randint(0, 5))]
@@ -172,7 +181,8 @@ def labelled_findings(count: int, seed: int) -> list[tuple[str, int, int, int]]:
     r, out = random.Random(seed), []
     b64, low, up, hexa = string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef"
     keys = [
-        lambda: "ghp_" + _run(r, string.ascii_letters + string.digits, 36, 36),
+        lambda: r.choice(["ghp_", "gho_", "glpat-"]) + _run(r, string.ascii_letters + string.digits, 32, 44),
+        lambda: r.choice(["ghp_", "sk-", "pk_test_", ""]) + _run(r, string.ascii_letters + string.digits, 7, 10) * r.randint(3, 6),
         lambda: r.choice(["sk-", "pk_live_", "sk_test_", "rk_"]) + _run(r, string.ascii_letters + string.digits, 24, 48),
         lambda: "xox" + r.choice("abp") + "-" + _run(r, string.digits, 10, 12) + "-" + _run(r, string.ascii_letters + string.digits, 20, 28),
         lambda: "eyJ" + _run(r, b64[:-2], 20, 60) + "." + _run(r, b64[:-2], 30, 90) + "." + _run(r, b64[:-2] + "_-", 30, 50),
@@ -183,6 +193,8 @@ def labelled_findings(count: int, seed: int) -> list[tuple[str, int, int, int]]:
         lambda: _run(r, up, 20, 32),
         lambda: _run(r, low, 24, 40),
         lambda: _run(r, string.ascii_letters + string.digits, 20, 44),
+        lambda: _run(r, r.choice([string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase]), 20, 44),
+        lambda: _run(r, r.choice([string.ascii_letters, string.ascii_letters + string.digits]), 16, 19),
     ]
     others = [
         lambda: _run(r, string.digits, 16, 24),
@@ -201,6 +213,12 @@ def labelled_findings(count: int, seed: int) -> list[tuple[str, int, int, int]]:
         lambda: "+".join(str(r.randint(1, 9999)) for _ in range(r.randint(4, 8))),
         lambda: _word(r, 8, 12) + "." + _word(r, 8, 12) + "." + str(r.randint(1, 99)),
         lambda: _word(r, 2, 4) * r.randint(5, 9) + str(r.randint(0, 9)),
+        lambda: "-".join(_word(r, 4, 9) for _ in range(r.randint(3, 6))),
+        lambda: "".join(_word(r, 3, 7) for _ in range(r.randint(4, 7))).capitalize() + r.choice(["", ".", "..."]),
+        lambda: r.choice([str, str.capitalize, str.upper])(_long_word(r)) + r.choice(["", "", ".", "-", "="]),
+        lambda: _long_word(r) + r.choice("./-_") + _long_word(r, 4, 12),
+        lambda: r.choice("-=_./+") * r.randint(16, 80),
+        lambda: "/".join(_word(r) for _ in range(r.randint(3, 7))) + r.choice(["", "/", ".html", ".txt"]),
     ]
     leads = ["", "key: ", "Bearer ", "export KEY=", "auth=", "Authorization ", "credential ", "private: "]
     for i in range(count):
@@ -214,34 +232,39 @@ def labelled_findings(count: int, seed: int) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def finding_scores(net: Network, findings: list[np.ndarray]) -> np.ndarray:
+    """The score of each finding (its views): the best one of them, as a scan takes it."""
+    at = np.cumsum([0, *map(len, findings)])[:-1]
+    return np.maximum.reduceat(net.scores(np.concatenate(findings)), at)
+
+
 @functools.lru_cache(maxsize=4)
-def train(findings: int = 8000, epochs: int = 8, seed: int = 11, recall: float = RECALL, floor: float = FLOOR) -> Network:
-    """A network fitted on four fifths of the labelled findings, calibrated and given its threshold on the rest."""
-    rows, labels = [], []
-    for text, start, end, label in labelled_findings(findings, seed):
-        part = views(code_points(text), start, end)
-        rows += list(part)
-        labels += [label] * len(part)
-    x, y = np.stack(rows), np.asarray(labels, float)
+def train(findings: int = FINDINGS, epochs: int = 8, seed: int = 11, recall: float = RECALL) -> Network:
+    """A network fitted on three quarters of the labelled findings, calibrated and given its threshold on the rest.
+
+    All views of a finding are on one side. The threshold is the highest one by which the share `recall` of the held-back keys is found.
+    """
+    parts = [(views(code_points(text), start, end), label) for text, start, end, label in labelled_findings(findings, seed)]
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(x))
-    held, used = order[: len(x) // 5], order[len(x) // 5 :]
+    order = rng.permutation(len(parts)).tolist()
+    held, used = [parts[i] for i in order[: len(parts) // 4]], [parts[i] for i in order[len(parts) // 4 :]]
+    x, y = np.concatenate([v for v, _ in used]), np.repeat([float(label) for _, label in used], [len(v) for v, _ in used])
     channels, span, filters, hidden = 8, 5, 24, 16
     net = Network(
         rng.normal(0, 0.5, (97, channels)), rng.normal(0, (span * channels) ** -0.5, (span, channels, filters)), np.zeros(filters),
         rng.normal(0, filters**-0.5, (filters, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), 0.0,
     )
     state: dict = {}
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(used), max(1, len(used) // 64)):
-            net.step(x[part], y[part], state, 0.004)
-    raw = net.logits(x[held])
+    for epoch in range(epochs):
+        for part in np.array_split(rng.permutation(len(x)), max(1, len(x) // 64)):
+            net.step(x[part], y[part], state, 0.004 if epoch < epochs - 2 else 0.001)
+    raw, label = net.logits(np.concatenate([v for v, _ in held])), np.repeat([float(k) for _, k in held], [len(v) for v, _ in held])
     for _ in range(300):  # scale and offset by gradient descent on the held-back loss
-        d = 1 / (1 + np.exp(-(net.scale * raw + net.offset))) - y[held]
+        d = 1 / (1 + np.exp(-(net.scale * raw + net.offset))) - label
         net.scale -= 0.05 * float((d * raw).mean())
         net.offset -= 0.1 * float(d.mean())
-    good = np.sort(net.scores(x[held])[y[held] == 1])
-    net.threshold = max(floor, float(good[int((1 - recall) * len(good))]))
+    good = np.sort(finding_scores(net, [v for v, k in held if k]))
+    net.threshold = float(good[int((1 - recall) * len(good))])
     return net
 
 
