@@ -197,7 +197,7 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     start = F.greatest(F.lit(0).cast("long"), begin - F.col("at"))
     stop = F.greatest(start, F.least(F.col("size"), begin + F.coalesce("dealt_stop", F.lit(0).cast("long")) - F.col("at")))
     out = out.withColumn("start", start).withColumn("stop", stop)
-    place = F.md5(F.concat_ws("|", "key", F.col("block").cast("string"), F.col("epoch").cast("string")))
+    place = F.xxhash64(F.lit(seed), "key", "block", "epoch")
     return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", "at", "block", "epoch", "start", "stop", (F.col("stop") - F.col("start")).alias("taken"), "shard", place.alias("place"))
 
 
@@ -229,10 +229,12 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     parts = work.write(parts.select(F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("text_hash").alias(hash_), F.col("size").alias(size_), F.col("copies").alias(copies_), F.col("takes").alias(takes_)), "mix")
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source_)) & (F.xxhash64("text") == F.col(hash_))
     # Of equal rows one stands for all.
-    out = docs.join(parts.where(F.col(copies_) == 1), same)
+    size = parts.agg(F.sum(F.lit(96) + F.octet_length(F.coalesce(F.col(source_), F.lit(""))) + 48 * F.size(takes_))).first()[0] or 0
+    side = (lambda p: F.broadcast(p)) if size <= BROADCAST_BYTES else (lambda p: p)
+    out = docs.join(side(parts.where(F.col(copies_) == 1)), same)
     repeated = parts.where(F.col(copies_) > 1)
     if not repeated.isEmpty():
-        out = out.union(docs.join(repeated, same).dropDuplicates([id_, source_, hash_]))
+        out = out.union(docs.join(side(repeated), same).dropDuplicates([id_, source_, hash_]))
     out = out.withColumn(take_, F.explode(takes_)).drop(takes_)
     out = out.repartition(F.col(f"{take_}.shard")).sortWithinPartitions(f"{take_}.shard", f"{take_}.place", id_, hash_)
     start, stop = F.col(f"{take_}.start"), F.col(f"{take_}.stop")

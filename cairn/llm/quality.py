@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_texts, joined, mixed, prefix_hashes, runs, span_hashes, text_chunks, word_table
+from .common import batch_texts, give_back, joined, mixed, prefix_hashes, runs, span_hashes, text_chunks, word_table
 
 #: Bits of the feature hash, and labelled rows that a fit uses at most.
 BITS, TRAIN_ROWS = 18, 6000
@@ -191,7 +191,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
     # A document that is there more than once would bring more than its label: one row for each label and distinct feature set.
     made = texts.mapInArrow(slots, f"doc_id {kind}, quality int, slots binary").distinct()
     made = made.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "slots").limit(train_rows).collect()
-    return fit([np.frombuffer(r["slots"], "<i4").astype(np.int64) for r in made], np.asarray([r["quality"] for r in made], float))
+    model = fit([np.frombuffer(r["slots"], "<i4").astype(np.int64) for r in made], np.asarray([r["quality"] for r in made], float))
+    del made
+    give_back()  # the sample was the driver's
+    return model
 
 
 def _scored(batches, shared):
