@@ -315,6 +315,59 @@ def test_pipeline(spark, sf):
         before = after.sparkSession.createDataFrame(after.collect(), after.schema)
 
 
+def test_pipeline_on_odd_rows(spark, sf, odd_rows):
+    """Nulls in every column, empty texts, repeated rows and extra columns with the operators' own names, through every stage, each against a plain version."""
+    import corpus_pipeline as P
+    from cairn.llm import common
+    from tests.llm.test_text_operators import brute_windows
+
+    rows = [(*r, len(r[1] or "") if r[0] else None, "clash", 5, [1]) for r in odd_rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, _id string, size int, pos array<int>")
+    before = docs
+    for name, stage in P.STAGES:
+        after = common.materialize(stage(spark, before, sf), f"odd-{name}")
+        had = Counter((r["doc_id"], r["text"]) for r in before.select("doc_id", "text").collect())
+        if name == "tokens":
+            out = after.collect()
+            assert {d for r in out for d in r["doc_ids"]} == {d for d, _ in had}
+            break
+        assert after.columns == docs.columns
+        has = Counter((r["doc_id"], r["text"]) for r in after.select("doc_id", "text").collect())
+        if name == "quality":
+            scored = Counter()
+            for d, t in had.elements():
+                scored[d, t] += 1
+            assert all(has[k] in (0, n) for k, n in scored.items()) and not has - had  # equal rows share their fate
+        elif name == "near_duplicates":
+            rows_ = list(had.elements())
+            least = {}
+            for (d, n, c), k in brute_groups(rows_).items():
+                least[d, n] = c
+            words = {k: len(s) for k, (_, s) in zip(rows_, sets_of(rows_), strict=True)}
+            for (d, t), n in had.items():
+                if d is None or not words[d, t]:
+                    assert has[d, t] == n
+                elif least[d, words[d, t]] < d:
+                    assert not has[d, t]
+            assert all(n == 1 for (d, t), n in has.items() if d is not None and words[d, t])
+        elif name == "decontaminate":
+            items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+            hit = {(d, t) for d, t in had if next(iter(brute_windows([(d, t)], items)))[2]}
+            assert has == Counter({k: n for k, n in had.items() if k not in hit})
+        else:
+            from cairn.llm import mixing
+
+            want = Counter()
+            for r in mixing.mix_totals(before).collect():
+                want[r["doc_id"]] += r["taken"]
+            got = Counter()
+            for (d, t), n in has.items():
+                got[d] += n * len(WORD.findall(t or ""))
+                assert any(t in (x or "") for e, x in had if e == d)
+            assert {k: v for k, v in want.items() if v} == dict(got)
+        before = after
+
+
 def test_pipeline_of_nothing(spark, no_docs, sf):
     import corpus_pipeline as P
 

@@ -54,6 +54,25 @@ def test_dual_descent_separates():
     assert ratio[1] > 1 > -1 > ratio[0]
 
 
+def test_dual_descent_reaches_the_optimum():
+    """The primal objective against that of a plain projected gradient on the dual."""
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 40, 8)) for _ in range(80)]
+    labels = np.asarray([float((r % 3 == 0).sum() > 2) for r in rows])
+    labels[:6] = 1 - labels[:6]  # not separable
+    ratio = Q.log_ratios(rows, labels)
+    x = np.zeros((80, 41))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 40] = ratio[r] / max(1.0, float(np.linalg.norm(ratio[r]))), 1.0
+    y = np.where(labels > 0, 1.0, -1.0)
+    loss = lambda w: 0.5 * float(w @ w) + Q.COST * float(np.maximum(0, 1 - y * (x @ w)).sum())
+    gram, dual = (x * y[:, None]) @ (x * y[:, None]).T, np.zeros(80)
+    for _ in range(40000):
+        dual = np.clip(dual + (1 - gram @ dual) / np.linalg.norm(gram, 2), 0, Q.COST)
+    w, bias = Q.dual_descent(rows, labels, ratio, sweeps=500)
+    assert loss(np.append(w[:40], bias)) <= 1.01 * loss((dual * y) @ x) + 1e-9
+
+
 # Decontamination.
 
 
