@@ -31,8 +31,8 @@ def missing(wanted: DataFrame, store: DataFrame, cid: str = "cid") -> DataFrame:
 
 def reassemble(edges: DataFrame, store: DataFrame, key: str = "id") -> DataFrame:
     """key and bytes from an ordered chunk list (key, ord, cid) and a block store; repeated addresses are read once each."""
-    parts = edges.join(store.select("cid", F.hex("bytes").alias("_hex")).dropDuplicates(["cid"]), "cid")
-    return parts.groupBy(key).agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "_hex"))), lambda x: x["_hex"]), "")).alias("bytes"))
+    parts = edges.join(store.select("cid", F.col("bytes").alias("_bytes")).dropDuplicates(["cid"]), "cid")
+    return parts.groupBy(key).agg(F.expr("listagg(_bytes) WITHIN GROUP (ORDER BY ord)").alias("bytes"))
 
 
 def read_ranges(chunks: DataFrame, ranges: DataFrame, key: str = "id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,24 +20,34 @@ def merge_spans(spans: DataFrame, by: str, end: str | None = None) -> DataFrame:
 
 def complement(merged: DataFrame, files: DataFrame, by: str, size: str) -> DataFrame:
     """What the merged spans of each file leave, in order, with the gap that follows: start, stop, zeros."""
-    w = W.partitionBy(by).orderBy("start")
     rows = merged.unionByName(files.select(by, F.col(size).alias("start"), F.col(size).alias("stop")))
     left = rows.withColumn("_from", F.coalesce(F.lag("stop").over(W.partitionBy(by).orderBy("start", "stop")), F.lit(0)))
-    del w
     return left.select(by, F.col("_from").alias("start"), F.col("start").alias("stop"), (F.col("stop") - F.col("start")).alias("zeros")).where("stop > start OR zeros > 0")
 
 
 def greedy(spans: DataFrame, by: str) -> DataFrame:
     """Spans that start at or after the end of the last one kept, in order of start, then stop.
 
-    What is kept depends on what was kept, so each key's spans are folded as a sorted array.
+    What is kept depends on what was kept: Spark deals and sorts the spans by key, and a task reads them as a stream
+    that remembers one end.
     """
-    sorted_ = F.sort_array(F.collect_list(F.struct("start", "stop")))
-    kind = "struct<last:bigint,kept:array<struct<start:bigint,stop:bigint>>>"
-    zero = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("kept")).cast(kind)
-    step = lambda a, s: F.when(s["start"] >= a["last"], F.struct(s["stop"].alias("last"), F.concat(a["kept"], F.array(s)).alias("kept"))).otherwise(a)
+    kind = spans.schema[by].dataType.simpleString()
     typed = spans.select(by, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
-    return typed.groupBy(by).agg(sorted_.alias("s")).select(by, F.explode(F.aggregate("s", zero, step)["kept"]).alias("k")).select(by, "k.start", "k.stop")
+
+    def keep(batches):
+        key, end = object(), 0
+        for batch in batches:
+            mask = []
+            for k, start, stop in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if k != key:
+                    key, end = k, 0
+                taken = start is not None and start >= end
+                if taken:
+                    end = stop
+                mask.append(taken)
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return typed.repartition(by).sortWithinPartitions(by, "start", "stop").mapInArrow(keep, f"{by} {kind}, start long, stop long")
 
 
 def prefix_offsets(rows: DataFrame, by: str, order: list[str], size: str) -> DataFrame:

@@ -98,3 +98,12 @@ def stream_order(slots: DataFrame, checkpoints: DataFrame, playhead: Column) ->
     key = F.when(F.array_contains("need", F.col("slot")), F.lit(-1).cast("long")).otherwise(need_key(F.col("orders"), playhead))
     rows = rows.withColumn("need_key", key)
     return rows.select("module", "slot", "need_key", F.row_number().over(W.partitionBy("module").orderBy("need_key", "slot")).alias("place"))
+
+
+def deliveries(slots: DataFrame, checkpoints: DataFrame, playhead: Column) -> DataFrame:
+    """module, place, kind and slot of what a player is sent: the skeleton, its samples in the order of delivery, and the end."""
+    ordered = stream_order(slots, checkpoints, playhead).select("module", F.col("place").cast("long").alias("place"), F.lit("sample").alias("kind"), "slot")
+    ends = ordered.groupBy("module").agg(F.max("place").alias("last"))
+    none = F.lit(None).cast(ordered.schema["slot"].dataType).alias("slot")
+    first = ends.select("module", F.lit(0).cast("long").alias("place"), F.lit("skeleton").alias("kind"), none)
+    return first.unionByName(ordered).unionByName(ends.select("module", (F.col("last") + 1).alias("place"), F.lit("complete").alias("kind"), none))

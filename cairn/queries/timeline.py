@@ -131,6 +131,17 @@ def stream_order(spark, sf_dir):
     return T.stream_order(slots, _cps(spark, sf_dir), F.lit(3))
 
 
+@query(SLOTS + f""", all_ AS (SELECT DISTINCT l_orderkey AS module, unnest([l_partkey % 30, l_suppkey % 30, 31]) AS slot FROM lineitem), first_ AS (SELECT module, list(DISTINCT s) AS need FROM (SELECT module, unnest(samples) AS s FROM idx WHERE i = 0) GROUP BY 1),
+k AS (SELECT a.module, a.slot, CASE WHEN list_contains(f.need, a.slot) THEN -1 ELSE {NEED.format('0')} END::BIGINT AS need_key FROM all_ a LEFT JOIN os USING (module, slot) LEFT JOIN first_ f USING (module)),
+p AS (SELECT module, row_number() OVER (PARTITION BY module ORDER BY need_key, slot) AS place, slot FROM k)
+SELECT module, place, 'sample' AS kind, slot FROM p UNION ALL SELECT module, 0, 'skeleton', NULL FROM p GROUP BY module UNION ALL SELECT module, max(place) + 1, 'complete', NULL FROM p GROUP BY module""")
+def delivery_events(spark, sf_dir):
+    """What a player is sent, from the skeleton to the end."""
+    li = table(spark, sf_dir, "lineitem")
+    slots = li.select(F.col("l_orderkey").alias("module"), F.explode(F.array(F.col("l_partkey") % 30, F.col("l_suppkey") % 30, F.lit(31))).alias("slot")).distinct()
+    return T.deliveries(slots, _cps(spark, sf_dir), F.lit(0))
+
+
 LINES = "WITH s AS (SELECT l_orderkey AS module, l_linenumber AS slot, l_partkey % 10 AS offset_, l_quantity::BIGINT AS length, l_returnflag = 'R' AS compressed, l_partkey FROM lineitem) "
 
 
