@@ -102,6 +102,28 @@ def join_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> Da
     return F.broadcast(df) if fits_broadcast(df, row_bytes, limit) else df
 
 
+def merged_ranges(facts: DataFrame, column: str) -> DataFrame:
+    """facts with the ranges of a column (an array of two integers each, start and end, sorted by start) joined where they overlap or touch."""
+
+    def merge(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            lists = batch.column(at)
+            flat, ends = lists.flatten(), np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            row = np.searchsorted(ends, np.arange(len(flat)), side="right")
+            a, b = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in flat.flatten())
+            shift = row * (int(b.max()) + 2 if len(b) else 1)  # rows lie one after another
+            reach = np.maximum.accumulate(b + shift)
+            first = np.flatnonzero(np.append(True, a[1:] + shift[1:] > reach[:-1])) if len(a) else np.zeros(0, np.int64)
+            last = np.append(first[1:], len(a)) - 1
+            parts = [pa.array(x, flat.type.field(i).type) for i, x in enumerate((a[first], (reach - shift)[last] if len(a) else a))]
+            made = pa.StructArray.from_arrays(parts, fields=[flat.type.field(i) for i in range(2)])
+            offsets = np.searchsorted(row[first], np.arange(len(batch) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), made) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return facts.mapInArrow(merge, facts.schema)
+
+
 def by_document(docs: DataFrame, facts: DataFrame, row_bytes: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
     """docs (with doc_id and _text_hash) left-joined with facts (a written table of _id and _hash, one row for each document).
 

@@ -73,7 +73,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_key_chars: int = 1, bro
     """doc_id, n_lines, n_dropped, text without the frequent lines, and drops (null where nothing goes)."""
     work = Work(docs.sparkSession, "lines")
     drops = work.write(keep_bitmaps(docs, min_docs, min_key_chars, work=work).withColumnsRenamed({"doc_id": "_id", "_text_hash": "_hash"}), "bitmaps", drop=["lines", "frequent-lines"])
-    both = by_document(_mark(docs.select("doc_id", "text")), drops, 64 + 24 * F.size("drops"), broadcast_bytes)
+    both = by_document(_mark(docs.select("doc_id", "text")), drops, 64 + 40 * F.size("drops"), broadcast_bytes)
     lines = _lines(F.col("text"))
     # The bitmap, read out once: what lies between two runs stays, what follows the last one has no entry.
     before = lambda i: F.when(i == 0, 0).otherwise(F.try_element_at("drops", i)["last"] + 1)

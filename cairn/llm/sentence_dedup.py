@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, FOLD, SPACE, Wanted, Work, batch_texts, by_document, join_skewed, mixed, runs, text_chunks, with_wanted, word_table, words_of
+from .common import BROADCAST_BYTES, FOLD, SPACE, Wanted, Work, batch_texts, by_document, join_skewed, merged_ranges, mixed, runs, text_chunks, with_wanted, word_table, words_of
 
 #: Words that a span has at least, sentences that it has at least, and words after which a sentence is cut.
 SPAN_WORDS, SPAN_SENTENCES, SENTENCE_WORDS = 24, 2, 12
@@ -160,8 +160,8 @@ def remove_repeats(docs: DataFrame, span_words: int = SPAN_WORDS, span_sentences
     """doc_id, n_sentences, n_removed, n_words_removed, text (what stays, byte for byte) for every row of docs."""
     docs, work = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), Work(docs.sparkSession, "sentences")
     gone = covered_sentences(docs, span_words, span_sentences, cut_window=cut_window, work=work).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    gone = work.write(gone, "gone", drop=["repeated-spans", "spans", "seen"])
-    both = by_document(docs.withColumn("_text_hash", F.xxhash64("text")), gone, 64 + 16 * F.size("gone"))
+    gone = work.write(merged_ranges(gone, "gone"), "gone", drop=["repeated-spans", "spans", "seen"])
+    both = by_document(docs.withColumn("_text_hash", F.xxhash64("text")), gone, 64 + 40 * F.size("gone"))
 
     def cut(batches):
         for batch in batches:

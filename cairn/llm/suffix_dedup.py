@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Wanted, Work, batch_texts, by_document, join_side, joined, materialize, mixed, powers, prefix_hashes, runs, span_hashes, strings, text_chunks, with_wanted
+from .common import BROADCAST_BYTES, Wanted, Work, batch_texts, by_document, join_side, joined, materialize, merged_ranges, mixed, powers, prefix_hashes, runs, span_hashes, strings, text_chunks, with_wanted
 
 #: Bytes of a window, and bytes of the grams that anchor it.
 WIDTH, GRAM = 200, 32
@@ -386,10 +386,10 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, **options) -> Dat
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes) for every row of docs."""
     work = Work(docs.sparkSession, "suffixes")
     spans = repeated_spans(docs, width, work=work, **options).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    spans = work.write(spans, "repeats")
+    spans = work.write(merged_ranges(spans, "spans"), "repeats")
     work.drop_all_but("repeats")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_text_hash"))
-    both = by_document(own, spans, 64 + 24 * F.size("spans")).select("doc_id", "text", "spans")
+    both = by_document(own, spans, 64 + 40 * F.size("spans")).select("doc_id", "text", "spans")
 
     def cut(batches):
         for batch in batches:

@@ -284,6 +284,19 @@ def bytes_of(df):
     return Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in df.collect())
 
 
+@given(st.lists(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 9)), max_size=8), min_size=1, max_size=6))
+@settings(max_examples=6, deadline=None)
+def test_merged_ranges(spark, rows):
+    from cairn.llm.common import merged_ranges
+
+    table = [(i, sorted({(a, a + n) for a, n in r}) if i != 2 else None) for i, r in enumerate(rows)]
+    frame = spark.createDataFrame(table, "_id long, spans array<struct<lo: int, hi: int>>")
+    for r in merged_ranges(frame, "spans").collect():
+        places = {p for a, b in table[r["_id"]][1] or [] for p in range(a, b)}
+        got = [(x["lo"], x["hi"]) for x in r["spans"] or []]
+        assert {p for a, b in got for p in range(a, b)} == places and all(a[1] < b[0] for a, b in zip(got, got[1:], strict=False))
+
+
 def test_suffix_dedup_on_documents(documents, texts):
     assert bytes_of(SA.remove_repeated_bytes(documents)) == brute_bytes(list(texts.items()))
 
