@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Wanted, Work, batch_texts, by_document, join_side, joined, materialize, merged_ranges, mixed, powers, prefix_hashes, runs, span_hashes, strings, text_chunks, with_wanted
+from .common import BROADCAST_BYTES, Wanted, Work, batch_texts, by_document, join_side, join_skewed, joined, materialize, merged_ranges, mixed, powers, prefix_hashes, runs, span_hashes, strings, text_chunks, with_wanted
 
 #: Bytes of a window, and bytes of the grams that anchor it.
 WIDTH, GRAM = 200, 32
 #: Bytes of contexts in a suffix array (one anchor's contexts may exceed it), and contexts from which an anchor is hot.
 ARRAY_BYTES, HOT = 1 << 20, 16000
+#: Rows from which a context is joined as a frequent one, apart from the others.
+HOT_ROWS = 2000
 #: Contexts that a task remembers to have sent on.
 SEEN = 200_000
 #: Ends a context; it is no byte of UTF-8.
@@ -364,7 +366,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
     places = work.write(_contexts(chosen, wanted, width, gram), "contexts")
     # A context seen more than once repeats as a whole.
     times = places.groupBy("c1", "c2", "many").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    whole = times.select("c1", "c2", F.array(F.struct(F.lit(0).alias("lo"), F.col("many").alias("hi"))).alias("runs"))
+    whole = times.select("c1", "c2", F.array(F.struct(F.lit(0).alias("lo"), F.col("many").alias("hi"))).alias("runs"), "times")
     contexts, many = places.where(F.col("context").isNotNull()), None
     often = keys.where(F.col("count") > hot).select("key")
     if not often.isEmpty():
@@ -374,8 +376,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
         if not many.isEmpty():
             contexts = contexts.join(join_side(many, 16, broadcast_bytes), "key", "left_anti")
     part = _sort_contexts(contexts, width, array_bytes)
-    facts = whole.union(part).groupBy("c1", "c2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    found = places.select("doc_id", "text_hash", "c1", "c2", "start").join(facts, ["c1", "c2"]).select("doc_id", "text_hash", "start", F.explode("runs").alias("r"))
+    facts = whole.union(part.withColumn("times", F.lit(1).cast("long"))).groupBy("c1", "c2").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.max("times").alias("times"))
+    found = join_skewed(places.select("doc_id", "text_hash", "c1", "c2", "start"), work.write(facts, "facts"), ["c1", "c2"], F.col("times") > HOT_ROWS, 256, limit=broadcast_bytes)
+    found = found.select("doc_id", "text_hash", "start", F.explode("runs").alias("r"))
     spans = found.select("doc_id", "text_hash", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi") - 1 + width).alias("hi"))
     if many is not None and not many.isEmpty():
         spans = spans.union(_hot_windows(docs, many, width, gram, broadcast_bytes))
