@@ -3,7 +3,7 @@
 Lines become 128-bit hashes with their document and position. The hashes are range-partitioned
 (with a salt of the document, so that one very frequent line is spread over many tasks), sorted by
 document and position inside each range, and read as a stream that lets only the first
-`min_docs` documents of a line through. What passes is at most `min_docs * SALTS` rows a line and is
+`min_docs` documents of a line through. What passes is at most `min_docs` rows a line and part and is
 ranked once more without the salt. The result is a run-length bitmap for each document; texts
 are never sorted or grouped, and not shuffled where the bitmaps are few enough for a broadcast.
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, SPACE, Work, by_document, fold_column, join_side
 
-#: Parts over which the documents of one line hash are dealt.
+#: Parts over which the documents of one line hash are dealt, at least; as many as there are shuffle partitions.
 SALTS = 32
 
 
@@ -46,7 +46,8 @@ def line_occurrences(docs: DataFrame, min_key_chars: int = 1) -> DataFrame:
 
 def first_occurrences(occurrences: DataFrame, count: int) -> DataFrame:
     """The first `count` documents (and positions in them) of every line hash, in document order, with their rank."""
-    salted = occurrences.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+    salts = max(SALTS, int(occurrences.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = occurrences.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(salts)))
     ranged = salted.repartitionByRange("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", "doc_id", "pos")
     order = [F.col("doc_id").asc_nulls_first()]
     few = ranged.withColumn("_rank", F.dense_rank().over(W.partitionBy("h1", "h2", "salt").orderBy(*order))).where(F.col("_rank") <= count)
