@@ -60,11 +60,11 @@ def fetch(roots: DataFrame, store: DataFrame, key: str = "id") -> tuple[DataFram
 
     A manifest of another version is refused here; every block is checked against its address when it is read.
     """
-    text = store.select(F.col("cid").alias("root"), F.decode("bytes", "UTF-8").alias("_text"))
+    text = store.select(F.col("cid").alias("root"), F.col("bytes").cast("string").alias("_text"))
     read = roots.join(text, "root").withColumn("m", F.from_json("_text", MANIFEST))
     if not read.where(~F.col("m.v").eqNullSafe(F.lit(VERSION))).isEmpty():
         raise ValueError(f"not all roots are manifests of version {VERSION}")
-    apart = store.select(F.col("cid").alias("_cid"), F.from_json(F.decode("bytes", "UTF-8"), f"struct<samples:{SAMPLES},plan:array<bigint>>").alias("_apart"))
+    apart = store.select(F.col("cid").alias("_cid"), F.from_json(F.col("bytes").cast("string"), f"struct<samples:{SAMPLES},plan:array<bigint>>").alias("_apart"))
     read = read.join(apart, F.col("m.indexRoot") == F.col("_cid"), "left").withColumn("index", F.coalesce("m.index", "_apart")).select(key, "m", "index")
     refs = read.select(key, F.posexplode("m.skeletonChunks").alias("ord", "cid"))
     body = read.join(_pieces(refs, store, [key]), key, "left")

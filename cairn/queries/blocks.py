@@ -9,13 +9,14 @@ from ..operators import blocks as K
 from ..operators import sessions as Z
 from ..registry import query, table
 
-CHUNKED = """WITH ascii AS (SELECT doc_id AS id, encode(regexp_replace(text, '[^ -~]', '', 'g')) AS b FROM documents),
-ch AS (SELECT id, o AS ord, o * 64 AS off, regexp_replace(substr(decode(b), o * 64 + 1, 64), '', '') AS t FROM (SELECT id, b, unnest(range(0, (octet_length(b) + 63) // 64)) AS o FROM ascii)),
-chunks AS (SELECT id, ord, off, length(t) AS len, sha256(t) AS cid, t FROM ch) """
+#: Whole texts as bytes (h in hex) and their chunks of 64 bytes.
+CHUNKED = """WITH files AS (SELECT doc_id AS id, hex(encode(text)) AS h FROM documents),
+ch AS (SELECT id, o AS ord, o * 64 AS off, substr(h, (o * 128 + 1)::INT, 128) AS t FROM (SELECT id, h, unnest(range(0, (length(h) // 2 + 63) // 64)) AS o FROM files)),
+chunks AS (SELECT id, ord, off, length(t) // 2 AS len, sha256(unhex(t)) AS cid, t FROM ch) """
 
 
 def _files(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace("text", "[^ -~]", "").cast("binary").alias("bytes"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("bytes"))
 
 
 def _chunks(spark, sf_dir):
@@ -28,11 +29,11 @@ def fixed_chunks(spark, sf_dir):
     return c.select("id", F.col("ord").cast("long").alias("ord"), F.col("off").cast("long").alias("off"), F.col("len").cast("long").alias("len"), "cid")
 
 
-@query(CHUNKED + "SELECT id, 40 + id % 50 AS offset_, substr(decode(b), 41 + (id % 50)::INT, 300) AS data FROM ascii WHERE octet_length(b) > 40 + id % 50")
+@query(CHUNKED + "SELECT id, 40 + id % 50 AS offset_, substr(h, (81 + id % 50 * 2)::INT, 600) AS data FROM files WHERE length(h) // 2 > 40 + id % 50")
 def range_read(spark, sf_dir):
     r = _files(spark, sf_dir).select("id", (40 + F.col("id") % 50).alias("offset"), F.lit(300).alias("length"))
     out = K.read_ranges(_chunks(spark, sf_dir), r)
-    return out.select("id", F.col("offset").alias("offset_"), F.decode("data", "UTF-8").alias("data"))
+    return out.select("id", F.col("offset").alias("offset_"), F.hex("data").alias("data"))
 
 
 @query(CHUNKED + "SELECT count(*) AS bad FROM chunks WHERE ord % 10 = 3 AND len > 0")
@@ -41,7 +42,7 @@ def verify_blocks(spark, sf_dir):
     return K.mismatched(c).agg(F.count(F.lit(1)).alias("bad"))
 
 
-@query(CHUNKED + "SELECT id, sha256(decode(b)) AS digest FROM ascii WHERE octet_length(b) > 0")
+@query(CHUNKED + "SELECT id, sha256(unhex(h)) AS digest FROM files WHERE h <> ''")
 def reassemble(spark, sf_dir):
     c = _chunks(spark, sf_dir)
     return K.reassemble(c.select("id", "ord", "cid"), c).select("id", F.sha2("bytes", 256).alias("digest"))
@@ -104,7 +105,7 @@ def dag_stats(spark, sf_dir):
     return _chunks(spark, sf_dir).groupBy("id").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("cid").alias("blocks"), F.sum("len").alias("bytes"))
 
 
-@query(CHUNKED + "SELECT id, 0 AS level, sha256('root' || id) AS cid FROM ascii UNION ALL SELECT id, 1, cid FROM chunks")
+@query(CHUNKED + "SELECT id, 0 AS level, sha256('root' || id) AS cid FROM files UNION ALL SELECT id, 1, cid FROM chunks")
 def dag_all_cids(spark, sf_dir):
     """All addresses of a graph, level by level; repeats stay."""
     roots = _files(spark, sf_dir).select("id", F.lit(0).alias("level"), F.sha2(F.concat(F.lit("root"), F.col("id").cast("string")), 256).alias("cid"))

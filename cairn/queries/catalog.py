@@ -221,10 +221,10 @@ def rebake_merge(spark, sf_dir):
     return C.rebake(m, baked)
 
 
-@query("SELECT doc_id, array_to_string(list_filter(list_transform(list_concat(string_split(split_part(text, chr(10), 1), ','), ['  ', source || ' ']), lambda x: trim(x, ' ')), lambda x: x <> ''), ' ') AS names FROM documents")
+@query("SELECT doc_id, array_to_string(list_filter(list_transform(list_concat(string_split(replace(text, chr(10), ' '), ','), ['  ', source || ' ']), lambda x: trim(x, ' ')), lambda x: x <> ''), ' ') AS names FROM documents")
 def names_join(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", S.joined_names(F.split(F.substring_index("text", "\n", 1), ","), F.array(F.lit("  "), F.concat("source", F.lit(" ")))).alias("names"))
+    return d.select("doc_id", S.joined_names(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), ","), F.array(F.lit("  "), F.concat("source", F.lit(" ")))).alias("names"))
 
 
 ROOTS = MODULES + ", roots AS (SELECT DISTINCT root_cid FROM modules), pins AS (SELECT CASE WHEN doc_id % 10 = 0 THEN sha256(doc_id::VARCHAR) ELSE sha256(text) END AS cid, doc_id % 3 AS kind FROM documents JOIN labels USING (doc_id)) "

@@ -294,17 +294,16 @@ def manifest_roots(spark, sf_dir):
     return _manifests(spark, sf_dir, 2000)[0].select("id", "root", "spilled")
 
 
-@query(CHUNKED + ", h AS (SELECT id, string_agg(t, '' ORDER BY ord) AS t, max(id) % 50 AS z FROM chunks WHERE ord < 3 GROUP BY id) SELECT id, lang AS format, sha256(t || repeat(chr(9), z::INT)) AS skeleton, id % 7 AS plan FROM h JOIN documents ON id = doc_id")
+@query(CHUNKED + ", h AS (SELECT id, string_agg(t, '' ORDER BY ord) AS t, max(id) % 50 AS z FROM chunks WHERE ord < 3 GROUP BY id) SELECT id, lang AS format, sha256(unhex(t || repeat('00', z::INT))) AS skeleton, id % 7 AS plan FROM h JOIN documents ON id = doc_id")
 def manifest_fetch(spark, sf_dir):
     """Skeletons read back from roots and blocks, zeros put in again."""
     made, chunks = _manifests(spark, sf_dir, 2000)
     blocks = MF.manifest_blocks(made).unionByName(chunks.select("cid", "bytes")).dropDuplicates(["cid"])
     skeletons, _ = MF.fetch(made.select("id", "root"), blocks)
-    text = F.translate(F.decode("skeleton", "ISO-8859-1"), "\u0000", "\t")
-    return skeletons.select("id", "format", F.sha2(text, 256).alias("skeleton"), F.element_at("plan", 1).alias("plan"))
+    return skeletons.select("id", "format", F.sha2("skeleton", 256).alias("skeleton"), F.element_at("plan", 1).alias("plan"))
 
 
-@query(CHUNKED + "SELECT id, (ord // 3)::INT AS index, 64 AS frames, 1 AS channels, 8 AS \"bitDepth\", sha256(string_agg(t, '' ORDER BY ord)) AS pcm FROM chunks WHERE ord >= 3 GROUP BY id, ord // 3")
+@query(CHUNKED + "SELECT id, (ord // 3)::INT AS index, 64 AS frames, 1 AS channels, 8 AS \"bitDepth\", sha256(unhex(string_agg(t, '' ORDER BY ord))) AS pcm FROM chunks WHERE ord >= 3 GROUP BY id, ord // 3")
 def manifest_samples(spark, sf_dir):
     """Samples read back from roots and blocks."""
     made, chunks = _manifests(spark, sf_dir, 2000)
