@@ -7,7 +7,7 @@ the last block drawn is cut, so that the words taken are the target to the word.
 A tree splits the quotas over the output shards: at each node the left half's share of every source is drawn from the
 multivariate hypergeometric law, so quotas add up exactly at every level. A source's drawn blocks are permuted once more
 and dealt to the shards by these shares; a word is taken if its block is dealt. A shard orders its slices by a
-hash. `mix_documents` writes its rows by shard in that order, a run of a document's words where its first block is.
+hash. `mix_documents` writes its rows by shard in that order, a document where its first word of the epoch that is taken is.
 
 Positions in a stream come from two levels, so that no task sorts a whole source: a document's bucket
 is the head of its hash, buckets are summed with partial aggregation, and only inside a
@@ -211,20 +211,17 @@ def mix_totals(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each run of a document's words that is taken in an epoch.
+    """The mix itself, with the columns of docs: a row for each document and epoch of which words are taken.
 
-    Whole texts come as they are; a document part of whose blocks are drawn comes with the words from the
-    first to the last one of a run. n_chars, where docs has it, is the length of the text that comes. Rows of a shard
+    Whole texts come as they are; a document part of whose blocks are drawn comes with as many of its first
+    words. n_chars, where docs has it, is the length of the text that comes. Rows of a shard
     lie in one partition, in the order of place; a row has shard and place of its first slice in `mix_plan`.
     """
     work, keys = Work(docs.sparkSession, "mix"), ["doc_id", "source", "text_hash", "size"]
     plan = mix_plan(docs, **options).where(F.col("taken") > 0)
-    line = W.partitionBy(*keys, "at", "epoch").orderBy("start")
-    fresh_run = F.coalesce((F.lag("stop").over(line) != F.col("start")).cast("int"), F.lit(1))
-    runs = plan.withColumn("_run", F.sum(fresh_run).over(line.rowsBetween(W.unboundedPreceding, 0)))
-    runs = runs.groupBy(*keys, "at", "epoch", "_run").agg(F.min(F.struct("start", "shard", "place")).alias("head"), F.max("stop").alias("stop"))
-    takes = F.struct(F.col("head.shard").alias("shard"), F.col("head.place").alias("place"), F.col("head.start").alias("start"), "stop")
-    parts = runs.groupBy(*keys).agg(F.count_distinct("at").alias("copies"), F.collect_list(takes).alias("takes"))
+    epochs = plan.groupBy(*keys, "at", "epoch").agg(F.sum("taken").alias("words"), F.min(F.struct("start", "shard", "place")).alias("head"))
+    takes = F.struct(F.col("head.shard").alias("shard"), F.col("head.place").alias("place"), "words")
+    parts = epochs.groupBy(*keys).agg(F.count_distinct("at").alias("copies"), F.collect_list(takes).alias("takes"))
     id_, source_, hash_, size_, copies_, takes_, take_, first_ = (fresh(docs, n) for n in ("_id", "_source", "_hash", "_size", "_copies", "_takes", "_take", "_first"))
     parts = work.write(parts.select(F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("text_hash").alias(hash_), F.col("size").alias(size_), F.col("copies").alias(copies_), F.col("takes").alias(takes_)), "mix")
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source_)) & (F.xxhash64("text") == F.col(hash_))
@@ -237,9 +234,9 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
         out = out.union(docs.join(side(repeated), same).dropDuplicates([id_, source_, hash_]))
     out = out.withColumn(take_, F.explode(takes_)).drop(takes_)
     out = out.repartition(F.col(f"{take_}.shard")).sortWithinPartitions(f"{take_}.shard", f"{take_}.place", id_, hash_)
-    start, stop = F.col(f"{take_}.start"), F.col(f"{take_}.stop")
+    words = F.col(f"{take_}.words")
     # Pieces are words, each with the blanks before it.
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.when(stop - start == F.col(size_), F.col("text")).otherwise(F.array_join(F.slice(pieces, (start + 1).cast("int"), (stop - start).cast("int")), ""))
+    text = F.when(words == F.col(size_), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), ""))
     columns = [text.alias(c) if c == "text" else F.char_length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else named(c) for c in docs.columns]
     return out.select(*columns)

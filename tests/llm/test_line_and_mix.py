@@ -120,7 +120,7 @@ def test_mixed_texts(odd_docs, odd_rows):
         whole.setdefault(d, []).append(t or "")
     for r in out.select("doc_id", "text", "n_chars", M.word_count(F.col("text")).alias("w")).collect():
         got[r["doc_id"]] += r["w"]
-        assert any(r["text"] in t for t in whole[r["doc_id"]]) and r["n_chars"] == len(r["text"])
+        assert any(t.startswith(r["text"]) for t in whole[r["doc_id"]]) and r["n_chars"] == len(r["text"])
     assert {k: v for k, v in want.items() if v} == dict(got)
 
 
@@ -128,9 +128,16 @@ def test_slices_are_disjoint(odd_docs):
     plan = M.mix_plan(odd_docs, block_words=64, shards=5).where("taken > 0").collect()
     assert {r["shard"] for r in plan} <= set(range(5)) and None not in {r["shard"] for r in plan}
     seen = defaultdict(list)
+    for r in plan:
+        seen[r["doc_id"], r["text_hash"], r["epoch"]].append((r["start"], r["stop"]))
+    for (doc, _, _), spans in seen.items():
+        if doc != 9:  # two equal rows share their places there
+            spans.sort()
+            assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    seen.clear()
     for r in plan:
         seen[r["source"], r["epoch"]].append((r["at"] + r["start"], r["at"] + r["stop"]))
-    for spans in seen.values():
+    for spans in seen.values():  # nor do documents share words of their source's stream
         spans.sort()
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
@@ -163,10 +170,8 @@ def test_mix_comes_by_shard_and_place(spark):
     for r in M.mix_plan(docs, **options).where("taken > 0").collect():
         slices[r["doc_id"], r["epoch"]].append((r["start"], r["stop"], r["shard"], r["place"]))
     for (d, _), own in slices.items():
-        own.sort()
-        for i, (start, _, shard, place) in enumerate(own):
-            if not i or own[i - 1][1] != start:
-                want[shard].append((place, d))
+        _, _, shard, place = min(own)
+        want[shard].append((place, d))
     got = [(r["p"], r["doc_id"]) for r in M.mix_documents(docs, **options).withColumn("p", F.spark_partition_id()).collect()]
     runs = {shard: [d for _, d in sorted(v)] for shard, v in want.items()}
     parts = defaultdict(list)
