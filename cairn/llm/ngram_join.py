@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, FOLD, SPACE, Work, batch_texts, fits_broadcast, fresh, join_side, mixed, text_chunks, word_table, words_of
+from .common import BROADCAST_BYTES, FOLD, SPACE, Work, batch_texts, fits_broadcast, fresh, join_side, join_skewed, mixed, text_chunks, word_table, words_of
 from .graph import connected_components
 
 #: Words of a shingle, and the least similarity in percent.
@@ -47,6 +47,8 @@ ORDERS, HEADS, PART = 3, 3, 16
 GROUP = 64
 #: Leaders after one another that a pair may be put under.
 LEVELS = 3
+#: Rows from which a component is joined apart from the others.
+HOT_ROWS = 1000
 #: Parts in which the rows of a frequent token are dealt where frequent tokens are too many for a broadcast.
 SALTS = 16
 _WORDS = word_table(SPACE)
@@ -330,9 +332,14 @@ def _components(docs: DataFrame, shingle: int, group: int) -> DataFrame:
             labels = by_leaders(sets, frequent, harder, labels, group, work)
     else:
         labels = _merged(labels, work.write(links, "links"), work)
-    named = _labelled(nodes.select("node", "doc", "hi", "lo"), labels)
-    least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    found = work.write(named.join(least, "component").select("hi", "lo", "component", "component_id"), "found")
+    named = work.write(_labelled(nodes.select("node", "doc", "hi", "lo"), labels), "named")
+    # A node without links is its own component; only the others look their least document up, those of large components apart.
+    least = named.join(labels.select("node"), "node", "left_semi").groupBy("component").agg(F.min("doc").alias("component_id"), F.count(F.lit(1)).alias("many"))
+    least = work.write(least, "least")
+    linked = join_skewed(named.join(labels.select("node"), "node", "left_semi"), least, ["component"], F.col("many") > HOT_ROWS)
+    alone = named.join(labels.select("node"), "node", "left_anti").withColumn("component_id", F.col("doc"))
+    names = ["hi", "lo", "component", "component_id"]
+    found = work.write(linked.select(*names).union(alone.select(*names)), "found")
     work.drop_all_but("rows", "found")
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     out = rows.join(found, ["hi", "lo"], "left")
@@ -357,8 +364,8 @@ def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, group: int = GROUP
     id_, hash_ = fresh(docs, "_gone_id"), fresh(docs, "_gone_hash")
     work = Work(docs.sparkSession, "near-copies")
     rows = work.write(_components(docs, shingle, group).where(F.col("component").isNotNull()).groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies")), "members")
-    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    rows = rows.join(first, "component").withColumn("stays", F.struct("doc_id", "text_hash") == F.col("first"))
+    first = work.write(rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("many")), "first")
+    rows = work.write(join_skewed(rows, first, ["component"], F.col("many") > HOT_ROWS).withColumn("stays", F.struct("doc_id", "text_hash") == F.col("first")), "marked")
     named = [F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)]
     gone = work.write(rows.where(~F.col("stays")).select(*named), "gone")
     again = work.write(rows.where(F.col("stays") & (F.col("copies") > 1)).select(*named), "repeated")
