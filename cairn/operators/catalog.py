@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.strings import nocase
+from .numbering import numbered
 
 #: Columns of a result row, and of a module's details.
 HIT = ("id", "title", "format", "duration", "channels", "size_bytes", "root_cid")
@@ -84,17 +84,11 @@ def rebake(known: DataFrame, baked: DataFrame) -> DataFrame:
 def insert_new(catalog: DataFrame, rows: DataFrame) -> DataFrame:
     """The catalogue with rows of new sources, numbered on from the largest id in order of source.
 
-    Numbers come from ranges: rows are range-partitioned by source, counted by partition, and numbered inside each.
+    Numbers come from written ranges of the sources, so ids have no gaps at any number of partitions.
     """
     fresh = new_sources(rows.drop("id"), catalog)
-    ranged = fresh.repartitionByRange("source").withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     last = catalog.agg(F.max("id")).first()[0] or 0
-    inside = F.row_number().over(W.partitionBy("_part").orderBy("source"))
-    # counts has a row for each partition.
-    numbered = ranged.withColumn("_n", inside).join(F.broadcast(counts.drop("count")), "_part")
-    numbered = numbered.withColumn("id", F.lit(last) + F.col("_before") + F.col("_n")).drop("_part", "_n", "_before")
-    return catalog.unionByName(numbered)
+    return catalog.unionByName(numbered(fresh, "source", name="_n").withColumn("id", F.lit(last) + F.col("_n") + 1).drop("_n"))
 
 
 def get_source(modules: DataFrame, source: str) -> DataFrame:

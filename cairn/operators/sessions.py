@@ -1,7 +1,6 @@
 """Session and cache simulation, clusters and samples.
 
-Positions over a whole table come in two levels: ranges of the key are counted, and rows are numbered
-inside their range, so that no task sorts the table.
+Positions over a whole table come from written ranges (`numbering`), so that no task sorts the table.
 """
 
 from __future__ import annotations
@@ -10,15 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def numbered(rows: DataFrame, key: str, name: str = "_r") -> DataFrame:
-    """Rows with their place (from 0) in the order of a unique key."""
-    ranged = rows.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    heads = counts.select("_part", before.alias("_before"))  # a row for each partition
-    inside = F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1
-    return ranged.withColumn("_in", inside).join(F.broadcast(heads), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+from .numbering import numbered
 
 
 def every_kth(rows: DataFrame, key: str, k: int) -> DataFrame:
@@ -85,4 +76,4 @@ def shuffled(rows: DataFrame, key: str, seed: int, most: int) -> DataFrame:
 
 def place_of(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The place (from 0) of wanted keys in the order of the keys."""
-    return numbered(rows.select(key), key, "place").join(wanted.select(key), key)
+    return numbered(rows.select(key), key, name="place").join(wanted.select(key), key)

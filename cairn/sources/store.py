@@ -7,7 +7,6 @@ that names it is written only after the copy was read back and compared.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import catalog, fts
+from .folders import delete, work_folder
 
 _long, _text = T.LongType(), T.StringType()
 MODULES = T.StructType([
@@ -29,22 +29,9 @@ POINTERS = T.StructType([T.StructField("name", _text), T.StructField("version",
 SEARCHED = ("title", "filename", "instruments", "comment")
 TABLES = ("modules", "meta", "postings", "totals")
 
-_own: list[str] = []
 _made: dict[tuple, str] = {}
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where the session keeps shared files: its checkpoint folder, or this process's own in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="cairn-store-"))
-        root = _own[0]
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stored_once(spark: SparkSession, key: tuple, name: str, build: Callable[[str], None]) -> str:
     """The folder that build filled for this key; it is filled once in an application."""
     key = (spark.sparkContext.applicationId, name, *key)
@@ -55,11 +42,6 @@ def stored_once(spark: SparkSession, key: tuple, name: str, build: Callable[[str
     return _made[key]
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def conform(rows: DataFrame, schema: T.StructType = MODULES) -> DataFrame:
     """rows with the declared columns and types; columns that aren't there are null, and a null where none may be is refused."""
     have = set(rows.columns)
