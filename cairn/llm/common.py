@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import delete, work_folder
+
 #: A-Z to a-z and nothing else, in SQL and in bytes.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -25,8 +25,6 @@ CHUNK_BYTES = 1 << 19
 #: Bytes of the rows a broadcast may hold; beyond, operators shuffle instead.
 BROADCAST_BYTES = 64 << 20
 
-_own_root: list[str] = []
-
 
 def _glibc(name: str, *args: int) -> None:
     with contextlib.suppress(OSError, AttributeError):  # other systems do without
@@ -45,18 +43,11 @@ def give_back() -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which the driver and all executors see.
+    """A new folder under spark.checkpoint.dir, by its full name, which the driver and all executors see.
 
     Where the session has no such setting (tests in local mode), a folder of this process is used.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        if not _own_root:
-            _own_root.append(tempfile.mkdtemp(prefix="cairn-"))
-        root = _own_root[0]
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return work_folder(spark, name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -85,8 +76,7 @@ class Work:
     def drop(self, *names: str) -> None:
         """Delete the tables of these names; no later plan may read them."""
         for path in [p for n in names for p in self.paths.pop(n, [])]:
-            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            delete(self.spark, path)
 
     def drop_all_but(self, *names: str) -> None:
         self.drop(*(n for n in list(self.paths) if n not in names))

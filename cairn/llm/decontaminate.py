@@ -188,7 +188,6 @@ def _tables(benchmark: DataFrame, window: int, limit: int):
     spark = benchmark.sparkSession
     blocks, first, paths = benchmark_blocks(benchmark, window, limit), None, []
     folder = shared_dir(spark, "benchmark")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     for i, tables in enumerate(blocks):
         if i == 0:
             first = tables

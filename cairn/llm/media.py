@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.folders import qualified
 from .common import Work, batch_texts, join_side, shared_dir, strings
 
 #: Samples of an image row, and what fills the last one up.
@@ -104,10 +105,6 @@ def feature_of(payload: bytes) -> str:
     return f"{total * 1000 // n}:{deviation}:{','.join(map(str, shares))}:{int.from_bytes(np.packbits(bits).tobytes(), 'big'):016x}"
 
 
-def _uri(folder: str) -> str:
-    return folder if ":" in folder.split("/")[0] else f"file://{folder}"
-
-
 class _Shard:
     """A tar file in the making."""
 
@@ -145,7 +142,7 @@ def write_media(docs: DataFrame, folder: str | None = None, shard_bytes: int = S
     """Store every distinct payload; the written index (doc_id, n_bytes, digest) and the written places (digest, shard, offset, length)."""
     spark = docs.sparkSession
     work = work or Work(spark, "media-work")
-    folder = _uri(folder or shared_dir(spark, "media"))
+    folder = qualified(spark, folder) if folder else shared_dir(spark, "media")
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
     docs = docs.select("doc_id", "text")

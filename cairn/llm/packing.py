@@ -29,8 +29,8 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from ..sources.folders import qualified
 from .common import batch_texts, give_back, joined, mixed, prefix_hashes, shared_dir, span_hashes, text_chunks
-from .media import _uri
 
 #: Ids in a packed row, rows' worth of ids packed at once, and the id that fills a row's end.
 ROW, WINDOW_ROWS, PAD = 2048, 1024, 50256
@@ -201,7 +201,7 @@ def pack_tokens(docs: DataFrame, folder: str | None = None, row: int = ROW, wind
     the file, .resets.npy the places in the matrix, row by row, where positions start again at 0),
     row, n_tokens, n_segments, doc_ids and pieces (by segment), lengths, ids_sha256 (of the ids as little-endian 16-bit), empty.
     """
-    folder = _uri(folder or shared_dir(docs.sparkSession, "tokens"))
+    folder = qualified(docs.sparkSession, folder) if folder else shared_dir(docs.sparkSession, "tokens")
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
 
