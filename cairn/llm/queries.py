@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .clustering import clustered
 from .common import read
 from .decontaminate import find_contamination
 from .line_dedup import dedup_lines
@@ -133,5 +134,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_line_dedup": op6_line_dedup, "op9_mixing": op9_mixing, "op4_media": op4_media, "op10_packing": op10_packing, "op3_secrets": op3_secrets, "op1_quality": op1_quality, "op7_ngram_join": op7_ngram_join, "op5_sentence_dedup": op5_sentence_dedup, "op8_suffix_dedup": op8_suffix_dedup}
-SQL = {"op2_decontaminate": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_mixing": OP9_SQL}
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors of 64 components after three rounds from 16 first centroids."""
+    return clustered(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+_NEAREST = "SELECT r, q, min({{'d': list_sum([(q[i] - c[i]) * (q[i] - c[i]) FOR i IN range(1, 65)])::BIGINT, 'k': k}}) AS a FROM kept, {0} GROUP BY r, q"
+_MOVED = """SELECT o.k, coalesce(n.c, o.c) AS c FROM {1} o LEFT JOIN (
+  SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM (
+    SELECT a.k AS k, i, sum(q[i])::HUGEINT AS s, count(*) AS n FROM {0}, range(1, 65) AS t(i) GROUP BY a.k, i) GROUP BY k) n USING (k)"""
+_STEPS = ", ".join(f"a{i} AS MATERIALIZED ({_NEAREST.format(f'c{i}')}), c{i + 1} AS MATERIALIZED ({_MOVED.format(f'a{i}', f'c{i}')})" for i in range(3))
+OP11_SQL = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, q) - 1)::INT AS k, q AS c FROM (SELECT sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h, q FROM kept ORDER BY h, q LIMIT 16)),
+{_STEPS},
+a3 AS MATERIALIZED ({_NEAREST.format("c3")})
+SELECT vec_id, a.k AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN kept USING (r) JOIN c3 ON c3.k = a.k
+"""
+
+
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_line_dedup": op6_line_dedup, "op9_mixing": op9_mixing, "op4_media": op4_media, "op10_packing": op10_packing, "op3_secrets": op3_secrets, "op1_quality": op1_quality, "op7_ngram_join": op7_ngram_join, "op5_sentence_dedup": op5_sentence_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op11_clusters": op11_clusters}
+SQL = {"op2_decontaminate": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_mixing": OP9_SQL, "op11_clusters": OP11_SQL}
