@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .clustering import clustered
 from .common import read
 from .decontaminate import find_contamination
+from .fingerprints import fingerprints
 from .line_dedup import dedup_lines
 from .media import media_columns
 from .mixing import mix_totals
@@ -156,5 +157,10 @@ FROM a3 JOIN kept USING (r) JOIN c3 ON c3.k = a.k
 """
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_line_dedup": op6_line_dedup, "op9_mixing": op9_mixing, "op4_media": op4_media, "op10_packing": op10_packing, "op3_secrets": op3_secrets, "op1_quality": op1_quality, "op7_ngram_join": op7_ngram_join, "op5_sentence_dedup": op5_sentence_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op11_clusters": op11_clusters}
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k fingerprints of every text and of its edited copy, and how alike they are."""
+    return fingerprints(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_line_dedup": op6_line_dedup, "op9_mixing": op9_mixing, "op4_media": op4_media, "op10_packing": op10_packing, "op3_secrets": op3_secrets, "op1_quality": op1_quality, "op7_ngram_join": op7_ngram_join, "op5_sentence_dedup": op5_sentence_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op11_clusters": op11_clusters, "op12_fingerprints": op12_fingerprints}
 SQL = {"op2_decontaminate": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_mixing": OP9_SQL, "op11_clusters": OP11_SQL}
