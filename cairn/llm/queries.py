@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .clustering import clustered
 from .common import read
 from .decontaminate import find_contamination
+from .divergence import divergence
 from .fingerprints import fingerprints
 from .line_dedup import dedup_lines
 from .media import media_columns
@@ -162,5 +163,29 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_line_dedup": op6_line_dedup, "op9_mixing": op9_mixing, "op4_media": op4_media, "op10_packing": op10_packing, "op3_secrets": op3_secrets, "op1_quality": op1_quality, "op7_ngram_join": op7_ngram_join, "op5_sentence_dedup": op5_sentence_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op11_clusters": op11_clusters, "op12_fingerprints": op12_fingerprints}
-SQL = {"op2_decontaminate": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_mixing": OP9_SQL, "op11_clusters": OP11_SQL}
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every source of a language its distance to each other source, and the terms that it has more of than its language."""
+    return divergence(read(spark, sf_dir, "documents", "lang", "source", "text"))
+
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {FOLD_SQL.format("coalesce(text, '')")} AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS lang_n FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(lang_n) AS all_n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.lang_n, v.v, v.all_n FROM g JOIN k USING (lang) JOIN v USING (lang)
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + v) AS p, 1 + (1000000000::HUGEINT * (lang_n + 1)) // (all_n + v) AS q FROM dense),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+both_ AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM s WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM both_)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_line_dedup": op6_line_dedup, "op9_mixing": op9_mixing, "op4_media": op4_media, "op10_packing": op10_packing, "op3_secrets": op3_secrets, "op1_quality": op1_quality, "op7_ngram_join": op7_ngram_join, "op5_sentence_dedup": op5_sentence_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op11_clusters": op11_clusters, "op12_fingerprints": op12_fingerprints, "op13_divergence": op13_divergence}
+SQL = {"op2_decontaminate": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_mixing": OP9_SQL, "op11_clusters": OP11_SQL, "op13_divergence": OP13_SQL}
