@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scans import KEY_ROWS, running
+
 
 def merge_spans(spans: DataFrame, by: str, end: str | None = None) -> DataFrame:
     """Spans (start, stop) of each key joined where they overlap or touch, held within [0, end], empty ones dropped."""
@@ -43,17 +45,16 @@ def greedy(spans: DataFrame, by: str) -> DataFrame:
                     key, end = k, 0
                 taken = start is not None and start >= end
                 if taken:
-                    end = stop
+                    end = start if stop is None else stop  # a span without end takes no room
                 mask.append(taken)
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return typed.repartition(by).sortWithinPartitions(by, "start", "stop").mapInArrow(keep, f"{by} {kind}, start long, stop long")
 
 
-def prefix_offsets(rows: DataFrame, by: str, order: list[str], size: str) -> DataFrame:
+def prefix_offsets(rows: DataFrame, by: str, order: list[str], size: str, key_rows: int = KEY_ROWS) -> DataFrame:
     """Where each piece starts when pieces lie one after the other."""
-    w = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)))
+    return running(rows, [by], order, {"offset": ("sum", F.col(size))}, before=True, key_rows=key_rows).withColumn("offset", F.coalesce("offset", F.lit(0)))
 
 
 def sequential_runs(reads: DataFrame, by: str, order: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """As-of lookups, checkpoints and playback timelines.
 
-All windows are partitioned by a key (module, channel); a key's rows are a timeline of its own.
+A key's rows (module, channel) are a timeline of its own; lookups and running values go along it by `scans.running`,
+which cuts a timeline of very many rows over tasks.
 """
 
 from __future__ import annotations
@@ -9,17 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scans import KEY_ROWS, running
 
-def asof(points: DataFrame, facts: DataFrame, by: str, at: str, on: str, values: list[str]) -> DataFrame:
+
+def asof(points: DataFrame, facts: DataFrame, by: str, at: str, on: str, values: list[str], key_rows: int = KEY_ROWS) -> DataFrame:
     """Each point with the values of its key's latest fact at or before it (null if there is none).
 
     Both sides go through one shuffle by key and one sort; of facts at one place the last by value counts.
     """
     fact = facts.select(F.col(by).alias("_by"), F.col(on).cast("double").alias("_at"), F.lit(0).alias("_side"), F.struct(*values).alias("_v"), F.lit(None).cast(points.select(F.struct("*")).schema[0].dataType).alias("_p"))
     point = points.select(F.col(by).alias("_by"), F.col(at).cast("double").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(facts.select(F.struct(*values)).schema[0].dataType).alias("_v"), F.struct("*").alias("_p"))
-    w = W.partitionBy("_by").orderBy("_at", "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
-    both = fact.unionByName(point).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
-    return both.select("_p.*", *(F.col(f"_v.{v}").alias(v) for v in values))
+    both = running(fact.unionByName(point), ["_by"], ["_at", "_side", "_v"], {"_found": ("last", F.col("_v"))}, key_rows=key_rows).where("_side = 1")
+    return both.select("_p.*", *(F.col(f"_found.{v}").alias(v) for v in values))
 
 
 def checkpoint_sets(triggers: DataFrame) -> DataFrame:
@@ -61,17 +63,18 @@ def strided(rows: DataFrame, by: str, order: list[str], most: int = 512) -> Data
     return rows.withColumn("_s", stride).withColumn("_n", F.row_number().over(w.orderBy(*order)) - 1).where("_n % _s = 0").drop("_s", "_n")
 
 
-def order_seconds(rows: DataFrame, speed: int = 6, tempo: int = 125, pattern_rows: int = 64) -> DataFrame:
+def order_seconds(rows: DataFrame, speed: int = 6, tempo: int = 125, pattern_rows: int = 64, key_rows: int = KEY_ROWS) -> DataFrame:
     """rows (module, order, speed, tempo; null: as before) with the seconds at which each order starts."""
-    w = W.partitionBy("module").orderBy("order")
-    carried = rows.select("module", "order", *(F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(d)).alias(c) for c, d in (("speed", speed), ("tempo", tempo))))
+    sets = rows.select("module", "order", F.col("speed").alias("_s"), F.col("tempo").alias("_t"))
+    carried = running(sets, ["module"], ["order"], {"speed": ("last", F.col("_s")), "tempo": ("last", F.col("_t"))}, key_rows=key_rows)
+    carried = carried.select("module", "order", F.coalesce("speed", F.lit(speed)).alias("speed"), F.coalesce("tempo", F.lit(tempo)).alias("tempo"))
     length = F.col("speed") * 2.5 / F.col("tempo") * pattern_rows
-    return carried.withColumn("seconds", F.coalesce(F.sum(length).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+    return running(carried, ["module"], ["order"], {"seconds": ("sum", length)}, before=True, key_rows=key_rows).withColumn("seconds", F.coalesce("seconds", F.lit(0.0)))
 
 
-def latch_forward(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
+def latch_forward(rows: DataFrame, by: str, order: list[str], value: str, key_rows: int = KEY_ROWS) -> DataFrame:
     """The last value that isn't null, up to each row of a key."""
-    return rows.withColumn("latched", F.last(value, ignorenulls=True).over(W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    return running(rows, [by], order, {"latched": ("last", F.col(value))}, key_rows=key_rows)
 
 
 def held_notes(events: DataFrame, before: Column) -> DataFrame:
