@@ -19,6 +19,7 @@ from ..operators import blocks as K
 from ..operators import manifest as MF
 from ..operators import seek
 from ..registry import query, table
+from ..sources import archives
 from ..sources import modules as M
 from ..sources import store
 from .blocks import CHUNKED, _chunks
@@ -207,14 +208,14 @@ ENTRIES = "WITH e AS (SELECT doc_id, 'g' || doc_id // 20 || '.ZIP!m' || doc_id |
 @query(ENTRIES + "SELECT head || 'm' || doc_id || '.mod' AS source, octet_length(encode(text)) AS length FROM e WHERE doc_id % 3 <> 0 UNION ALL SELECT head || 'page.html', length(doc_id::VARCHAR) FROM e WHERE doc_id % 3 <> 0")
 def corpus_files(spark, sf_dir):
     """Modules of one format in archives of archives, read from a folder of files."""
-    found = M.scan_corpus(M.outer_zips(spark, _archives(spark, sf_dir)), "", ("mod",))
+    found = archives.corpus(spark, _archives(spark, sf_dir), ("mod",))
     return found.select(F.regexp_replace("source", "^.*/", "").alias("source"), F.length("bytes").cast("long").alias("length"))
 
 
 @query(ENTRIES + ", n AS (SELECT head || 'm' || doc_id || '.mod' AS source FROM e UNION ALL SELECT head || 'page.html' FROM e) SELECT source FROM n ORDER BY source LIMIT 25")
 def corpus_limit(spark, sf_dir):
     """The first entries of all formats."""
-    found = M.scan_corpus(M.outer_zips(spark, _archives(spark, sf_dir)), "", (), 25)
+    found = archives.corpus(spark, _archives(spark, sf_dir), limit=25)
     return found.select(F.regexp_replace("source", "^.*/", "").alias("source"))
 
 
