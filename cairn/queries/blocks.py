@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.chunking import SMALL
 from ..operators import blocks as K
 from ..operators import sessions as Z
 from ..registry import query, table
+from ..sources.modules import content_chunks
 
 #: Whole texts as bytes (h in hex) and their chunks of 64 bytes.
 CHUNKED = """WITH files AS (SELECT doc_id AS id, hex(encode(text)) AS h FROM documents),
@@ -176,3 +178,43 @@ def seeds_first(spark, sf_dir):
     seeds = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("id"))
     found = table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("id"))
     return Z.seeds_first(seeds, found, "id", 64)
+
+
+# Content-defined chunks of 512, 2048 and 8192 bytes: thirteen zero bits before the average length, nine after it. The SQL has the sum of each place over
+# the thirteen bytes that reach these bits, and walks from cut to cut; what lies before a chunk's own sum is taken off.
+GEAR = "gear AS (SELECT 0 AS b, (2654435769 * 1664525 + 1013904223) % 4294967296 AS g UNION ALL SELECT b + 1, (g * 1664525 + 1013904223) % 4294967296 FROM gear WHERE b < 255)"
+CDC = f"""WITH RECURSIVE {GEAR}, files AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(text)) AS h, octet_length(encode(text))::BIGINT AS n FROM documents WHERE text <> ''),
+bytes AS (SELECT r, unnest(regexp_extract_all(h, '..')) AS x, unnest(range(n)) AS p FROM files),
+entries AS (SELECT r, p, g % 8192 AS g FROM bytes JOIN gear ON b = ('0x' || x)::INT),
+sums AS MATERIALIZED (SELECT r, p, ({" + ".join(f"{2**j} * lag(g, {j}, 0) OVER w" for j in range(13))}) % 8192 AS v FROM entries WINDOW w AS (PARTITION BY r ORDER BY p)),
+cuts AS (SELECT r, n, 0::BIGINT AS pos, -1 AS ord, 0::BIGINT AS was FROM files UNION ALL
+  SELECT c.r, c.n, least(min(s.p) FILTER (((s.v - b.v * (1 << least(s.p - c.pos - 511, 13))) % 8192 + 8192) % (CASE WHEN s.p < c.pos + 2048 THEN 8192 ELSE 512 END) = 0) + 1, c.pos + 8192, c.n) AS pos, c.ord + 1, c.pos
+  FROM cuts c LEFT JOIN sums b ON b.r = c.r AND b.p = c.pos + 511
+  LEFT JOIN sums s ON s.r = c.r AND s.p >= c.pos + 512 AND s.p < least(c.pos + 8192, c.n) AND (s.p < c.pos + 525 OR s.v % 512 = 0)
+  WHERE c.pos < c.n GROUP BY c.r, c.n, c.pos, c.ord),
+chunks AS (SELECT doc_id, ord, was AS off, pos - was AS len, sha256(unhex(substr(h, 2 * was + 1, 2 * (pos - was)))) AS cid FROM cuts JOIN files USING (r) WHERE ord >= 0) """
+
+
+def _content_chunks(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
+    return content_chunks(files, SMALL, "doc_id")
+
+
+@query(CDC + "SELECT doc_id, ord::INT AS ord, off, len, cid FROM chunks")
+def cdc_chunks(spark, sf_dir):
+    """Content-defined chunks of every text."""
+    return _content_chunks(spark, sf_dir)
+
+
+@query(CDC + "SELECT " + STATS.format("chunks"))
+def cdc_dedup(spark, sf_dir):
+    """Total and unique content-defined chunks of all texts, and the share of their bytes that repeats."""
+    return K.dedup_stats(_content_chunks(spark, sf_dir))
+
+
+@query(CDC + """, named AS (SELECT d.lang, c.cid, c.len FROM chunks c JOIN documents d USING (doc_id)), first_ AS (SELECT lang, cid, any_value(len) AS len, count(*) AS n FROM named GROUP BY lang, cid)
+SELECT lang, sum(n)::BIGINT AS pieces, count(*) AS unique_pieces, sum(n * len)::BIGINT AS bytes, sum(len)::BIGINT AS unique_bytes FROM first_ GROUP BY lang""")
+def cdc_by_language(spark, sf_dir):
+    """Repeats of content-defined chunks inside each language."""
+    names = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return K.pooled_stats(_content_chunks(spark, sf_dir).select("doc_id", "cid", "len").join(names, "doc_id"), "lang")

@@ -218,13 +218,3 @@ def corpus_scan(spark, sf_dir):
 
     zips = table(spark, sf_dir, "documents").select("doc_id", "source").mapInPandas(pack, "path string, content binary")
     return metadata(scan_corpus(zips, "/corpus", ("mod",)))
-
-
-@query()
-def cdc_chunks(spark, sf_dir):
-    """Content-defined chunks of every text."""
-    from ..functions.chunking import SMALL
-    from ..sources.modules import content_chunks
-
-    files = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
-    return content_chunks(files, SMALL, "doc_id")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from dataclasses import astuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,23 +146,32 @@ def regions(files: DataFrame, key: str = "source", data: str = "bytes") -> DataF
 
 def payloads(files: DataFrame, key: str = "source", data: str = "bytes") -> DataFrame:
     """Raw samples with their address: ord, offset, length, cid."""
-    import hashlib
-
     return _exploded(files, key, data, "ord int, offset long, length long, cid string", lambda b: [(i, o, n, hashlib.sha256(b[o : o + n]).hexdigest()) for i, (o, n) in enumerate(modules.sample_regions(b) or [])])
 
 
 def content_chunks(files: DataFrame, sizes: tuple[int, int, int] = chunking.DEFAULT, key: str = "source", data: str = "bytes") -> DataFrame:
-    """Content-defined chunks: ord, off, len, cid."""
-    import hashlib
+    """Content-defined chunks: ord, off, len, cid. Files without bytes have none."""
 
-    def cut(raw: bytes):
-        out, at = [], 0
-        for i, n in enumerate(chunking.cut_lengths(raw, sizes)):
-            out.append((i, at, n, hashlib.sha256(raw[at : at + n]).hexdigest()))
-            at += n
-        return out
+    def cut(batches):
+        for batch in batches:
+            raws = (batch.column(1)[i].as_py() or b"" for i in range(batch.num_rows))
+            many, lengths, cids = [], [], []
+            for raw, own in chunking.cut_runs(raws, sizes):
+                view, at = memoryview(raw), 0
+                for n in own:
+                    cids.append(hashlib.sha256(view[at : at + n]).hexdigest())
+                    at += n
+                many.append(len(own))
+                lengths += own
+            many, lengths = np.asarray(many, np.int64), np.asarray(lengths, np.int64)
+            ends, first = np.cumsum(lengths), np.cumsum(many) - many
+            owner = np.repeat(np.arange(len(many)), many)
+            before = np.concatenate(([0], ends))[first]
+            columns = [batch.column(0).take(pa.array(owner)), pa.array((np.arange(len(owner)) - first[owner]).astype(np.int32)), pa.array(ends - lengths - before[owner]), pa.array(lengths), pa.array(cids, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "ord", "off", "len", "cid"])
 
-    return _exploded(files, key, data, "ord int, off long, len long, cid string", cut)
+    kind = files.schema[key].dataType.simpleString()
+    return files.select(key, data).mapInArrow(cut, f"{key} {kind}, ord int, off long, len long, cid string")
 
 
 def it_reports(files: DataFrame, key: str = "source", data: str = "bytes") -> DataFrame:

@@ -2,6 +2,8 @@
 
 import hashlib
 import io
+import math
+import random
 import sqlite3
 import zipfile
 
@@ -31,6 +33,46 @@ def test_chunk_goldens():
     assert C.cut_lengths(b"") == [] and C.cut_lengths(b"x" * 100) == [100]
 
 
+def _walked(data, sizes):
+    """Chunk lengths by the rule, a byte at a time: the sum starts after the least length, and more bits must be zero before the average one."""
+    out = []
+    while data:
+        total, end = 0, min(len(data), sizes[2])
+        for i in range(sizes[0], end):
+            total = (total * 2 + int(C.gear()[data[i]])) % 2**32
+            if total % 2 ** (int(math.log2(sizes[1])) + (2 if i < sizes[1] else -2)) == 0:
+                end = i + 1
+                break
+        out.append(end)
+        data = data[end:]
+    return out
+
+
+@given(st.binary(max_size=3000), st.sampled_from([(1, 4, 9), (2, 16, 200), (40, 64, 130), (5, 256, 300), (512, 2048, 8192)]))
+@settings(max_examples=60, deadline=None)
+def test_cuts_equal_a_plain_walk(data, sizes):
+    assert C.cut_lengths(data, sizes) == _walked(data, sizes)
+
+
+@pytest.mark.parametrize("sizes", [C.DEFAULT, C.SMALL, (64, 1 << 18, 1 << 20), (0, 64, 512)])
+def test_cuts_of_many_strings_together(sizes, monkeypatch):
+    """Several strings in one buffer are cut as each alone; real bytes and generated ones."""
+    monkeypatch.setattr(C, "RUN_BYTES", 150_000)
+    with open(C.__file__, "rb") as f:
+        raws = [_bytes(70_000), b"", f.read() * 3, b"x" * 30_000, _bytes(1000)[500:], random.Random(1).randbytes(90_000)]
+    assert [(r, n) for r, n in C.cut_runs(iter(raws), sizes)] == [(r, _walked(r, sizes)) for r in raws]
+
+
+def test_chunking_speed():
+    """Far above the 20 MB a second that a core should do."""
+    import time
+
+    data = random.Random(2).randbytes(8 << 20)
+    began = time.process_time()
+    C.cut_lengths(data, C.SMALL)
+    assert len(data) / 1e6 / (time.process_time() - began) > 20
+
+
 @given(st.binary(max_size=5000), st.integers(1, 200))
 @settings(max_examples=40, deadline=None)
 def test_chunks_add_up(data, least):
