@@ -7,7 +7,7 @@ the last block drawn is cut, so that the words taken are the target to the word.
 A tree splits the quotas over the output shards: at each node the left half's share of every source is drawn from the
 multivariate hypergeometric law, so quotas add up exactly at every level. A source's drawn blocks are permuted once more
 and dealt to the shards by these shares; a word is taken if its block is dealt. A shard orders its slices by a
-hash. `mix_documents` writes its rows by shard in that order, a document where its first word of the epoch that is taken is.
+hash. `mix_documents` writes its rows by shard in that order, and a shard has the words of the blocks that it is dealt.
 
 Positions in a stream come from two levels, so that no task sorts a whole source: a document's bucket
 is the head of its hash, buckets are summed with partial aggregation, and only inside a
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Work, fresh, named
+from .common import BROADCAST_BYTES, Work, fresh, join_side, named
 
 #: Weights of the sources in order, repeating; no source gives more than CAP times its own words.
 WEIGHTS, CAP = (5, 2, 1), 3
@@ -210,33 +210,44 @@ def mix_totals(docs: DataFrame, **options) -> DataFrame:
     return each.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
+def _stretches(plan: DataFrame) -> DataFrame:
+    """Slices that follow one another in a document, epoch and shard as one: the document's keys, at, epoch, shard, start, stop, and place of the first slice."""
+    keys = ["doc_id", "source", "text_hash", "size", "at", "epoch", "shard"]
+    w = W.partitionBy(*keys).orderBy("start")
+    begins = F.coalesce(F.lag("stop").over(w) != F.col("start"), F.lit(True))
+    runs = plan.withColumn("_begins", begins.cast("int")).withColumn("_run", F.sum("_begins").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min(F.struct("start", "place"))["place"].alias("place")).drop("_run")
+
+
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each document and epoch of which words are taken.
+    """The mix itself, with the columns of docs: a row for each stretch of a document's words that the tree deals to a shard, in every epoch.
 
-    Whole texts come as they are; a document part of whose blocks are drawn comes with as many of its first
-    words. n_chars, where docs has it, is the length of the text that comes. Rows of a shard
-    lie in one partition, in the order of place; a row has shard and place of its first slice in `mix_plan`.
+    A document all of whose blocks go to one shard comes whole, as it is; of others the words of the dealt blocks come, each stretch in the shard of its
+    blocks, with the blanks before its words. Rows of a shard lie in one partition, in the order of place; their words are those of the shard's blocks, to the word. n_chars,
+    where docs has it, is the length of the text that comes.
     """
     work, keys = Work(docs.sparkSession, "mix"), ["doc_id", "source", "text_hash", "size"]
-    plan = mix_plan(docs, **options).where(F.col("taken") > 0)
-    epochs = plan.groupBy(*keys, "at", "epoch").agg(F.sum("taken").alias("words"), F.min(F.struct("start", "shard", "place")).alias("head"))
-    takes = F.struct(F.col("head.shard").alias("shard"), F.col("head.place").alias("place"), "words")
-    parts = epochs.groupBy(*keys).agg(F.count_distinct("at").alias("copies"), F.collect_list(takes).alias("takes"))
-    id_, source_, hash_, size_, copies_, takes_, take_, first_ = (fresh(docs, n) for n in ("_id", "_source", "_hash", "_size", "_copies", "_takes", "_take", "_first"))
-    parts = work.write(parts.select(F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("text_hash").alias(hash_), F.col("size").alias(size_), F.col("copies").alias(copies_), F.col("takes").alias(takes_)), "mix")
+    plan = mix_plan(docs, **options).where(F.col("taken") > 0).select(*keys, "at", "epoch", "shard", "start", "stop", "place")
+    names = {c: fresh(docs, f"_{c}") for c in (*keys, "at", "epoch", "shard", "start", "stop", "place")}
+    takes = work.write(_stretches(plan).withColumnsRenamed(names), "mix")
+    id_, source_, hash_, size_ = (names[c] for c in keys)
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source_)) & (F.xxhash64("text") == F.col(hash_))
+    own = [names[c] for c in keys[:3]]
     # Of equal rows one stands for all.
-    size = parts.agg(F.sum(F.lit(96) + F.octet_length(F.coalesce(F.col(source_), F.lit(""))) + 48 * F.size(takes_))).first()[0] or 0
-    side = (lambda p: F.broadcast(p)) if size <= BROADCAST_BYTES else (lambda p: p)
-    out = docs.join(side(parts.where(F.col(copies_) == 1)), same)
-    repeated = parts.where(F.col(copies_) > 1)
+    repeated = work.write(takes.groupBy(*own).agg(F.min(names["at"]).alias("_low"), F.max(names["at"]).alias("_high")).where("_low <> _high").select(*own), "repeated")
     if not repeated.isEmpty():
-        out = out.union(docs.join(side(repeated), same).dropDuplicates([id_, source_, hash_]))
-    out = out.withColumn(take_, F.explode(takes_)).drop(takes_)
-    out = out.repartition(F.col(f"{take_}.shard")).sortWithinPartitions(f"{take_}.shard", f"{take_}.place", id_, hash_)
-    words = F.col(f"{take_}.words")
-    # Pieces are words, each with the blanks before it.
+        many = join_side(repeated, 128)
+        docs_ = docs.join(many, same, "left_anti").unionByName(docs.join(many, same).dropDuplicates(own).select(*docs.columns))
+    else:
+        docs_ = docs
+    size = takes.agg(F.sum(F.lit(96) + F.octet_length(F.coalesce(F.col(source_), F.lit(""))))).first()[0] or 0
+    out = docs_.join(F.broadcast(takes) if size <= BROADCAST_BYTES else takes, same)
+    out = out.repartition(names["shard"]).sortWithinPartitions(names["shard"], names["place"], id_, hash_, names["start"])
+    start, stop = F.col(names["start"]), F.col(names["stop"])
+    # Pieces are words, each with the blanks before it; blanks at the end go with the last word.
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.when(words == F.col(size_), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), ""))
+    until = F.when(stop == F.col(size_), F.size(pieces)).otherwise(stop.cast("int"))
+    part = F.array_join(F.slice(pieces, (start + 1).cast("int"), until - start.cast("int")), "")
+    text = F.when((start == 0) & (stop == F.col(size_)), F.col("text")).otherwise(part)
     columns = [text.alias(c) if c == "text" else F.char_length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else named(c) for c in docs.columns]
     return out.select(*columns)

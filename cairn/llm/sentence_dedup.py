@@ -55,10 +55,10 @@ def _least_of_windows(values: np.ndarray, place: np.ndarray, after: np.ndarray,
     return reach >= window
 
 
-def sentences(raws: list[bytes], sentence_words: int = SENTENCE_WORDS, cut_window: int = 0) -> tuple[np.ndarray, ...]:
+def sentences(raws: list[bytes], sentence_words: int = SENTENCE_WORDS, cut_window: int = CUT_WINDOW) -> tuple[np.ndarray, ...]:
     """For all texts: word hashes, first word of each sentence, first sentence of each text, and bytes where words start and end.
 
-    Sentences of more than sentence_words words are cut every so many words, or at the least hash of every cut_window words if that is given.
+    Sentences of more than sentence_words words are cut at the least hash of every cut_window words, so at the same words wherever a passage starts; every so many words from their start if that is 0.
     Both firsts have the end as the last entry; bytes count from the start of the joined texts.
     """
     data, starts, ends, words, firsts = words_of([r.translate(FOLD) for r in raws], _WORDS)
@@ -83,7 +83,7 @@ def sentences(raws: list[bytes], sentence_words: int = SENTENCE_WORDS, cut_windo
     return words, np.append(at, n), np.searchsorted(at, firsts), starts, ends
 
 
-def spans(raws: list[bytes], span_words: int = SPAN_WORDS, span_sentences: int = SPAN_SENTENCES, cut_window: int = 0) -> tuple[np.ndarray, ...]:
+def spans(raws: list[bytes], span_words: int = SPAN_WORDS, span_sentences: int = SPAN_SENTENCES, cut_window: int = CUT_WINDOW) -> tuple[np.ndarray, ...]:
     """text, first sentence, sentences and two hashes of every span, sentences counted from each text's own start."""
     words, at, firsts, _, _ = sentences(raws, cut_window=cut_window)
     count = len(at) - 1
@@ -142,7 +142,7 @@ def _repeated_spans(docs: DataFrame, wanted: Wanted, span_words: int, span_sente
     return docs.mapInArrow(scan, "doc_id long, text_hash long, first int, many int, h1 long, h2 long")
 
 
-def covered_sentences(docs: DataFrame, span_words: int = SPAN_WORDS, span_sentences: int = SPAN_SENTENCES, broadcast_bytes: int = BROADCAST_BYTES, cut_window: int = 0, work: Work | None = None) -> DataFrame:
+def covered_sentences(docs: DataFrame, span_words: int = SPAN_WORDS, span_sentences: int = SPAN_SENTENCES, broadcast_bytes: int = BROADCAST_BYTES, cut_window: int = CUT_WINDOW, work: Work | None = None) -> DataFrame:
     """doc_id, text_hash and gone: runs (first, end) of sentences under a repeated span that isn't the first of its kind."""
     work = work or Work(docs.sparkSession, "sentences")
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
@@ -156,7 +156,7 @@ def covered_sentences(docs: DataFrame, span_words: int = SPAN_WORDS, span_senten
     return later.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("first", (F.col("first") + F.col("many")).alias("end")))).alias("gone"))
 
 
-def remove_repeats(docs: DataFrame, span_words: int = SPAN_WORDS, span_sentences: int = SPAN_SENTENCES, cut_window: int = 0) -> DataFrame:
+def remove_repeats(docs: DataFrame, span_words: int = SPAN_WORDS, span_sentences: int = SPAN_SENTENCES, cut_window: int = CUT_WINDOW) -> DataFrame:
     """doc_id, n_sentences, n_removed, n_words_removed, text (what stays, byte for byte) for every row of docs."""
     docs, work = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), Work(docs.sparkSession, "sentences")
     gone = covered_sentences(docs, span_words, span_sentences, cut_window=cut_window, work=work).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})

@@ -64,10 +64,10 @@ def test_sentences(spark, documents, texts):
         for d, x, i, j in sorted(set(places), key=lambda p: (p[0], p[2]))[1:]:
             gone[d, x] |= set(range(i, j))
     want = kept_of(rows, gone, sents)
-    got = Counter((r["doc_id"], r["n_sentences"], r["n_removed"], r["text"]) for r in SD.remove_repeats(documents).collect())
+    got = Counter((r["doc_id"], r["n_sentences"], r["n_removed"], r["text"]) for r in SD.remove_repeats(documents, cut_window=0).collect())
     assert got == want and gone
     for limit in (0, 1 << 20):
-        runs = SD.covered_sentences(documents.select("doc_id", "text"), broadcast_bytes=limit).collect()
+        runs = SD.covered_sentences(documents.select("doc_id", "text"), broadcast_bytes=limit, cut_window=0).collect()
         assert {r["doc_id"] for r in runs} == {d for d, _ in gone}
 
 
@@ -90,7 +90,7 @@ def test_passage_inside_sentences_is_caught(spark):
     """60 words without an end, at every place in a sentence that is cut."""
     passage = " ".join(f"p{i * i}" for i in range(60))
     rows = [(i, " ".join([*(f"a{i}x{j}" for j in range(24 + i)), passage, *(f"z{i}x{j}" for j in range(30))])) for i in range(SD.SENTENCE_WORDS)]
-    out = {r["doc_id"]: r for r in SD.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), cut_window=SD.CUT_WINDOW).collect()}
+    out = {r["doc_id"]: r for r in SD.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[0]["n_removed"] == 0 and out[0]["text"] == rows[0][1]
     for i, text in rows[1:]:
         kept = out[i]["text"].split()
@@ -322,7 +322,7 @@ def test_pipeline(spark, sf):
             break
         assert after.columns == columns
         had, has = ({r["doc_id"]: r["text"] for r in x.select("doc_id", "text").collect()} for x in (before, after))
-        assert set(has) <= set(had) and all((had[d] or "").startswith(t or "") for d, t in has.items())
+        assert set(has) <= set(had) and all((t or "") in (had[d] or "") for d, t in has.items())
         if name == "near_duplicates":
             assert set(has) == {d for (d, _, c), _ in brute_groups(list(had.items())).items() if d == c}
         before = after.sparkSession.createDataFrame(after.collect(), after.schema)
@@ -376,7 +376,7 @@ def test_pipeline_on_odd_rows(spark, sf, odd_rows):
             got = Counter()
             for (d, t), n in has.items():
                 got[d] += n * len(WORD.findall(t or ""))
-                assert any((x or "").startswith(t) for e, x in had if e == d)
+                assert any(t in (x or "") for e, x in had if e == d)
             assert {k: v for k, v in want.items() if v} == dict(got)
         before = after
 

@@ -120,7 +120,7 @@ def test_mixed_texts(odd_docs, odd_rows):
         whole.setdefault(d, []).append(t or "")
     for r in out.select("doc_id", "text", "n_chars", M.word_count(F.col("text")).alias("w")).collect():
         got[r["doc_id"]] += r["w"]
-        assert any(t.startswith(r["text"]) for t in whole[r["doc_id"]]) and r["n_chars"] == len(r["text"])
+        assert any(r["text"] in t for t in whole[r["doc_id"]]) and r["n_chars"] == len(r["text"])
     assert {k: v for k, v in want.items() if v} == dict(got)
 
 
@@ -163,21 +163,30 @@ def test_every_shard_draws_from_all_epochs(spark):
     assert set(epochs) == set(range(4)) and all(e == {0, 1} for e in epochs.values())
 
 
-def test_mix_comes_by_shard_and_place(spark):
+def _shards(docs, **options):
+    """The words that the plan deals to each shard, in order: slices of one document and epoch that go on where the last ended are one row, at the place of the first."""
+    rows = sorted((tuple(r) for r in M.mix_plan(docs, **options).where("taken > 0").select("shard", "doc_id", "epoch", "start", "stop", "place").collect()))
+    out = defaultdict(list)
+    for shard, doc, epoch, start, stop, place in rows:
+        last = out[shard][-1] if out[shard] else None
+        if last and last[1:3] == [doc, epoch] and last[4] == start:
+            last[4] = stop
+        else:
+            out[shard].append([place, doc, epoch, start, stop])
+    return {shard: [(d, a, b) for _, d, _, a, b in sorted(v)] for shard, v in out.items()}
+
+
+@pytest.mark.parametrize("options", [{"block_words": 16, "shards": 4}, {"block_words": 7, "shards": 3}, {"block_words": 64, "shards": 2}])
+def test_shards_hold_the_words_of_their_blocks(spark, options):
+    """By shard and place, every row is the words of a dealt stretch, also of documents of many blocks in a part epoch."""
     docs = _sources(spark)
-    options = {"block_words": 16, "shards": 4}
-    slices, want = defaultdict(list), defaultdict(list)
-    for r in M.mix_plan(docs, **options).where("taken > 0").collect():
-        slices[r["doc_id"], r["epoch"]].append((r["start"], r["stop"], r["shard"], r["place"]))
-    for (d, _), own in slices.items():
-        _, _, shard, place = min(own)
-        want[shard].append((place, d))
-    got = [(r["p"], r["doc_id"]) for r in M.mix_documents(docs, **options).withColumn("p", F.spark_partition_id()).collect()]
-    runs = {shard: [d for _, d in sorted(v)] for shard, v in want.items()}
+    words = {r["doc_id"]: r["text"].split() for r in docs.collect()}
+    left = {shard: [(d, words[d][a:b]) for d, a, b in v] for shard, v in _shards(docs, **options).items()}
+    tails = sum(a > 0 for v in _shards(docs, **options).values() for _, a, _ in v)
+    assert tails > 20  # not the first words only
     parts = defaultdict(list)
-    for p, d in got:
-        parts[p].append(d)
-    left = dict(runs)
+    for r in M.mix_documents(docs, **options).withColumn("p", F.spark_partition_id()).collect():
+        parts[r["p"]].append((r["doc_id"], r["text"].split()))
     for p in parts.values():
         while p:  # a partition is whole shards, one after another
             shard = next(s for s, v in left.items() if p[: len(v)] == v)
@@ -185,6 +194,14 @@ def test_mix_comes_by_shard_and_place(spark):
     assert not left
 
 
+def test_stretches_keep_blanks_and_add_up(spark):
+    """The stretches of one epoch, put together, are the text again, blanks at both ends included."""
+    text = "  " + " \t".join(f"w{i}" for i in range(100)) + " \n"
+    docs = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    rows = [r["text"] for r in M.mix_documents(docs, block_words=10, shards=5, weights=(1,)).collect()]
+    assert len(rows) > 3 and sum(map(len, rows)) == len(text) and sorted(w for t in rows for w in t.split()) == sorted(text.split()) and any(t.endswith(" \n") for t in rows)
+
+
 def test_hash_of_kept(spark, sf, texts):
     row = next(r for r in QUERIES["op6_line_dedup"](spark, sf).collect() if r["n_dropped"] == 0)
     assert row["kept_sha256"] == hashlib.sha256((texts[row["doc_id"]] or "").encode()).hexdigest()
