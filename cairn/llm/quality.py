@@ -6,11 +6,11 @@ ratio of its smoothed counts in the two classes, and a support vector machine is
 indicators by dual coordinate descent. Margins become scores by a logistic curve fitted on margins of
 folds that the model in question has not seen.
 
-The model is fitted on the driver from a sample of labelled rows of a stated bound (TRAIN_ROWS, the
-first by a hash of their ids): only their feature slots are sent there. Scoring runs over every whole text in place.
+The model is fitted on the driver from a sample of labelled rows of a stated bound (at most TRAIN_ROWS, the
+first by a hash of their ids, and of these as many as have TRAIN_BYTES of feature slots): only the slots are sent there. Scoring runs over every whole text in place.
 
 Defined cases: null and empty texts get the score of an empty feature set; labels without a
-document, or null, are ignored, and a label given twice counts twice; repeated rows get equal scores;
+document, or null, are ignored, equal labels of one document count once; repeated rows get equal scores;
 one class or none in the labels gives the constant score of the class share (0.5 without labels); an
 empty table gives an empty result; other columns are kept by `reject_low_quality` and ignored by
 `score_quality`, whatever their names.
@@ -23,12 +23,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch_texts, give_back, joined, mixed, prefix_hashes, runs, span_hashes, text_chunks, word_table
+from .common import Work, batch_texts, give_back, joined, mixed, prefix_hashes, runs, span_hashes, text_chunks, word_table
 
-#: Bits of the feature hash, and labelled rows that a fit uses at most.
-BITS, TRAIN_ROWS = 18, 6000
+#: Bits of the feature hash, labelled rows that a fit uses at most, and bytes of their slots (four a slot) after which no further row is taken.
+BITS, TRAIN_ROWS, TRAIN_BYTES = 18, 6000, 128 << 20
 #: Smoothing of the counts, cost of a margin error, sweeps of the descent, and folds for the calibration.
 ALPHA, COST, SWEEPS, FOLDS = 1.0, 0.5, 15, 3
 _IN_WORD = word_table(" \t\n\x0b\x0c\r")
@@ -172,8 +173,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> NBSVM:
     return NBSVM(w, ratio, bias, scale, offset)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> NBSVM:
-    """Fit on the first train_rows labelled rows, by a hash, whose documents are not held out."""
+def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> NBSVM:
+    """Fit on the first labelled rows, by a hash, whose documents are not held out: train_rows at most, and none after train_bytes of slots."""
     known = labels.select(F.col("doc_id").alias("_label_id"), F.col("quality").cast("int").alias("_quality")).where(F.col("_quality").isin(0, 1) & F.col("_label_id").isNotNull() & ~held_out(F.col("_label_id")))
     # The sample is bounded by train_rows, whatever the number of labels.
     sample = F.broadcast(known.orderBy(F.xxhash64("_label_id"), "_label_id", "_quality").limit(train_rows))
@@ -189,8 +190,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     # A document that is there more than once would bring more than its label: one row for each label and distinct feature set.
-    made = texts.mapInArrow(slots, f"doc_id {kind}, quality int, slots binary").distinct()
-    made = made.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "slots").limit(train_rows).collect()
+    work, order = Work(docs.sparkSession, "quality"), [F.xxhash64("doc_id"), "doc_id", "quality", "slots"]
+    made = work.write(texts.mapInArrow(slots, f"doc_id {kind}, quality int, slots binary").distinct().orderBy(*order).limit(train_rows), "sample")
+    # One task orders train_rows rows at most.
+    before = F.sum(F.octet_length("slots")).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - F.octet_length("slots")
+    made = made.withColumn("_before", before).where(F.col("_before") < train_bytes).orderBy("_before", *order).select("quality", "slots").collect()
+    work.drop("sample")
     model = fit([np.frombuffer(r["slots"], "<i4").astype(np.int64) for r in made], np.asarray([r["quality"] for r in made], float))
     del made
     give_back()  # the sample was the driver's

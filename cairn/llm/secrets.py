@@ -17,6 +17,7 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
 import string
@@ -279,10 +280,10 @@ def scan_texts(texts: list[str | None], net: Network) -> list[list[tuple[int, in
         points = code_points(text or "")
         base = base_findings(text or "", points)
         found.append(base)
-        spans = [(s, e) for s, _, e in base]
+        starts, reach = [s for s, _, _ in base], list(itertools.accumulate((e for _, _, e in base), max))
         for s, e in candidates(points):
-            k = bisect.bisect_left(spans, (e, e))
-            if not any(a <= s and e <= b for a, b in spans[max(0, k - 4) : k]):  # what a pattern has whole needs no score
+            k = bisect.bisect_right(starts, s)
+            if not k or reach[k - 1] < e:  # what a pattern has whole needs no score
                 part = views(points, s, e)
                 rows.append(part)
                 owner += [(i, s, e)] * len(part)

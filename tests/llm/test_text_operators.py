@@ -44,6 +44,19 @@ def test_quality_odd(spark, odd_docs, no_docs):
     assert Q.reject_low_quality(odd_docs, none).columns == odd_docs.columns
 
 
+def test_quality_sample_is_bounded_in_bytes(spark, monkeypatch):
+    """Rows are taken in one order until their slots have so many bytes."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(200))) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(Q, "fit", lambda rows, y: seen.append([r.tolist() for r in rows]))
+    for limit in (1 << 30, 20_000, 20_000, 1):
+        Q.fit_quality(docs, labels, train_bytes=limit)
+    assert 30 < len(seen[0]) < 50  # a third is held out
+    assert 1 < len(seen[1]) < len(seen[0]) and seen[1] == seen[2] == seen[0][: len(seen[1])] and seen[3] == seen[0][:1]
+    assert 4 * sum(map(len, seen[1][:-1])) < 20_000 <= 4 * sum(map(len, seen[1]))
+
+
 def test_dual_descent_separates():
     rows = [np.asarray([i % 2, 2 + i % 7]) for i in range(200)]
     labels = np.asarray([float(i % 2) for i in range(200)])
@@ -198,6 +211,16 @@ def test_every_long_run_is_scored():
     assert ("assign", "token=" + "a" * 20) in found and ("model", "token=" + "a" * 20) not in found
 
 
+@pytest.mark.parametrize("count", [1, 3, 4, 5, 40])
+def test_a_run_that_a_pattern_holds_whole_is_not_scored(count):
+    """However many findings lie inside it."""
+    net = S.Network(**{**vars(S.train()), "threshold": 0.0})
+    text = "token=" + "-".join(["0123456789abcdef" * 2] * count) + " and " + "QzWxKvBnRtYpLmHg"
+    kinds = [k for _, k, _ in S.scan_text(text, net)]
+    assert kinds.count(0) == 1 and kinds.count(2) == count and kinds.count(3) == 1
+
+
+
 # Media.
 
 
