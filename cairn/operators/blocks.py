@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binary import digest, fixed_chunks
+from .intervals import prefix_offsets
 
 
 def chunk_blocks(files: DataFrame, size: int, key: str = "id", data: str = "bytes") -> DataFrame:
@@ -32,7 +33,7 @@ def missing(wanted: DataFrame, store: DataFrame, cid: str = "cid") -> DataFrame:
 def reassemble(edges: DataFrame, store: DataFrame, key: str = "id") -> DataFrame:
     """key and bytes from an ordered chunk list (key, ord, cid) and a block store; repeated addresses are read once each."""
     parts = edges.join(store.select("cid", F.col("bytes").alias("_bytes")).dropDuplicates(["cid"]), "cid")
-    return parts.groupBy(key).agg(F.expr("listagg(_bytes) WITHIN GROUP (ORDER BY ord)").alias("bytes"))
+    return joined_bytes(parts, [key], "ord", "_bytes")
 
 
 def read_ranges(chunks: DataFrame, ranges: DataFrame, key: str = "id") -> DataFrame:
@@ -43,23 +44,36 @@ def read_ranges(chunks: DataFrame, ranges: DataFrame, key: str = "id") -> DataFr
     over = (F.col("off") < F.col("offset") + F.col("length")) & (F.col("off") + F.col("len") > F.col("offset"))
     lo = F.greatest(F.col("offset") - F.col("off"), F.lit(0))
     hi = F.least(F.col("offset") + F.col("length") - F.col("off"), F.col("len"))
-    part = F.hex(F.substring("bytes", (lo + 1).cast("int"), (hi - lo).cast("int")))
-    cut = chunks.join(ranges, key).where(over).select(key, "offset", "length", F.struct("off", part.alias("hex")).alias("p"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda x: x["hex"]), "")
-    return cut.groupBy(key, "offset", "length").agg(F.unhex(joined).alias("data"))
+    cut = chunks.join(ranges, key).where(over).select(key, "offset", "length", "off", F.substring("bytes", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("bytes"))
+    return joined_bytes(cut, [key, "offset", "length"], "off").withColumnRenamed("bytes", "data")
 
 
-def expand_runs(rows: DataFrame, pairs: str, content: str) -> DataFrame:
-    """Content with zero bytes put back: pairs are [content bytes, zeros, content bytes, zeros, ...].
+def zero_bytes(count: Column) -> Column:
+    """So many zero bytes."""
+    return F.lpad(F.lit("").cast("binary"), count.cast("int"), F.lit(b"\x00"))
 
-    One fold over the pairs carries the place; each piece is cut once.
+
+def joined_bytes(pieces: DataFrame, keys: list[str], order: str, data: str = "bytes") -> DataFrame:
+    """keys and bytes: the pieces of each key one after another, by one ordered aggregate."""
+    return pieces.groupBy(*keys).agg(F.expr(f"listagg({data}) WITHIN GROUP (ORDER BY {order})").alias("bytes"))
+
+
+def expand_runs(rows: DataFrame, pairs: str, content: str, key: str) -> DataFrame:
+    """Content with zero bytes put back: pairs are [content bytes, zeros, content bytes, zeros, ...]; key tells rows apart.
+
+    Pairs become rows, a running sum gives each piece its place in the content, and pieces and zeros are put together by one ordered
+    aggregate; every byte is copied a fixed number of times, however many pairs there are.
     """
     n = F.col(pairs)
     count = (F.size(n) / 2).cast("int")
-    index = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("hex"))
-    step = lambda a, i: F.struct((a["at"] + n[2 * i]).alias("at"), F.concat(a["hex"], F.hex(F.substring(content, a["at"] + 1, n[2 * i])), F.repeat(F.lit("00"), n[2 * i + 1])).alias("hex"))
-    return rows.withColumn("expanded", F.unhex(F.aggregate(index, start, step, lambda a: a["hex"])))
+    cut = F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)), lambda i: F.struct(n[2 * i].alias("n"), n[2 * i + 1].alias("z")))
+    each = rows.select(key, F.posexplode(cut).alias("_i", "_c")).select(key, "_i", F.col("_c.n").alias("_n"), F.col("_c.z").alias("_z"))
+    placed = prefix_offsets(each, key, ["_i"], "_n").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_i", "offset", "_n", "_z"))).alias("_cuts"))
+    piece = lambda c: F.concat(F.substring(F.col(content), (c["offset"] + 1).cast("int"), c["_n"]), zero_bytes(c["_z"]))
+    pieces = rows.select(key, content).join(placed, key).select(key, F.posexplode(F.transform("_cuts", piece)).alias("_i", "bytes"))
+    made = joined_bytes(pieces, [key], "_i").withColumnRenamed("bytes", "expanded")
+    out = rows.join(made, key, "left")
+    return out.withColumn("expanded", F.when(F.col(content).isNotNull(), F.coalesce("expanded", F.lit(b""))))
 
 
 def dedup_stats(blocks: DataFrame, cid: str = "cid", size: str = "len") -> DataFrame:

@@ -6,17 +6,20 @@ The manifest is a text whose digest is the module's root; where it is too long,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binary import digest
-from .blocks import expand_runs
+from ..sources.folders import written
+from .blocks import joined_bytes, zero_bytes
+from .intervals import prefix_offsets
 
 VERSION = 2
 #: Characters of a manifest from which the index is spilled.
 SPILL = 262144
 SAMPLES = "array<struct<index:int,frames:bigint,channels:int,bitDepth:int,chunks:array<string>>>"
-MANIFEST = f"struct<v:int,format:string,skeletonChunks:array<string>,skeletonLayout:array<int>,index:struct<samples:{SAMPLES},plan:array<bigint>>,indexRoot:string>"
+INDEX = f"struct<samples:{SAMPLES},plan:array<bigint>>"
+MANIFEST = f"struct<v:int,format:string,skeletonChunks:array<string>,skeletonLayout:array<int>,index:{INDEX},indexRoot:string>"
 
 
 def sample_rows(chunks: DataFrame, key: str = "id") -> DataFrame:
@@ -48,46 +51,48 @@ def manifest_blocks(made: DataFrame) -> DataFrame:
     return texts.select(digest(F.col("text").cast("binary")).alias("cid"), F.col("text").cast("binary").alias("bytes")).dropDuplicates(["cid"])
 
 
-def _pieces(refs: DataFrame, store: DataFrame, keys: list[str]) -> DataFrame:
-    """The bytes of lists of addresses (keys, ord, cid), in order, as hex; a block whose bytes don't fit its address fails."""
-    sound = F.when(digest(F.col("bytes")) == F.col("cid"), F.hex("bytes")).otherwise(F.raise_error(F.concat(F.lit("damaged block "), F.col("cid"))))
-    parts = refs.join(store.select("cid", "bytes"), "cid").withColumn("_hex", sound)
-    return parts.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "_hex"))), lambda x: x["_hex"]), "").alias("_hex"), F.transform(F.sort_array(F.collect_list(F.struct("ord", F.length(F.unhex("_hex")).alias("n")))), lambda x: x["n"]).alias("_sizes"))
+def _read(refs: DataFrame, store: DataFrame) -> DataFrame:
+    """refs (with cid) and the bytes of their blocks; a block whose bytes don't fit its address fails."""
+    sound = F.when(digest(F.col("bytes")) == F.col("cid"), F.col("bytes")).otherwise(F.raise_error(F.concat(F.lit("damaged block "), F.col("cid"))).cast("binary"))
+    return refs.join(store.select("cid", "bytes"), "cid").withColumn("bytes", sound)
+
+
+def _parsed(refs: DataFrame, store: DataFrame, kind: str) -> DataFrame:
+    """refs with _value, the JSON of their blocks; only blocks that are referred to are read as text."""
+    return refs.join(store.select("cid", "bytes"), "cid").withColumn("_value", F.from_json(F.col("bytes").cast("string"), kind)).drop("cid", "bytes")
 
 
 def fetch(roots: DataFrame, store: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """(key, format, skeleton, plan) and (key, index, frames, channels, bitDepth, pcm) of roots (key, root) from a block store (cid, bytes).
 
-    A manifest of another version is refused here; every block is checked against its address when it is read.
+    A manifest of another version is refused here; every block is checked against its address when it is read. The store is looked up
+    by address: for manifests, for indexes of their own, for pieces of skeletons and for samples.
     """
-    text = store.select(F.col("cid").alias("root"), F.col("bytes").cast("string").alias("_text"))
-    read = roots.join(text, "root").withColumn("m", F.from_json("_text", MANIFEST))
+    read = written(_parsed(roots.select(key, F.col("root").alias("cid")), store, MANIFEST).withColumnRenamed("_value", "m"), "manifests")
     if not read.where(~F.col("m.v").eqNullSafe(F.lit(VERSION))).isEmpty():
         raise ValueError(f"not all roots are manifests of version {VERSION}")
-    apart = store.select(F.col("cid").alias("_cid"), F.from_json(F.col("bytes").cast("string"), f"struct<samples:{SAMPLES},plan:array<bigint>>").alias("_apart"))
-    read = read.join(apart, F.col("m.indexRoot") == F.col("_cid"), "left").withColumn("index", F.coalesce("m.index", "_apart")).select(key, "m", "index")
-    refs = read.select(key, F.posexplode("m.skeletonChunks").alias("ord", "cid"))
-    body = read.join(_pieces(refs, store, [key]), key, "left")
-    # The recipe counts pieces; their bytes are summed to what expand_runs takes.
-    layout, sizes = F.col("m.skeletonLayout"), F.coalesce("_sizes", F.array().cast("array<int>"))
-    pairs = _byte_layout(layout, sizes)
-    body = body.withColumn("_pairs", pairs).withColumn("_content", F.unhex(F.coalesce("_hex", F.lit(""))))
-    skeletons = expand_runs(body, "_pairs", "_content").select(key, F.col("m.format").alias("format"), F.coalesce("expanded", F.lit("").cast("binary")).alias("skeleton"), F.col("index.plan").alias("plan"))
-    flat = read.select(key, F.explode("index.samples").alias("s"))
-    refs = flat.select(key, F.col("s.index").alias("index"), F.posexplode("s.chunks").alias("ord", "cid"))
-    sounds = flat.select(key, "s.index", "s.frames", "s.channels", "s.bitDepth").join(_pieces(refs, store, [key, "index"]), [key, "index"], "left")
-    return skeletons, sounds.select(key, "index", "frames", "channels", "bitDepth", F.unhex(F.coalesce("_hex", F.lit(""))).alias("pcm"))
-
-
-def _byte_layout(layout: Column, sizes: Column) -> Column:
-    """[content bytes, zeros, ...] for [pieces, zeros, ...] and the pieces' sizes."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-
-    def step(a, i):
-        many = F.element_at(layout, 2 * i + 1)
-        total = F.aggregate(F.slice(sizes, a["at"] + 1, many), F.lit(0), lambda t, x: t + x)
-        return F.struct((a["at"] + many).alias("at"), F.concat(a["out"], F.array(total, F.element_at(layout, 2 * i + 2))).alias("out"))
+    apart = _parsed(read.where("m.indexRoot IS NOT NULL").select(key, F.col("m.indexRoot").alias("cid")), store, INDEX).withColumnRenamed("_value", "_apart")
+    read = written(read.join(apart, key, "left").withColumn("index", F.coalesce("m.index", "_apart")).select(key, "m", "index"), "indexes")
+    skeletons = _skeletons(read, store, key)
+    flat = read.select(key, F.explode("index.samples").alias("s")).select(key, "s.*")
+    refs = flat.select(key, "index", F.posexplode("chunks").alias("ord", "cid"))
+    sounds = flat.drop("chunks").join(joined_bytes(_read(refs, store), [key, "index"], "ord").withColumnRenamed("bytes", "pcm"), [key, "index"], "left")
+    return skeletons, sounds.select(key, "index", "frames", "channels", "bitDepth", F.coalesce("pcm", F.lit(b"")).alias("pcm"))
+
 
+def _skeletons(read: DataFrame, store: DataFrame, key: str) -> DataFrame:
+    """key, format, skeleton and plan: pieces by their number, and each run of zeros before the piece that follows it.
+
+    The recipe is [pieces, zeros, pieces, zeros, ...]; pieces that it doesn't count are left out.
+    """
+    layout = F.col("m.skeletonLayout")
     count = (F.size(layout) / 2).cast("int")
-    index = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(index, start, step, lambda a: a["out"])
+    steps = F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)), lambda i: F.struct(layout[2 * i].alias("n"), layout[2 * i + 1].alias("z")))
+    runs = read.select(key, F.posexplode(steps).alias("i", "c")).select(key, "i", F.col("c.n").alias("n"), F.col("c.z").alias("z"))
+    runs = prefix_offsets(runs, key, ["i"], "n").select(key, (F.col("offset") + F.col("n")).alias("ord"), F.lit(0).alias("piece"), "i", zero_bytes(F.col("z")).alias("bytes"))
+    counted = F.aggregate(F.filter(layout, lambda _, i: i % 2 == 0), F.lit(0).cast("long"), lambda t, x: t + x)
+    refs = read.select(key, counted.alias("_counted"), F.posexplode("m.skeletonChunks").alias("ord", "cid")).where(F.col("ord") < F.col("_counted"))
+    pieces = _read(refs, store).select(key, F.col("ord").cast("long").alias("ord"), F.lit(1).alias("piece"), F.lit(0).alias("i"), "bytes")
+    made = joined_bytes(runs.unionByName(pieces).withColumn("_place", F.struct("ord", "piece", "i")), [key], "_place").withColumnRenamed("bytes", "skeleton")
+    out = read.join(made, key, "left")
+    return out.select(key, F.col("m.format").alias("format"), F.coalesce("skeleton", F.lit(b"")).alias("skeleton"), F.col("index.plan").alias("plan"))

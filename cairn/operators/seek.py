@@ -41,16 +41,18 @@ def checkpoints(events: DataFrame, offsets: DataFrame, key: str = "source", most
     """
     places = events.select(key, "place", "order").distinct()
     stride = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(W.partitionBy(key)) / most)).cast("int")
-    places = places.withColumn("stride", stride)
+    places = places.withColumn("stride", stride).withColumn("end", F.max("place").over(W.partitionBy(key)))
     points = places.where("place % stride = 0").select(key, F.col("place").alias("point"), "order")
-    acts = triggers(events, key).join(places.select(key, "place", "stride"), [key, "place"]).withColumn("point", (F.col("place") - F.col("place") % F.col("stride")).cast("int"))
+    acts = triggers(events, key).join(places.select(key, "place", "stride", "end"), [key, "place"]).withColumn("point", (F.col("place") - F.col("place") % F.col("stride")).cast("int"))
     within = acts.where(~F.col("off")).select(key, "point", "sample")
     # The last act of each channel in each span; what it leaves sounding goes to the following points until the next act.
-    last = acts.groupBy(key, "channel", "point").agg(F.max_by(F.struct("sample", "off"), F.struct("place", "row", "seq")).alias("a"))
+    last = acts.groupBy(key, "channel", "point").agg(F.max_by(F.struct("sample", "off"), F.struct("place", "row", "seq")).alias("a"), F.first("stride").alias("stride"), F.first("end").alias("end"))
     after = F.lead("point").over(W.partitionBy(key, "channel").orderBy("point"))
-    sounding = last.withColumn("_until", after).where(~F.col("a.off")).select(F.col(key).alias("_key"), F.col("a.sample").alias("sample"), F.col("point").alias("_from"), "_until")
-    over = (F.col(key) == F.col("_key")) & (F.col("point") > F.col("_from")) & (F.col("_until").isNull() | (F.col("point") <= F.col("_until")))
-    held = points.join(sounding, over).select(key, "point", "sample")
+    sounding = last.withColumn("_until", F.coalesce(after, "end")).where(~F.col("a.off"))
+    # Points are multiples of the stride: a note goes to those it reaches by their ordinals, and meets no others.
+    first, until = F.floor(F.col("point") / F.col("stride")) + 1, F.floor(F.col("_until") / F.col("stride"))
+    reached = sounding.select(key, F.col("a.sample").alias("sample"), "stride", F.explode(F.when(first <= until, F.sequence(first, until))).alias("_i"))
+    held = reached.select(key, (F.col("_i") * F.col("stride")).cast("int").alias("point"), "sample").join(points.select(key, "point"), [key, "point"])
     needed = within.unionByName(held).distinct().join(offsets, [key, "sample"]).groupBy(key, "point").agg(F.array_sort(F.collect_set("offset")).alias("offsets"))
     return points.join(needed, [key, "point"], "left").select(key, "order", F.coalesce("offsets", F.array().cast("array<bigint>")).alias("offsets"))
 

@@ -62,7 +62,7 @@ def rle_expand(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     head = F.least(F.col("p_size") % 4, F.length("p_name"))
     pairs = F.array(head, F.col("p_size") % 5, F.length("p_name") - head, F.col("p_size") % 3)
-    out = K.expand_runs(p.select("p_partkey", F.transform(pairs, lambda x: x.cast("int")).alias("pairs"), F.col("p_name").cast("binary").alias("content")), "pairs", "content")
+    out = K.expand_runs(p.select("p_partkey", F.transform(pairs, lambda x: x.cast("int")).alias("pairs"), F.col("p_name").cast("binary").alias("content")), "pairs", "content", "p_partkey")
     return out.select("p_partkey", F.translate(F.decode("expanded", "ISO-8859-1"), "\u0000", "\t").alias("t"))
 
 

@@ -19,7 +19,7 @@ from ..operators import blocks as K
 from ..operators import manifest as MF
 from ..operators import seek
 from ..registry import query, table
-from ..sources import archives
+from ..sources import archives, folders
 from ..sources import modules as M
 from ..sources import store
 from .blocks import CHUNKED, _chunks
@@ -298,7 +298,7 @@ def manifest_roots(spark, sf_dir):
 def manifest_fetch(spark, sf_dir):
     """Skeletons read back from roots and blocks, zeros put in again."""
     made, chunks = _manifests(spark, sf_dir, 2000)
-    blocks = MF.manifest_blocks(made).unionByName(chunks.select("cid", "bytes")).dropDuplicates(["cid"])
+    blocks = folders.written(MF.manifest_blocks(made).unionByName(chunks.select("cid", "bytes")).dropDuplicates(["cid"]), "blocks")
     skeletons, _ = MF.fetch(made.select("id", "root"), blocks)
     return skeletons.select("id", "format", F.sha2("skeleton", 256).alias("skeleton"), F.element_at("plan", 1).alias("plan"))
 
@@ -307,6 +307,6 @@ def manifest_fetch(spark, sf_dir):
 def manifest_samples(spark, sf_dir):
     """Samples read back from roots and blocks."""
     made, chunks = _manifests(spark, sf_dir, 2000)
-    blocks = MF.manifest_blocks(made).unionByName(chunks.select("cid", "bytes")).dropDuplicates(["cid"])
+    blocks = folders.written(MF.manifest_blocks(made).unionByName(chunks.select("cid", "bytes")).dropDuplicates(["cid"]), "blocks")
     _, samples = MF.fetch(made.select("id", "root"), blocks)
     return samples.withColumn("pcm", F.sha2("pcm", 256))

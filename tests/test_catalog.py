@@ -56,8 +56,21 @@ def test_ranged_file(spark):
 
 
 def test_runs(spark):
-    rows = spark.createDataFrame([([2, 3, 1, 0], b"abc"), ([], b"")], "p array<int>, c binary")
-    assert [bytes(r["expanded"]) for r in K.expand_runs(rows, "p", "c").collect()] == [b"ab\0\0\0c", b""]
+    rows = spark.createDataFrame([(1, [2, 3, 1, 0], b"abc"), (2, [], b""), (3, None, b"x"), (4, [1, 1], None), (5, [0, 2, 0, 0, 9, 1], b"xy")], "k int, p array<int>, c binary")
+    got = {r["k"]: r["expanded"] and bytes(r["expanded"]) for r in K.expand_runs(rows, "p", "c", "k").collect()}
+    assert {k: v if v is None else bytes(v) for k, v in got.items()} == {1: b"ab\0\0\0c", 2: b"", 3: b"", 4: None, 5: b"\0\0xy\0"}
+
+
+def test_many_runs_take_seconds(spark):
+    """100,000 pairs in one module."""
+    import time
+
+    data = bytes(range(1, 251)) * 1200
+    pairs = [x for i in range(100_000) for x in (3, i % 3)]
+    rows = spark.createDataFrame([(1, pairs, data)], "k int, p array<int>, c binary")
+    began = time.time()
+    got = bytes(K.expand_runs(rows, "p", "c", "k").first()["expanded"])
+    assert got == b"".join(data[3 * i : 3 * i + 3] + bytes(i % 3) for i in range(100_000)) and time.time() - began < 60
 
 
 def test_spans(spark):
