@@ -271,9 +271,9 @@ def seek_first(spark, sf_dir):
 
 
 def _manifests(spark, sf_dir, spill):
-    c = _chunks(spark, sf_dir).select("id", "ord", "off", "len", "cid", "bytes")
-    rest = c.where("ord >= 3").select("id", F.floor(F.col("ord") / 3).cast("int").alias("index"), F.col("len").cast("long").alias("frames"), F.lit(1).alias("channels"), F.lit(8).alias("bit_depth"), "ord", "cid")
-    samples = MF.sample_rows(rest.withColumn("frames", F.lit(64).cast("long")))
+    c = folders.written(_chunks(spark, sf_dir).select("id", "ord", "cid", "bytes"), "chunks")
+    rest = c.where("ord >= 3").select("id", F.floor(F.col("ord") / 3).cast("int").alias("index"), F.lit(64).cast("long").alias("frames"), F.lit(1).alias("channels"), F.lit(8).alias("bit_depth"), "ord", "cid")
+    samples = MF.sample_rows(rest)
     head = c.where("ord < 3").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "cid"))), lambda x: x["cid"]).alias("skeletonChunks"))
     names = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("format"))
     layout = F.array(F.size("skeletonChunks"), (F.col("id") % 50).cast("int"))
@@ -298,6 +298,7 @@ def manifest_roots(spark, sf_dir):
 def manifest_fetch(spark, sf_dir):
     """Skeletons read back from roots and blocks, zeros put in again."""
     made, chunks = _manifests(spark, sf_dir, 2000)
+    made = folders.written(made, "made")
     blocks = folders.written(MF.manifest_blocks(made).unionByName(chunks.select("cid", "bytes")).dropDuplicates(["cid"]), "blocks")
     skeletons, _ = MF.fetch(made.select("id", "root"), blocks)
     return skeletons.select("id", "format", F.sha2("skeleton", 256).alias("skeleton"), F.element_at("plan", 1).alias("plan"))
@@ -307,6 +308,7 @@ def manifest_fetch(spark, sf_dir):
 def manifest_samples(spark, sf_dir):
     """Samples read back from roots and blocks."""
     made, chunks = _manifests(spark, sf_dir, 2000)
+    made = folders.written(made, "made")
     blocks = folders.written(MF.manifest_blocks(made).unionByName(chunks.select("cid", "bytes")).dropDuplicates(["cid"]), "blocks")
     _, samples = MF.fetch(made.select("id", "root"), blocks)
     return samples.withColumn("pcm", F.sha2("pcm", 256))
