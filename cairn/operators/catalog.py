@@ -49,8 +49,12 @@ def bounded_count(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def meta_table(modules: DataFrame) -> DataFrame:
+    return meta_of_counts(format_counts(modules))
+
+
+def meta_of_counts(counts: DataFrame) -> DataFrame:
     """key and value of what is precomputed: total, and format_counts as JSON, largest first."""
-    counts = format_counts(modules).agg(F.sum("count").alias("total"), F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("k"), "format", "count"))).alias("c"))
+    counts = counts.agg(F.sum("count").alias("total"), F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("k"), "format", "count"))).alias("c"))
     listed = F.to_json(F.transform("c", lambda x: F.struct(x["format"].alias("format"), x["count"].alias("count"))))
     pairs = F.array(F.struct(F.lit("total").alias("key"), F.coalesce(F.col("total"), F.lit(0)).cast("string").alias("value")), F.struct(F.lit("format_counts").alias("key"), listed.alias("value")))
     return counts.select(F.explode(pairs).alias("p")).select("p.key", "p.value")

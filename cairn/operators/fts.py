@@ -1,7 +1,8 @@
 """Full-text search with BM25 over a stored inverted index.
 
 The index is a table of postings, range-partitioned and sorted by term, so a search reads the row groups
-of its own terms only. A posting carries its row's number of tokens; nothing is joined to score.
+of its own terms only. A posting carries its row's number of tokens; nothing is joined to score. Beside it, a table of cells has
+for each term and run of ids its rows, greatest frequency and least row: what a search for words needs to leave most of the postings unread.
 
 Rank: for each phrase ln((N - n + 0.5) / (n + 0.5)), at least 1e-6, times f * 2.2 / (f + 1.2 * (0.25 + 0.75 * D / avgD)),
 summed; f counts over all columns, D is the row's tokens over all columns, n the rows that hold the
@@ -11,7 +12,9 @@ comes in order of id.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+import uuid
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,21 +22,28 @@ from pyspark.sql import types as T
 
 from ..functions.strings import folded_words
 from ..plans import match
+from ..sources import commits
+from ..sources.folders import written
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 #: Rows that a search gives at most.
 MOST = 500
+#: Ids of a cell, characters up to which beginnings of words are counted, cells that are read first, and cells that are named one by one in a read.
+CELL_IDS, PREFIX, FIRST_CELLS, MOST_RANGES = 1024, 4, 8, 256
+INDEX_TABLES = ("postings", "cells", "prefixes", "totals")
 POSTINGS = T.StructType([T.StructField("term", T.StringType()), T.StructField("id", T.LongType()), T.StructField("column", T.StringType()), T.StructField("d", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
 
 
 @dataclass(frozen=True)
 class Index:
-    """A stored index: the folder of the postings, the rows it covers and all their tokens."""
+    """A stored index: postings, the rows it covers and all their tokens; cells and prefixes sum postings up, where they are there."""
 
     postings: DataFrame
     columns: tuple[str, ...]
     rows: int
     tokens: int
+    cells: DataFrame | None = None
+    prefixes: DataFrame | None = None
 
 
 def rank_threshold(total: Column) -> Column:
@@ -50,23 +60,73 @@ def postings(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return flat.groupBy("term", "id", "column").agg(F.first("d").alias("d"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def write_index(rows: DataFrame, columns: dict[str, Column], folder: str, mode: str = "errorifexists") -> None:
-    """Write postings by term (a frequent term spreads over partitions by id), and a row of totals."""
+def _length(columns: dict[str, Column]) -> Column:
+    return sum((F.size(folded_words(c)) for c in columns.values()), F.lit(0))
+
+
+def cells_of(postings: DataFrame) -> DataFrame:
+    """term, cell, rows, f and d: for each term and run of CELL_IDS ids the rows that hold it, its greatest frequency in one of them and their least number of tokens."""
+    each = postings.groupBy("term", "id").agg(F.sum(F.size("positions")).cast("long").alias("f"), F.first("d").alias("d"))
+    return each.groupBy("term", cell_of("id").alias("cell")).agg(F.count(F.lit(1)).alias("rows"), F.max("f").alias("f"), F.min("d").alias("d"))
+
+
+def cell_of(id_: str) -> Column:
+    return F.floor(F.col(id_) / CELL_IDS)
+
+
+def prefixes_of(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """prefix and rows: how many rows hold a word that begins with these characters, up to PREFIX of them. A row counts each of its prefixes once."""
+    words = F.array_distinct(F.flatten(F.array(*(folded_words(c) for c in columns.values()))))
+    at_least = lambda k: lambda w: F.char_length(w) >= k
+    head = lambda k: lambda w: F.left(w, F.lit(k))
+    heads = [F.array_distinct(F.transform(F.filter(words, at_least(k)), head(k))) for k in range(1, PREFIX + 1)]
+    return rows.select(F.explode(F.flatten(F.array(*heads))).alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def write_segment(rows: DataFrame, columns: dict[str, Column], folder: str, name: str) -> None:
+    """The index tables of rows as a segment: postings by term (a frequent term spreads over partitions by id), cells, prefixes, and a row of totals."""
     made = postings(rows, columns)
-    made.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode(mode).parquet(f"{folder}/postings")
-    length = sum((F.size(folded_words(c)) for c in columns.values()), F.lit(0))
-    totals = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(length), F.lit(0)).cast("long").alias("tokens"))
-    totals.withColumn("columns", F.array(*map(F.lit, columns))).coalesce(1).write.mode(mode).parquet(f"{folder}/totals")
+    made.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{folder}/postings/{name}")
+    stored = rows.sparkSession.read.schema(POSTINGS).parquet(f"{folder}/postings/{name}")
+    cells_of(stored).repartitionByRange("term", "cell").sortWithinPartitions("term", "cell").write.parquet(f"{folder}/cells/{name}")
+    prefixes_of(rows, columns).repartitionByRange("prefix").sortWithinPartitions("prefix").write.parquet(f"{folder}/prefixes/{name}")
+    totals = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(_length(columns)), F.lit(0)).cast("long").alias("tokens"))
+    totals.withColumn("columns", F.array(*map(F.lit, columns))).coalesce(1).write.parquet(f"{folder}/totals/{name}")
+
+
+def merge_segments(tables: dict[str, DataFrame], folder: str, name: str) -> None:
+    """One segment of the index tables of several with different rows."""
+    tables["postings"].repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{folder}/postings/{name}")
+    cells = tables["cells"].groupBy("term", "cell").agg(F.sum("rows").alias("rows"), F.max("f").alias("f"), F.min("d").alias("d"))
+    cells.repartitionByRange("term", "cell").sortWithinPartitions("term", "cell").write.parquet(f"{folder}/cells/{name}")
+    tables["prefixes"].groupBy("prefix").agg(F.sum("rows").alias("rows")).repartitionByRange("prefix").sortWithinPartitions("prefix").write.parquet(f"{folder}/prefixes/{name}")
+    tables["totals"].agg(F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"), F.first("columns").alias("columns")).coalesce(1).write.parquet(f"{folder}/totals/{name}")
+
+
+def write_index(rows: DataFrame, columns: dict[str, Column], folder: str) -> None:
+    """An index by itself, without a catalogue: a first segment in a folder."""
+    write_segment(rows, columns, folder, uuid.uuid4().hex)
 
 
 def append_index(rows: DataFrame, columns: dict[str, Column], folder: str) -> None:
-    """Add rows of new ids: their postings and totals are further files."""
-    write_index(rows, columns, folder, "append")
+    """Add rows of new ids as a further segment."""
+    write_segment(rows, columns, folder, uuid.uuid4().hex)
+
 
+def segment_tables(spark: SparkSession, folder: str, segments: list[str]) -> dict[str, DataFrame]:
+    """The index tables over some segments."""
+    schemas = {"postings": POSTINGS}
+    return {t: (spark.read.schema(schemas[t]) if t in schemas else spark.read).parquet(*(f"{folder}/{t}/{s}" for s in segments)) for t in INDEX_TABLES}
 
-def open_index(spark: SparkSession, folder: str) -> Index:
-    totals = spark.read.parquet(f"{folder}/totals").agg(F.sum("rows"), F.sum("tokens"), F.first("columns")).first()
-    return Index(spark.read.schema(POSTINGS).parquet(f"{folder}/postings"), tuple(totals[2] or ()), totals[0] or 0, totals[1] or 0)
+
+def open_index(spark: SparkSession, folder: str, segments: list[str] | None = None) -> Index:
+    """The index of a folder: of the segments given, or those of the folder's newest commit, or all that lie there if it has no log."""
+    if segments is None:
+        _, newest = commits.last(spark, folder)
+        segments = [s["name"] for s in newest["segments"]] if newest else commits.names(spark, f"{folder}/postings")
+    tables = segment_tables(spark, folder, segments)
+    totals = tables["totals"].agg(F.sum("rows"), F.sum("tokens"), F.first("columns")).first()
+    return Index(tables["postings"], tuple(totals[2] or ()), totals[0] or 0, totals[1] or 0, tables["cells"], tables["prefixes"])
 
 
 def _tests(p: match.Phrase) -> list[Column]:
@@ -100,32 +160,147 @@ def matching(index: Index, tree) -> tuple[DataFrame, list[match.Phrase]]:
     return rows.withColumn("hit", F.coalesce(hit, F.lit(False))), found
 
 
-def search(index: Index, text: str, limit: int = 50, total: int | None = None, most: int | None = None) -> DataFrame:
+def search(index: Index, text: str, limit: int = 50, total: int | None = None, most: int | None = None, report: dict | None = None) -> DataFrame:
     """id and score (null if unranked) of the best rows of a search.
 
-    total is the precomputed number of rows that the threshold uses, if known; most sets it. Blank text finds nothing.
+    total is the precomputed number of rows that the threshold uses, if known; most sets it. Blank text finds nothing. A search for words is
+    answered from cells, see `_by_cells`; report is told how many cells hold all words and how many were read.
     """
     spark, limit = index.postings.sparkSession, max(0, min(MOST, limit))
     tree = match.parse(text, index.columns)
     scored = match.phrases(tree)
-    if tree is None or not scored:
+    if tree is None or not scored or not limit:
         return spark.createDataFrame([], "id long, score double")
-    rows, found = matching(index, tree)
-    facts = rows.agg(F.count_if("hit").alias("hits"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"n{i}") for i in range(len(found)))).first()
     count = index.rows if total is None else total
     if most is None:
         most = 4000 if count == 0 else min(4000, max(count // 10, 200))
+    if index.cells is not None and _plain_words(tree):
+        return _by_cells(index, tree, limit, most, match.is_explicit(text), report)
+    rows, found = matching(index, tree)
+    rows = written(rows, "matches")
+    facts = rows.agg(F.count_if("hit").alias("hits"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"n{i}") for i in range(len(found)))).first()
     hits = rows.where("hit")
     if not match.is_explicit(text) and facts["hits"] > most:
         return hits.orderBy("id").limit(limit).select("id", F.lit(None).cast("double").alias("score"))
-    score, average = F.lit(0.0), (index.tokens / index.rows if index.rows else 0) or 1.0
-    for p in scored:
-        i = found.index(p)
-        n = facts[f"n{i}"]
-        idf = F.greatest(F.log(F.lit((index.rows - n + 0.5) / (n + 0.5))), F.lit(FLOOR))
-        f = F.col(f"_f{i}")
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("d") / F.lit(average)))
-    return hits.withColumn("score", F.round(score, 6)).orderBy(F.col("score").desc(), F.col("id")).limit(limit).select("id", "score")
+    numbers = [found.index(p) for p in scored]
+    return _best(hits.withColumn("score", _score(index, {i: facts[f"n{i}"] for i in numbers}, numbers)), limit)
+
+
+def _idf(index: Index, n: int) -> float:
+    return max(math.log((index.rows - n + 0.5) / (n + 0.5)), FLOOR)
+
+
+def _part(index: Index, n: int, f: Column, d: Column) -> Column:
+    """What a phrase in n rows adds to the score of a row of d tokens that holds it f times."""
+    average = (index.tokens / index.rows if index.rows else 0) or 1.0
+    return F.lit(_idf(index, n)) * f * (K1 + 1) / (f + K1 * (1 - B + B * d / F.lit(average)))
+
+
+def _score(index: Index, n: dict[int, int], numbers: list[int]) -> Column:
+    return F.round(sum((_part(index, n[i], F.col(f"_f{i}"), F.col("d")) for i in numbers), F.lit(0.0)), 6)
+
+
+def _best(rows: DataFrame, limit: int) -> DataFrame:
+    return rows.orderBy(F.col("score").desc(), F.col("id")).limit(limit).select("id", "score")
+
+
+def _plain_words(tree) -> bool:
+    """Whether a tree asks for single words, or beginnings of words, all of them and nothing else."""
+    parts = tree.parts if isinstance(tree, match.Node) and tree.op == "AND" else [tree]
+    return all(isinstance(p, match.Phrase) and len(p.tokens) == 1 and not p.first and not p.columns for p in parts)
+
+
+def _rows_with(index: Index, p: match.Phrase) -> int:
+    """How many rows hold a word: counted when the index was written, but for long beginnings of words."""
+    token = p.tokens[0]
+    if not p.prefix:
+        return index.cells.where(F.col("term") == token).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    if len(token) <= PREFIX:
+        return index.prefixes.where(F.col("prefix") == token).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return index.postings.where(F.col("term").startswith(token)).select("id").distinct().count()
+
+
+def _in_cells(index: Index, cells: list[int]) -> Index:
+    """The index over the rows of these cells; as ranges of ids, which the files' statistics are checked against."""
+    runs: list[list[int]] = []
+    for c in sorted(cells):
+        if runs and runs[-1][1] == c:
+            runs[-1][1] = c + 1
+        else:
+            runs.append([c, c + 1])
+    test = F.lit(False)
+    for a, b in runs:
+        test = test | ((F.col("id") >= a * CELL_IDS) & (F.col("id") < b * CELL_IDS))
+    return replace(index, postings=index.postings.where(test))
+
+
+def _by_cells(index: Index, tree, limit: int, most: int, explicit: bool, report: dict | None) -> DataFrame:
+    """A search for words by runs of ids (cells): only cells that hold all words are read, and only those that can still have one of the best rows.
+
+    A cell's bound is the score of a row with the greatest frequencies and the least length in it. The cells of the highest bounds are read first;
+    their rows give a score that all others must reach, and cells with lower bounds are left unread. Without rank, cells are read in order of id until there are enough rows.
+    """
+    found = match.all_phrases(tree)
+    tests = [_tests(p)[0] for p in found]
+    any_term = tests[0]
+    for t in tests[1:]:
+        any_term = any_term | t
+    facts = [c for i, t in enumerate(tests) for c in (F.sum(F.when(t, F.col("rows"))).alias(f"r{i}"), F.sum(F.when(t, F.col("f"))).alias(f"f{i}"), F.min(F.when(t, F.col("d"))).alias(f"d{i}"))]
+    full = F.lit(True)
+    for i in range(len(found)):
+        full = full & F.col(f"f{i}").isNotNull()
+    cells = written(index.cells.where(any_term).groupBy("cell").agg(*facts).where(full), "cells")
+    n = {i: _rows_with(index, p) for i, p in enumerate(found)}
+    # Rows that hold all words: no more in a cell than hold the rarest of them there.
+    atmost = cells.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.least(*(F.col(f"r{i}") for i in range(len(found))), F.lit(CELL_IDS))), F.lit(0))).first()
+    count = atmost[0]
+    hits = n[0] if len(found) == 1 else atmost[1]
+    if not explicit and len(found) > 1 and hits > most:
+        ids = index.postings.where(any_term).groupBy("id").agg(*(F.bool_or(t).alias(f"h{i}") for i, t in enumerate(tests)))
+        every = F.lit(True)
+        for i in range(len(found)):
+            every = every & F.col(f"h{i}")
+        hits = ids.where(every).limit(most + 1).count()
+    report = {} if report is None else report
+    report.update(cells=count, read=0)
+
+    def rows_of(some: list[int]) -> DataFrame:
+        report["read"] += len(some)
+        return matching(_in_cells(index, some), tree)[0].where("hit")
+
+    if not explicit and hits > most:
+        done, many, out = -1, FIRST_CELLS, None
+        while True:
+            some = [r[0] for r in cells.where(F.col("cell") > done).orderBy("cell").limit(many).select("cell").collect()]
+            if some:
+                made = written(rows_of(some).select("id"), "first-rows")
+                out = made if out is None else out.unionByName(made)
+            if len(some) < many or out.count() >= limit:
+                break
+            done, many = some[-1], min(2 * many, MOST_RANGES)
+        out = index.postings.sparkSession.createDataFrame([], "id long") if out is None else out
+        return out.orderBy("id").limit(limit).select("id", F.lit(None).cast("double").alias("score"))
+    bound = sum((_part(index, n[i], F.col(f"f{i}"), F.col(f"d{i}")) for i in range(len(found))), F.lit(0.0))
+    cells = cells.select("cell", bound.alias("bound"))
+    score = _score(index, n, list(range(len(found))))
+    first = [r[0] for r in cells.orderBy(F.col("bound").desc(), "cell").limit(FIRST_CELLS).select("cell").collect()]
+    if not first:
+        return index.postings.sparkSession.createDataFrame([], "id long, score double")
+    best = written(_best(rows_of(first).withColumn("score", score), limit), "first-rows")
+    least = best.agg(F.count(F.lit(1)), F.min("score")).first()
+    # Scores are rounded to six places.
+    open_ = cells.where(~F.col("cell").isin(first))
+    open_ = open_.where(F.col("bound") + 1e-6 >= F.lit(least[1])) if least[0] >= limit else open_
+    more = [r[0] for r in open_.limit(MOST_RANGES + 1).select("cell").collect()]
+    if not more:
+        return best
+    if len(more) > MOST_RANGES:
+        wide = replace(index, postings=index.postings.join(open_.select("cell"), cell_of("id") == F.col("cell"), "left_semi"))
+        report["read"] += open_.count()
+        rest = matching(wide, tree)[0].where("hit")
+    else:
+        rest = rows_of(more)
+    return _best(best.unionByName(_best(rest.withColumn("score", score), limit)), limit)
 
 
 def with_rows(found: DataFrame, rows: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ The manifest is a text whose digest is the module's root; where it is too long,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.binary import digest
@@ -20,6 +21,8 @@ SPILL = 262144
 SAMPLES = "array<struct<index:int,frames:bigint,channels:int,bitDepth:int,chunks:array<string>>>"
 INDEX = f"struct<samples:{SAMPLES},plan:array<bigint>>"
 MANIFEST = f"struct<v:int,format:string,skeletonChunks:array<string>,skeletonLayout:array<int>,index:{INDEX},indexRoot:string>"
+#: A manifest or an index, as far as it refers to blocks.
+BLOCK = f"struct<skeletonChunks:array<string>,index:{INDEX},indexRoot:string,samples:{SAMPLES}>"
 
 
 def sample_rows(chunks: DataFrame, key: str = "id") -> DataFrame:
@@ -96,3 +99,30 @@ def _skeletons(read: DataFrame, store: DataFrame, key: str) -> DataFrame:
     made = joined_bytes(runs.unionByName(pieces).withColumn("_place", F.struct("ord", "piece", "i")), [key], "_place").withColumnRenamed("bytes", "skeleton")
     out = read.join(made, key, "left")
     return out.select(key, F.col("m.format").alias("format"), F.coalesce("skeleton", F.lit(b"")).alias("skeleton"), F.col("index.plan").alias("plan"))
+
+
+def links_of(text: Column) -> Column:
+    """What a block that is a manifest or an index refers to, in order: cid, and whether that block has references of its own."""
+    m = F.from_json(text, BLOCK)
+    leaves = lambda cids: F.transform(F.coalesce(cids, F.array().cast("array<string>")), lambda c: F.struct(c.alias("cid"), F.lit(False).alias("inner")))
+    root = F.when(m["indexRoot"].isNotNull(), F.array(F.struct(m["indexRoot"].alias("cid"), F.lit(True).alias("inner")))).otherwise(leaves(F.lit(None).cast("array<string>")))
+    return F.concat(leaves(m["skeletonChunks"]), root, leaves(F.flatten(m["index"]["samples"]["chunks"])), leaves(F.flatten(m["samples"]["chunks"])))
+
+
+def walk(roots: DataFrame, store: DataFrame, key: str = "id", links=links_of) -> DataFrame:
+    """key, place, level and cid of every reference of the graphs below roots (key, root), in the order of a walk downwards; repeats stay.
+
+    Frontier by frontier: blocks that have references of their own are looked up by address and read, all others are only named. A frontier is written before the
+    next one is made of it. A block that the store doesn't have fails.
+    """
+    frontier = written(roots.select(key, F.lit(0).alias("level"), F.array().cast("array<int>").alias("path"), F.col("root").alias("cid"), F.lit(True).alias("inner")), "frontier")
+    found = frontier
+    while not frontier.isEmpty():
+        inner = frontier.where("inner")
+        read = inner.join(store.select("cid", F.col("bytes").cast("string").alias("_text")), "cid", "left")
+        text = F.when(F.col("_text").isNotNull(), F.col("_text")).otherwise(F.raise_error(F.concat(F.lit("missing block "), F.col("cid"))).cast("string"))
+        below = read.select(key, F.col("level") + 1, "path", F.posexplode(links(text)).alias("_i", "_l")).toDF(key, "level", "path", "_i", "_l")
+        frontier = written(below.select(key, "level", F.concat("path", F.array("_i")).alias("path"), "_l.cid", "_l.inner"), "frontier")
+        found = found.unionByName(frontier)
+    place = F.row_number().over(W.partitionBy(key).orderBy("path")) - 1
+    return found.select(key, place.alias("place"), "level", "cid")

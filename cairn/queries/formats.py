@@ -312,3 +312,19 @@ def manifest_samples(spark, sf_dir):
     blocks = folders.written(MF.manifest_blocks(made).unionByName(chunks.select("cid", "bytes")).dropDuplicates(["cid"]), "blocks")
     _, samples = MF.fetch(made.select("id", "root"), blocks)
     return samples.withColumn("pcm", F.sha2("pcm", 256))
+
+
+@query("WITH RECURSIVE " + MANIFESTS.removeprefix("WITH ") + """, t AS (SELECT id, ix, head || '"index":' || ix || '}' AS inline_, head || '"indexRoot":"' || sha256(ix) || '"}' AS apart FROM mf),
+m AS (SELECT id, CASE WHEN length(inline_) > 2000 THEN apart ELSE inline_ END AS txt FROM t),
+texts AS (SELECT DISTINCT sha256(txt) AS cid, txt FROM (SELECT txt FROM m UNION ALL SELECT ix FROM t WHERE length(inline_) > 2000)),
+lists AS (SELECT cid, list_concat(json_extract_string(txt, '$.skeletonChunks[*]'), list_filter([json_extract_string(txt, '$.indexRoot')], lambda x: x IS NOT NULL),
+  json_extract_string(txt, '$.index.samples[*].chunks[*]'), json_extract_string(txt, '$.samples[*].chunks[*]')) AS l FROM texts),
+links AS (SELECT cid, l[i] AS link, i FROM (SELECT cid, l, unnest(range(1, len(l) + 1)) AS i FROM lists)),
+walk AS (SELECT id, 0 AS level, []::BIGINT[] AS path, sha256(txt) AS cid FROM m UNION ALL SELECT w.id, w.level + 1, list_append(w.path, l.i), l.link FROM walk w JOIN links l ON l.cid = w.cid)
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY path) - 1)::INT AS place, level, cid FROM walk""")
+def dag_walk(spark, sf_dir):
+    """Every address below each manifest's root, by way of indexes that are blocks of their own."""
+    made, chunks = _manifests(spark, sf_dir, 2000)
+    made = folders.written(made, "made")
+    blocks = MF.manifest_blocks(made).unionByName(chunks.select("cid", "bytes")).dropDuplicates(["cid"])
+    return MF.walk(made.select("id", "root"), blocks)

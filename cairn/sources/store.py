@@ -1,8 +1,10 @@
 """The stored catalogue: declared schema, tables in a folder, verified snapshots, rotation and small state files.
 
-A catalogue folder has modules (range-partitioned and sorted by id, so a lookup reads one row group), the
-search index, and meta (precomputed aggregates). A snapshot is a copy under its own name; a pointer row
-that names it is written only after the copy was read back and compared.
+A catalogue folder has segments and a log of commits (`commits`) that says which of them it holds. A segment has modules
+(range-partitioned and sorted by id, so a lookup reads one row group), the search index over them and their counts by format; meta (precomputed
+aggregates) is folded from the segments' counts. An append writes one segment of new rows and reads no more of the others than their
+sources; segments of like size are merged, so that there are about as many as the number of rows has bits. A snapshot is a
+merged copy under its own name; the log of its name has it only after the copy was read back and compared.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import catalog, fts
+from . import commits
 from .folders import delete, work_folder
 
 _long, _text = T.LongType(), T.StringType()
@@ -26,8 +29,11 @@ MODULES = T.StructType([
 ])
 META = T.StructType([T.StructField("key", _text, False), T.StructField("value", _text, False)])
 POINTERS = T.StructType([T.StructField("name", _text), T.StructField("version", _long), T.StructField("path", _text), T.StructField("checksums", T.MapType(_text, _text))])
+COUNTS = T.StructType([T.StructField("format", _text), T.StructField("count", _long)])
 SEARCHED = ("title", "filename", "instruments", "comment")
 TABLES = ("modules", "meta", "postings", "totals")
+#: What a segment has.
+STORED = ("modules", "counts", *fts.INDEX_TABLES)
 
 _made: dict[tuple, str] = {}
 
@@ -56,31 +62,99 @@ def searched_columns() -> dict[str, Column]:
     return {c: F.col(c) for c in SEARCHED}
 
 
+def _write_segment(rows: DataFrame, folder: str) -> dict:
+    """A segment of rows (conforming, with ids) and what the log says of it."""
+    spark, name = rows.sparkSession, uuid.uuid4().hex
+    rows.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{folder}/modules/{name}")
+    modules = spark.read.schema(MODULES).parquet(f"{folder}/modules/{name}")
+    catalog.format_counts(modules).coalesce(1).write.parquet(f"{folder}/counts/{name}")
+    fts.write_segment(modules.select("id", *SEARCHED), searched_columns(), folder, name)
+    facts = modules.agg(F.count(F.lit(1)), F.coalesce(F.max("id"), F.lit(0))).first()
+    return {"name": name, "rows": facts[0], "last_id": facts[1]}
+
+
+def _drop_segment(spark: SparkSession, folder: str, segment: dict) -> None:
+    for t in STORED:
+        delete(spark, f"{folder}/{t}/{segment['name']}")
+
+
 def write_catalog(rows: DataFrame, folder: str) -> None:
-    """All tables of a catalogue from its rows."""
-    conform(rows).repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{folder}/modules")
-    modules = read(rows.sparkSession, folder, "modules")
-    catalog.meta_table(modules).coalesce(1).write.parquet(f"{folder}/meta")
-    fts.write_index(modules.select("id", *SEARCHED), searched_columns(), folder)
+    """A new catalogue of these rows; refused where there is one."""
+    spark = rows.sparkSession
+    if commits.versions(spark, folder):
+        raise FileExistsError(f"{folder} has a catalogue")
+    segment = _write_segment(conform(rows), folder)
+    if not commits.commit(spark, folder, 1, {"segments": [segment]}):
+        _drop_segment(spark, folder, segment)
+        raise FileExistsError(f"{folder} has a catalogue")
 
 
-def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}")
+def _tables(spark: SparkSession, folder: str, segments: list[dict]) -> dict[str, DataFrame]:
+    paths = lambda t: [f"{folder}/{t}/{s['name']}" for s in segments]
+    own = {"modules": spark.read.schema(MODULES).parquet(*paths("modules")), "counts": spark.read.schema(COUNTS).parquet(*paths("counts"))}
+    return own | fts.segment_tables(spark, folder, [s["name"] for s in segments])
+
+
+def read(spark: SparkSession, folder: str, table: str, version: int | None = None) -> DataFrame:
+    """A table of a catalogue as of a version, or of the newest one. meta is made of the counts of all segments."""
+    entry = commits.last(spark, folder)[1] if version is None else commits.entry(spark, folder, version)
+    tables = _tables(spark, folder, entry["segments"])
+    if table == "meta":
+        return catalog.meta_of_counts(tables["counts"].groupBy("format").agg(F.sum("count").alias("count")))
+    return tables[table]
 
 
 def append(rows: DataFrame, folder: str) -> None:
-    """Add rows of new sources; index and meta follow."""
+    """Add rows of new sources as a segment. If another writer was first, sources and ids are looked at again."""
     spark = rows.sparkSession
-    old = read(spark, folder, "modules")
     rows = conform(rows.withColumn("id", F.lit(0)))
-    new = catalog.insert_new(old.limit(0), rows.join(old.select("source"), "source", "left_anti"))
-    last = old.agg(F.max("id")).first()[0] or 0
-    fresh = conform(new.withColumn("id", F.col("id") + last))
-    path = f"{folder}/modules"
-    fresh.write.mode("append").parquet(path)
-    added = read(spark, folder, "modules").where(F.col("id") > last)
-    fts.append_index(added.select("id", *SEARCHED), searched_columns(), folder)
-    catalog.meta_table(read(spark, folder, "modules")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/meta")
+
+    def change(entry: dict):
+        known = _tables(spark, folder, entry["segments"])["modules"].select("source")
+        last = max((s["last_id"] for s in entry["segments"]), default=0)
+        new = catalog.insert_new(rows.limit(0), rows.join(known, "source", "left_anti")).withColumn("id", F.col("id") + last)
+        segment = _write_segment(conform(new), folder)
+        if not segment["rows"]:
+            _drop_segment(spark, folder, segment)
+            return None, lambda: None
+        return {"segments": [*entry["segments"], segment]}, lambda: _drop_segment(spark, folder, segment)
+
+    commits.transact(spark, folder, change)
+    compact(spark, folder)
+
+
+def compact(spark: SparkSession, folder: str) -> None:
+    """Merge the newest segments as long as the one before isn't twice as large: their number stays about the logarithm of the rows.
+
+    Rows don't change. If another writer commits meanwhile, the merge is given up; a later one makes up for it. Merged segments stay for readers of older versions, see `vacuum`.
+    """
+    while True:
+        version, entry = commits.last(spark, folder)
+        segments = entry["segments"]
+        many = 1
+        while many < len(segments) and segments[-many - 1]["rows"] < 2 * sum(s["rows"] for s in segments[-many:]):
+            many += 1
+        if many == 1:
+            return
+        merged = _merge(spark, folder, folder, segments[-many:])
+        if not commits.commit(spark, folder, version + 1, {"segments": [*segments[:-many], merged]}):
+            _drop_segment(spark, folder, merged)
+            return
+
+
+def _merge(spark: SparkSession, folder: str, target: str, segments: list[dict]) -> dict:
+    """One segment, in the folder target, of several."""
+    name, tables = uuid.uuid4().hex, _tables(spark, folder, segments)
+    tables["modules"].repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{target}/modules/{name}")
+    tables["counts"].groupBy("format").agg(F.sum("count").alias("count")).coalesce(1).write.parquet(f"{target}/counts/{name}")
+    fts.merge_segments(tables, target, name)
+    return {"name": name, "rows": sum(s["rows"] for s in segments), "last_id": max(s["last_id"] for s in segments)}
+
+
+def vacuum(spark: SparkSession, folder: str, keep: int = 2) -> list[str]:
+    """Delete segments that none of the newest `keep` versions holds, those of writers that died included; no writer may be at work."""
+    listed = lambda entry: {f"{t}/{s['name']}" for s in entry["segments"] for t in STORED}
+    return commits.sweep(spark, folder, keep, listed, list(STORED))
 
 
 def checksum(rows: DataFrame) -> str:
@@ -90,36 +164,35 @@ def checksum(rows: DataFrame) -> str:
 
 
 def publish(spark: SparkSession, folder: str, root: str, name: str) -> DataFrame:
-    """Copy a catalogue to a snapshot, read it back, and point the name to it; a copy that differs is deleted and refused."""
-    pointers = read_pointers(spark, root)
-    version = (pointers.where(F.col("name") == name).agg(F.max("version")).first()[0] or 0) + 1
-    path, sums = f"{root}/snapshots/{name}-{version:06d}-{uuid.uuid4().hex[:8]}", {}
+    """Copy a catalogue to a snapshot, read it back, and give the name's next version to it; a copy that differs is deleted and refused.
+
+    Two publishers get two versions: each takes the first that is free when its copy is whole.
+    """
+    path, sums = f"{root}/snapshots/{name}-{uuid.uuid4().hex}", {}
+    _, entry = commits.last(spark, folder)
     try:
-        for t in TABLES:
-            rows = read(spark, folder, t)
-            rows.write.parquet(f"{path}/{t}")
+        merged = _merge(spark, folder, path, entry["segments"])
+        commits.commit(spark, path, 1, {"segments": [merged]})
+        for t in ("modules", "meta", "postings"):
             sums[t] = checksum(read(spark, path, t))
-            if sums[t] != checksum(rows):
+            if sums[t] != checksum(_tables(spark, folder, entry["segments"])[t] if t != "meta" else catalog.meta_of_counts(_tables(spark, folder, entry["segments"])["counts"].groupBy("format").agg(F.sum("count").alias("count")))):
                 raise OSError(f"snapshot of {t} differs from the table")
+        row = commits.transact(spark, f"{root}/names/{name}", lambda old: ({"name": name, "version": old.get("version", 0) + 1, "path": path, "checksums": sums}, lambda: None))
     except BaseException:
         delete(spark, path)
         raise
-    row = spark.createDataFrame([(name, version, path, sums)], POINTERS)
-    row.write.mode("append").parquet(f"{root}/pointers")
-    return row
+    return spark.createDataFrame([(name, row["version"], path, sums)], POINTERS)
 
 
 def read_pointers(spark: SparkSession, root: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/pointers")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], POINTERS)
-    return spark.read.schema(POINTERS).parquet(f"{root}/pointers")
+    """All versions of all names."""
+    found = [commits.entry(spark, f"{root}/names/{n}", v) for n in commits.names(spark, f"{root}/names") for v in commits.versions(spark, f"{root}/names/{n}")]
+    return spark.createDataFrame([(e["name"], e["version"], e["path"], e["checksums"]) for e in found], POINTERS)
 
 
 def latest(spark: SparkSession, root: str, name: str) -> str | None:
     """The folder of a name's newest snapshot."""
-    row = read_pointers(spark, root).where(F.col("name") == name).orderBy(F.col("version").desc()).limit(1).collect()
-    return row[0]["path"] if row else None
+    return commits.last(spark, f"{root}/names/{name}")[1].get("path")
 
 
 def total_of(meta: DataFrame, modules: DataFrame) -> int:
