@@ -7,7 +7,7 @@ common (`least_shared`): what is left behind the prefix is too short for the res
 that many tokens under each of three orders, whatever the data; nothing is left out for being frequent,
 large or late. The filters meet before whole sets are compared.
 
-No group emits all its pairs.
+Pairs inside a component are never made; the fourth step has no other bound for many documents that each hold another large part of one text.
 
 1. Every node is compared with the least document of the groups of its first tokens; links make components.
 2. Tokens are kept whose nodes lie in more than one component (minimum and maximum by partial aggregation).
