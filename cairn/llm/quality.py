@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Work, batch_texts, give_back, joined, mixed, prefix_hashes, runs, span_hashes, text_chunks, word_table
 
 #: Bits of the feature hash, labelled rows that a fit uses at most, and bytes of their slots (four a slot) after which no further row is taken.
-BITS, TRAIN_ROWS, TRAIN_BYTES = 18, 6000, 128 << 20
+BITS, TRAIN_ROWS, TRAIN_BYTES = 18, 6000, 48 << 20
 #: Smoothing of the counts, cost of a margin error, sweeps of the descent, and folds for the calibration.
 ALPHA, COST, SWEEPS, FOLDS = 1.0, 0.5, 15, 3
 _IN_WORD = word_table(" \t\n\x0b\x0c\r")
@@ -196,7 +196,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
     before = F.sum(F.octet_length("slots")).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - F.octet_length("slots")
     made = made.withColumn("_before", before).where(F.col("_before") < train_bytes).orderBy("_before", *order).select("quality", "slots").collect()
     work.drop("sample")
-    model = fit([np.frombuffer(r["slots"], "<i4").astype(np.int64) for r in made], np.asarray([r["quality"] for r in made], float))
+    model = fit([np.frombuffer(r["slots"], "<i4") for r in made], np.asarray([r["quality"] for r in made], float))
     del made
     give_back()  # the sample was the driver's
     return model
