@@ -3,8 +3,8 @@
 quality: documents that the classifier rejects go (labels that are held out elsewhere aren't used here either).
 near_duplicates: one row of each group of near copies stays, the one of least id.
 decontaminate: documents that hold a window of the benchmark go.
-mix: each source is repeated or cut to its target by blocks of words; a document comes once for each epoch, and one
-part of whose blocks are drawn comes with as many of its first words. doc_id stays that of the source document.
+mix: each source is repeated or cut to its target by blocks of words; a row is a stretch of a document's words that the mix deals to one
+shard, in each epoch, a whole document where all of its blocks go to one. doc_id stays that of the source document.
 tokens: what is left, in packed rows of token ids.
 
 All stages but the last return the columns of documents, extra columns included, and work on every row
