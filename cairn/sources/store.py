@@ -12,6 +12,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -203,12 +205,36 @@ def total_of(meta: DataFrame, modules: DataFrame) -> int:
 
 # Small states.
 
+HELD, PINS = "root string, complete boolean", "kind string, cid string"
+#: Earlier states that an entry names.
+KEPT_STATES = 3
+
 
 def merge_held(held: DataFrame, marks: DataFrame) -> DataFrame:
     """root and complete: what is held, with new marks; a complete root stays complete."""
     return held.unionByName(marks).groupBy("root").agg(F.bool_or("complete").alias("complete"))
 
 
+def save_state(rows: DataFrame, folder: str) -> None:
+    """Keep rows (held roots, names, pin sets) as the newest state of a folder; readers have the old one until the new one is whole."""
+    spark, part = rows.sparkSession, f"parts/{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/{part}")
+    commits.transact(spark, folder, lambda old: ({"part": part, "before": [p for p in [old.get("part"), *old.get("before", [])] if p][:KEPT_STATES]}, lambda: delete(spark, f"{folder}/{part}")))
+
+
+def load_state(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The newest state that can be read: an older one where files are damaged or gone, no rows where there is none."""
+    for version in reversed(commits.versions(spark, folder)):
+        try:
+            entry = commits.entry(spark, folder, version)
+            rows = spark.read.schema(schema).parquet(f"{folder}/{entry['part']}")
+            rows.write.format("noop").mode("overwrite").save()  # every file is read once before it is trusted
+        except (ValueError, KeyError, PySparkException, Py4JError):
+            continue
+        return rows
+    return spark.createDataFrame([], schema)
+
+
 def load_flags(text: Column) -> Column:
     """A map of flags from JSON; empty where the text is none."""
     return F.coalesce(F.from_json(text, "map<string,boolean>"), F.create_map().cast("map<string,boolean>"))

@@ -53,6 +53,31 @@ def test_a_snapshot_that_differs_is_refused(spark, modules, tmp_path, monkeypatc
     assert ST.latest(spark, root, "x") == second["path"] and len(list((tmp_path / "r" / "snapshots").iterdir())) == 2
 
 
+def test_states_are_kept_and_damage_gives_what_was_before(spark, tmp_path):
+    folder = f"file://{tmp_path}/held"
+    assert ST.load_state(spark, folder, ST.HELD).count() == 0
+    held = spark.createDataFrame([("a", True), ("b", False)], ST.HELD)
+    ST.save_state(held, folder)
+    assert sorted(map(tuple, ST.load_state(spark, folder, ST.HELD).collect())) == [("a", True), ("b", False)]
+    marks = spark.createDataFrame([("b", True), ("c", False), ("a", False)], ST.HELD)
+    ST.save_state(ST.merge_held(ST.load_state(spark, folder, ST.HELD), marks), folder)
+    assert sorted(map(tuple, ST.load_state(spark, folder, ST.HELD).collect())) == [("a", True), ("b", True), ("c", False)]
+    newest = json.loads(sorted((tmp_path / "held/log").glob("*.json"))[-1].read_text())["part"]
+    for f in (tmp_path / "held" / newest).glob("*"):
+        f.write_bytes(b"torn") if f.suffix == ".parquet" else f.unlink()
+    for f in (tmp_path / "held" / newest).glob(".*.crc"):
+        f.unlink()
+    assert sorted(map(tuple, ST.load_state(spark, folder, ST.HELD).collect())) == [("a", True), ("b", False)]
+    for f in (tmp_path / "held/log").glob("*.json"):
+        f.write_text("{torn")
+    for f in (tmp_path / "held/log").glob(".*.crc"):
+        f.unlink()
+    assert ST.load_state(spark, folder, ST.HELD).count() == 0
+    pins = f"file://{tmp_path}/pins"
+    ST.save_state(spark.createDataFrame([("module", "x"), ("catalog", "y")], ST.PINS), pins)
+    assert {tuple(r) for r in ST.load_state(spark, pins, ST.PINS).collect()} == {("module", "x"), ("catalog", "y")}
+
+
 def test_gauges_and_records(spark, tmp_path):
     lines = spark.createDataFrame([('{"Peers": 3.7}',)], "s string").select(ST.gauge_lines(F.col("s")).alias("text"))
     assert "cairn_peers 3\n" in lines.first()["text"] and "cairn_pins 0\n" in lines.first()["text"]
