@@ -135,8 +135,11 @@ def forward_targets(peers: DataFrame, seeds: DataFrame, own: str, key: str = "pe
 
 
 def requested(cids: Column, most: int = 256) -> Column:
-    """The first `most` addresses of a request; of those the ones that can be read (base-32 version 1, base-58 version 0)."""
-    return F.filter(F.slice(cids, 1, most), lambda c: c.rlike(r"^(b[a-z2-7]{8,}|Qm[1-9A-HJ-NP-Za-km-z]{44})$"))
+    """The first `most` addresses of a request; of those the ones that can be read (base-32 version 1, base-58 version 0).
+
+    The first byte of version 1 is 1, so ten bits of base 32 begin with 00000 001: after the b comes an a, then one of e to h.
+    """
+    return F.filter(F.slice(cids, 1, most), lambda c: c.rlike(r"^(ba[e-h][a-z2-7]{6,}|Qm[1-9A-HJ-NP-Za-km-z]{44})$"))
 
 
 def warm_hops(addresses: DataFrame, seeds: DataFrame, own: str, address: str = "address", key: str = "peer") -> DataFrame:

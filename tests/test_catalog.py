@@ -9,6 +9,7 @@ from cairn.operators import blocks as K
 from cairn.operators import catalog as C
 from cairn.operators import intervals as I
 from cairn.operators import lists as Li
+from cairn.operators import peers as P
 from cairn.operators import sessions as Z
 from cairn.operators import signal as G
 from cairn.operators import timeline as T
@@ -135,3 +136,17 @@ def test_sources(spark):
     assert [r["path"] for r in ST.rotated(files, 2).collect()] == ["a"]
     assert Z.shuffled(spark.range(50), "id", 1, 5).collect() == Z.shuffled(spark.range(50).repartition(7), "id", 1, 5).collect()
     assert Z.numbered(spark.range(100).repartition(5), "id").where("_r <> id").count() == 0
+
+
+def test_requested_addresses_are_of_version_0_or_1(spark):
+    """A word in the letters of base 32 is no address: the first byte of version 1 is 1, so its text begins with ba and one of e to h."""
+    good = ["bafkrei" + "a" * 52, "bafybei" + "2" * 52, "baguqee" + "q" * 52, "Qm" + "Y" * 44]
+    rows = spark.createDataFrame([(["bad222222", "bad7654321", *good, "b234567abc", "baeaaaaa", "Qm0", "bafkreiLATE"],)], "c array<string>")
+    assert rows.select(P.requested(F.col("c"))).first()[0] == good
+    assert rows.select(P.requested(F.col("c"), 3)).first()[0] == good[:1]
+
+
+def test_spans_that_are_equal_once_held_make_one(spark):
+    """(284, 353) and (284, 407) are both (284, 350): neither joins the span before them."""
+    rows = spark.createDataFrame([("a", 7, 136), ("a", 108, 141), ("a", 195, 258), ("a", 284, 353), ("a", 284, 407)], "k string, start long, stop long").withColumn("size", F.lit(350))
+    assert {tuple(r) for r in I.merge_spans(rows, "k", "size").collect()} == {("a", 7, 141), ("a", 195, 258), ("a", 284, 350)}
