@@ -26,14 +26,19 @@ from .blocks import CHUNKED, _chunks
 
 
 def _built(spark, sf_dir, make):
-    """source (the part's key) and bytes of a module for each part; make takes key and size."""
+    """source (the part's key) and bytes of a module for each part; make takes key and size.
+
+    Parts are a few bytes each and modules thousands: a file that is one task's share to read is dealt to all tasks before they are built.
+    """
 
     def run(batches):
         for batch in batches:
             made = [make(k, n) for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["source", "bytes"])
 
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("source"), F.col("p_size").cast("long")).mapInArrow(run, "source long, bytes binary")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("source"), F.col("p_size").cast("long"))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return parts.repartition(tasks).mapInArrow(run, "source long, bytes binary")
 
 
 def _mod(key: int, size: int) -> bytes:
@@ -163,7 +168,9 @@ def blank_samples(spark, sf_dir):
 
     def blank(raw: bytes):
         out = B.blank_samples(raw, B.sample_slots(raw))
-        same = next((i for i, (a, b) in enumerate(zip(raw, out, strict=False)) if i >= 2108 or a != b), 0)
+        head = min(2108, len(raw), len(out))
+        # The first place from 2108 on, or a differing one before; 0 where there is none.
+        same = next((i for i in range(head) if raw[i] != out[i]), 0) if raw[:head] != out[:head] else head if min(len(raw), len(out)) > 2108 else 0
         return [(len(out), same, not any(out[2108:]))]
 
     return M._exploded(_built(spark, sf_dir, _mod), "source", "bytes", "length long, kept long, zero boolean", blank)

@@ -124,8 +124,8 @@ def _exploded(files: DataFrame, key: str, data: str, schema: str, make) -> DataF
 
         for batch in batches:
             owner, rows = [], []
-            for i in range(batch.num_rows):
-                got = make(batch.column(1)[i].as_py() or b"")
+            for i, raw in enumerate(batch.column(1)):
+                got = make(raw.as_py() or b"")
                 owner += [i] * len(got)
                 rows += got
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
@@ -188,7 +188,12 @@ def packed_spans(files: DataFrame, key: str = "source", data: str = "bytes") ->
 
 def metadata(files: DataFrame, key: str = "source", data: str = "bytes") -> DataFrame:
     """format, title and number of samples of each module; a format is null where the bytes are no module."""
-    return _exploded(files, key, data, "format string, title string, num_samples int", lambda b: [(modules.detect(b), modules.title_of(b), len(modules.sample_slots(b)))])
+
+    def read(data: bytes):
+        fmt = modules.detect(data)
+        return [(fmt, modules.title_of(data, fmt), len(modules.sample_slots(data, fmt)))]
+
+    return _exploded(files, key, data, "format string, title string, num_samples int", read)
 
 
 def events(files: DataFrame, key: str = "source", data: str = "bytes") -> DataFrame:

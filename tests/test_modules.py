@@ -200,3 +200,16 @@ def test_search_reads_its_terms_only(spark, tmp_path):
     plan = fts.matching(index, tree)[0]._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "PushedFilters: [Or(StringStartsWith(term,w77),StringStartsWith(term,common))]" in plan
     assert fts.search(index, "w77 common", 500, most=5000).count() == 11 and fts.search(index, " ").count() == 0
+
+
+def test_modules_are_built_by_all_tasks(spark, sf):
+    """The parts' file is one task's share to read; what is built of it isn't."""
+    from cairn.queries import formats
+
+    assert formats._built(spark, sf, formats._mod).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+    assert spark.read.parquet(f"{sf}/part.parquet").rdd.getNumPartitions() == 1
+
+
+def test_waves_are_by_rule():
+    for length, seed in ((0, 1), (1, 7), (130, 12345), (5000, 99)):
+        assert M.wave(length, seed) == bytes((((i * (3 + seed % 5)) % 256 - 128) + seed * 7 + (i >> 3) * 11) & 255 for i in range(length))
