@@ -18,6 +18,8 @@ from .intervals import prefix_offsets
 VERSION = 2
 #: Characters of a manifest from which the index is spilled.
 SPILL = 262144
+#: Hashes of addresses that are sent to all tasks: 64 MiB of them, at 16 bytes each.
+MOST_HASHES = 1 << 22
 SAMPLES = "array<struct<index:int,frames:bigint,channels:int,bitDepth:int,chunks:array<string>>>"
 INDEX = f"struct<samples:{SAMPLES},plan:array<bigint>>"
 MANIFEST = f"struct<v:int,format:string,skeletonChunks:array<string>,skeletonLayout:array<int>,index:{INDEX},indexRoot:string>"
@@ -54,6 +56,16 @@ def manifest_blocks(made: DataFrame) -> DataFrame:
     return texts.select(digest(F.col("text").cast("binary")).alias("cid"), F.col("text").cast("binary").alias("bytes")).dropDuplicates(["cid"])
 
 
+def _looked_up(refs: DataFrame, store: DataFrame) -> DataFrame:
+    """The blocks (cid, bytes) that refs (written, with cid) may name, each once: others are left out before the store is shuffled.
+
+    Hashes of the addresses are sent to all tasks where they are few (they were counted); else the whole store is looked up.
+    """
+    if refs.count() <= MOST_HASHES:
+        store = store.join(F.broadcast(refs.select(F.xxhash64("cid").alias("_h")).distinct()), F.xxhash64("cid") == F.col("_h"), "left_semi")
+    return store.select("cid", "bytes").dropDuplicates(["cid"])
+
+
 def _read(refs: DataFrame, store: DataFrame) -> DataFrame:
     """refs (with cid) and the bytes of their blocks; a block whose bytes don't fit its address fails."""
     sound = F.when(digest(F.col("bytes")) == F.col("cid"), F.col("bytes")).otherwise(F.raise_error(F.concat(F.lit("damaged block "), F.col("cid"))).cast("binary"))
@@ -62,7 +74,8 @@ def _read(refs: DataFrame, store: DataFrame) -> DataFrame:
 
 def _parsed(refs: DataFrame, store: DataFrame, kind: str) -> DataFrame:
     """refs with _value, the JSON of their blocks; only blocks that are referred to are read as text."""
-    return refs.join(store.select("cid", "bytes"), "cid").withColumn("_value", F.from_json(F.col("bytes").cast("string"), kind)).drop("cid", "bytes")
+    refs = written(refs, "refs")
+    return refs.join(_looked_up(refs, store), "cid").withColumn("_value", F.from_json(F.col("bytes").cast("string"), kind)).drop("cid", "bytes")
 
 
 def fetch(roots: DataFrame, store: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -113,13 +126,13 @@ def walk(roots: DataFrame, store: DataFrame, key: str = "id", links=links_of) ->
     """key, place, level and cid of every reference of the graphs below roots (key, root), in the order of a walk downwards; repeats stay.
 
     Frontier by frontier: blocks that have references of their own are looked up by address and read, all others are only named. A frontier is written before the
-    next one is made of it. A block that the store doesn't have fails.
+    next one is made of it. A block that the store doesn't have fails; the store may have a block more than once.
     """
     frontier = written(roots.select(key, F.lit(0).alias("level"), F.array().cast("array<int>").alias("path"), F.col("root").alias("cid"), F.lit(True).alias("inner")), "frontier")
     found = frontier
     while not frontier.isEmpty():
         inner = frontier.where("inner")
-        read = inner.join(store.select("cid", F.col("bytes").cast("string").alias("_text")), "cid", "left")
+        read = inner.join(_looked_up(inner, store).select("cid", F.col("bytes").cast("string").alias("_text")), "cid", "left")
         text = F.when(F.col("_text").isNotNull(), F.col("_text")).otherwise(F.raise_error(F.concat(F.lit("missing block "), F.col("cid"))).cast("string"))
         below = read.select(key, F.col("level") + 1, "path", F.posexplode(links(text)).alias("_i", "_l")).toDF(key, "level", "path", "_i", "_l")
         frontier = written(below.select(key, "level", F.concat("path", F.array("_i")).alias("path"), "_l.cid", "_l.inner"), "frontier")

@@ -22,7 +22,7 @@ from ..registry import query, table
 from ..sources import archives, folders
 from ..sources import modules as M
 from ..sources import store
-from .blocks import CHUNKED, _chunks
+from .blocks import CHUNKED, _chunks, _files
 
 
 def _built(spark, sf_dir, make):
@@ -278,14 +278,15 @@ def seek_first(spark, sf_dir):
 
 
 def _manifests(spark, sf_dir, spill):
-    c = folders.written(_chunks(spark, sf_dir).select("id", "ord", "cid", "bytes"), "chunks")
+    # A document's chunks come of one row: dealt by id before they are cut, they are grouped where they are, and aren't kept.
+    c = K.chunk_blocks(_files(spark, sf_dir).repartition("id"), 64).select("id", "ord", "cid", "bytes")
     rest = c.where("ord >= 3").select("id", F.floor(F.col("ord") / 3).cast("int").alias("index"), F.lit(64).cast("long").alias("frames"), F.lit(1).alias("channels"), F.lit(8).alias("bit_depth"), "ord", "cid")
     samples = MF.sample_rows(rest)
     head = c.where("ord < 3").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "cid"))), lambda x: x["cid"]).alias("skeletonChunks"))
     names = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("format"))
     layout = F.array(F.size("skeletonChunks"), (F.col("id") % 50).cast("int"))
     skeletons = head.join(names, "id").select("id", "format", "skeletonChunks", layout.alias("skeletonLayout"), F.array(F.col("id") % 7).alias("plan"))
-    return MF.manifests(skeletons, samples, "id", spill), c
+    return MF.manifests(skeletons, samples, "id", spill), _chunks(spark, sf_dir)
 
 
 MANIFESTS = CHUNKED + """, sk AS (SELECT id, list(cid ORDER BY ord) AS c FROM chunks WHERE ord < 3 GROUP BY id),
@@ -333,5 +334,5 @@ def dag_walk(spark, sf_dir):
     """Every address below each manifest's root, by way of indexes that are blocks of their own."""
     made, chunks = _manifests(spark, sf_dir, 2000)
     made = folders.written(made, "made")
-    blocks = MF.manifest_blocks(made).unionByName(chunks.select("cid", "bytes")).dropDuplicates(["cid"])
+    blocks = MF.manifest_blocks(made).unionByName(chunks.select("cid", "bytes"))
     return MF.walk(made.select("id", "root"), blocks)

@@ -150,3 +150,18 @@ def test_spans_that_are_equal_once_held_make_one(spark):
     """(284, 353) and (284, 407) are both (284, 350): neither joins the span before them."""
     rows = spark.createDataFrame([("a", 7, 136), ("a", 108, 141), ("a", 195, 258), ("a", 284, 353), ("a", 284, 407)], "k string, start long, stop long").withColumn("size", F.lit(350))
     assert {tuple(r) for r in I.merge_spans(rows, "k", "size").collect()} == {("a", 7, 141), ("a", 195, 258), ("a", 284, 350)}
+
+
+@pytest.mark.parametrize("most", [1 << 22, 0])
+def test_a_walk_over_a_store_with_repeated_blocks(spark, monkeypatch, most):
+    """Blocks that come twice are looked up once, by few hashes or with the whole store; each reference comes once."""
+    import hashlib
+
+    from cairn.operators import manifest as MF
+
+    monkeypatch.setattr(MF, "MOST_HASHES", most)
+    text = '{"v":2,"format":"x","skeletonChunks":["a","b"],"skeletonLayout":[2,0],"index":{"samples":[],"plan":[]}}'
+    root = hashlib.sha256(text.encode()).hexdigest()
+    store = spark.createDataFrame([(root, text.encode()), (root, text.encode()), ("a", b"1"), ("a", b"1"), ("z", b"2")], "cid string, bytes binary")
+    got = MF.walk(spark.createDataFrame([(1, root)], "id long, root string"), store)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0, 0, root), (1, 1, 1, "a"), (1, 2, 1, "b")]
