@@ -7,7 +7,8 @@ indicators by dual coordinate descent. Margins become scores by a logistic curve
 folds that the model in question has not seen.
 
 The model is fitted on the driver from a sample of labelled rows of a stated bound (at most TRAIN_ROWS, the
-first by a hash of their ids, and of these as many as have TRAIN_BYTES of feature slots): only the slots are sent there. Scoring runs over every whole text in place.
+first by a hash of their ids, and of these as many as have TRAIN_BYTES of feature slots): only the slots are sent there,
+PIECE_BYTES at a time. Scoring runs over every whole text in place.
 
 Defined cases: null and empty texts get the score of an empty feature set; labels without a
 document, or null, are ignored, equal labels of one document count once; repeated rows get equal scores;
@@ -30,6 +31,8 @@ from .common import Work, batch_texts, give_back, joined, mixed, prefix_hashes,
 
 #: Bits of the feature hash, labelled rows that a fit uses at most, and bytes of their slots (four a slot) after which no further row is taken.
 BITS, TRAIN_ROWS, TRAIN_BYTES = 18, 6000, 48 << 20
+#: Bytes of slots that are sent to the driver at once.
+PIECE_BYTES = 4 << 20
 #: Smoothing of the counts, cost of a margin error, sweeps of the descent, and folds for the calibration.
 ALPHA, COST, SWEEPS, FOLDS = 1.0, 0.5, 15, 3
 _IN_WORD = word_table(" \t\n\x0b\x0c\r")
@@ -120,14 +123,16 @@ def log_ratios(rows: list[np.ndarray], labels: np.ndarray, alpha: float = ALPHA)
 def dual_descent(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: float = COST, sweeps: int = SWEEPS, seed: int = 3) -> tuple[np.ndarray, float]:
     """Weights over scaled indicators and bias (an indicator that is always 1) that minimize the L2-regularized hinge loss."""
     w, bias = np.zeros(1 << BITS), 0.0
-    scaled = [ratio[r] / max(1.0, float(np.linalg.norm(ratio[r]))) for r in rows]
-    squares = [float(x @ x) + 1.0 for x in scaled]
+    # Scaled indicators take twice the memory of the slots: they are made anew for each step.
+    norms = [max(1.0, float(np.linalg.norm(ratio[r]))) for r in rows]
+    squares = [float(x @ x) + 1.0 for x in (ratio[r] / n for r, n in zip(rows, norms, strict=True))]
     dual, sign = np.zeros(len(rows)), np.where(labels > 0, 1.0, -1.0)
     rng = np.random.default_rng(seed)
     for _ in range(sweeps):
         moved = 0.0
         for i in rng.permutation(len(rows)).tolist():
-            row, x, y = rows[i], scaled[i], sign[i]
+            row, y = rows[i], sign[i]
+            x = ratio[row] / norms[i]
             gradient = y * (float(w[row] @ x) + bias) - 1.0
             new = min(max(dual[i] - gradient / squares[i], 0.0), cost)
             if (change := (new - dual[i]) * y) != 0.0:
@@ -191,17 +196,31 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
     kind = docs.schema["doc_id"].dataType.simpleString()
     # A document that is there more than once would bring more than its label: one row for each label and distinct feature set.
     work, order = Work(docs.sparkSession, "quality"), [F.xxhash64("doc_id"), "doc_id", "quality", "slots"]
-    made = work.write(texts.mapInArrow(slots, f"doc_id {kind}, quality int, slots binary").distinct().orderBy(*order).limit(train_rows), "sample")
+    made = texts.mapInArrow(slots, f"doc_id {kind}, quality int, slots binary").distinct().orderBy(*order).limit(train_rows)
     # One task orders train_rows rows at most.
-    before = F.sum(F.octet_length("slots")).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - F.octet_length("slots")
-    made = made.withColumn("_before", before).where(F.col("_before") < train_bytes).orderBy("_before", *order).select("quality", "slots").collect()
+    w = W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    made = made.withColumns({"_at": F.count(F.lit(1)).over(w), "_before": F.sum(F.octet_length("slots")).over(w) - F.octet_length("slots")})
+    made = work.write(made.where(F.col("_before") < train_bytes).select("_at", "_before", "quality", "slots"), "sample")
+    rows, y = [], []
+    for r in _pieces(made, min(made.agg(F.max("_before")).first()[0] or 0, train_bytes)):
+        rows.append(np.frombuffer(r["slots"], "<i4"))
+        y.append(r["quality"])
     work.drop("sample")
-    model = fit([np.frombuffer(r["slots"], "<i4") for r in made], np.asarray([r["quality"] for r in made], float))
-    del made
+    model = fit(rows, np.asarray(y, float))
+    del rows
     give_back()  # the sample was the driver's
     return model
 
 
+def _pieces(made: DataFrame, last: int):
+    """The sample's rows in their order, PIECE_BYTES of slots at a time: what is on its way to the driver is in its memory more than once."""
+    for start in range(0, last + 1, PIECE_BYTES):
+        piece = made.where((F.col("_before") >= start) & (F.col("_before") < start + PIECE_BYTES)).select("_at", "quality", "slots").collect()
+        yield from sorted(piece, key=lambda r: r["_at"])
+        del piece
+        give_back()
+
+
 def _scored(batches, shared):
     """Batches with their scores."""
     for batch in batches:

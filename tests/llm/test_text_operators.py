@@ -57,6 +57,33 @@ def test_quality_sample_is_bounded_in_bytes(spark, monkeypatch):
     assert 4 * sum(map(len, seen[1][:-1])) < 20_000 <= 4 * sum(map(len, seen[1]))
 
 
+def test_quality_sample_comes_in_pieces(spark, monkeypatch):
+    """The order of the rows doesn't hang on the pieces in which the driver gets them, and empty texts are among them."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(i % 7 * 20))) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(Q, "fit", lambda rows, y: seen.append([(r.tolist(), v) for r, v in zip(rows, y, strict=True)]))
+    for piece in (1 << 30, 2500, 15_000):
+        monkeypatch.setattr(Q, "PIECE_BYTES", piece)
+        Q.fit_quality(docs, labels)
+    assert 30 < len(seen[0]) < 50 and seen[0] == seen[1] == seen[2] and not all(r for r, _ in seen[0])
+
+
+def test_dual_descent_keeps_no_second_copy():
+    """What a descent holds beside the slots grows by rows, not by slots."""
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    rows = [np.sort(r.choice(1 << Q.BITS, 1000, replace=False)).astype("<i4") for _ in range(1200)]
+    labels = r.integers(0, 2, len(rows)).astype(float)
+    ratio = Q.log_ratios(rows, labels)
+    tracemalloc.start()
+    Q.dual_descent(rows, labels, ratio, sweeps=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * (1 << Q.BITS) + sum(x.nbytes for x in rows) / 2
+
+
 def test_dual_descent_separates():
     rows = [np.asarray([i % 2, 2 + i % 7]) for i in range(200)]
     labels = np.asarray([float(i % 2) for i in range(200)])
