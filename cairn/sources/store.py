@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from ..operators import catalog, fts
 from . import commits
 from .folders import delete, work_folder
+from .folders import store as put
 
 _long, _text = T.LongType(), T.StringType()
 MODULES = T.StructType([
@@ -67,9 +68,9 @@ def searched_columns() -> dict[str, Column]:
 def _write_segment(rows: DataFrame, folder: str) -> dict:
     """A segment of rows (conforming, with ids) and what the log says of it."""
     spark, name = rows.sparkSession, uuid.uuid4().hex
-    rows.repartitionByRange("id").sortWithinPartitions("id").write.option("compression", "zstd").parquet(f"{folder}/modules/{name}")
+    put(rows.repartitionByRange("id").sortWithinPartitions("id"), f"{folder}/modules/{name}")
     modules = spark.read.schema(MODULES).parquet(f"{folder}/modules/{name}")
-    catalog.format_counts(modules).coalesce(1).write.parquet(f"{folder}/counts/{name}")
+    put(catalog.format_counts(modules).coalesce(1), f"{folder}/counts/{name}")
     fts.write_segment(modules.select("id", *SEARCHED), searched_columns(), folder, name)
     facts = modules.agg(F.count(F.lit(1)), F.coalesce(F.max("id"), F.lit(0))).first()
     return {"name": name, "rows": facts[0], "last_id": facts[1]}
@@ -147,8 +148,8 @@ def compact(spark: SparkSession, folder: str) -> None:
 def _merge(spark: SparkSession, folder: str, target: str, segments: list[dict]) -> dict:
     """One segment, in the folder target, of several."""
     name, tables = uuid.uuid4().hex, _tables(spark, folder, segments)
-    tables["modules"].repartitionByRange("id").sortWithinPartitions("id").write.option("compression", "zstd").parquet(f"{target}/modules/{name}")
-    tables["counts"].groupBy("format").agg(F.sum("count").alias("count")).coalesce(1).write.parquet(f"{target}/counts/{name}")
+    put(tables["modules"].repartitionByRange("id").sortWithinPartitions("id"), f"{target}/modules/{name}")
+    put(tables["counts"].groupBy("format").agg(F.sum("count").alias("count")).coalesce(1), f"{target}/counts/{name}")
     fts.merge_segments(tables, target, name)
     return {"name": name, "rows": sum(s["rows"] for s in segments), "last_id": max(s["last_id"] for s in segments)}
 
