@@ -39,22 +39,32 @@ def checkpoints(events: DataFrame, offsets: DataFrame, key: str = "source", most
 
     offsets has key, sample (from 0) and offset. A note held on a channel from before counts as well as all that start within.
     """
-    places = events.select(key, "place", "order").distinct()
-    stride = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(W.partitionBy(key)) / most)).cast("int")
-    places = places.withColumn("stride", stride).withColumn("end", F.max("place").over(W.partitionBy(key)))
-    points = places.where("place % stride = 0").select(key, F.col("place").alias("point"), "order")
-    acts = triggers(events, key).join(places.select(key, "place", "stride", "end"), [key, "place"]).withColumn("point", (F.col("place") - F.col("place") % F.col("stride")).cast("int"))
-    within = acts.where(~F.col("off")).select(key, "point", "sample")
-    # The last act of each channel in each span; what it leaves sounding goes to the following points until the next act.
-    last = acts.groupBy(key, "channel", "point").agg(F.max_by(F.struct("sample", "off"), F.struct("place", "row", "seq")).alias("a"), F.first("stride").alias("stride"), F.first("end").alias("end"))
-    after = F.lead("point").over(W.partitionBy(key, "channel").orderBy("point"))
-    sounding = last.withColumn("_until", F.coalesce(after, "end")).where(~F.col("a.off"))
+    of_key = W.partitionBy(key)
+    in_channel = W.partitionBy(key, "channel").orderBy("place", "row", "seq")
+    # All windows and groups are of the key's rows: they are dealt by key once, and no step joins them with one another.
+    rows = events.withColumn("_sample", F.last("sample", ignorenulls=True).over(in_channel.rowsBetween(W.unboundedPreceding, 0)))
+    in_order = of_key.orderBy("place", "order")
+    places, end = F.max("_n").over(of_key), F.max("place").over(of_key)
+    rows = rows.withColumn("_n", F.dense_rank().over(in_order)).withColumns({"_places": places, "_end": end})
+    stride = F.greatest(F.lit(1), F.ceil(F.col("_places") / most)).cast("int")
+    act = F.coalesce(F.col("channel").isNotNull() & (F.col("off") | (F.col("note") & F.col("_sample").isNotNull())), F.lit(False))
+    at = F.floor(F.col("place") / F.col("_stride"))
+    rows = rows.withColumn("_stride", stride).select(
+        key, "place", "row", "seq", "_stride", "_end", at.alias("_i"), act.alias("_act"), F.when(act, F.col("channel")).alias("channel"), F.when(act & ~F.col("off"), F.col("_sample")).alias("_sample"),
+        F.when(F.col("place") % F.col("_stride") == 0, F.col("order")).alias("_order"),
+    ).where(F.col("_act") | F.col("_order").isNotNull())
+    # The last act of each channel in each span: what it leaves sounding goes to the following points until the channel's next act.
     # Points are multiples of the stride: a note goes to those it reaches by their ordinals, and meets no others.
-    first, until = F.floor(F.col("point") / F.col("stride")) + 1, F.floor(F.col("_until") / F.col("stride"))
-    reached = sounding.select(key, F.col("a.sample").alias("sample"), "stride", F.explode(F.when(first <= until, F.sequence(first, until))).alias("_i"))
-    held = reached.select(key, (F.col("_i") * F.col("stride")).cast("int").alias("point"), "sample").join(points.select(key, "point"), [key, "point"])
-    needed = within.unionByName(held).distinct().join(offsets, [key, "sample"]).groupBy(key, "point").agg(F.array_sort(F.collect_set("offset")).alias("offsets"))
-    return points.join(needed, [key, "point"], "left").select(key, "order", F.coalesce("offsets", F.array().cast("array<bigint>")).alias("offsets"))
+    after = F.lead("_i").over(in_channel)
+    last = F.col("_act") & F.col("_sample").isNotNull() & (F.col("_after").isNull() | (F.col("_after") > F.col("_i")))
+    until = F.when(last, F.coalesce("_after", F.floor(F.col("_end") / F.col("_stride")))).otherwise(F.col("_i"))
+    reached = rows.withColumn("_after", after).select(key, "_sample", "_order", "_i", F.explode(F.sequence("_i", until)).alias("_to"))
+    # Only points that are there have an order.
+    points = reached.groupBy(key, "_to").agg(F.collect_set("_sample").alias("_samples"), F.collect_set(F.when(F.col("_to") == F.col("_i"), F.col("_order"))).alias("_orders")).where(F.size("_orders") > 0)
+    held = offsets.where(F.col("sample").isNotNull() & F.col("offset").isNotNull()).groupBy(key).agg(F.collect_set(F.struct("sample", "offset")).alias("_held"))
+    needed = F.transform(F.filter("_held", lambda x: F.array_contains("_samples", x["sample"])), lambda x: x["offset"])
+    found = points.join(held, key, "left").select(key, F.explode("_orders").alias("order"), F.array_sort(F.array_distinct(needed)).alias("offsets"))
+    return found.select(key, "order", F.coalesce("offsets", F.array().cast("array<bigint>")).alias("offsets"))
 
 
 def first_segment(events: DataFrame, offsets: DataFrame, key: str = "source") -> DataFrame:

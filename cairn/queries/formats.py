@@ -264,7 +264,7 @@ def seek_orders(spark, sf_dir):
 SELECT p.source, p.place * 2 AS "order", array_to_string(list_sort(list(DISTINCT a.sample * 100)), ',') AS offsets FROM e p JOIN a ON a.source = p.source AND (a.place = p.place OR a.place < p.place AND (a.next_ IS NULL OR a.next_ >= p.place)) GROUP BY ALL""")
 def seek_checkpoints(spark, sf_dir):
     """Samples that a start at each order needs: those that begin there and those that still sound."""
-    offsets = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), (F.col("l_partkey") % 5).cast("int").alias("sample"), (F.col("l_partkey") % 5 * 100).alias("offset")).distinct()
+    offsets = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), (F.col("l_partkey") % 5).cast("int").alias("sample"), (F.col("l_partkey") % 5 * 100).alias("offset"))
     return seek.checkpoints(_acts(spark, sf_dir), offsets).withColumn("offsets", F.array_join("offsets", ","))
 
 

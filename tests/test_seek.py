@@ -109,3 +109,22 @@ def test_tables(spark, most):
         want_points |= {(name, o, tuple(n)) for o, n in b}
     assert starts == want_starts and points == want_points
     assert {x["source"] for x in seek.first_segment(events, offsets).collect()} <= {n for n, _ in files}
+
+
+def test_checkpoints_deal_events_once(spark):
+    """Events go through one shuffle, by key, and offsets through another, whatever the steps between."""
+    from cairn.operators import seek
+
+    rows = [("a", p, 10 * p, 0, 0, 0, p % 2, True, False) for p in range(5)] + [("b", 0, 7, 0, 0, None, None, False, False)]
+    events = spark.createDataFrame(rows, "source string, place int, order int, row int, seq int, channel int, sample int, note boolean, off boolean")
+    offsets = spark.createDataFrame([("a", 0, 100), ("a", 1, 200), ("a", 1, 200), ("a", 1, 50), ("c", 0, 1)], "source string, sample int, offset bigint")
+    setting = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = seek.checkpoints(events, offsets, most=2)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == plan.count("Exchange") == 2
+        # Spans of three places: both samples start in the first, and in the second; b has no event.
+        assert {(r["source"], r["order"], tuple(r["offsets"])) for r in found.collect()} == {("a", 0, (50, 100, 200)), ("a", 30, (50, 100, 200)), ("b", 7, ())}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", setting)
