@@ -289,6 +289,19 @@ def _manifests(spark, sf_dir, spill):
     return MF.manifests(skeletons, samples, "id", spill), _chunks(spark, sf_dir)
 
 
+def _stored_manifests(spark, sf_dir):
+    """What the manifests' roots lead to, the store of all blocks, each once, and its folder. Manifests as they were made go when they are stored."""
+    made, chunks = _manifests(spark, sf_dir, 2000)
+    path, temp = folders.work_folder(spark, "blocks"), folders.work_folder(spark, "made")
+    folders.store(made, temp)
+    made = spark.read.schema(made.schema).parquet(temp)
+    roots = folders.written(made.select("id", "root"), "roots")
+    many = table(spark, sf_dir, "documents").agg(F.coalesce(F.sum(F.ceil(F.octet_length("text") / 64)), F.lit(0))).first()[0]
+    blocks = MF.put_blocks(MF.manifest_blocks(made).unionByName(chunks.select("cid", "bytes")), many, path)
+    folders.delete(spark, temp)
+    return MF.fetch_indexes(roots, blocks), blocks, path
+
+
 MANIFESTS = CHUNKED + """, sk AS (SELECT id, list(cid ORDER BY ord) AS c FROM chunks WHERE ord < 3 GROUP BY id),
 one AS (SELECT id, ord // 3 AS i, list(cid ORDER BY ord) AS c FROM chunks WHERE ord >= 3 GROUP BY id, ord // 3),
 sm AS (SELECT id, list({'index': i::INT, 'frames': 64, 'channels': 1, 'bitDepth': 8, 'chunks': c} ORDER BY i) AS s FROM one GROUP BY id),
@@ -305,20 +318,17 @@ def manifest_roots(spark, sf_dir):
 @query(CHUNKED + ", h AS (SELECT id, string_agg(t, '' ORDER BY ord) AS t, max(id) % 50 AS z FROM chunks WHERE ord < 3 GROUP BY id) SELECT id, lang AS format, sha256(unhex(t || repeat('00', z::INT))) AS skeleton, id % 7 AS plan FROM h JOIN documents ON id = doc_id")
 def manifest_fetch(spark, sf_dir):
     """Skeletons read back from roots and blocks, zeros put in again."""
-    made, chunks = _manifests(spark, sf_dir, 2000)
-    made = folders.written(made, "made")
-    blocks = folders.written(MF.manifest_blocks(made).unionByName(chunks.select("cid", "bytes")).dropDuplicates(["cid"]), "blocks")
-    skeletons, _ = MF.fetch(made.select("id", "root"), blocks)
+    read, blocks, _ = _stored_manifests(spark, sf_dir)
+    skeletons = MF.fetch_skeletons(read, blocks)
     return skeletons.select("id", "format", F.sha2("skeleton", 256).alias("skeleton"), F.element_at("plan", 1).alias("plan"))
 
 
 @query(CHUNKED + "SELECT id, (ord // 3)::INT AS index, 64 AS frames, 1 AS channels, 8 AS \"bitDepth\", sha256(unhex(string_agg(t, '' ORDER BY ord))) AS pcm FROM chunks WHERE ord >= 3 GROUP BY id, ord // 3")
 def manifest_samples(spark, sf_dir):
     """Samples read back from roots and blocks."""
-    made, chunks = _manifests(spark, sf_dir, 2000)
-    made = folders.written(made, "made")
-    blocks = folders.written(MF.manifest_blocks(made).unionByName(chunks.select("cid", "bytes")).dropDuplicates(["cid"]), "blocks")
-    _, samples = MF.fetch(made.select("id", "root"), blocks)
+    read, blocks, path = _stored_manifests(spark, sf_dir)
+    samples = MF.fetch_samples(read, blocks)
+    folders.delete(spark, path)
     return samples.withColumn("pcm", F.sha2("pcm", 256))
 
 

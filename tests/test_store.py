@@ -123,6 +123,64 @@ def test_damaged_blocks_and_other_roots_are_refused(spark):
         MF.fetch(other, blocks)
 
 
+def _with(blocks, text, new):
+    """The blocks, one of them with other bytes under its address."""
+    return blocks.withColumn("bytes", F.when(F.col("bytes").cast("string").startswith(text), F.replace(F.col("bytes").cast("string"), F.lit(text), F.lit(new)).cast("binary")).otherwise(F.col("bytes")))
+
+
+def test_manifests_and_indexes_are_checked_and_must_be_there(spark):
+    """Every block is read by its address: JSON that was changed is refused, and what isn't there is no shorter result."""
+    made, blocks = _module(spark, 10)
+    roots = made.select("id", "root")
+    for text, new in (('{"v":2', '{"v": 2'), ('{"samples"', '{ "samples"')):
+        with pytest.raises(Exception, match="damaged block"):
+            MF.fetch(roots, _with(blocks, text, new))
+        with pytest.raises(Exception, match="missing block"):
+            MF.fetch(roots, blocks.where(~F.col("bytes").cast("string").startswith(text)))
+    with pytest.raises(Exception, match="missing block"):
+        MF.fetch(roots, blocks.where(F.col("bytes") != F.lit(b"more")))[1].collect()
+    with pytest.raises(Exception, match="missing block"):
+        MF.fetch(roots, blocks.where(F.col("bytes") != F.lit(b"mid")))[0].collect()
+
+
+def test_a_block_that_is_there_twice_is_read_once_from_sound_bytes(spark):
+    made, blocks = _module(spark, 10)
+    store = _with(_with(blocks, "more", "less"), '{"v":2', '{"v":3').unionByName(blocks).unionByName(blocks)
+    skeletons, samples = MF.fetch(made.select("id", "root"), store)
+    assert bytes(skeletons.first()["skeleton"]) == b"head\0\0\0mid\0\0"
+    assert [bytes(r["pcm"]) for r in samples.collect()] == [b"pcm\xff\x00more"]
+
+
+@pytest.mark.parametrize("layout", [None, []])
+def test_a_skeleton_without_a_recipe_is_all_its_pieces(spark, layout):
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    text = json.dumps({"v": 2, "format": "it", "skeletonChunks": [sha(b"head"), sha(b"mid")], "index": {"samples": [], "plan": [1]}} | ({} if layout is None else {"skeletonLayout": layout})).encode()
+    blocks = spark.createDataFrame([(sha(b), b) for b in (b"head", b"mid", text)], "cid string, bytes binary")
+    skeletons, samples = MF.fetch(spark.createDataFrame([(1, sha(text))], "id long, root string"), blocks)
+    assert bytes(skeletons.first()["skeleton"]) == b"headmid" and samples.count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 300])
+def test_blocks_by_ranges_of_addresses_are_whole(spark, tmp_path, monkeypatch, most):
+    """Ranges part a store: each block is there once, every piece is found, and texts of manifests don't stay."""
+    monkeypatch.setattr(MF, "MOST_BLOCKS", most)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    pieces = [f"piece {i % 290}".encode() for i in range(600)]
+    rows = [(i // 20, i % 20 // 4, 9, 1, 8, i % 4, sha(p)) for i, p in enumerate(pieces)]
+    samples = MF.sample_rows(spark.createDataFrame(rows, "id long, index int, frames long, channels int, bit_depth int, ord int, cid string"))
+    heads = spark.createDataFrame([(i, "it", [sha(pieces[i])], [1, i], [i]) for i in range(30)], "id long, format string, skeletonChunks array<string>, skeletonLayout array<int>, plan array<long>")
+    made = MF.manifests(heads, samples, "id", 10)
+    store = MF.put_blocks(MF.manifest_blocks(made).unionByName(spark.createDataFrame([(sha(p), p) for p in pieces], "cid string, bytes binary")), 600, f"file://{tmp_path}/blocks")
+    assert len(MF.address_ranges(600)) == (MF.RANGES if most == 1 else 2) and store.count() == store.select("cid").distinct().count() == 290 + 60
+    before = set(tmp_path.parent.rglob("texts-*"))
+    skeletons, sounds = MF.fetch(made.select("id", "root"), store)
+    assert set(tmp_path.parent.rglob("texts-*")) == before
+    assert {r["id"]: bytes(r["skeleton"]) for r in skeletons.collect()} == {i: pieces[i] + bytes(i) for i in range(30)}
+    assert {(r["id"], r["index"]): bytes(r["pcm"]) for r in sounds.collect()} == {(i, k): b"".join(pieces[20 * i + 4 * k : 20 * i + 4 * k + 4]) for i in range(30) for k in range(5)}
+    with pytest.raises(Exception, match="no address"):
+        MF.put_blocks(spark.createDataFrame([("x", b"x")], "cid string, bytes binary"), 1, f"file://{tmp_path}/other")
+
+
 def test_greedy_over_many_keys(spark):
     rows = [(k, (i * 7919 + k) % 500, (i * 7919 + k) % 500 + i % 40) for k in range(20) for i in range(60)]
     want = set()
