@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..operators import catalog, fts
 from . import commits
-from .folders import delete, work_folder
+from .folders import copy, delete, readable, work_folder
 from .folders import store as put
 
 _long, _text = T.LongType(), T.StringType()
@@ -38,6 +38,9 @@ TABLES = ("modules", "meta", "postings", "totals")
 #: What a segment has.
 STORED = ("modules", "counts", *fts.INDEX_TABLES)
 
+#: The lowest 22 bits.
+LOW = (1 << 22) - 1
+
 _made: dict[tuple, str] = {}
 
 
@@ -154,6 +157,13 @@ def _merge(spark: SparkSession, folder: str, target: str, segments: list[dict])
     return {"name": name, "rows": sum(s["rows"] for s in segments), "last_id": max(s["last_id"] for s in segments)}
 
 
+def _copied(spark: SparkSession, folder: str, target: str, segment: dict) -> dict:
+    """The segment, in the folder target: its files are sorted and indexed as a merge would leave them."""
+    name = uuid.uuid4().hex
+    copy(spark, [(f"{folder}/{t}/{segment['name']}", f"{target}/{t}/{name}") for t in STORED])
+    return segment | {"name": name}
+
+
 def vacuum(spark: SparkSession, folder: str, keep: int = 2) -> list[str]:
     """Delete segments that none of the newest `keep` versions holds, those of writers that died included; no writer may be at work."""
     listed = lambda entry: {f"{t}/{s['name']}" for s in entry["segments"] for t in STORED}
@@ -161,20 +171,27 @@ def vacuum(spark: SparkSession, folder: str, keep: int = 2) -> list[str]:
 
 
 def checksum(rows: DataFrame) -> str:
-    """Rows and the sum of their hashes, whatever their order; equal tables have equal ones."""
-    r = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")), F.lit(0))).first()
-    return f"{r[0]}:{r[1]}"
+    """Rows and the sum of their hashes, whatever their order; equal tables have equal ones.
+
+    A hash is summed in three parts, as long numbers that 2^41 rows don't fill.
+    """
+    parts = rows.select(F.xxhash64(*rows.columns).alias("h")).select(F.shiftright("h", 44).alias("a"), F.shiftrightunsigned("h", 22).bitwiseAND(F.lit(LOW)).alias("b"), F.col("h").bitwiseAND(F.lit(LOW)).alias("c"))
+    n, *sums = parts.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(x), F.lit(0)) for x in "abc")).first()
+    return f"{n}:{(sums[0] << 44) + (sums[1] << 22) + sums[2]}"
 
 
 def publish(spark: SparkSession, folder: str, root: str, name: str) -> DataFrame:
     """Copy a catalogue to a snapshot, read it back, and give the name's next version to it; a copy that differs is deleted and refused.
 
+    A catalogue of one segment is copied file by file, several are merged.
+
     Two publishers get two versions: each takes the first that is free when its copy is whole.
     """
     path, sums = f"{root}/snapshots/{name}-{uuid.uuid4().hex}", {}
     _, entry = commits.last(spark, folder)
     try:
-        merged = _merge(spark, folder, path, entry["segments"])
+        alone = len(entry["segments"]) == 1 and readable(spark, folder) and readable(spark, path)
+        merged = _copied(spark, folder, path, entry["segments"][0]) if alone else _merge(spark, folder, path, entry["segments"])
         commits.commit(spark, path, 1, {"segments": [merged]})
         for t in ("modules", "meta", "postings"):
             sums[t] = checksum(read(spark, path, t))

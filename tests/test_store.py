@@ -53,6 +53,31 @@ def test_a_snapshot_that_differs_is_refused(spark, modules, tmp_path, monkeypatc
     assert ST.latest(spark, root, "x") == second["path"] and len(list((tmp_path / "r" / "snapshots").iterdir())) == 2
 
 
+def test_one_segment_is_published_as_it_lies(spark, modules, tmp_path, monkeypatch):
+    """A snapshot of one segment sorts nothing anew and has the same bytes; several segments, and folders that only Spark can open, are merged."""
+    folder, root, merge, merged = f"file://{tmp_path}/c", f"file://{tmp_path}/r", ST._merge, []
+    monkeypatch.setattr(ST, "_merge", lambda *a: merged.append(1) or merge(*a))
+    ST.write_catalog(modules.where("id < 6"), folder)
+    path = ST.publish(spark, folder, root, "x").first()["path"]
+    files = lambda p: sorted((f.parent.parent.name, f.name, f.read_bytes()) for f in p.glob("*/*/part-*"))
+    assert not merged and len(files(tmp_path / "c")) > 5 and files(tmp_path / "c") == files(tmp_path / "r/snapshots" / path.rpartition("/")[2])
+    assert not list(tmp_path.glob("r/snapshots/*/*/*/.part*"))
+    assert [r["id"] for r in fts.search(fts.open_index(spark, path), "title:title + 5").collect()] == [5]
+    with monkeypatch.context() as m:
+        m.setattr(ST, "readable", lambda *_: False)
+        other = ST.publish(spark, folder, root, "x").first()
+    assert len(merged) == 1 and other["checksums"] == ST.publish(spark, folder, root, "x").first()["checksums"]
+    monkeypatch.setattr(ST, "compact", lambda *_: None)
+    ST.append(modules.where("id > 5").drop("id"), folder)
+    assert ST.read(spark, ST.publish(spark, folder, root, "x").first()["path"], "modules").count() == modules.count() and len(merged) == 2
+
+
+def test_checksums_are_the_rows_and_the_exact_sum_of_their_hashes(spark):
+    rows = spark.range(5000).select("id", F.array("id", -F.col("id")).alias("a"))
+    total = sum(r[0] for r in rows.select(F.xxhash64("id", "a")).collect())
+    assert ST.checksum(rows) == f"5000:{total}" and ST.checksum(rows.limit(0)) == "0:0"
+
+
 def test_states_are_kept_and_damage_gives_what_was_before(spark, tmp_path):
     folder = f"file://{tmp_path}/held"
     assert ST.load_state(spark, folder, ST.HELD).count() == 0
